@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from functools import wraps
 
-MODULES = ("windows_q",)
+MODULES = ("windows_q", "features_q", "splits_q")
 
 
 def _modules():
@@ -26,12 +26,12 @@ def _in_utc(fn):
 def all_queries():
     out = {}
     for module in _modules():
-        out.update(module.QUERIES)
+        out.update(module.query.queries)
     return {name: _in_utc(fn) for name, fn in sorted(out.items())}
 
 
 def all_oracles():
     out = {}
     for module in _modules():
-        out.update(module.ORACLE)
+        out.update(module.query.oracle)
     return dict(sorted(out.items()))

@@ -153,3 +153,41 @@ def acct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "us", "user_id AS src", "CAST((k*3 + event_id % 5) % 150 AS BIGINT) AS dst",
         "amount", "amount_c", "rail_no AS currency_no", "is_fraud AS is_laundering",
     )
+
+
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evt under the canonical column names (ids stay numeric)."""
+    return as_canonical(evt(spark, sf_dir))
+
+
+def as_canonical(events: DataFrame) -> DataFrame:
+    seen = "timestamp_micros({first} + ({id} * 37 % 60) * 86400000000)"
+    first = 1_701_388_800_000_000  # 2023-12-01
+    return events.selectExpr(
+        "event_id", "event_ts", "us", "amount", "amount_c", "response_code", "mcc", "cross_border", "is_fraud", "score", "k",
+        "rail_no", "vector_no", "campaign_no", "in_blind_cohort", "acquirer_id",
+        "user_id AS payer_entity_id", "payee_id AS payee_entity_id", "pan_id AS pan_token", "device_id",
+        "ip_id AS ip", "payee_id AS merchant_id", "agent_id", "issuer_id", "user_id AS terminal_id",
+        "element_at(array('CARD_CNP','CARD_CP','UPI','SEPA_INST','ACH','AGENTIC'), CAST(rail_no + 1 AS INT)) AS rail",
+        "mandate_amount_max", "timestamp_micros(mandate_expiry_us) AS mandate_expiry_ts",
+        "CASE WHEN allowed_payee IS NOT NULL THEN array(CAST(allowed_payee AS STRING)) END AS mandate_merchant_allowlist",
+        "cart_hash_at_intent", "cart_hash_at_settle", "agent_attestation_valid", "mandate_nonce", "payee_name_match",
+        f"CASE WHEN device_id % 8 <> 0 THEN {seen.format(first=first, id='device_id')} END AS device_first_seen_ts",
+        "CASE WHEN event_id % 4 = 0 THEN 'tra' END AS sca_exempt_reason",
+        "CASE mcc WHEN 'click' THEN 'authenticated' WHEN 'view' THEN 'not_authenticated' "
+        "WHEN 'purchase' THEN 'attempted' END AS eci_semantic",
+        "CASE WHEN mcc = 'signup' THEN 'collect' ELSE 'push' END AS upi_txn_type",
+    )
+
+
+FIRST_SEEN_SQL = ("SELECT DISTINCT payee_id AS entity_id, 1701388800000000 + (payee_id * 37 % 60) * 86400000000 "
+                  "AS first_us FROM {src} WHERE payee_id % 8 <> 0")
+CIRCADIAN_SQL = ("SELECT DISTINCT user_id AS entity_id, CAST(user_id % 24 AS DOUBLE) * 2 * pi() / 24 AS mu, "
+                 "CAST(1 + user_id % 4 AS DOUBLE) AS kappa FROM {src}")
+CONTROL_SQL = ("SELECT DISTINCT payee_id AS entity_id, CAST((payee_id * 13) % 100 AS DOUBLE) / 100 AS control_strength "
+               "FROM {src} WHERE payee_id < 36")
+PLACES_SQL = "SELECT DISTINCT payee_id AS entity_id, payee_lat AS lat, payee_lon AS lon FROM {src} WHERE payee_id < 38"
+
+
+def dimension(events: DataFrame, sql: str) -> DataFrame:
+    return events.sparkSession.sql(sql.replace("{src}", "{events}"), events=events)

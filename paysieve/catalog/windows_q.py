@@ -4,30 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paysieve.catalog.base import Catalog, frame, r6
 from paysieve.catalog.views import evt, ord_, with_views
 from paysieve.operators import windows as w
 from paysieve.operators.windows import DAY, HOUR, Measure
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
-
-
-def _r(name):
-    return F.round(F.col(name), 6).alias(name)
-
-
-def _frame(key, width):
-    return f"(PARTITION BY {key} ORDER BY us RANGE BETWEEN {width} PRECEDING AND 1 PRECEDING)"
+query = Catalog()
+_r, _frame = r6, frame
 
 
 @query("w01_pit_count_24h", with_views("evt", f"""

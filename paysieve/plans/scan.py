@@ -135,15 +135,13 @@ def up_to(at: str, tie: str, edge: tuple | None) -> Column:
 
 
 def first_rows(
-    df: DataFrame, keys: Sequence[str], at: str, tie: str, name: str = "is_first"
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    tie: str,
+    name: str = "is_first",
+    layout: Layout | None = None,
 ) -> DataFrame:
-    """1 on the earliest row of each group, else 0. ``tie`` must be unique per row.
-
-    One partially aggregated shuffle on the group, one on the unique id: no hot key anywhere.
-    """
-    firsts = (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(at, tie)).alias("_f"))
-        .select(F.col(f"_f.{tie}").alias(tie), F.lit(1).alias(name))
-    )
-    return df.join(firsts, tie, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    """1 on the earliest row of each group by (at, tie), else 0."""
+    seen = previous_row(df, keys, at, tie, {"_seen": F.lit(1)}, layout=layout)
+    return seen.withColumn(name, F.col("_seen").isNull().cast("int")).drop("_seen")

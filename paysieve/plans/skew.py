@@ -105,13 +105,13 @@ def with_chunks(df: DataFrame, keys: Sequence[str], at: Column, layout: Layout)
     if not layout.spread:
         return df.withColumn(CHUNK, F.lit(0))
     edges = [-math.inf, *layout.splits, math.inf]
-    cutter = Bucketizer(splits=edges, inputCol="_at", outputCol="_slice", handleInvalid="keep")
-    sliced = cutter.transform(df.withColumn("_at", at.cast("double")))
+    cutter = Bucketizer(splits=edges, inputCol="_cut_at", outputCol="_slice", handleInvalid="keep")
+    sliced = cutter.transform(df.withColumn("_cut_at", at.cast("double")))
     slice_no = F.col("_slice").cast("int") + 1
     if keys:
         sliced = with_hot_flag(sliced, keys, layout.hot)
         slice_no = F.when(F.col("_hot"), slice_no).otherwise(0)
-    return sliced.withColumn(CHUNK, slice_no).drop("_at", "_slice", "_hot")
+    return sliced.withColumn(CHUNK, slice_no).drop("_cut_at", "_slice", "_hot")
 
 
 def _row_hash(df: DataFrame) -> Column:
