@@ -256,16 +256,21 @@ _CAPS = {"CARD_CNP": 0.04, "CARD_CP": 0.05, "UPI": 0.01, "SEPA_INST": 0.06, "ACH
 
 def _caps_sql(hard):
     cap = "CASE rail " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in _CAPS.items()) + " END"
+
+    def scale_down(i):
+        return f"""
+c{i} AS (SELECT rail, count(*) AS n, sum(is_fraud) AS f, {cap} AS cap FROM e{i} GROUP BY rail),
+d{i} AS (SELECT rail, CASE WHEN CAST(f AS DOUBLE) / n > cap THEN round_even(f * (1 - cap / (CAST(f AS DOUBLE) / n)), 0) ELSE 0 END AS drp FROM c{i}),
+r{i} AS (SELECT event_id, e{i}.rail, is_fraud, o, row_number() OVER (PARTITION BY e{i}.rail, is_fraud ORDER BY o, event_id) AS rn, drp
+  FROM e{i} JOIN d{i} ON e{i}.rail = d{i}.rail),
+k{i} AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY o, event_id) AS r2 FROM r{i} WHERE is_fraud = 0 OR rn > drp),
+t{i} AS (SELECT count(*) AS n, sum(is_fraud) AS f FROM k{i}),
+e{i + 1} AS (SELECT event_id, rail, is_fraud, o FROM k{i}, t{i} WHERE is_fraud = 0
+  OR CAST(t{i}.f AS DOUBLE) / t{i}.n <= CAST({hard} AS DOUBLE) OR r2 > t{i}.f - floor(t{i}.n * CAST({hard} AS DOUBLE)))"""
+
     return f"""
-WITH e AS (SELECT *, {RAIL_SQL} AS rail, {_ORDER} AS o FROM evt),
-c AS (SELECT rail, count(*) AS n, sum(is_fraud) AS f, {cap} AS cap FROM e GROUP BY rail),
-dr AS (SELECT rail, CASE WHEN CAST(f AS DOUBLE) / n > cap THEN round_even(f * (1 - cap / (CAST(f AS DOUBLE) / n)), 0) ELSE 0 END AS drp FROM c),
-k1 AS (SELECT e.*, row_number() OVER (PARTITION BY e.rail, is_fraud ORDER BY o, event_id) AS rn, drp FROM e JOIN dr ON e.rail = dr.rail),
-k2 AS (SELECT * FROM k1 WHERE is_fraud = 0 OR rn > drp),
-t AS (SELECT count(*) AS n, sum(is_fraud) AS f FROM k2),
-k3 AS (SELECT k2.*, row_number() OVER (PARTITION BY is_fraud ORDER BY o, event_id) AS r2 FROM k2)
-SELECT event_id FROM k3, t WHERE is_fraud = 0 OR CAST(t.f AS DOUBLE) / t.n <= CAST({hard} AS DOUBLE)
-  OR r2 > t.f - floor(t.n * CAST({hard} AS DOUBLE))"""
+WITH e0 AS (SELECT event_id, {RAIL_SQL} AS rail, is_fraud, {_ORDER} AS o FROM evt), {scale_down(0)}, {scale_down(1)}
+SELECT event_id FROM e2"""
 
 
 def _capped(spark, d):

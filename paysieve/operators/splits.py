@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysieve.operators.windows import DAY
-from paysieve.plans.scan import order_statistic, rank_in_group, running_totals, up_to
+from paysieve.plans.scan import order_statistic, order_statistics, rank_in_group, running_totals, up_to
 
 BURST_ROWS = 14
 SCALE_DOWN_ROUNDS = 2
@@ -157,13 +157,11 @@ def enforce_caps(
         if not over and (not rows or frauds / rows <= hard_cap):
             break
         keep = F.lit(True)
-        for name in over:
-            n, f = counts[name]
-            drop = int(round(f * (1 - limits[name] / (f / n))))
-            scope = fraud & F.col(rail).eqNullSafe(F.lit(name))
-            edge = order_statistic(work.filter(scope), order, tie, drop)
-            keep = keep & ~(scope & up_to(order, tie, edge))
-            rows, frauds = rows - drop, frauds - drop
+        drops = {k: int(round(f * (1 - limits[k] / (f / n)))) for k, (n, f) in counts.items() if k in over}
+        edges = order_statistics(work.filter(fraud & F.col(rail).isin(over)), rail, order, tie, drops) if over else {}
+        for name, edge in edges.items():
+            keep = keep & ~(fraud & (F.col(rail) == F.lit(name)) & up_to(order, tie, edge))
+        rows, frauds = rows - sum(drops.values()), frauds - sum(drops.values())
         work = work.filter(keep)
         if rows and frauds / rows > hard_cap:
             edge = order_statistic(work.filter(fraud), order, tie, frauds - int(rows * hard_cap))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from paysieve.plans.skew import CHUNK, Layout, join_on_keys, plan_layout, with_chunks
 
+_WHOLE = ("byte", "short", "integer", "long")
+
 
 def running_totals(
     df: DataFrame,
@@ -31,13 +33,20 @@ def running_totals(
     layout = layout or plan_layout(df, keys, F.col(at))
     placed = with_chunks(df, keys, F.col(at), layout)
     base = Window.partitionBy(*keys, CHUNK)
-    if tie is None:
-        frame = base.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    else:
+    zero = F.lit(0)
+    if tie is not None:
         frame = base.orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    scanned = placed.select(
-        "*", *[F.coalesce(F.sum(e).over(frame), F.lit(0)).alias(n) for n, e in sums.items()]
-    )
+        before = {n: F.coalesce(F.sum(e).over(frame), zero) for n, e in sums.items()}
+    elif df.schema[at].dataType.typeName() in _WHOLE:
+        frame = base.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+        before = {n: F.coalesce(F.sum(e).over(frame), zero) for n, e in sums.items()}
+    else:  # a range offset is a distance, so leave out equal values by subtraction
+        upto = base.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        peers = base.orderBy(at).rangeBetween(Window.currentRow, Window.currentRow)
+        before = {
+            n: F.coalesce(F.sum(e).over(upto), zero) - F.coalesce(F.sum(e).over(peers), zero) for n, e in sums.items()
+        }
+    scanned = placed.select("*", *[e.alias(n) for n, e in before.items()])
     if not layout.spread:
         return scanned.drop(CHUNK)
     totals = placed.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(
@@ -127,6 +136,19 @@ def order_statistic(df: DataFrame, at: str, tie: str, position: int) -> tuple |
     return edge[at], inner.first()[tie]
 
 
+def order_statistics(df: DataFrame, key: str, at: str, tie: str, positions: Mapping) -> dict:
+    """{key value: (at, tie) of its row at the given 1-based position}, for a short list of
+    key values, in one pass over the (key, at, tie) columns.
+    """
+    wanted = {k: p for k, p in positions.items() if p >= 1}
+    if not wanted:
+        return {}
+    table = F.create_map(*[F.lit(x) for item in wanted.items() for x in item])
+    ranked = rank_in_group(df.select(key, at, tie), [key], at, tie, "_rank")
+    found = ranked.filter(F.col("_rank") == F.element_at(table, F.col(key))).collect()  # one row per key value
+    return {r[key]: (r[at], r[tie]) for r in found}
+
+
 def up_to(at: str, tie: str, edge: tuple | None) -> Column:
     """Filter: rows at or before an order statistic. Two literals, so it reaches the scan."""
     if edge is None:
