@@ -35,7 +35,7 @@ SELECT event_id, {ts} AS event_ts, {us} AS us, k, user_id, value AS amount, even
   CASE WHEN k%6=5 THEN event_id % 211 END AS mandate_nonce,
   CASE WHEN k%6=5 THEN event_id % 11 <> 0 END AS agent_attestation_valid,
   CASE WHEN k%6=5 THEN CASE WHEN event_id%13=0 THEN 999 ELSE (event_id*7919)%40 END END AS allowed_payee,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 9 <> 0 END AS payee_name_match
+  CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 9 <> 0 END AS payee_name_match
 FROM {source}
 """
 

@@ -308,9 +308,9 @@ def closest_record(batch: DataFrame, reference: DataFrame, columns: Sequence[str
     cell = lambda c: F.floor(F.col(c) / F.lit(bound)).cast("bigint")
     # Exact cells in the axis with neighbours on one side of the join only; other columns filter.
     second = next((c for c in names if c not in (axis, "amount")), axis)
-    near = [F.lit(-1), F.lit(0), F.lit(1)]
-    a = left.select("*", (cell(axis) + F.explode(F.array(*near))).alias("_c1")).select(
-        "*", (cell(second) + F.explode(F.array(*near))).alias("_c2"))
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = left.select("*", F.explode(near).alias("_o1")).select("*", F.explode(near).alias("_o2"))
+    a = a.withColumns({"_c1": cell(axis) + F.col("_o1"), "_c2": cell(second) + F.col("_o2")})
     b = right.select(cell(axis).alias("_c1"), cell(second).alias("_c2"), *[F.col(c).alias(f"r_{c}") for c in names])
     square = sum([F.pow(F.col(c) - F.col(f"r_{c}"), 2.0) for c in names[1:]], F.pow(F.col(names[0]) - F.col(f"r_{names[0]}"), 2.0))
     best = a.join(b, ["_c1", "_c2"]).agg(F.min(square).alias("q"))
