@@ -88,7 +88,7 @@ def _with_header(batches, header):
     first = True
     for batch in batches:
         if first:
-            yield pa.RecordBatch.from_pydict({"value": [header]})
+            yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
             first = False
         yield batch
 
