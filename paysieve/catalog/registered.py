@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from functools import wraps
 
-MODULES = ("windows_q", "features_q", "splits_q", "metrics_q", "graph_q", "realism_q", "typology_q", "sources_q", "models_q")
+MODULES = ("windows_q", "features_q", "splits_q", "metrics_q", "graph_q", "realism_q", "typology_q", "sources_q", "models_q", "streaming_q")
 
 
 def _modules():
