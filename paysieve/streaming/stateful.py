@@ -48,7 +48,7 @@ class TrailingWindows(StatefulProcessor):
         yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expiry = expiredTimerInfo.get_expiry_time_in_ms()
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
         kept = [r for r in self.recent.get() if (r[0] + self.longest) // 1000 >= expiry] if self.recent.exists() else []
         if kept:
             self.recent.put(kept)
