@@ -49,8 +49,12 @@ def _wide(value: Column) -> Column:
     return value.cast("decimal(19,0)")
 
 
-def _accumulators(measures: Sequence[Measure]) -> list[tuple[int, str, str]]:
-    needed = {"count": "n", "sum": "s", "mean": "ns", "std": "nsq"}
+# Squares of values below this fit a long and are summed as two longs; others as decimals.
+NARROW = 1 << 31
+
+
+def _accumulators(measures: Sequence[Measure], narrow: bool) -> list[tuple[int, str, str]]:
+    needed = {"count": "n", "sum": "s", "mean": "ns", "std": "nshl" if narrow else "nsq"}
     out = {}
     for m in measures:
         for part in needed[m.kind]:
@@ -67,9 +71,18 @@ def _part(value: Column, part: str) -> Column:
         return F.when(value.isNotNull(), F.lit(1).cast("bigint"))
     if part == "s":
         return value.cast("bigint")
+    if part in "hl":
+        square = value.cast("bigint") * value.cast("bigint")
+        return F.shiftright(square, 31) if part == "h" else square.bitwiseAND(F.lit(NARROW - 1).cast("bigint"))
     return _wide(value) * _wide(value)
 
 
+def _all_narrow(df: DataFrame, values: Sequence[Column]) -> bool:
+    """Whether every value that is squared stays below NARROW (one scan of those columns)."""
+    top = df.agg(F.greatest(F.lit(0), *[F.max(F.abs(v.cast("bigint"))) for v in values]).alias("m")).first()["m"]
+    return (top or 0) < NARROW
+
+
 def std_from_sums(n: Column, s: Column, q: Column) -> Column:
     """Sample deviation from exact integer sums; null below two values."""
     exact = F.try_subtract(
@@ -81,8 +94,11 @@ def std_from_sums(n: Column, s: Column, q: Column) -> Column:
     return F.when(n > 1, F.sqrt(spread / (n.cast("double") * (n - 1).cast("double"))))
 
 
-def _finish(m: Measure) -> Column:
+def _finish(m: Measure, narrow: bool) -> Column:
     n, s, q = (F.col(_name(m.window, m.value, p)) for p in "nsq")
+    if narrow:
+        high, low = (F.col(_name(m.window, m.value, p)).cast("decimal(19,0)") for p in "hl")
+        q = high * F.lit(NARROW).cast("decimal(10,0)") + low
     if m.kind == "count":
         return F.coalesce(n, F.lit(0)).cast("bigint")
     if m.kind == "sum":
@@ -129,8 +145,10 @@ def trailing(
         if method == "auto":
             small = layout.largest <= SLIDING_GROUP_ROWS and not layout.spread
             method = "sliding" if small else "running"
+    squared = [values[n] for n in dict.fromkeys(m.value for m in measures if m.kind == "std")]
+    narrow = bool(squared) and _all_narrow(df, squared)
     named = df.select("*", *[e.alias(f"_v_{n}") for n, e in values.items()])
-    parts = _accumulators(measures)
+    parts = _accumulators(measures, narrow)
     if method == "sliding":
         sums = []
         for window, value, part in parts:
@@ -141,7 +159,7 @@ def trailing(
         scanned = _signed_sums(named, keys, at, [f"_v_{n}" for n in values], parts, layout)
     else:
         raise ValueError(f"unknown method {method}")
-    return scanned.select(*df.columns, *[_finish(m).alias(m.name) for m in measures])
+    return scanned.select(*df.columns, *[_finish(m, narrow).alias(m.name) for m in measures])
 
 
 def _signed_sums(named, keys, at, value_columns, parts, layout):
@@ -256,9 +274,12 @@ def velocity_block(
     """(event_id, cnt/sum/declrate/amtstd per key and window).
 
     ``keys`` maps feature names to columns; a None column gives constant ``fill``. All keys
-    go through one exchange as (key name, key value) rows and come back per event id.
+    go through one exchange as (key number, key value) rows and come back per event id.
     """
     live = {n: c for n, c in keys.items() if c is not None and c in df.columns}
+    whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in live.values())
+    value_type = "bigint" if whole else "string"
+    number = {n: i for i, n in enumerate(live)}
     rows = df.select(
         F.col(event_id).alias("_id"),
         F.col(at).alias("_at"),
@@ -267,12 +288,12 @@ def velocity_block(
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(n).alias("key_name"), F.col(c).cast("string").alias("key_value"))
+                    F.struct(F.lit(number[n]).alias("key_no"), F.col(c).cast(value_type).alias("key_value"))
                     for n, c in live.items()
                 ]
             )
         ).alias("_k"),
-    ).select("_id", "_at", "_cents", "_decl", "_k.key_name", "_k.key_value")
+    ).select("_id", "_at", "_cents", "_decl", "_k.key_no", "_k.key_value")
     measures = []
     for label, width in windows.items():
         measures += [
@@ -282,18 +303,18 @@ def velocity_block(
             Measure(f"amtstd_{label}", "amount", width, "std", scale),
         ]
     values = {"amount": F.col("_cents"), "declined": F.col("_decl")}
-    scanned = trailing(rows, ["key_name", "key_value"], "_at", values, measures, method=method)
+    scanned = trailing(rows, ["key_no", "key_value"], "_at", values, measures, method=method)
     stats = F.struct(*[F.col(m.name).cast("double").alias(m.name) for m in measures])
     # At most one row per key name and event: the list is bounded by the number of keys.
     per_event = scanned.groupBy("_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key_name", stats))).alias("_by_key")
+        F.map_from_entries(F.collect_list(F.struct("key_no", stats))).alias("_by_key")
     )
     columns = []
     for key in keys:
         for label in windows:
             for kind in VELOCITY_AGGREGATIONS:
                 value = (
-                    F.col("_by_key")[F.lit(key)][f"{kind}_{label}"] if key in live else F.lit(None).cast("double")
+                    F.col("_by_key")[F.lit(number[key])][f"{kind}_{label}"] if key in live else F.lit(None).cast("double")
                 )
                 if fill is not None:
                     value = F.coalesce(value, F.lit(float(fill)))
