@@ -51,7 +51,7 @@ def _(spark, d):
 @query("m16_compare_calibrators")
 def _(spark, d):
     rows = pca_rows(spark, d).withColumn("row_id", F.xxhash64("Time", "Amount"))
-    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"])
+    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"], iterations=8)
 
 
 @query("m17_isolation_scores")
@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("l12_transfer_ratio")
 def _(spark, d):
-    return L.transfer_ratio(*sides(spark, d), iterations=8)
+    return L.transfer_ratio(*sides(spark, d), iterations=5)
 
 
 @query("l13_discriminator_auc")
@@ -137,8 +137,8 @@ def _(spark, d):
     batch, reference = sides(spark, d)
     table, _ = L.run_gate(batch, reference, 0, {
         "marginal": R.marginal_layer, "joint": R.joint_layer, "behavioral": R.behavioural_layer,
-        "utility": lambda a, b: L.transfer_ratio(a, b, iterations=5),
-        "adversarial": lambda a, b: L.discriminator_auc(a, b, iterations=5), "privacy": L.privacy_layer})
+        "utility": lambda a, b: L.transfer_ratio(a, b, iterations=3),
+        "adversarial": lambda a, b: L.discriminator_auc(a, b, iterations=3), "privacy": L.privacy_layer})
     return table
 
 

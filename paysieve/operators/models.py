@@ -90,11 +90,11 @@ def isotonic_scores(model, scored: DataFrame, name="score", margin="_margin") ->
 
 
 def compare_calibrators(df: DataFrame, features: Sequence[str], at="Time", tie="row_id", label="Class",
-                        train_fraction=0.6, validation_fraction=0.2) -> DataFrame:
+                        train_fraction=0.6, validation_fraction=0.2, iterations=60) -> DataFrame:
     """(method, average_precision, roc_auc, brier, ece, worst_bin, saturated) on one later slice."""
     train, rest = positional_cut(df, at, tie, train_fraction)
     valid, test = positional_cut(rest, at, tie, validation_fraction / (1 - train_fraction))
-    trees = fit_gbdt(train, features, label)
+    trees = fit_gbdt(train, features, label, iterations=iterations)
     on_valid, on_test = gbdt_scores(trees, valid, "p").persist(), gbdt_scores(trees, test, "p").persist()
     scored = {
         "uncalibrated": on_test.withColumn("s", F.col("p")),
