@@ -219,18 +219,19 @@ def _(spark, d):
     return out.select("event_id", F.col("mandate_scope_breach").alias("breach"))
 
 
-@query("f16_19_agentic", with_views("evt", """
-SELECT event_id,
-  CASE WHEN cart_hash_at_intent <> cart_hash_at_settle THEN 1 ELSE 0 END AS cart_hash_mismatch,
-  CASE WHEN agent_attestation_valid = false THEN 1 ELSE 0 END AS attestation_invalid,
-  CASE WHEN mandate_nonce IS NOT NULL AND row_number() OVER (PARTITION BY mandate_nonce ORDER BY us, event_id) > 1
-    THEN 1 ELSE 0 END AS nonce_reused,
-  round(CASE WHEN mandate_amount_max > 0 THEN (amount - mandate_amount_max) / mandate_amount_max ELSE 0 END, 6) AS delta
-FROM evt"""))
-def _(spark, d):
-    out = P.agentic(frame_in(spark, d))
-    return out.select("event_id", "cart_hash_mismatch", "attestation_invalid", "nonce_reused",
-                      F.round("settle_vs_intent_amount_delta", 6).alias("delta"))
+_AGENTIC = {
+    "f16_cart_hash_mismatch": ("cart_hash_mismatch", "CASE WHEN cart_hash_at_intent <> cart_hash_at_settle THEN 1 ELSE 0 END"),
+    "f17_attestation_invalid": ("attestation_invalid", "CASE WHEN agent_attestation_valid = false THEN 1 ELSE 0 END"),
+    "f18_nonce_reused": ("nonce_reused", "CASE WHEN mandate_nonce IS NOT NULL AND row_number() OVER "
+                         "(PARTITION BY mandate_nonce ORDER BY us, event_id) > 1 THEN 1 ELSE 0 END"),
+    "f19_settle_delta": ("settle_vs_intent_amount_delta", "round(CASE WHEN mandate_amount_max > 0 THEN "
+                         "(amount - mandate_amount_max) / mandate_amount_max ELSE 0 END, 6)"),
+}
+for _name, (_feature, _sql) in _AGENTIC.items():
+    @query(_name, with_views("evt", f"SELECT event_id, {_sql} AS {_feature} FROM evt"))
+    def _(spark, d, feature=_feature):
+        value = r6(feature) if feature.startswith("settle") else F.col(feature)
+        return P.agentic(frame_in(spark, d)).select("event_id", value)
 
 
 @query("f20_tri_state", with_views("evt", """

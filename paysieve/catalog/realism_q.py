@@ -54,6 +54,13 @@ def ks(spark, d):
     return out.select("column", r6("statistic"), r6("p_value"))
 
 
+@query("l02_ks_reference_p", with_views("evt", """
+SELECT event_id, round(CASE WHEN score * sqrt(250) < 0.2 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 51),
+  lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * score * score * 250))), 0), 1) END, 6) AS p_value FROM evt"""))
+def _(spark, d):
+    return evt(spark, d).select("event_id", F.round(L.ks_reference_p(F.col("score")), 6).alias("p_value"))
+
+
 _HASH = "(event_id * 7919) % 10007"
 
 

@@ -155,7 +155,8 @@ def _(spark, d):
     return A.read_rounds(spark, path).select("round", "status", r6("fpr_legit"), "pr_auc")
 
 
-@query("d01_cart_digest")
+@query("d01_cart_digest", with_views("evt", """
+SELECT event_id, sha256('{"payee":' || CAST(payee_id AS VARCHAR) || ',"total":' || CAST(amount_c AS VARCHAR) || '}') AS digest FROM evt"""))
 def _(spark, d):
     e = evt(spark, d)
     return e.select("event_id", N.cart_digest(F.col("payee_id").alias("payee"), F.col("amount_c").alias("total")).alias("digest"))

@@ -9,6 +9,7 @@ from paysieve.catalog.base import Catalog, r6
 from paysieve.catalog.views import acct_edges, canonical, evt, with_views
 from paysieve.operators import splits as P
 from paysieve.operators import validation as C
+from paysieve.operators.graph import reciprocity
 from paysieve.operators.windows import DAY
 from paysieve.plans.skew import attach_group_stats
 
@@ -78,7 +79,7 @@ def _(spark, d):
         F.size("mutation_lineage").alias("lineage"))
 
 
-@query("v04_assert_no_leakage")
+@query("v04_assert_no_leakage", "SELECT count(*) AS rows, 3 AS columns FROM events")
 def _(spark, d):
     features = evt(spark, d).select("amount", "k", "score")
     names = C.assert_no_leakage(features)
@@ -377,3 +378,23 @@ def _(spark, d):
     left = evt(spark, d).selectExpr("event_id AS id", "amount_c")
     right = V.ord_(spark, d).selectExpr("event_id AS id", "amount_c", "segment")
     return left.unionByName(right, allowMissingColumns=True)
+
+
+@query("j03_reverse_edge", with_views("acct_edges", """
+WITH p AS (SELECT DISTINCT src, dst FROM acct_edges)
+SELECT event_id, EXISTS (SELECT 1 FROM p WHERE p.src = e.dst AND p.dst = e.src) AS reciprocated FROM acct_edges e"""))
+def _(spark, d):
+    a = acct_edges(spark, d).withColumns({"low": F.least("src", "dst"), "high": F.greatest("src", "dst")})
+    return attach_group_stats(a, ["low", "high"], reciprocity(a, "src", "dst")).select(
+        "event_id", (F.col("is_reciprocated") == 1).alias("reciprocated"))
+
+
+@query("j04_degree_attach", with_views("acct_edges", """
+WITH o AS (SELECT src AS id, count(*) AS n FROM acct_edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n FROM acct_edges GROUP BY 1)
+SELECT event_id, o.n AS src_out, coalesce(i.n, 0) AS src_in FROM acct_edges JOIN o ON o.id = src LEFT JOIN i ON i.id = src"""))
+def _(spark, d):
+    a = acct_edges(spark, d)
+    out_n = a.groupBy("src").agg(F.count(F.lit(1)).alias("src_out"))
+    in_n = a.groupBy(F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("src_in"))
+    stats = out_n.join(in_n, "src", "left").fillna(0, ["src_in"])
+    return attach_group_stats(a, ["src"], stats).select("event_id", "src_out", "src_in")

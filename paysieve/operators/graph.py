@@ -144,15 +144,17 @@ def triangles(edges: DataFrame, src="src_id", dst="dst_id") -> DataFrame:
     sqrt(2 x edges) neighbours whatever its degree. Per edge the two short lists are
     intersected; no pairs of neighbours are produced.
     """
-    simple = undirected(edges, src, dst)
+    simple = durable(undirected(edges, src, dst))
     degree = _degrees(simple)
-    ends = simple.join(degree.select(F.col("id").alias("u"), F.col("degree").alias("du")), "u").join(
-        degree.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v")
+    # A hub's edges are salted in every join on an endpoint.
+    ends = attach_group_stats(simple, ["u"], degree.select(F.col("id").alias("u"), F.col("degree").alias("du")))
+    ends = attach_group_stats(ends, ["v"], degree.select(F.col("id").alias("v"), F.col("degree").alias("dv")))
     forward = F.struct("du", "u") < F.struct("dv", "v")
     oriented = ends.select(F.when(forward, F.col("u")).otherwise(F.col("v")).alias("a"),
                            F.when(forward, F.col("v")).otherwise(F.col("u")).alias("b"))
     lists = oriented.groupBy("a").agg(F.collect_list("b").alias("near"))
-    both = oriented.join(lists, "a").join(lists.select(F.col("a").alias("b"), F.col("near").alias("far")), "b")
+    both = oriented.join(lists, "a")
+    both = attach_group_stats(both, ["b"], lists.select(F.col("a").alias("b"), F.col("near").alias("far"))).filter("far IS NOT NULL")
     return both.agg(F.coalesce(F.sum(F.size(F.array_intersect("near", "far"))), F.lit(0)).cast("bigint").alias("triangles"))
 
 
@@ -163,13 +165,13 @@ def two_stars(edges: DataFrame, src="src_id", dst="dst_id") -> DataFrame:
     return _degrees(undirected(edges, src, dst)).agg(F.coalesce(stars, F.lit(0.0)).alias("two_stars"))
 
 
-def _with_reciprocity(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(src, dst, is_reciprocated) per distinct pair: whether the reversed pair exists too.
+def reciprocity(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(low, high, is_reciprocated) per unordered pair: whether both directions exist.
 
     Both directions meet in one group of (low, high); the pair's directions are two flags.
     """
     low, high = F.least(src, dst), F.greatest(src, dst)
-    return edges.groupBy(low.alias("_low"), high.alias("_high")).agg(
+    return edges.groupBy(low.alias("low"), high.alias("high")).agg(
         ((F.max((F.col(src) <= F.col(dst)).cast("int")) == 1) & (F.max((F.col(src) >= F.col(dst)).cast("int")) == 1))
         .cast("int").alias("is_reciprocated"))
 
@@ -185,8 +187,8 @@ def _attach_ends(edges, src, dst, layouts):
         in_side.select(F.col(dst).alias(src), F.col("dst_in_degree").alias("src_in_degree")), src, "left")
     of_dst = in_side.join(sources, dst).join(
         out_side.select(F.col(src).alias(dst), F.col("src_out_degree").alias("dst_out_degree")), dst, "left")
-    rows = edges.withColumns({"_low": F.least(src, dst), "_high": F.greatest(src, dst)})
-    rows = attach_group_stats(rows, ["_low", "_high"], _with_reciprocity(edges, src, dst)).drop("_low", "_high")
+    rows = edges.withColumns({"low": F.least(src, dst), "high": F.greatest(src, dst)})
+    rows = attach_group_stats(rows, ["low", "high"], reciprocity(edges, src, dst)).drop("low", "high")
     rows = attach_group_stats(rows, [src], of_src, layouts[0])
     rows = attach_group_stats(rows, [dst], of_dst, layouts[1])
     return rows.fillna(0, ["src_in_degree", "dst_out_degree"])
