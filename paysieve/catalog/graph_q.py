@@ -32,6 +32,7 @@ def _(spark, d):
     return G.merge_edges(G.edge_table(c.filter("event_id % 3 = 0")), G.edge_table(c.filter("event_id % 3 <> 0")))
 
 
+_EDGE_PAIRS = ("SELECT 'n' || CAST(user_id AS VARCHAR) AS src_id, 'n' || CAST((user_id + 50) % 150 AS VARCHAR) AS dst_id FROM evt")
 ROUNDS = 10
 _RANK = f"""
 WITH e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM acct_edges GROUP BY 1, 2),
@@ -50,18 +51,23 @@ def pagerank(spark, d):
     return ranks.select("id", F.round("rank", 8).alias("rank"))
 
 
-def _sparse(spark, d):
-    """Many small components: customers and suppliers linked by one line in fifty."""
-    return pay_edges(spark, d).filter("weight >= 2")
+@query("g04_component_size", with_views("pay_edges", """
+WITH e AS (SELECT src_id AS a, dst_id AS b FROM pay_edges UNION ALL SELECT dst_id, src_id FROM pay_edges),
+r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a AND r.root < e.b),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT id, count(*) OVER (PARTITION BY root) AS component_size FROM m""", recursive=True))
+def _(spark, d):
+    return G.component_size(pay_edges(spark, d))
 
 
-@query("g04_component_size", with_views("pay_edges", """
-WITH e AS (SELECT src_id AS a, dst_id AS b FROM pay_edges WHERE weight >= 2 UNION ALL SELECT dst_id, src_id FROM pay_edges WHERE weight >= 2),
+@query("g04b_event_components", with_views("evt", f"""
+WITH e AS (SELECT src_id AS a, dst_id AS b FROM ({_EDGE_PAIRS}) UNION SELECT dst_id, src_id FROM ({_EDGE_PAIRS})),
 r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a AND r.root < e.b),
 m AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
 SELECT id, count(*) OVER (PARTITION BY root) AS component_size FROM m""", recursive=True))
 def _(spark, d):
-    return G.component_size(_sparse(spark, d))
+    pairs = evt(spark, d).selectExpr("concat('n', user_id) AS src_id", "concat('n', (user_id + 50) % 150) AS dst_id")
+    return G.component_size(pairs)
 
 
 _SIMPLE = "u AS (SELECT DISTINCT least({s}, {t}) AS a, greatest({s}, {t}) AS b FROM {e} WHERE {s} <> {t})"
