@@ -88,30 +88,36 @@ def pagerank(
     return ranks, change
 
 
-def connected_components(edges: DataFrame, *, src="src_id", dst="dst_id", max_iterations: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, *, src="src_id", dst="dst_id", max_iterations: int | None = None) -> DataFrame:
     """(id, component): the smallest vertex id reachable ignoring direction.
 
     Alternates two hooking steps, each a minimum per vertex (map-side combine) joined back to
     the edges, so no neighbour list is ever held by a task. Rounds grow with the logarithm of
-    the graph; each is checkpointed.
+    the graph; each is checkpointed. It goes on until every vertex points at a root; a limit of
+    rounds raises when it runs out.
     """
     nodes = durable(_vertices(edges, src, dst))
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct()
-    pairs = durable(pairs)
-    seen = None
-    for _ in range(max_iterations):
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
+    pairs, rounds = durable(pairs), 0
+    while not _all_stars(pairs):
+        if max_iterations is not None and rounds >= max_iterations:
+            raise RuntimeError(f"components are not stable after {max_iterations} rounds")
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         large = _hook(both, both.filter("v > u"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
         pairs = durable(_hook(down, down, with_self=True).filter("u <> v").distinct())
-        mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        rounds += 1
     return nodes.join(pairs.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component"))
 
 
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour at most, which has none itself."""
+    roles = pairs.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return roles.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter(
+        "below > 1 OR below = 1 AND above = 1").isEmpty()
+
+
 def _hook(all_pairs: DataFrame, moved: DataFrame, with_self: bool = False) -> DataFrame:
     """Point each selected neighbour v of u (and u itself) at the least vertex around u."""
     least = all_pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
