@@ -23,6 +23,7 @@ from paysieve.llm import buffers as B
 PER_CLASS = 1500
 NEIGHBOURS = 15
 DIMENSIONS = 48
+TIE = 1e-6  # references as similar as the last neighbour vote too
 WORDS, SHAPES, TRAITS = 1536, 448, 64  # widths of the three parts of a vector
 SIZE = WORDS + SHAPES + TRAITS
 SHARE = (0.5, 1.0, 1.5)  # weight of each part
@@ -117,10 +118,9 @@ class Voter:
         out = np.empty(len(mine))
         for begin in range(0, len(mine), 512):
             similar = mine[begin: begin + 512] @ m["vectors"].T
-            near = np.argpartition(-similar, self.neighbours - 1, axis=1)[:, : self.neighbours]
-            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** 4
-            total = weight.sum(axis=1)
-            voted = (weight * m["labels"][near]).sum(axis=1)
+            least = -np.partition(-similar, self.neighbours - 1, axis=1)[:, self.neighbours - 1, None]
+            weight = np.where(similar >= least - TIE, np.maximum(similar, 0), 0).astype(np.float64) ** 4
+            total, voted = weight.sum(axis=1), weight @ m["labels"]
             out[begin: begin + 512] = np.where(total > 0, voted / np.where(total > 0, total, 1), 0.5)
         return np.clip(out, 0, 1)
 
