@@ -146,10 +146,10 @@ _SHARES = " + ".join(
 
 @query("f09_bin_entropy", with_views("evt", f"""
 WITH c AS (SELECT event_id, {", ".join(f"count(*) FILTER (WHERE {_TAIL} = {i}) OVER f AS c{i}" for i in range(10))},
-  CAST(count(*) OVER f AS DOUBLE) AS t FROM evt WINDOW f AS {frame('device_id', 6 * HOUR)})
+  CAST(count(*) OVER f AS DOUBLE) AS t FROM evt WINDOW f AS {frame('device_id', 10 * MINUTE)})
 SELECT event_id, round(CASE WHEN t > 0 THEN ({_SHARES}) / ln(10) ELSE 0 END, 6) AS bin_seq_entropy FROM c"""))
 def _(spark, d):
-    return P.bin_sequence_entropy(frame_in(spark, d), window=6 * HOUR).select("event_id", r6("bin_seq_entropy"))
+    return P.bin_sequence_entropy(frame_in(spark, d)).select("event_id", r6("bin_seq_entropy"))
 
 
 _DIGIT = "CASE WHEN amount_c > 0 THEN CAST(left(CAST(amount_c AS VARCHAR), 1) AS INT) ELSE 1 END"
@@ -186,9 +186,9 @@ FROM (SELECT event_id, us, {key}, CASE WHEN p IS NULL OR us - p >= {width} THEN
   FROM (SELECT *, lag(us) OVER (PARTITION BY {key}, {other} ORDER BY us, event_id) AS p FROM evt))"""
 
 
-@query("f12_distinct_pan_per_device", with_views("evt", _distinct_sql("device_id", "pan_id", 600_000_000 * 6, "pans")))
+@query("f12_distinct_pan_per_device", with_views("evt", _distinct_sql("device_id", "pan_id", 10 * MINUTE, "pans")))
 def _(spark, d):
-    return W.pit_distinct_approx(evt(spark, d), ["device_id"], "us", "pan_id", HOUR, "event_id", "pans").select(
+    return W.pit_distinct_approx(evt(spark, d), ["device_id"], "us", "pan_id", 10 * MINUTE, "event_id", "pans").select(
         "event_id", "pans")
 
 
@@ -250,34 +250,97 @@ def _(spark, d):
         "event_id", "eci_semantic_code", "upi_txn_type_code", "threeds_flow_code", "pos_entry_mode_code")
 
 
-WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
+def unrounded(sql):
+    """The text without its round(value, digits) calls; round(value) stays."""
+    begin = 0
+    while (begin := sql.find("round(", begin)) >= 0:
+        depth, at, comma = 1, begin + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            comma = at if sql[at] == "," and depth == 1 else comma
+            at += 1
+        if comma < 0:
+            begin += 6
+        else:
+            sql = sql[:begin] + "(" + sql[begin + 6: comma] + ")" + sql[at:]
+    return sql
+
+
+def _joined_sql(parts, names, digits, extra=""):
+    """Columns of other queries' SQL side by side, as the single-precision features they become."""
+    tables = " JOIN ".join(f"({unrounded(q)}) t{i} USING (event_id)" if i else f"({unrounded(q)}) t0" for i, q in enumerate(parts))
+    value = "round(CAST(CAST({} AS FLOAT) AS DOUBLE), " + str(digits) + ") AS {}"
+    return f"SELECT event_id, {', '.join(value.format(e, n) for n, e in names.items())}{extra} FROM {tables}"
+
+
+def _velocity_sql(keys, windows, absent=(), null_declines=False):
+    """Body of the block for all keys; with absent outcomes declines and empty frames stay null."""
+    columns = []
+    for name, col in keys.items():
+        for label, width in windows.items():
+            f, fill = frame(col, width), (lambda e: e) if null_declines else (lambda e: f"coalesce({e}, 0)")
+            columns += [f"CAST(count(amount_c) OVER {f} AS DOUBLE) AS cnt_{name}_{label}",
+                        f"coalesce(CAST(sum(amount_c) OVER {f} AS DOUBLE), 0) / 100 AS sum_{name}_{label}",
+                        ("CAST(NULL AS DOUBLE)" if null_declines else fill(f"avg(declined) OVER {f}")) + f" AS declrate_{name}_{label}",
+                        fill(f"stddev_samp(amount_c) OVER {f} / 100") + f" AS amtstd_{name}_{label}"]
+    columns += [f"CAST(NULL AS DOUBLE) AS {a}_{k}_{w}" for k in absent for w in windows for a in W.VELOCITY_AGGREGATIONS]
+    return with_views("evt", f"SELECT event_id, {', '.join(columns)} FROM evt")
+
+
+_KEYS = {"pan_token": "pan_id", "device_id": "device_id", "ip": "ip_id", "merchant_id": "payee_id", "payee_entity_id": "payee_id", "agent_id": "agent_id"}
+_BLOCK = [f"{a}_{k}_{w}" for k in _KEYS for w in W.VELOCITY_WINDOWS for a in W.VELOCITY_AGGREGATIONS]
+_AGES = with_views("evt", f"""
+WITH c AS ({V.FIRST_SEEN_SQL.format(src='evt')})
+SELECT event_id, coalesce(greatest((us - p.first_us) / CAST(3600000000 AS DOUBLE), 0), 0) AS payee_age,
+  coalesce(greatest((us - t.first_us) / CAST(3600000000 AS DOUBLE), 0), 0) / 24 AS terminal_age
+FROM evt LEFT JOIN c p ON payee_id = p.entity_id LEFT JOIN c t ON user_id = t.entity_id""")
+_SQL = query.oracle
+_WHOLE = {
+    **{n: n for n in _BLOCK}, "amount_z_vs_entity_history": "z", "circadian_loglik": "circadian_loglik", "mcc_novelty_for_entity": "novelty",
+    "impossible_travel_kmh": "kmh", "first_time_payee": "first_time_payee", "payee_age_hours": "payee_age", "device_age_hours": "device_age_hours",
+    "cross_border": "cross_border", "sca_exempt_flag": "sca_exempt_flag", "bin_seq_entropy": "bin_seq_entropy",
+    "merchant_benford_dev_24h": "merchant_benford_dev_24h", "merchant_control_strength": "merchant_control_strength", "terminal_age_days": "terminal_age",
+    "distinct_pan_per_device_10m": "pans", "fanin_payee_24h": "fanin", "fanout_payer_24h": "fanout", "payee_bank_degree": "bank_degree",
+    "payer_pagerank": "0", "payee_pagerank": "0", "component_size": "1", "mandate_scope_breach": "breach", "cart_hash_mismatch": "cart_hash_mismatch",
+    "attestation_invalid": "attestation_invalid", "nonce_reused": "nonce_reused", "settle_vs_intent_amount_delta": "settle_vs_intent_amount_delta",
+    "human_present_flag_num": "-1", "eci_semantic_code": "eci_semantic_code", "threeds_flow_code": "threeds_flow_code",
+    "pos_entry_mode_code": "pos_entry_mode_code", "payee_name_match_num": "name_match", "upi_txn_type_code": "upi_txn_type_code",
+}
+_PARTS = ("f01_amount_z", "f02_circadian_loglik", "f03_mcc_novelty", "f04_impossible_travel", "f05_first_time_payee", "f07_device_terminal_age", "f08_flags",
+          "f09_bin_entropy", "f10_merchant_benford", "f11_control_strength", "f12_distinct_pan_per_device", "f13_fan_in_out_bank_degree",
+          "f15_mandate_scope_breach", "f16_cart_hash_mismatch", "f17_attestation_invalid", "f18_nonce_reused", "f19_settle_delta", "f20_tri_state", "f21_enum_codes")
 
 
-@query("f22_compute_features", with_views("evt", f"""
-WITH pair AS ({_distinct_sql('payee_id', 'user_id', DAY, 'fanin')}), ctl AS ({V.CONTROL_SQL.format(src='evt')})
-SELECT event_id, CAST(count(amount_c) OVER {frame('pan_id', DAY)} AS DOUBLE) AS cnt_pan_token_24h,
-  CAST(count(amount_c) OVER {frame('device_id', 7 * DAY)} AS DOUBLE) AS cnt_device_id_7d,
-  round(coalesce(avg(declined) OVER {frame('ip_id', DAY)}, 0), 4) AS declrate_ip_24h,
-  CAST(fanin AS DOUBLE) AS fanin_payee_24h, round(coalesce(control_strength, 0.5), 4) AS merchant_control_strength,
-  CAST(CASE WHEN cart_hash_at_intent <> cart_hash_at_settle THEN 1 ELSE 0 END AS DOUBLE) AS cart_hash_mismatch,
-  CAST(31 + 3 * 24 AS BIGINT) AS features
-FROM evt JOIN pair USING (event_id) LEFT JOIN ctl ON payee_id = entity_id"""))
+@query("f22_compute_features", _joined_sql([_velocity_sql(_KEYS, W.VELOCITY_WINDOWS), _AGES, *(_SQL[n] for n in _PARTS)], _WHOLE, 3))
 def _(spark, d):
-    out = P.compute_features(canonical(spark, d), context(spark, d), WINDOWS)
-    shown = ["cnt_pan_token_24h", "cnt_device_id_7d", "declrate_ip_24h", "fanin_payee_24h",
-             "merchant_control_strength", "cart_hash_mismatch"]
-    return out.select("event_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in shown],
-                      F.lit(len(out.columns) - 1).cast("bigint").alias("features"))
+    out = P.compute_features(canonical(spark, d), context(spark, d))
+    return out.select("event_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in out.columns if c != "event_id"])
+
+
+_CARD = with_views("evt", f"""
+WITH g AS (SELECT event_id, us, payee_id * 1.0::DOUBLE AS lat, payee_id * 2.0::DOUBLE AS lon, pan_id FROM evt),
+l AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(us) OVER w AS pus FROM g WINDOW w AS (PARTITION BY pan_id ORDER BY us, event_id)),
+h AS (SELECT event_id, (us // 3600000000) % 24 AS hr FROM evt)
+SELECT event_id, CASE WHEN pus IS NULL THEN 0 ELSE {_KM.format(r=6371.0)} / greatest((l.us - pus) / CAST(3600000000 AS DOUBLE), 60000000.0 / 3600000000.0) END AS kmh,
+  CASE WHEN row_number() OVER (PARTITION BY evt.pan_id, payee_id ORDER BY evt.us, event_id) = 1 THEN 1 ELSE 0 END AS first_time_payee,
+  (evt.us - min(evt.us) OVER (PARTITION BY evt.pan_id, payee_id)) / CAST(3600000000 AS DOUBLE) AS payee_age_hours,
+  CASE WHEN row_number() OVER (PARTITION BY evt.pan_id, mcc ORDER BY evt.us, event_id) = 1 THEN 1 ELSE 0 END AS novelty,
+  ln((1 + count(*) OVER (PARTITION BY evt.pan_id, hr ORDER BY evt.us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    / (24.0::DOUBLE + count(*) OVER o)) AS circadian,
+  CASE WHEN count(*) OVER o >= 2 AND stddev_pop(amount_c) OVER o > 1e-7 THEN (amount_c - avg(amount_c) OVER o) / stddev_pop(amount_c) OVER o ELSE 0 END AS z
+FROM l JOIN evt USING (event_id) JOIN h USING (event_id)
+WINDOW o AS (PARTITION BY evt.pan_id ORDER BY evt.us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+_OUTSIDE = {
+    **{n: n for n in _BLOCK}, "impossible_travel_kmh": "kmh", "first_time_payee": "first_time_payee", "payee_age_hours": "payee_age_hours",
+    "mcc_novelty_for_entity": "novelty", "circadian_loglik": "circadian", "amount_z_vs_entity_history": "z", "merchant_benford_dev_24h": "dev",
+    "fanin_payee_24h": "fanin", "fanout_payer_24h": "fanout",
+}
 
 
-@query("f23_compute_features_external", with_views("evt", f"""
-SELECT event_id, CAST(count(amount_c) OVER {frame('pan_id', DAY)} AS DOUBLE) AS fanout_payer_24h,
-  round(CAST(CAST((us - min(us) OVER (PARTITION BY pan_id, payee_id)) / CAST(3600000000 AS DOUBLE) AS FLOAT) AS DOUBLE), 2) AS payee_age_hours,
-  CAST(NULL AS DOUBLE) AS declrate_pan_token_24h, CAST(NULL AS DOUBLE) AS cnt_ip_24h, CAST(9 + 3*12 + 3*12 AS BIGINT) AS features
-FROM evt"""))
+@query("f23_compute_features_external", _joined_sql([
+    _velocity_sql({k: _KEYS[k] for k in X.SUPPORTED_KEYS}, W.VELOCITY_WINDOWS, [k for k in _KEYS if k not in X.SUPPORTED_KEYS], True),
+    _CARD, _SQL["f10b_benford_digit_sum"], _SQL["f13b_fan_counts"]], _OUTSIDE, 2))
 def _(spark, d):
     df = canonical(spark, d).withColumns({"payer_lat": F.col("payee_entity_id") * 1.0, "payer_lon": F.col("payee_entity_id") * 2.0})
-    out = X.compute_features_external(df, True, WINDOWS)
-    shown = ["fanout_payer_24h", "payee_age_hours", "declrate_pan_token_24h", "cnt_ip_24h"]
-    return out.select("event_id", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in shown],
-                      F.lit(len(out.columns) - 1).cast("bigint").alias("features"))
+    out = X.compute_features_external(df, True)
+    return out.select("event_id", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in out.columns if c != "event_id"])

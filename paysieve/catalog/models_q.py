@@ -35,14 +35,14 @@ def parts(spark, d):
 @query("m14_fit_gbdt")
 def _(spark, d):
     train, valid, test = parts(spark, d)
-    model = L.fit_gbdt(train, FEATURES, validation=valid, iterations=15)
+    model = L.fit_gbdt(train, FEATURES, validation=valid)
     return L.gbdt_scores(model, test).select("event_id", "gbdt")
 
 
 @query("m15_platt_isotonic")
 def _(spark, d):
     train, valid, test = parts(spark, d)
-    model = L.fit_gbdt(train, FEATURES, iterations=10)
+    model = L.fit_gbdt(train, FEATURES)
     on_valid, on_test = L.gbdt_scores(model, valid).persist(), L.gbdt_scores(model, test)
     out = L.platt_scores(L.platt(on_valid), on_test, "sigmoid")
     return L.isotonic_scores(L.isotonic(on_valid), out, "isotonic").select("event_id", "sigmoid", "isotonic")
@@ -51,7 +51,7 @@ def _(spark, d):
 @query("m16_compare_calibrators")
 def _(spark, d):
     rows = pca_rows(spark, d).withColumn("row_id", F.xxhash64("Time", "Amount"))
-    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"], iterations=8)
+    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"])
 
 
 @query("m17_isolation_scores")
@@ -78,14 +78,36 @@ def _(spark, d):
 @query("m20_detector")
 def _(spark, d):
     train, valid, test = parts(spark, d)
-    detector = L.fit_detector(train, valid, FEATURES, iterations=10)
+    detector = L.fit_detector(train, valid, FEATURES)
     return L.evaluate(detector, test)
 
 
-@query("m21_scope_matrix")
+_SCOPED = [*FEATURES, "amount_z_vs_entity_history", "merchant_control_strength", "payer_kyc_level"]
+_SCOPE_COLUMNS = {"NETWORK": "amount,k,payee,hour,decl,amount_z_vs_entity_history,merchant_control_strength",
+                  "ISSUER": "amount,k,payee,hour,decl,amount_z_vs_entity_history,payer_kyc_level",
+                  "ACQUIRER": "amount,k,payee,hour,decl,merchant_control_strength"}
+_PARTIES = {"NETWORK": None, "ISSUER": 7, "ACQUIRER": 3}
+
+
+@query("m21_scope_matrix", with_views("evt", f"""
+WITH s AS ({" UNION ALL ".join(f"SELECT '{k}' AS scope, '{c}' AS columns, us, is_fraud FROM evt WHERE {w}" for (k, c), w in zip(_SCOPE_COLUMNS.items(), ("true", "issuer_id = 7", "acquirer_id = 3")))}),
+b AS (SELECT *, us < {START + 20 * 86_400_000_000} AS early FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY early ORDER BY us) AS n FROM (SELECT us, us < {START + 20 * 86_400_000_000} AS early FROM evt)),
+e AS (SELECT max(us) AS cut FROM r WHERE early AND n <= CAST(floor((SELECT count(*) FROM r WHERE early) * 0.8) AS BIGINT)),
+c AS (SELECT scope, columns, count(*) AS rows, CAST(sum(is_fraud) AS BIGINT) AS positives, coalesce(sum(is_fraud) FILTER (WHERE early AND us <= cut), 0) AS fit,
+  coalesce(sum(is_fraud) FILTER (WHERE NOT early), 0) AS later FROM b, e GROUP BY 1, 2)
+SELECT scope, CASE WHEN rows < 2000 THEN 'too_few_rows' WHEN positives < 2 OR fit < 30 THEN 'too_few_positives'
+  WHEN later = 0 THEN 'no_fraud_in_evaluation_window' ELSE 'fitted' END AS status, rows, positives, columns FROM c"""))
 def _(spark, d):
-    train, valid, test = parts(spark, d)
-    return L.scope_matrix(train, valid, test, FEATURES, {"NETWORK": None, "ISSUER": 7, "ACQUIRER": 3}, iterations=8)
+    more = {"amount_z_vs_entity_history": F.col("amount") / 100, "merchant_control_strength": F.col("k") / 50, "payer_kyc_level": F.col("payee") % 3}
+    train, valid, test = (p.withColumns(more) for p in parts(spark, d))
+    return L.scope_matrix(train, valid, test, _SCOPED, _PARTIES)[0]
+
+
+@query("m21c_scope_scores")
+def _(spark, d):
+    train, valid, test = (p.withColumn("vector_id", F.concat(F.lit("V"), F.col("k").cast("int") % 4)) for p in parts(spark, d))
+    return L.scope_matrix(train, valid, test, FEATURES, _PARTIES, vector="vector_id")[1]
 
 
 @query("m25_linear_contributions")
@@ -97,7 +119,7 @@ def _(spark, d):
 @query("m30_external_train")
 def _(spark, d):
     train, _, test = parts(spark, d)
-    trees, curve = L.external_train(train, FEATURES, negative_ratio=5.0, iterations=10)
+    trees, curve = L.external_train(train, FEATURES)
     return L.external_evaluate(trees, curve, test)
 
 
@@ -112,18 +134,18 @@ def _(spark, d):
 def _(spark, d):
     features = ["src_out_degree", "src_in_degree", "dst_out_degree", "dst_in_degree", "src_unique_targets",
                 "dst_unique_sources", "is_reciprocated", "is_self_loop", "src_fanout_ratio", "dst_fanin_ratio", "amount_usd_log"]
-    report, _ = L.graph_only_scoping(G.account_graph_features(acct_edges(spark, d)), features, iterations=10)
+    report, _ = L.graph_only_scoping(G.account_graph_features(acct_edges(spark, d)), features)
     return report
 
 
 @query("l12_transfer_ratio")
 def _(spark, d):
-    return L.transfer_ratio(*sides(spark, d), iterations=5)
+    return L.transfer_ratio(*sides(spark, d))
 
 
 @query("l13_discriminator_auc")
 def _(spark, d):
-    return L.discriminator_auc(*sides(spark, d), iterations=8)
+    return L.discriminator_auc(*sides(spark, d))
 
 
 @query("l15_membership_auc")
@@ -137,8 +159,7 @@ def _(spark, d):
     batch, reference = sides(spark, d)
     table, _ = L.run_gate(batch, reference, 0, {
         "marginal": R.marginal_layer, "joint": R.joint_layer, "behavioral": R.behavioural_layer,
-        "utility": lambda a, b: L.transfer_ratio(a, b, iterations=3),
-        "adversarial": lambda a, b: L.discriminator_auc(a, b, iterations=3), "privacy": L.privacy_layer})
+        "utility": L.transfer_ratio, "adversarial": L.discriminator_auc, "privacy": L.privacy_layer})
     return table
 
 

@@ -66,17 +66,16 @@ _HASH = "(event_id * 7919) % 10007"
 
 def _benford_sql(where):
     return f"""
-dg AS (SELECT event_id, CAST(left(CAST(amount_c AS VARCHAR), 1) AS INT) AS digit, row_number() OVER (ORDER BY {_HASH}, event_id) AS rn
-  FROM evt WHERE amount_c > 0 AND {where}),
+dg AS (SELECT CAST(left(CAST(amount_c AS VARCHAR), 1) AS INT) AS digit FROM evt WHERE amount_c > 0 AND {where}),
 ex AS (SELECT i AS digit, log10(1 + 1.0 / i) AS e FROM range(1, 10) r(i)),
-bm AS (SELECT avg(abs(coalesce(n, 0) / CAST((SELECT count(*) FROM dg) AS DOUBLE) - e)) AS mad FROM ex LEFT JOIN (SELECT digit, count(*) AS n FROM dg GROUP BY 1) USING (digit)),
-bc AS (SELECT sum(pow(coalesce(n, 0) - e * t, 2) / (e * t)) AS chi2 FROM (SELECT ex.e, n, (SELECT count(*) FROM dg WHERE rn <= 5000) AS t
-  FROM ex LEFT JOIN (SELECT digit, count(*) AS n FROM dg WHERE rn <= 5000 GROUP BY 1) USING (digit)))"""
+ds AS (SELECT e, coalesce(n, 0) / CAST((SELECT count(*) FROM dg) AS DOUBLE) AS share FROM ex LEFT JOIN (SELECT digit, count(*) AS n FROM dg GROUP BY 1) USING (digit)),
+bm AS (SELECT avg(abs(share - e)) AS mad FROM ds),
+bc AS (SELECT least((SELECT count(*) FROM dg), 5000) * sum(pow(share - e, 2) / e) AS chi2 FROM ds)"""
 
 
 @query("l03_benford", with_views("evt", f"WITH {_benford_sql('true')} SELECT round(chi2, 5) AS chi2, round(mad, 6) AS mad FROM bm, bc"))
 def _(spark, d):
-    out = L.benford(evt(spark, d).withColumn("_o", F.expr(_HASH)), order="_o")
+    out = L.benford(evt(spark, d))
     return out.select(r6("chi2", 5), r6("mad"))
 
 
@@ -87,7 +86,7 @@ SELECT 'ks_column_pass_frac' AS metric, round(share, 5) AS value, passed FROM v
 UNION ALL SELECT 'benford_chi2', round(chi2, 5), passed FROM v UNION ALL SELECT 'benford_mad', round(mad, 5), passed FROM v"""))
 def _(spark, d):
     batch, reference = sides(spark, d)
-    out = L.marginal_layer(batch.withColumn("_o", F.expr(_HASH)), reference, order="_o")
+    out = L.marginal_layer(batch, reference)
     return out.select("metric", r6("value", 5), "passed")
 
 
@@ -246,7 +245,7 @@ def _hist(name, value, bins, low, high, src):
     _hist("hour_of_day", "CAST((us // 3600000000) % 24 AS DOUBLE)", 24, 0.0, 24.0, "evt"),
     _hist("interarrival", "log10(greatest(g, 1.0))", 40, 0.0, 6.0,
           "(SELECT (us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id)) / CAST(1000000 AS DOUBLE) AS g FROM evt) WHERE g IS NOT NULL"),
-    _hist("merchant_degree", "log10(greatest(CAST(d AS DOUBLE), 1.0))", 20, 0.0, 5.0, "(SELECT count(*) AS d FROM evt GROUP BY payee_id)"),
+    _hist("merchant_degree", "log10(greatest(CAST(d AS DOUBLE), 1.0))", 30, 0.0, 5.0, "(SELECT count(*) AS d FROM evt GROUP BY payee_id)"),
 ]))
 )
 def _(spark, d):

@@ -74,7 +74,7 @@ def _(spark, d):
 
 BLOCK_KEYS = {"pan_token": "pan_id", "device_id": "device_id", "ip": "ip_id", "merchant_id": "payee_id",
               "payee_entity_id": "payee_id", "agent_id": "agent_id"}
-BLOCK_WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
+BLOCK_WINDOWS = w.VELOCITY_WINDOWS
 
 
 def _block_sql(keys, windows):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0088
 CORPUS_EARTH_RADIUS_KM = 6371.0
 BESSEL_TERMS = 25
+BESSEL_SERIES_MAX = 15.0
 KOLMOGOROV_TERMS = 50
 BENFORD = tuple(math.log10(1 + 1 / d) for d in range(1, 10))
 PAN_TAIL_CODES = 10
@@ -38,7 +39,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
 
 
 def bessel_i0(x: Column) -> Column:
-    """Modified Bessel function of order 0 by its power series."""
+    """Modified Bessel function of order 0: its power series, and beyond BESSEL_SERIES_MAX, where
+    that series would need more terms, the expansion for large arguments.
+    """
     terms = F.sequence(F.lit(1), F.lit(BESSEL_TERMS - 1))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
@@ -46,7 +49,10 @@ def bessel_i0(x: Column) -> Column:
         term = acc["term"] * F.pow(x / 2, F.lit(2.0)) / (m * m)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    return F.aggregate(terms, start, add, lambda acc: acc["total"])
+    series = F.aggregate(terms, start, add, lambda acc: acc["total"])
+    y = 1 / (8 * x)
+    large = F.exp(x) / F.sqrt(2 * F.pi() * x) * (1 + y * (1 + y * (4.5 + y * (37.5 + y * (459.375 + y * 7441.875)))))
+    return F.when(x <= BESSEL_SERIES_MAX, series).otherwise(large)
 
 
 def von_mises_loglik(hour: Column, mu: Column, kappa: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ladder bounds, actions and reason texts.
-APPROVE_MAX, STEP_UP_MAX, HOLD_MAX, HOLD_MINUTES = 0.30, 0.70, 0.90, 30
+APPROVE_MAX, STEP_UP_MAX, HOLD_MAX, HOLD_MINUTES = 0.30, 0.70, 0.90, 15
 BAND_ACTIONS = {
     "APPROVE": "Frictionless approval",
     "STEP_UP": "EMV 3DS 2.x challenge / biometric / push confirmation",

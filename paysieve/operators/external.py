@@ -11,7 +11,7 @@ from paysieve.functions import numeric as N
 from paysieve.operators import windows as W
 from paysieve.operators.windows import DAY, HOUR, MINUTE, VELOCITY_KEYS, VELOCITY_WINDOWS, Measure
 from paysieve.plans.scan import first_rows, previous_row
-from paysieve.plans.skew import plan_layout
+from paysieve.plans.skew import plan_layouts
 
 SUPPORTED_KEYS = ("pan_token", "merchant_id", "payee_entity_id")
 DERIVED_FEATURES = ("impossible_travel_kmh", "first_time_payee", "payee_age_hours", "mcc_novelty_for_entity",
@@ -45,19 +45,21 @@ def compute_features_external(df: DataFrame, include_absent: bool = True, window
     """(event_id, carried columns, 69 supported features, 60 absent ones as null)."""
     base = df.withColumns({"_us": F.unix_micros("event_ts"), "_cents": N.minor_units(F.col("amount"))})
     at = F.col("_us")
-    card, merchant = plan_layout(base, ["pan_token"], at), plan_layout(base, ["merchant_id"], at)
-    out = travel_with_floor(base, layout=card)
     pair = ["pan_token", "payee_entity_id"]
-    out = first_rows(out, pair, "_us", "event_id", "first_time_payee")
-    out = W.age_since_first(out, *pair, "_us", "payee_age_hours")
-    out = first_rows(out, ["pan_token", "mcc"], "_us", "event_id", "mcc_novelty_for_entity")
-    out = W.expanding_hour_loglik(out, "pan_token", "_us", "event_id", F.hour("event_ts"), "circadian_loglik")
-    out = W.expanding_zscore(out, "pan_token", "_us", "event_id", F.col("_cents"), "amount_z_vs_entity_history")
-    out = benford_digit_sum(out, layout=merchant)
-    out = W.pit_count(out, ["payee_entity_id"], "_us", DAY, F.col("_cents"), "fanin_payee_24h")
+    plans = plan_layouts(base, {**{k: [k] for k in SUPPORTED_KEYS}, "pair": pair, "card_mcc": ["pan_token", "mcc"]}, at)
+    card = plans["pan_token"]
+    out = travel_with_floor(base, layout=card)
+    out = first_rows(out, pair, "_us", "event_id", "first_time_payee", plans["pair"])
+    out = W.age_since_first(out, *pair, "_us", "payee_age_hours", plans["pair"])
+    out = first_rows(out, ["pan_token", "mcc"], "_us", "event_id", "mcc_novelty_for_entity", plans["card_mcc"])
+    out = W.expanding_hour_loglik(out, "pan_token", "_us", "event_id", F.hour("event_ts"), "circadian_loglik", card)
+    out = W.expanding_zscore(out, "pan_token", "_us", "event_id", F.col("_cents"), "amount_z_vs_entity_history", layout=card)
+    out = benford_digit_sum(out, layout=plans["merchant_id"])
+    out = W.pit_count(out, ["payee_entity_id"], "_us", DAY, F.col("_cents"), "fanin_payee_24h", layout=plans["payee_entity_id"])
     out = W.pit_count(out, ["pan_token"], "_us", DAY, F.col("_cents"), "fanout_payer_24h", layout=card)
     velocity = W.velocity_block(base, "event_id", "_us", F.col("_cents"), F.lit(None),
-                                {k: k for k in SUPPORTED_KEYS}, windows, fill=None)
+                                {k: k for k in SUPPORTED_KEYS}, windows, fill=None, layouts=plans,
+                                narrow=W.all_narrow(base, [F.col("_cents")]))
     names = [c for c in velocity.columns if c != "event_id"] + list(DERIVED_FEATURES)
     absent = [
         F.lit(None).cast("float").alias(f"{a}_{k}_{w}")

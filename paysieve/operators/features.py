@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from paysieve import schema as S
 from paysieve.functions import numeric as N
 from paysieve.operators.windows import (
+    all_narrow,
     DAY, HOUR, MINUTE, SECOND, VELOCITY_AGGREGATIONS, VELOCITY_KEYS, VELOCITY_WINDOWS, Measure, trailing,
     velocity_block,
 )
 from paysieve.plans.scan import first_rows, previous_row
-from paysieve.plans.skew import Layout, attach_group_stats, plan_layout
+from paysieve.plans.skew import Layout, attach_group_stats, plan_layouts
 
 VELOCITY_FEATURES = tuple(
     f"{a}_{k}_{w}" for k in VELOCITY_KEYS for w in VELOCITY_WINDOWS for a in VELOCITY_AGGREGATIONS
@@ -122,9 +123,9 @@ def amount_z(cents: Column, mean: Column, std: Column, scale: int = 100) -> Colu
     return F.when(std > MIN_STD, (cents / F.lit(float(scale)) - mean) / std).otherwise(0.0)
 
 
-def amount_z_vs_history(df, key="payer_entity_id", window=7 * DAY, layout=None):
+def amount_z_vs_history(df, key="payer_entity_id", window=7 * DAY, layout=None, narrow=None):
     m = [Measure("_m", "a", window, "mean", 100), Measure("_sd", "a", window, "std", 100)]
-    out = trailing(df, [key], "_us", {"a": F.col("_cents")}, m, layout=layout)
+    out = trailing(df, [key], "_us", {"a": F.col("_cents")}, m, layout=layout, narrow=narrow)
     return out.withColumn(
         "amount_z_vs_entity_history", amount_z(F.col("_cents"), F.col("_m"), F.col("_sd"))
     ).drop("_m", "_sd")
@@ -299,16 +300,22 @@ def compute_features(
 ) -> DataFrame:
     """(event_id, carried columns, all features as float with null filled by 0).
 
-    Group sizes are measured once on the input, so each scan reuses them. One exchange per
-    scanned key: the pairs, then payer, payee, merchant and device; velocity keys share one.
+    Group sizes of all keys are measured in one pass over the input, so each scan reuses them. One
+    exchange per scanned key: the pairs, then payer, payee, merchant and device; velocity keys share one.
     """
     context = context or FeatureContext()
     present = [c for c in dict.fromkeys([*_INPUTS, *carry]) if c in df.columns]
     base = prepare(df.select(*present))
     at = F.col("_us")
 
+    sets = [*((k,) for k in dict.fromkeys(("payer_entity_id", "payee_entity_id", "mandate_nonce", "terminal_id", *VELOCITY_KEYS))),
+            ("payer_entity_id", "payee_entity_id"), ("payer_entity_id", "mcc"), ("payee_entity_id", "issuer_id"), ("device_id", "pan_token")]
+    layouts = plan_layouts(base, {"+".join(k): k for k in sets}, at)
+
+    narrow = all_narrow(base, [F.col("_cents")])
+
     def measured(*keys):
-        return plan_layout(base, list(keys), at) if all(k in base.columns for k in keys) else None
+        return layouts.get("+".join(keys))
 
     payer, payee = measured("payer_entity_id"), measured("payee_entity_id")
     pair, device, merchant = measured("payer_entity_id", "payee_entity_id"), measured("device_id"), measured("merchant_id")
@@ -338,7 +345,7 @@ def compute_features(
     out = trailing(out, ["payee_entity_id"], "_us", payee_values, payee_sums, layout=payee)
     out = trailing(out, ["payer_entity_id"], "_us", {"pair": F.col("_new_pair")},
                    [Measure("fanout_payer_24h", "pair", DAY, "sum")], layout=payer)
-    out = amount_z_vs_history(out, layout=payer)
+    out = amount_z_vs_history(out, layout=payer, narrow=narrow)
     out = impossible_travel(out, context, layout=payer, payee_layout=payee)
     if "device_id" in out.columns and "pan_token" in out.columns:
         out = lagged(out, ["device_id", "pan_token"], "_p3", measured("device_id", "pan_token"))
@@ -351,12 +358,13 @@ def compute_features(
     out = merchant_benford(out, layout=merchant)
     out = circadian(out, context, layout=payer)
     out = payee_age(out, context, layout=payee)
-    out = terminal_age(device_age(out), context)
+    out = terminal_age(device_age(out), context, layout=measured("terminal_id"))
     out = control_strength(out, context, layout=payee)
     out = graph_lookups(out, context, payer_layout=payer, payee_layout=payee)
     out = rail_codes(agentic(flags(out), measured("mandate_nonce")))
     velocity = velocity_block(
-        base, "event_id", "_us", F.col("_cents"), F.col("_declined"), {k: k for k in VELOCITY_KEYS}, windows
+        base, "event_id", "_us", F.col("_cents"), F.col("_declined"), {k: k for k in VELOCITY_KEYS}, windows,
+        layouts=layouts, narrow=narrow,
     )
     names = [c for c in velocity.columns if c != "event_id"] + list(FEATURE_NAMES[len(VELOCITY_FEATURES):])
     joined = out.join(velocity, "event_id")

@@ -10,17 +10,22 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysieve.operators import isolation as I
 from paysieve.operators import metrics as M
 from paysieve.operators.realism import _standardised, numeric_view, verdict
 from paysieve.operators.splits import balanced_sample, downsample_negatives, positional_cut, smallest
-from paysieve.operators.validation import assert_no_leakage, party_view
+from paysieve.operators.validation import SCOPE_MASKS, assert_no_leakage, party_view
 
 MIN_POSITIVES = 30
 MIN_SCOPE_ROWS, MIN_SCOPE_POSITIVES = 2_000, 2
+# How far a scope came.
+FITTED, TOO_FEW_ROWS, TOO_FEW_POSITIVES, NO_EVALUATION_FRAUD = "fitted", "too_few_rows", "too_few_positives", "no_fraud_in_evaluation_window"
+# End of fixed values.
+DATA_ERRORS = (ValueError, KeyError, ZeroDivisionError, AnalysisException)  # what a table can cause; other errors are faults of the code
 TRANSFER_MIN_RATIO = 0.90
 UTILITY_CATEGORIES = ("rail", "currency", "pos_entry_mode")
 DISCRIMINATOR_MAX, SIGMAS = 0.65, 3.0
@@ -171,29 +176,39 @@ def evaluate(detector: Detector, df: DataFrame, label="is_fraud", cents="amount_
 
 
 def scope_matrix(train: DataFrame, validation: DataFrame, test: DataFrame, features: Sequence[str],
-                 parties: Mapping[str, object], label="is_fraud", **kw) -> DataFrame:
-    """(scope, status, average_precision): one detector per party view, where rows suffice."""
-    spark, rows = train.sparkSession, []
+                 parties: Mapping[str, object], label="is_fraud", vector: str | None = None, **kw) -> tuple[DataFrame, DataFrame]:
+    """(status by scope; average precision by scope and attack vector).
+
+    Each party's detector is fitted on the rows and the columns of its own view. The status says
+    how far it came: too few rows, too few positives, no fraud to test on, or fitted. A vector's
+    precision takes its own frauds and all legitimate rows of the test part.
+    """
+    spark, status, scores = train.sparkSession, [], []
     for scope, party in parties.items():
         parts = [party_view(p, scope, party) for p in (train, validation, test)]
-        seen = [c for c in features if c not in _masked(parts[0], train)]
-        counts = parts[0].agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("p")).first()
-        if counts["n"] < MIN_SCOPE_ROWS or (counts["p"] or 0) < max(MIN_SCOPE_POSITIVES, MIN_POSITIVES):
-            rows.append((scope, "INSUFFICIENT_DATA", None))
+        seen = [c for c in features if c not in SCOPE_MASKS[scope]]
+        sizes = [p.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0)).alias("p")).first() for p in parts]
+        rows, positives = sizes[0]["n"] + sizes[1]["n"] + sizes[2]["n"], sum(s["p"] for s in sizes)
+        said = FITTED
+        if rows < MIN_SCOPE_ROWS:
+            said = TOO_FEW_ROWS
+        elif positives < MIN_SCOPE_POSITIVES or sizes[0]["p"] < MIN_POSITIVES:
+            said = TOO_FEW_POSITIVES
+        elif not sizes[2]["p"]:
+            said = NO_EVALUATION_FRAUD
+        status.append((scope, said, rows, positives, ",".join(seen)))
+        if said != FITTED:
             continue
         detector = fit_detector(parts[0], parts[1], seen, label, with_isolation=False, **kw)
-        rows.append((scope, "EVALUATED", evaluate(detector, parts[2], label).first()["average_precision"]))
-    return spark.createDataFrame(rows, "scope string, status string, average_precision double")
-
-
-def _masked(view: DataFrame, full: DataFrame) -> set[str]:
-    from paysieve.operators.validation import SCOPE_MASKS
-
-    return set().union(*[set(m) for m in SCOPE_MASKS.values()]) & set(full.columns)
+        scored = score(detector, parts[2])
+        found = M.average_precision_by_vector(scored, vector, label) if vector else M.average_precision(scored, label).withColumn("ALL", F.lit("ALL"))
+        scores += [(scope, str(r[vector or "ALL"]), r["average_precision"]) for r in found.collect()]  # one row per vector
+    return (spark.createDataFrame(status, "scope string, status string, rows long, positives long, columns string"),
+            spark.createDataFrame(scores, "scope string, vector string, average_precision double"))
 
 
 def external_train(features_df: DataFrame, features: Sequence[str], at="us", tie="event_id", label="is_fraud",
-                   negative_ratio: float | None = 20.0, validation_fraction=0.2, iterations=40):
+                   negative_ratio: float | None = 10.0, validation_fraction=0.2, iterations=40):
     """(trees, calibration) on one corpus: negatives thinned for the fit only, never for the
     calibration slice.
     """
@@ -228,13 +243,19 @@ def graph_only_scoping(graph_features: DataFrame, features: Sequence[str], at="u
 # --- realism layers that fit a model ------------------------------------------------------
 
 def _codes(df: DataFrame, reference: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Category columns as stable numbers: a hash folded to a small range (no fitted index)."""
-    return df.withColumns({
-        f"_c_{c}": F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("__missing__"))), F.lit(1009)).cast("double")
-        for c in columns if c in reference.columns and c in df.columns})
+    """Category columns as numbers: the place of the value among the reference's sorted values, -1
+    for values it does not have. The level table has one row per value and is joined.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("__missing__"))
+    for c in columns:
+        if c in reference.columns and c in df.columns:
+            levels = reference.select(value(c).alias(f"_l_{c}")).distinct()
+            levels = levels.withColumn(f"_c_{c}", (F.row_number().over(Window.orderBy(f"_l_{c}")) - 1).cast("double"))
+            df = df.join(levels, value(c) == F.col(f"_l_{c}"), "left").drop(f"_l_{c}").fillna(-1.0, [f"_c_{c}"])
+    return df
 
 
-def transfer_ratio(batch: DataFrame, reference: DataFrame, at="us", tie="event_id", iterations=20) -> DataFrame:
+def transfer_ratio(batch: DataFrame, reference: DataFrame, at="us", tie="event_id", iterations=60) -> DataFrame:
     """Layer rows: quality of a decline model trained on the batch over one trained on the
     reference, both tested on the later 30 % of the reference.
     """
@@ -257,16 +278,21 @@ def transfer_ratio(batch: DataFrame, reference: DataFrame, at="us", tie="event_i
                    F.col("ratio") >= TRANSFER_MIN_RATIO)
 
 
-def discriminator_auc(batch: DataFrame, reference: DataFrame, tie="event_id", rows=20_000, iterations=20) -> DataFrame:
-    """Layer rows: how well a model tells equal-sized samples of the two tables apart."""
-    order = lambda d: numeric_view(d, [tie]).withColumn("_order", F.xxhash64(tie))
-    left, right = balanced_sample(order(batch), order(reference), rows, "_order", tie)
-    names = [c for c in left.columns if c in right.columns and c not in (tie, "_order")]
-    both = left.select(*names, "_order", F.lit(1).alias("y")).unionByName(right.select(*names, "_order", F.lit(0).alias("y")))
-    both = both.fillna(0.0, names)
+def discriminator_auc(batch: DataFrame, reference: DataFrame, tie="event_id", rows=20_000, iterations=80) -> DataFrame:
+    """Layer rows: how well a model tells the two tables apart.
+
+    It is fitted on equal-sized samples of at most ``rows`` rows each, and tested on three tenths of
+    all rows, which no sample holds.
+    """
     held = F.pmod(F.col("_order"), F.lit(10)) < 3
-    test = both.filter(held).persist()
-    model = fit_gbdt(both.filter(~held), names, "y", iterations=iterations, weigh_positives=False)
+    a, b = (numeric_view(d, [tie]).withColumn("_order", F.xxhash64(tie)) for d in (batch, reference))
+    names = [c for c in a.columns if c in b.columns and c not in (tie, "_order")]
+
+    def stacked(left, right):
+        return left.select(*names, F.lit(1).alias("y")).unionByName(right.select(*names, F.lit(0).alias("y"))).fillna(0.0, names)
+
+    model = fit_gbdt(stacked(*balanced_sample(a.filter(~held), b.filter(~held), rows, "_order", tie)), names, "y", iterations=iterations, weigh_positives=False)
+    test = stacked(a.filter(held), b.filter(held))
     n = test.count()
     floor = 0.5 - SIGMAS / (2 * max(n, 1) ** 0.5)
     auc = M.roc_auc(gbdt_scores(model, test, "s"), "y", "s").withColumn("floor", F.lit(floor))
@@ -301,7 +327,7 @@ def membership_auc(batch: DataFrame, reference: DataFrame, sample=MEMBERSHIP_SAM
                 best[i:i + 512] = d.min(axis=1)
             yield pdf[["_id"]].assign(score=-np.sqrt(np.maximum(best, 0.0)))
 
-    scored = far.mapInPandas(nearest, "_id long, score double").withColumn(
+    scored = far.mapInPandas(nearest, f"_id {far.schema['_id'].dataType.simpleString()}, score double").withColumn(
         "member", (F.pmod(F.xxhash64(F.lit(1), F.col("_id")), F.lit(2)) == 0).cast("int"))
     auc = M.roc_auc(scored, "member", "score")
     return auc.select(F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("mia_auc"))
@@ -329,6 +355,8 @@ def run_gate(batch: DataFrame, reference: DataFrame, round_no: int, layers: Mapp
 
     from paysieve.operators import realism as L
 
+    if batch.isEmpty() or reference.isEmpty():
+        raise ValueError("the gate needs rows in the batch and in the reference")
     layers = layers or {
         "marginal": L.marginal_layer, "joint": L.joint_layer, "behavioral": L.behavioural_layer,
         "utility": transfer_ratio, "adversarial": discriminator_auc, "privacy": privacy_layer}
@@ -337,7 +365,7 @@ def run_gate(batch: DataFrame, reference: DataFrame, round_no: int, layers: Mapp
     for name, layer in layers.items():
         try:
             rows += [tuple(r) for r in layer(batch, reference).select("layer", "metric", "value", "passed").collect()]
-        except Exception as broken:  # a layer that cannot run has failed
+        except DATA_ERRORS as broken:  # a layer that the data does not allow to run has failed
             rows.append((name, f"error:{type(broken).__name__}", None, False))
     table = spark.createDataFrame(rows, "layer string, metric string, value double, passed boolean").withColumn(
         "counts", F.col("layer") != shadow)

@@ -11,13 +11,12 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysieve.functions import numeric as N
 from paysieve.operators import graph as G
 from paysieve.operators import windows as W
-from paysieve.operators.splits import smallest
 from paysieve.operators.validation import legitimate_view
 from paysieve.plans.durable import durable
 from paysieve.plans.scan import previous_row, running_totals
@@ -88,26 +87,20 @@ def _digit_counts(df: DataFrame, cents: str) -> DataFrame:
     return table.join(digits, "digit", "left").fillna(0, ["n"])
 
 
-def benford(df: DataFrame, cents="amount_c", order: str | None = None, tie="event_id",
-            chi2_rows: int = BENFORD_CHI2_ROWS) -> DataFrame:
-    """One row (chi2, mad). MAD is over all rows; chi-square grows with the row count, so it is
-    read at a fixed size, the first rows in hash order.
+def benford(df: DataFrame, cents="amount_c", chi2_rows: int = BENFORD_CHI2_ROWS) -> DataFrame:
+    """One row (chi2, mad), both from the digit counts of all rows.
+
+    Chi-square grows with the row count, so its limit holds at one size: shares of all rows are
+    read as if they came from ``chi2_rows`` rows (or from all, where there are fewer).
     """
-    work = df.select(cents, tie, (F.xxhash64(tie) if order is None else F.col(order)).alias("_order"))
-    work = work.filter(F.col(cents) > 0)
-    whole = _digit_counts(work, cents).agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "expected")).alias("d"))
-    mad = whole.select(F.aggregate("d", F.lit(0.0), lambda acc, x: acc + F.abs(F.try_divide(x["n"], F.col("n")) - x["expected"]))
-                       .alias("s")).select((F.col("s") / 9).alias("mad"), F.lit(1).alias("one"))
-    part = _digit_counts(smallest(work, "_order", tie, chi2_rows), cents).agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("n", "expected")).alias("d"))
-
-    def term(acc, x):
-        wanted = x["expected"] * F.col("n")
-        return acc + F.try_divide(F.pow(x["n"] - wanted, 2.0), wanted)
-
-    chi2 = part.select(F.aggregate("d", F.lit(0.0), term).alias("chi2"), F.lit(1).alias("one"))
+    counts = _digit_counts(df, cents)
+    share = F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1))))  # nine rows
+    gap = counts.select(share.alias("share"), "expected", "n")
+    size = F.least(F.sum("n"), F.lit(chi2_rows))
+    sums = gap.agg((size * F.sum(F.pow(F.col("share") - F.col("expected"), 2.0) / F.col("expected"))).alias("chi2"),
+                   F.avg(F.abs(F.col("share") - F.col("expected"))).alias("mad"))
     infinite = F.lit(float("inf"))
-    return chi2.join(mad, "one").select(F.coalesce("chi2", infinite).alias("chi2"), F.coalesce("mad", infinite).alias("mad"))
+    return sums.select(F.coalesce("chi2", infinite).alias("chi2"), F.coalesce("mad", infinite).alias("mad"))
 
 
 def verdict(df: DataFrame, layer: str, metrics: Mapping[str, str], passed: Column) -> DataFrame:
@@ -117,13 +110,13 @@ def verdict(df: DataFrame, layer: str, metrics: Mapping[str, str], passed: Colum
     ]))).select("layer", "metric", "value", F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
-def marginal_layer(batch: DataFrame, reference: DataFrame, cents="amount_c", order: str | None = None) -> DataFrame:
+def marginal_layer(batch: DataFrame, reference: DataFrame, cents="amount_c") -> DataFrame:
     batch = legitimate_view(batch)
     ks = ks_two_sample(numeric_view(batch), numeric_view(reference))
     ok = (F.col("statistic") < KS_MAX) & (F.col("p_value") > KS_MIN_P)
     columns = len(_shared(numeric_view(batch), numeric_view(reference), None))
     summary = ks.agg((F.count_if(ok) / F.lit(columns)).alias("share"), F.max("statistic").alias("worst"), F.lit(1).alias("one"))
-    both = summary.join(benford(batch, cents, order).withColumn("one", F.lit(1)), "one")
+    both = summary.join(benford(batch, cents).withColumn("one", F.lit(1)), "one")
     passed = (F.col("share") >= KS_PASS_FRACTION) & (F.col("chi2") < BENFORD_CHI2_MAX) & (F.col("mad") <= BENFORD_MAD_MAX)
     return verdict(both, "marginal", {"ks_column_pass_frac": "share", "ks_worst_statistic": "worst",
                                       "benford_chi2": "chi2", "benford_mad": "mad"}, passed)
@@ -299,24 +292,49 @@ def closest_record(batch: DataFrame, reference: DataFrame, columns: Sequence[str
         return spark.range(1).select(F.lit(0.0).alias("min_distance"))
     axis = "event_epoch" if "event_epoch" in names else names[0]
     tagged = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
-    tagged = tagged.withColumn("_tie", F.col("_id") * 2 + F.col("_side"))
+    tagged = tagged.withColumn("_tie", F.struct("_id", "_side"))
     before = previous_row(tagged, [], axis, "_tie", {"_p": F.struct("_side", *names)})
     gap = F.sqrt(sum([F.pow(F.col(c) - F.col(f"_p.{c}"), 2.0) for c in names[1:]], F.pow(F.col(names[0]) - F.col(f"_p.{names[0]}"), 2.0)))
     bound = before.filter(F.col("_p._side") != F.col("_side")).agg(F.min(gap)).first()[0]
     if bound is None:
         return spark.range(1).select(F.lit(None).cast("double").alias("min_distance"))
-    cell = lambda c: F.floor(F.col(c) / F.lit(bound)).cast("bigint")
-    # Exact cells in the axis with neighbours on one side of the join only; other columns filter.
+    gap, ahead, bound = _apart(left, right, axis, names, bound)
+    # Where one table ends before the other begins, all pairs are at least the gap apart: closing
+    # it leaves a narrow band at the edge, and less room in every other column.
+    slack = max(bound - gap, bound * 1e-9)
+    rest = max((bound * bound - gap * gap) ** 0.5, bound * 1e-9)
+    place = lambda c, shift=0.0: F.floor((F.col(c) - F.lit(shift)) / F.lit(slack if c == axis else rest)).cast("bigint")
+    # Exact cells, with neighbours on one side of the join only; other columns filter.
     second = next((c for c in names if c not in (axis, "amount")), axis)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    shift = gap if ahead else -gap
     a = left.select("*", F.explode(near).alias("_o1")).select("*", F.explode(near).alias("_o2"))
-    a = a.withColumns({"_c1": cell(axis) + F.col("_o1"), "_c2": cell(second) + F.col("_o2")})
-    b = right.select(cell(axis).alias("_c1"), cell(second).alias("_c2"), *[F.col(c).alias(f"r_{c}") for c in names])
+    a = a.withColumns({"_c1": place(axis, shift) + F.col("_o1"), "_c2": place(second, shift if second == axis else 0.0) + F.col("_o2")})
+    b = right.select(place(axis).alias("_c1"), place(second).alias("_c2"), *[F.col(c).alias(f"r_{c}") for c in names])
     square = sum([F.pow(F.col(c) - F.col(f"r_{c}"), 2.0) for c in names[1:]], F.pow(F.col(names[0]) - F.col(f"r_{names[0]}"), 2.0))
     best = a.join(b, ["_c1", "_c2"]).agg(F.min(square).alias("q"))
     return best.select(F.least(F.sqrt("q"), F.lit(bound)).alias("min_distance"))
 
 
+EDGE_ROWS = 1000
+
+
+def _apart(left: DataFrame, right: DataFrame, axis: str, names: Sequence[str], bound: float) -> tuple[float, bool, float]:
+    """(gap between the tables along the axis, whether left lies above, a tighter bound).
+
+    With a gap the bound also comes from the EDGE_ROWS rows of each table nearest to the other.
+    """
+    ends = [t.agg(F.min(axis).alias("low"), F.max(axis).alias("high")).first() for t in (left, right)]
+    ahead = ends[0]["low"] > ends[1]["high"]
+    gap = ends[0]["low"] - ends[1]["high"] if ahead else ends[1]["low"] - ends[0]["high"]
+    if gap <= 0:
+        return 0.0, False, bound
+    orders = (F.col(axis).asc(), F.col(axis).desc()) if ahead else (F.col(axis).desc(), F.col(axis).asc())
+    a, b = (t.select(*names).orderBy(o).limit(EDGE_ROWS).toPandas().to_numpy("float64") for t, o in zip((left, right), orders))
+    squares = ((row - b) ** 2 for row in a)
+    return gap, ahead, min(bound, min(float(s.sum(axis=1).min()) for s in squares) ** 0.5)
+
+
 # --- descriptive comparisons -------------------------------------------------------------
 
 def share_difference(batch: DataFrame, reference: DataFrame, columns: Sequence[str] = SHARE_COLUMNS) -> DataFrame:
@@ -355,7 +373,7 @@ def histogram(df: DataFrame, name: str, value: Column, bins: int, low: float, hi
         "measure", "bin", (F.col("n") / F.col("t") / F.lit(width)).alias("density"))
 
 
-def distribution_histograms(df: DataFrame, bins=40, hour_bins=24, degree_bins=20, payer="payer_entity_id",
+def distribution_histograms(df: DataFrame, bins=40, hour_bins=24, degree_bins=30, payer="payer_entity_id",
                             payee="payee_entity_id", at="us", tie="event_id") -> DataFrame:
     log10 = lambda c, floor: F.log10(F.greatest(c.cast("double"), F.lit(floor)))
     gaps = W.inter_event_time(df, payer, at, tie).filter("gap_s IS NOT NULL")

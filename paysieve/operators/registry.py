@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,82 +14,102 @@ from paysieve.operators.metrics import RECALL_BAR
 EXPECTED_VECTORS = 32
 MIN_SIGNALS = 3
 MAX_MECHANISM_CHARS = 200
-# Id, name, rails, tier, status, generator exists, expected features, held out.
-VECTORS = """
-V01|PAN/CVV enumeration|CARD_CNP|1|documented|1|distinct_pan_per_device_10m,declrate_ip_1h,bin_seq_entropy|0
-V02|BIN attack|CARD_CNP|1|documented|1|bin_seq_entropy,declrate_merchant_id_1h,cnt_ip_10min|0
-V03|3DS2 frictionless-flow abuse|CARD_CNP|2|emerging|0|threeds_flow_code,eci_semantic_code,cnt_device_id_24h|0
-V04|Token provisioning fraud|CARD_CNP,CARD_CP|2|documented|0|device_age_hours,impossible_travel_kmh,amount_z_vs_entity_history|0
-V05|Authorised push payment scam|UPI,SEPA_INST,ACH|1|documented|1|first_time_payee,payee_age_hours,amount_z_vs_entity_history|0
-V06|UPI collect-request and mandate abuse|UPI|1|documented|1|upi_txn_type_code,payee_name_match_num,first_time_payee|0
-V07|Synthetic identity at scale|CARD_CNP,UPI,SEPA_INST,ACH|2|documented|1|payer_pagerank,component_size,device_age_hours|1
-V08|Deepfake video KYC bypass|CARD_CNP,UPI|3|documented|0|device_age_hours,payer_pagerank,component_size|0
-V09|Voice-cloned call-centre takeover|CARD_CNP,UPI|3|documented|0|device_age_hours,impossible_travel_kmh,first_time_payee|0
-V10|Document forgery at onboarding|CARD_CNP,ACH|3|documented|0|payer_pagerank,component_size,device_age_hours|0
-V11|LLM-personalised romance and investment fraud|UPI,SEPA_INST,CARD_CNP|2|documented|0|first_time_payee,amount_z_vs_entity_history,mcc_novelty_for_entity|0
-V12|Business email compromise|ACH,SEPA_INST|2|documented|0|first_time_payee,payee_age_hours,amount_z_vs_entity_history|0
-V13|Refund and chargeback abuse|CARD_CNP|3|documented|0|cnt_pan_token_7d,amount_z_vs_entity_history,merchant_control_strength|0
-V14|Invoice and vendor fraud|ACH,SEPA_INST|3|documented|0|first_time_payee,payee_age_hours,fanin_payee_24h|0
-V15|Transaction laundering|CARD_CNP,CARD_CP|3|emerging|0|merchant_control_strength,mcc_novelty_for_entity,merchant_benford_dev_24h|0
-V16|Fake merchant onboarding|CARD_CNP,CARD_CP|3|documented|0|merchant_control_strength,payee_age_hours,payee_bank_degree|0
-V17|Collusive merchants and bust-out|CARD_CNP,CARD_CP|3|emerging|0|component_size,payer_pagerank,payee_pagerank|0
-V18|Delegated agent credential abuse|AGENTIC|1|speculative|1|mandate_scope_breach,settle_vs_intent_amount_delta,human_present_flag_num|0
-V19|Prompt injection against agent checkout|AGENTIC|1|emerging|1|cart_hash_mismatch,settle_vs_intent_amount_delta,human_present_flag_num|0
-V20|Agent impersonation|AGENTIC|1|emerging|1|attestation_invalid,human_present_flag_num,cnt_agent_id_1h|0
-V21|Mandate replay and forgery|AGENTIC|1|speculative|1|nonce_reused,settle_vs_intent_amount_delta,mandate_scope_breach|0
-V22|Adversarial evasion of the fraud scorer|CARD_CNP,UPI,AGENTIC|2|documented|1|amount_z_vs_entity_history,declrate_ip_1h,cnt_device_id_10min|0
-V23|Training data poisoning|CARD_CNP,UPI|3|speculative|0|component_size,payer_pagerank,amount_z_vs_entity_history|0
-V24|Model extraction via decline feedback|CARD_CNP|3|speculative|0|cnt_pan_token_1h,amount_z_vs_entity_history,declrate_ip_1h|0
-V25|Account takeover via GenAI phishing|CARD_CNP,UPI,SEPA_INST,ACH|2|documented|0|device_age_hours,impossible_travel_kmh,first_time_payee|0
-V26|First-party and bust-out lending fraud|ACH|3|documented|0|component_size,payer_pagerank,amount_z_vs_entity_history|0
-V27|QR-code swap fraud|UPI,CARD_CP|2|documented|0|payee_name_match_num,first_time_payee,upi_txn_type_code|0
-V28|Mule-network orchestration|UPI,SEPA_INST,ACH|1|documented|1|fanin_payee_24h,fanout_payer_24h,payee_bank_degree,component_size|0
-V29|NFC relay and malicious mobile applications|CARD_CP|3|documented|0|impossible_travel_kmh,device_age_hours,pos_entry_mode_code|0
-V30|Deepfake-augmented executive wire fraud|ACH,SEPA_INST|3|documented|0|first_time_payee,amount_z_vs_entity_history,payee_age_hours|0
-V31|Cross-border SCA-gap exploitation|CARD_CNP|2|documented|1|cross_border,sca_exempt_flag,threeds_flow_code|0
-V32|Adaptive concept-drift evasion|CARD_CNP,UPI|3|speculative|0|declrate_ip_1h,amount_z_vs_entity_history,mcc_novelty_for_entity|0
-"""
-# vector, parameter, lowest, highest, required
-PARAMETER_BOUNDS = """
-V01 probes_per_min 0.5 240 1
-V01 n_merchants 1 400 1
-V01 amount_band 0 0 1
-V01 bin_stride 1 64 0
-V01 dwell_s 0 3600 0
-V02 bin_prefix_count 1 8 1
-V02 pans_per_bin 10 5000 1
-V02 validation_amount 0.5 3 0
-V05 victim_count 5 200 1
-V05 grooming_days 0 30 0
-V05 first_payment_ratio 0.1 1 1
-V05 escalation_factor 1 3 0
-V06 collect_rate_per_hour 1 120 1
-V06 approval_rate 0 0.3 1
-V06 unknown_vpa_frac 0 1 0
-V07 ring_size 5 200 1
-V07 device_share_factor 1 20 1
-V07 ramp_slope 0.1 5 1
-V07 thin_file_days 7 365 0
-V18 overspend_ratio 1 5 1
-V18 off_allowlist_rate 0 1 1
-V18 expiry_margin_s 0 86400 0
-V19 cart_delta_pct 0.01 0.5 1
-V19 payee_sub_rate 0 1 1
-V19 hidden_item_count 1 5 0
-V20 attestation_invalid_frac 0 1 1
-V20 spoofed_operator_count 1 20 0
-V21 nonce_reuse_rate 0 1 1
-V21 replay_delay_s 1 86400 1
-V22 target_feature 0 0 1
-V22 perturbation_budget 0 1 1
-V22 threshold_margin 0 0.2 0
-V28 fan_in_degree 3 40 1
-V28 hop_count 1 5 1
-V28 dwell_minutes 1 240 1
-V28 amount_ladder 0 0 0
-V31 non_eea_routing_share 0 1 1
-V31 amount_band 0 0 1
-"""
+
+
+class Vector(NamedTuple):
+    vector_id: str
+    name: str
+    rails: tuple[str, ...]
+    tier: int
+    status: str
+    has_generator: bool
+    expected_features: tuple[str, ...]
+    held_out: bool
+
+
+class Bound(NamedTuple):
+    vector_id: str
+    parameter: str
+    lowest: float
+    highest: float
+    required: bool
+
+
+# The attack vectors and the bounds of their parameters.
+VECTORS = (
+    Vector("V01", "PAN/CVV enumeration", ("CARD_CNP",), 1, "documented", True, ("distinct_pan_per_device_10m", "declrate_ip_1h", "bin_seq_entropy"), False),
+    Vector("V02", "BIN attack", ("CARD_CNP",), 1, "documented", True, ("bin_seq_entropy", "declrate_merchant_id_1h", "cnt_ip_10min"), False),
+    Vector("V03", "3DS2 frictionless-flow abuse", ("CARD_CNP",), 2, "emerging", False, ("threeds_flow_code", "eci_semantic_code", "cnt_device_id_24h"), False),
+    Vector("V04", "Token provisioning fraud", ("CARD_CNP", "CARD_CP"), 2, "documented", False, ("device_age_hours", "impossible_travel_kmh", "amount_z_vs_entity_history"), False),
+    Vector("V05", "Authorised push payment scam", ("UPI", "SEPA_INST", "ACH"), 1, "documented", True, ("first_time_payee", "payee_age_hours", "amount_z_vs_entity_history"), False),
+    Vector("V06", "UPI collect-request and mandate abuse", ("UPI",), 1, "documented", True, ("upi_txn_type_code", "payee_name_match_num", "first_time_payee"), False),
+    Vector("V07", "Synthetic identity at scale", ("CARD_CNP", "UPI", "SEPA_INST", "ACH"), 2, "documented", True, ("payer_pagerank", "component_size", "device_age_hours"), True),
+    Vector("V08", "Deepfake video KYC bypass", ("CARD_CNP", "UPI"), 3, "documented", False, ("device_age_hours", "payer_pagerank", "component_size"), False),
+    Vector("V09", "Voice-cloned call-centre takeover", ("CARD_CNP", "UPI"), 3, "documented", False, ("device_age_hours", "impossible_travel_kmh", "first_time_payee"), False),
+    Vector("V10", "Document forgery at onboarding", ("CARD_CNP", "ACH"), 3, "documented", False, ("payer_pagerank", "component_size", "device_age_hours"), False),
+    Vector("V11", "LLM-personalised romance and investment fraud", ("UPI", "SEPA_INST", "CARD_CNP"), 2, "documented", False, ("first_time_payee", "amount_z_vs_entity_history", "mcc_novelty_for_entity"), False),
+    Vector("V12", "Business email compromise", ("ACH", "SEPA_INST"), 2, "documented", False, ("first_time_payee", "payee_age_hours", "amount_z_vs_entity_history"), False),
+    Vector("V13", "Refund and chargeback abuse", ("CARD_CNP",), 3, "documented", False, ("cnt_pan_token_7d", "amount_z_vs_entity_history", "merchant_control_strength"), False),
+    Vector("V14", "Invoice and vendor fraud", ("ACH", "SEPA_INST"), 3, "documented", False, ("first_time_payee", "payee_age_hours", "fanin_payee_24h"), False),
+    Vector("V15", "Transaction laundering", ("CARD_CNP", "CARD_CP"), 3, "emerging", False, ("merchant_control_strength", "mcc_novelty_for_entity", "merchant_benford_dev_24h"), False),
+    Vector("V16", "Fake merchant onboarding", ("CARD_CNP", "CARD_CP"), 3, "documented", False, ("merchant_control_strength", "payee_age_hours", "payee_bank_degree"), False),
+    Vector("V17", "Collusive merchants and bust-out", ("CARD_CNP", "CARD_CP"), 3, "emerging", False, ("component_size", "payer_pagerank", "payee_pagerank"), False),
+    Vector("V18", "Delegated agent credential abuse", ("AGENTIC",), 1, "speculative", True, ("mandate_scope_breach", "settle_vs_intent_amount_delta", "human_present_flag_num"), False),
+    Vector("V19", "Prompt injection against agent checkout", ("AGENTIC",), 1, "emerging", True, ("cart_hash_mismatch", "settle_vs_intent_amount_delta", "human_present_flag_num"), False),
+    Vector("V20", "Agent impersonation", ("AGENTIC",), 1, "emerging", True, ("attestation_invalid", "human_present_flag_num", "cnt_agent_id_1h"), False),
+    Vector("V21", "Mandate replay and forgery", ("AGENTIC",), 1, "speculative", True, ("nonce_reused", "settle_vs_intent_amount_delta", "mandate_scope_breach"), False),
+    Vector("V22", "Adversarial evasion of the fraud scorer", ("CARD_CNP", "UPI", "AGENTIC"), 2, "documented", True, ("amount_z_vs_entity_history", "declrate_ip_1h", "cnt_device_id_10min"), False),
+    Vector("V23", "Training data poisoning", ("CARD_CNP", "UPI"), 3, "speculative", False, ("component_size", "payer_pagerank", "amount_z_vs_entity_history"), False),
+    Vector("V24", "Model extraction via decline feedback", ("CARD_CNP",), 3, "speculative", False, ("cnt_pan_token_1h", "amount_z_vs_entity_history", "declrate_ip_1h"), False),
+    Vector("V25", "Account takeover via GenAI phishing", ("CARD_CNP", "UPI", "SEPA_INST", "ACH"), 2, "documented", False, ("device_age_hours", "impossible_travel_kmh", "first_time_payee"), False),
+    Vector("V26", "First-party and bust-out lending fraud", ("ACH",), 3, "documented", False, ("component_size", "payer_pagerank", "amount_z_vs_entity_history"), False),
+    Vector("V27", "QR-code swap fraud", ("UPI", "CARD_CP"), 2, "documented", False, ("payee_name_match_num", "first_time_payee", "upi_txn_type_code"), False),
+    Vector("V28", "Mule-network orchestration", ("UPI", "SEPA_INST", "ACH"), 1, "documented", True, ("fanin_payee_24h", "fanout_payer_24h", "payee_bank_degree", "component_size"), False),
+    Vector("V29", "NFC relay and malicious mobile applications", ("CARD_CP",), 3, "documented", False, ("impossible_travel_kmh", "device_age_hours", "pos_entry_mode_code"), False),
+    Vector("V30", "Deepfake-augmented executive wire fraud", ("ACH", "SEPA_INST"), 3, "documented", False, ("first_time_payee", "amount_z_vs_entity_history", "payee_age_hours"), False),
+    Vector("V31", "Cross-border SCA-gap exploitation", ("CARD_CNP",), 2, "documented", True, ("cross_border", "sca_exempt_flag", "threeds_flow_code"), False),
+    Vector("V32", "Adaptive concept-drift evasion", ("CARD_CNP", "UPI"), 3, "speculative", False, ("declrate_ip_1h", "amount_z_vs_entity_history", "mcc_novelty_for_entity"), False),
+)
+PARAMETER_BOUNDS = (
+    Bound("V01", "probes_per_min", 0.5, 240, True),
+    Bound("V01", "n_merchants", 1, 400, True),
+    Bound("V01", "amount_band", 0, 0, True),
+    Bound("V01", "bin_stride", 1, 64, False),
+    Bound("V01", "dwell_s", 0, 3600, False),
+    Bound("V02", "bin_prefix_count", 1, 8, True),
+    Bound("V02", "pans_per_bin", 10, 5000, True),
+    Bound("V02", "validation_amount", 0.5, 3, False),
+    Bound("V05", "victim_count", 5, 200, True),
+    Bound("V05", "grooming_days", 0, 30, False),
+    Bound("V05", "first_payment_ratio", 0.1, 1, True),
+    Bound("V05", "escalation_factor", 1, 3, False),
+    Bound("V06", "collect_rate_per_hour", 1, 120, True),
+    Bound("V06", "approval_rate", 0, 0.3, True),
+    Bound("V06", "unknown_vpa_frac", 0, 1, False),
+    Bound("V07", "ring_size", 5, 200, True),
+    Bound("V07", "device_share_factor", 1, 20, True),
+    Bound("V07", "ramp_slope", 0.1, 5, True),
+    Bound("V07", "thin_file_days", 7, 365, False),
+    Bound("V18", "overspend_ratio", 1, 5, True),
+    Bound("V18", "off_allowlist_rate", 0, 1, True),
+    Bound("V18", "expiry_margin_s", 0, 86400, False),
+    Bound("V19", "cart_delta_pct", 0.01, 0.5, True),
+    Bound("V19", "payee_sub_rate", 0, 1, True),
+    Bound("V19", "hidden_item_count", 1, 5, False),
+    Bound("V20", "attestation_invalid_frac", 0, 1, True),
+    Bound("V20", "spoofed_operator_count", 1, 20, False),
+    Bound("V21", "nonce_reuse_rate", 0, 1, True),
+    Bound("V21", "replay_delay_s", 1, 86400, True),
+    Bound("V22", "target_feature", 0, 0, True),
+    Bound("V22", "perturbation_budget", 0, 1, True),
+    Bound("V22", "threshold_margin", 0, 0.2, False),
+    Bound("V28", "fan_in_degree", 3, 40, True),
+    Bound("V28", "hop_count", 1, 5, True),
+    Bound("V28", "dwell_minutes", 1, 240, True),
+    Bound("V28", "amount_ladder", 0, 0, False),
+    Bound("V31", "non_eea_routing_share", 0, 1, True),
+    Bound("V31", "amount_band", 0, 0, True),
+)
 VECTOR_RAIL = {"V01": "CARD_CNP", "V02": "CARD_CNP", "V05": "UPI", "V06": "UPI", "V07": "CARD_CNP", "V18": "AGENTIC",
                "V19": "AGENTIC", "V20": "AGENTIC", "V21": "AGENTIC", "V22": "CARD_CNP", "V28": "SEPA_INST",
                "V31": "CARD_CNP"}
@@ -98,9 +120,8 @@ NOT_NUMERIC = ("amount_band", "target_feature", "amount_ladder")
 
 
 def vectors(spark: SparkSession) -> DataFrame:
-    rows = [line.split("|") for line in VECTORS.strip().splitlines()]
     return spark.createDataFrame(
-        [(r[0], r[1], r[2].split(","), int(r[3]), r[4], r[5] == "1", r[6].split(","), r[7] == "1") for r in rows],
+        [(v.vector_id, v.name, list(v.rails), v.tier, v.status, v.has_generator, list(v.expected_features), v.held_out) for v in VECTORS],
         "vector_id string, name string, rails array<string>, tier int, status string, has_generator boolean, "
         "expected_features array<string>, blind_holdout boolean")
 
@@ -159,9 +180,8 @@ def check_parameters(proposals: DataFrame, accounts: int = ACCOUNT_COUNT) -> Dat
     broken constraint, or 'ok'. The bounds are a literal inside the row expression: no join.
     """
     by_vector: dict[str, list] = {}
-    for line in PARAMETER_BOUNDS.strip().splitlines():
-        vector, name, low, high, need = line.split()
-        by_vector.setdefault(vector, []).append((name, float(low), float(high), need == "1"))
+    for b in PARAMETER_BOUNDS:
+        by_vector.setdefault(b.vector_id, []).append((b.parameter, float(b.lowest), float(b.highest), b.required))
     bounds = F.create_map(*[x for v, items in by_vector.items() for x in (F.lit(v), F.array(*[
         F.struct(F.lit(n).alias("name"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(req).alias("need"))
         for n, lo, hi, req in items]))])

@@ -77,7 +77,7 @@ def _part(value: Column, part: str) -> Column:
     return _wide(value) * _wide(value)
 
 
-def _all_narrow(df: DataFrame, values: Sequence[Column]) -> bool:
+def all_narrow(df: DataFrame, values: Sequence[Column]) -> bool:
     """Whether every value that is squared stays below NARROW (one scan of those columns)."""
     top = df.agg(F.greatest(F.lit(0), *[F.max(F.abs(v.cast("bigint"))) for v in values]).alias("m")).first()["m"]
     return (top or 0) < NARROW
@@ -121,20 +121,22 @@ def trailing(
     method: str = "auto",
     nulls: str = "group",
     layout: Layout | None = None,
+    narrow: bool | None = None,
 ) -> DataFrame:
     """Adds one column per measure.
 
     ``sliding`` re-aggregates each frame (cheap for small groups). ``running`` emits one
     expiry row per event and window and takes signed running sums: linear in the rows
     whatever the group size, and hot groups are cut into time slices. ``auto`` chooses from
-    the measured largest group. ``nulls='zero'`` gives rows without a key empty frames
+    the measured largest group. ``narrow`` says whether squared values are known to stay below
+    NARROW; without it their columns are scanned. ``nulls='zero'`` gives rows without a key empty frames
     instead of treating them as one group.
     """
     if nulls == "zero":
         missing = F.lit(False)
         for k in keys:
             missing = missing | F.col(k).isNull()
-        present = trailing(df.filter(~missing), keys, at, values, measures, method=method, layout=layout)
+        present = trailing(df.filter(~missing), keys, at, values, measures, method=method, layout=layout, narrow=narrow)
         empty = df.filter(missing)
         for m in measures:
             zero = F.lit(0) if m.kind in ("count", "sum") else F.lit(None)
@@ -146,7 +148,7 @@ def trailing(
             small = layout.largest <= SLIDING_GROUP_ROWS and not layout.spread
             method = "sliding" if small else "running"
     squared = [values[n] for n in dict.fromkeys(m.value for m in measures if m.kind == "std")]
-    narrow = bool(squared) and _all_narrow(df, squared)
+    narrow = bool(squared) and (all_narrow(df, squared) if narrow is None else narrow)
     named = df.select("*", *[e.alias(f"_v_{n}") for n, e in values.items()])
     parts = _accumulators(measures, narrow)
     if method == "sliding":
@@ -270,11 +272,14 @@ def velocity_block(
     scale: int = 100,
     method: str = "auto",
     fill: float | None = 0.0,
+    layouts: Mapping[str, Layout] | None = None,
+    narrow: bool | None = None,
 ) -> DataFrame:
     """(event_id, cnt/sum/declrate/amtstd per key and window).
 
     ``keys`` maps feature names to columns; a None column gives constant ``fill``. All keys
-    go through one exchange as (key number, key value) rows and come back per event id.
+    go through one exchange as (key number, key value) rows and come back per event id. With
+    the ``layouts`` of the keys, none of which has a hot group, nothing is measured again.
     """
     live = {n: c for n, c in keys.items() if c is not None and c in df.columns}
     whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in live.values())
@@ -303,7 +308,11 @@ def velocity_block(
             Measure(f"amtstd_{label}", "amount", width, "std", scale),
         ]
     values = {"amount": F.col("_cents"), "declined": F.col("_decl")}
-    scanned = trailing(rows, ["key_no", "key_value"], "_at", values, measures, method=method)
+    layout = None
+    if layouts is not None and all(n in layouts and layouts[n].hot is None for n in live):
+        parts = [layouts[n] for n in live]
+        layout = Layout(sum(p.rows for p in parts), max((p.largest for p in parts), default=0), parts[0].limit) if parts else None
+    scanned = trailing(rows, ["key_no", "key_value"], "_at", values, measures, method=method, layout=layout, narrow=narrow)
     stats = F.struct(*[F.col(m.name).cast("double").alias(m.name) for m in measures])
     # At most one row per key name and event: the list is bounded by the number of keys.
     per_event = scanned.groupBy("_id").agg(
@@ -327,11 +336,11 @@ def first_occurrence(df, left, right, at, tie, name="first"):
     return first_rows(df, [left, right], at, tie, name)
 
 
-def age_since_first(df, left, right, at, name="age_hours"):
+def age_since_first(df, left, right, at, name="age_hours", layout=None):
     """Hours since the first row of the pair; 0 on that row."""
     keys = [left, right]
     firsts = df.groupBy(*keys).agg(F.min(at).alias("_first"))
-    joined = attach_group_stats(df, keys, firsts)
+    joined = attach_group_stats(df, keys, firsts, layout)
     return joined.withColumn(name, (F.col(at) - F.col("_first")) / F.lit(float(HOUR))).drop("_first")
 
 
@@ -343,7 +352,7 @@ def reused(df, nonce, at, tie, name="reused"):
     ).drop("_f")
 
 
-def expanding_zscore(df, key, at, tie, cents, name="z", scale=100):
+def expanding_zscore(df, key, at, tie, cents, name="z", scale=100, layout=None):
     """Deviation from the mean of all earlier rows of the key, in their population deviation."""
     value = cents.cast("bigint")
     sums = {
@@ -351,7 +360,7 @@ def expanding_zscore(df, key, at, tie, cents, name="z", scale=100):
         "_s": value,
         "_q": _wide(value) * _wide(value),
     }
-    scanned = running_totals(df, [key], at, sums, tie=tie)
+    scanned = running_totals(df, [key], at, sums, tie=tie, layout=layout)
     n, s = F.col("_n").cast("double"), F.col("_s").cast("double")
     exact = (
         F.col("_n").cast("decimal(19,0)") * F.col("_q").cast("decimal(38,0)")
@@ -364,28 +373,34 @@ def expanding_zscore(df, key, at, tie, cents, name="z", scale=100):
     return scanned.withColumn(name, z).drop("_n", "_s", "_q")
 
 
-def expanding_hour_loglik(df, key, at, tie, hour, name="loglik"):
-    """ln((1 + earlier rows of the key in this hour) / (24 + earlier rows of the key))."""
+def expanding_hour_loglik(df, key, at, tie, hour, name="loglik", layout=None):
+    """ln((1 + earlier rows of the key in this hour) / (24 + earlier rows of the key)).
+
+    Both scans are planned from the input: where no key is hot, no (key, hour) is.
+    """
+    layout = layout or plan_layout(df, [key], F.col(at))
     staged = df.withColumn("_hour", hour)
     one = F.lit(1).cast("bigint")
-    same_hour = running_totals(staged, [key, "_hour"], at, {"_h": one}, tie=tie)
-    total = running_totals(same_hour, [key], at, {"_n": one}, tie=tie)
+    by_hour = layout if layout.hot is None else plan_layout(staged, [key, "_hour"], F.col(at))
+    same_hour = running_totals(staged, [key, "_hour"], at, {"_h": one}, tie=tie, layout=by_hour)
+    total = running_totals(same_hour, [key], at, {"_n": one}, tie=tie, layout=layout)
     ratio = (1 + F.col("_h")).cast("double") / (24 + F.col("_n")).cast("double")
     return total.withColumn(name, F.log(ratio)).drop("_hour", "_h", "_n")
 
 
-def inter_event_time(df, key, at, tie, name="gap_s"):
+def inter_event_time(df, key, at, tie, name="gap_s", layout=None):
     """Seconds since the previous event of the key; rows without a key are dropped."""
-    seen = previous_row(df.filter(F.col(key).isNotNull()), [key], at, tie, {"_p": F.col(at)})
+    seen = previous_row(df.filter(F.col(key).isNotNull()), [key], at, tie, {"_p": F.col(at)}, layout=layout)
     return seen.withColumn(name, (F.col(at) - F.col("_p")) / F.lit(float(SECOND))).drop("_p")
 
 
 def lag1_autocorr(df, key, at, tie, min_gaps=5):
     """(key, gaps, corr): correlation of ln(gap) with the next ln(gap) of the same key."""
-    gaps = inter_event_time(df, key, at, tie).filter("gap_s > 0").select(
+    layout = plan_layout(df.filter(F.col(key).isNotNull()), [key], F.col(at))  # serves both scans
+    gaps = inter_event_time(df, key, at, tie, layout=layout).filter("gap_s > 0").select(
         key, at, tie, F.log("gap_s").alias("x")
     )
-    pairs = previous_row(gaps, [key], at, tie, {"y": F.col("x")}, descending=True)
+    pairs = previous_row(gaps, [key], at, tie, {"y": F.col("x")}, descending=True, layout=layout)
     per_key = pairs.groupBy(key).agg(
         F.count(F.lit(1)).alias("gaps"),
         F.stddev_pop("x").alias("_sd"),

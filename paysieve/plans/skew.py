@@ -8,7 +8,8 @@ broadcast. Cold groups keep the plain one-shuffle plan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import os
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -35,6 +36,7 @@ class Layout:
     limit: int
     hot: DataFrame | None = None
     splits: tuple[float, ...] = ()
+    skip: int = 0  # characters that all texts of the order column share
 
     @property
     def spread(self) -> bool:
@@ -45,11 +47,36 @@ class Layout:
         return max(1, min(MAX_CHUNKS, math.ceil(self.largest / max(self.limit, 1))))
 
 
-def _cut_points(df: DataFrame, at: Column, rows: int, limit: int) -> tuple[float, ...]:
+def _kind(df: DataFrame, at: Column) -> str:
+    return df.select(at.alias("_at")).schema[0].dataType.typeName()
+
+
+def _common_start(df: DataFrame, at: Column) -> int:
+    """Length of what the least and the greatest text have in common; all between share it."""
+    ends = df.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    return len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
+
+
+def _order_number(df: DataFrame, at: Column, skip: int) -> Column:
+    """A number that never falls as the column rises, to cut slices by.
+
+    Texts give the first six bytes after the start that all of them share; values that are equal
+    in these stay in one slice.
+    """
+    kind = _kind(df, at)
+    if kind == "date":
+        return F.unix_date(at).cast("double")
+    if kind not in ("string", "binary"):
+        return at.cast("double")
+    head = F.substring(F.hex(F.encode(F.substring(at, skip + 1, 6), "utf-8")), 1, 12)
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+
+def _cut_points(df: DataFrame, at: Column, rows: int, limit: int, skip: int) -> tuple[float, ...]:
     pieces = min(MAX_CHUNKS, max(2, math.ceil(rows / limit)))
     shares = [i / pieces for i in range(1, pieces)]
     found = df.agg(
-        F.percentile_approx(at.cast("double"), shares, max(10_000, 20 * pieces)).alias("p")
+        F.percentile_approx(_order_number(df, at, skip), shares, max(10_000, 20 * pieces)).alias("p")
     ).first()["p"]
     return tuple(sorted(set(found or [])))
 
@@ -62,8 +89,10 @@ def plan_layout(df: DataFrame, keys: Sequence[str], at: Column | None = None) ->
     limit = rows_per_task(df.sparkSession)
     if not keys:
         rows = df.count()
-        splits = _cut_points(df, at, rows, limit) if rows > limit and at is not None else ()
-        return Layout(rows, rows, limit, None, splits)
+        if rows <= limit or at is None:
+            return Layout(rows, rows, limit)
+        skip = _common_start(df, at) if _kind(df, at) == "string" else 0
+        return Layout(rows, rows, limit, None, _cut_points(df, at, rows, limit, skip), skip)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
     rows, largest = total["rows"] or 0, total["largest"] or 0
@@ -74,12 +103,33 @@ def plan_layout(df: DataFrame, keys: Sequence[str], at: Column | None = None) ->
     hot = df.sparkSession.createDataFrame(
         [tuple(r[k] for k in keys) for r in found], df.select(*keys).schema
     )
-    splits = (
-        _cut_points(with_hot_flag(df, keys, hot).filter("_hot"), at, sum(r["_n"] for r in found), limit)
-        if at is not None
-        else ()
-    )
-    return Layout(rows, largest, limit, hot, splits)
+    if at is None:
+        return Layout(rows, largest, limit, hot)
+    inside = with_hot_flag(df, keys, hot).filter("_hot")
+    skip = _common_start(inside, at) if _kind(df, at) == "string" else 0
+    return Layout(rows, largest, limit, hot, _cut_points(inside, at, sum(r["_n"] for r in found), limit, skip), skip)
+
+
+def plan_layouts(df: DataFrame, key_sets: Mapping[str, Sequence[str]], at: Column | None = None) -> dict[str, Layout]:
+    """Layouts of several groupings of one table from one pass over it.
+
+    Every row counts once for each key set, by a hash of its key (two groups that share a hash
+    only make the group seem larger). Sets without a hot group are done; the few others are
+    planned by themselves. Sets with a missing column are left out.
+    """
+    limit = rows_per_task(df.sparkSession)
+    known = {n: list(k) for n, k in key_sets.items() if all(c in df.columns for c in k)}
+    if not known:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(n).alias("set"), F.xxhash64(*k).alias("h")) for n, k in known.items()])
+    sizes = df.select(F.inline(pairs)).groupBy("set", "h").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["set"]: r for r in sizes.groupBy("set").agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).collect()}  # one row per set
+    out = {}
+    for name, keys in known.items():
+        rows, largest = (found[name]["rows"], found[name]["largest"]) if name in found else (0, 0)
+        hot = largest > max(limit, rows // MAX_HOT_GROUPS)
+        out[name] = plan_layout(df, keys, at) if hot else Layout(rows, largest, limit)
+    return out
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -106,7 +156,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], at: Column, layout: Layout)
         return df.withColumn(CHUNK, F.lit(0))
     edges = [-math.inf, *layout.splits, math.inf]
     cutter = Bucketizer(splits=edges, inputCol="_cut_at", outputCol="_slice", handleInvalid="keep")
-    sliced = cutter.transform(df.withColumn("_cut_at", at.cast("double")))
+    sliced = cutter.transform(df.withColumn("_cut_at", _order_number(df, at, layout.skip)))
     slice_no = F.col("_slice").cast("int") + 1
     if keys:
         sliced = with_hot_flag(sliced, keys, layout.hot)

@@ -102,11 +102,16 @@ FIELD_MAPS = {
         "remittance_ref": "RmtInf/Ustrd", "return_code": "pacs.004 TxInfAndSts/StsRsnInf/Rsn/Cd",
     },
     "ap2": {
-        "intent_mandate_id": "Intent Mandate", "cart_mandate_id": "Cart Mandate",
-        "payment_mandate_id": "Payment Mandate", "cart_hash_at_intent": "Cart Mandate digest",
-        "cart_hash_at_settle": "Settled cart digest", "human_present_flag": "Human-present signal",
-        "mandate_amount_max": "Intent Mandate ceiling", "mandate_merchant_allowlist": "Intent Mandate merchants",
-        "mandate_nonce": "Payment Mandate nonce", "agent_attestation_valid": "Agent attestation",
+        "intent_mandate_id": "Intent Mandate (mandate 1): what the user authorised in principle",
+        "cart_mandate_id": "Cart Mandate (mandate 2): the specific basket the user approved",
+        "payment_mandate_id": "Payment Mandate (mandate 3): the credential presented to the issuer",
+        "cart_hash_at_intent": "digest bound into the Cart Mandate at signing time",
+        "cart_hash_at_settle": "digest of the basket actually presented at settlement",
+        "human_present_flag": "human-present signal the issuer risk engine ingests",
+        "mandate_amount_max": "spend ceiling carried on the Intent Mandate",
+        "mandate_merchant_allowlist": "merchant scope carried on the Intent Mandate",
+        "mandate_nonce": "replay-protection nonce on the Payment Mandate",
+        "agent_attestation_valid": "agent attestation result (Visa TAP / Web Bot Auth shape)",
     },
 }
 ECI_CODES = {"authenticated": 2, "attempted": 1, "not_authenticated": 0}

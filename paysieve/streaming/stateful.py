@@ -17,12 +17,13 @@ class TrailingWindows(StatefulProcessor):
     """Keeps the events of the longest window per key and emits count and sum over ``[t - w, t)``.
 
     Rows older than the watermark never arrive here; a row that is late but within it sees the
-    events stored so far, and earlier outputs are not revised.
+    events stored so far, and earlier outputs are not revised. Events are kept for the longest
+    window and the lateness, so that a late row finds all that came before it.
     """
 
-    def __init__(self, windows: Mapping[str, int]):
+    def __init__(self, windows: Mapping[str, int], late_us: int = 0):
         self.windows = dict(windows)
-        self.longest = max(windows.values())
+        self.longest = max(windows.values()) + late_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -60,6 +61,10 @@ class TrailingWindows(StatefulProcessor):
         pass
 
 
+def _micros(events: DataFrame, span: str) -> int:
+    return events.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP_SECONDS(0) + INTERVAL {span}) AS BIGINT) AS us").first()["us"]
+
+
 def trailing_stream(events: DataFrame, key: str, windows: Mapping[str, int], at="event_ts", tie="event_id", cents="amount_c",
                     lateness="10 minutes") -> DataFrame:
     """(key, event_id, cnt_/sum_ per window) per event of a stream, strictly before the event."""
@@ -68,16 +73,16 @@ def trailing_stream(events: DataFrame, key: str, windows: Mapping[str, int], at=
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(tie).alias("event_id"), F.col(at).alias("at"),
                          F.unix_micros(at).alias("us"), F.col(cents).cast("long").alias("cents")).withWatermark("at", lateness)
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=TrailingWindows(windows), outputStructType=f"key string, event_id long, {columns}",
+        statefulProcessor=TrailingWindows(windows, _micros(events, lateness)), outputStructType=f"key string, event_id long, {columns}",
         outputMode="append", timeMode="EventTime")
 
 
 class FirstUse(StatefulProcessor):
-    """Remembers who used a nonce first and emits every later use; forgets it ``ttl_ms`` of event
-    time after the first use.
+    """Remembers who used a nonce first and emits every later use; never forgets unless
+    ``ttl_ms`` of event time is given, after which a nonce counts as new.
     """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -92,7 +97,8 @@ class FirstUse(StatefulProcessor):
             head = fresh.iloc[0]
             known = (int(head["us"]), int(head["event_id"]))
             self.first.update(known)
-            self.handle.registerTimer(known[0] // 1000 + self.ttl_ms)
+            if self.ttl_ms is not None:
+                self.handle.registerTimer(known[0] // 1000 + self.ttl_ms)
             fresh = fresh.iloc[1:]
         if len(fresh):
             yield pd.DataFrame({"nonce": [key[0]] * len(fresh), "event_id": fresh["event_id"].to_numpy("int64"),
@@ -106,7 +112,7 @@ class FirstUse(StatefulProcessor):
         pass
 
 
-def nonce_replays(events: DataFrame, nonce="mandate_nonce", at="event_ts", tie="event_id", ttl_ms: int = 60 * 86_400_000,
+def nonce_replays(events: DataFrame, nonce="mandate_nonce", at="event_ts", tie="event_id", ttl_ms: int | None = None,
                   lateness="10 minutes") -> DataFrame:
     """(nonce, event_id, first_event_id) for each reuse of a nonce on a stream."""
     use_rocksdb(events.sparkSession)
