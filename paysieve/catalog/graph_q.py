@@ -143,12 +143,14 @@ def _(spark, d):
 
 
 @query("f14_graph_lookups", with_views("acct_edges", _RANK + f"""
-SELECT event_id, round(coalesce(a.p, 0), 8) AS payer_pagerank, round(coalesce(b.p, 0), 8) AS payee_pagerank, 1.0::DOUBLE AS component_size
+SELECT event_id, round(coalesce(a.p, 0), 8) AS payer_pagerank, round(coalesce(b.p, 0), 8) AS payee_pagerank, CASE WHEN user_id % 3 <> 0 THEN user_id % 7 + 2.0::DOUBLE ELSE 1.0::DOUBLE END AS component_size
 FROM evt LEFT JOIN (SELECT * FROM r WHERE i = {ROUNDS}) a ON a.id = user_id LEFT JOIN (SELECT * FROM r WHERE i = {ROUNDS}) b ON b.id = payee_id + 120""",
     recursive=True))
 def _(spark, d):
     ranks, _ = G.pagerank(acct_edges(spark, d), src="src", dst="dst", weight=None, max_iterations=ROUNDS, tolerance=0.0)
-    context = P.FeatureContext(pagerank=ranks.withColumnRenamed("id", "entity_id"))
+    parts = canonical(spark, d).filter("payer_entity_id % 3 <> 0").selectExpr(
+        "payer_entity_id AS entity_id", "CAST(payer_entity_id % 7 + 2 AS DOUBLE) AS component_size").distinct()
+    context = P.FeatureContext(pagerank=ranks.withColumnRenamed("id", "entity_id"), components=parts)
     df = canonical(spark, d).withColumn("payee_entity_id", F.col("payee_entity_id") + 120)
     return P.graph_lookups(df, context).select(
         "event_id", F.round("payer_pagerank", 8).alias("payer_pagerank"), F.round("payee_pagerank", 8).alias("payee_pagerank"),

@@ -101,13 +101,14 @@ def _(spark, d):
 
 
 @query("s06_jsonl_append", with_views("evt", """
-SELECT CAST(user_id AS BIGINT) AS user_id, count(*) AS n FROM (SELECT user_id FROM evt WHERE rail_no = 0 UNION ALL SELECT user_id FROM evt WHERE rail_no = 1) GROUP BY 1"""))
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(rail_no AS BIGINT) AS rail_no, count(*) AS n FROM evt GROUP BY 1, 2"""))
 def _(spark, d):
     path, e = scratch_path(spark, "lines"), evt(spark, d).select("user_id", "rail_no", "event_id")
     A.reset_jsonl(e.filter("rail_no = 5"), path)
     A.reset_jsonl(e.filter("rail_no = 0"), path)
-    A.append_jsonl(e.filter("rail_no = 1"), path)
-    return A.read_jsonl(spark, path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    for rail in range(1, 6):
+        A.append_jsonl(e.filter(F.col("rail_no") == rail), path)
+    return A.read_jsonl(spark, path).groupBy("user_id", "rail_no").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s07_s09_tables", with_views("pay_edges", "SELECT src_id, dst_id, weight FROM pay_edges"))
@@ -133,12 +134,19 @@ def _(spark, d):
 @query("s11_entity_dimension", with_views("evt", """
 SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS entity_id, 'cardholder' AS entity_type, 'IN' AS home_country, user_id % 10 = 0 AS in_blind_cohort,
   CAST(issuer_id AS VARCHAR) AS issuer FROM evt
-UNION ALL SELECT DISTINCT 'd' || CAST(device_id AS VARCHAR), 'device', 'GB', false, NULL FROM evt"""))
+UNION ALL SELECT DISTINCT 'd' || CAST(device_id AS VARCHAR), 'device', 'GB', false, NULL FROM evt
+UNION ALL SELECT DISTINCT 'm' || CAST(payee_id AS VARCHAR), 'merchant', 'IN', false, NULL FROM evt
+UNION ALL SELECT DISTINCT 'i' || CAST(ip_id AS VARCHAR), 'ip', 'IN', false, NULL FROM evt
+UNION ALL SELECT DISTINCT 'a' || CAST(agent_id AS VARCHAR), 'agent', 'IN', false, NULL FROM evt WHERE agent_id IS NOT NULL
+UNION ALL SELECT DISTINCT 'c' || CAST(pan_id AS VARCHAR), 'card', 'IN', false, CAST(issuer_id AS VARCHAR) FROM evt WHERE pan_id IS NOT NULL"""))
 def _(spark, d):
     e = evt(spark, d)
     holders = e.selectExpr("concat('u', user_id) AS entity_id", "in_blind_cohort", "issuer_id").distinct()
     devices = e.selectExpr("concat('d', device_id) AS entity_id", "'GB' AS home_country").distinct()
-    out = T.entity_dimension({"cardholder": holders, "device": devices})
+    others = {kind: e.filter(F.col(c).isNotNull()).selectExpr(f"concat('{kind[0]}', {c}) AS entity_id").distinct()
+              for kind, c in (("merchant", "payee_id"), ("ip", "ip_id"), ("agent", "agent_id"))}
+    cards = e.filter("pan_id IS NOT NULL").selectExpr("concat('c', pan_id) AS entity_id", "issuer_id").distinct()
+    out = T.entity_dimension({"cardholder": holders, "device": devices, "card": cards, **others})
     return out.select("entity_id", "entity_type", "home_country", "in_blind_cohort",
                       F.get_json_object("attributes", "$.issuer_id").alias("issuer"))
 
