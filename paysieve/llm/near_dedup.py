@@ -10,11 +10,16 @@ components are still open, so a document costs about SIZE * ln(SIZE) points howe
 Signatures are cut into BANDS bands (a pair of similarity 0.8 misses all of them with a probability under 4e-6). Links:
 
 1. Equal multisets are one node, represented by the least id.
-2. In every band key all nodes are compared with the least one, exactly; links join components.
-3. Keys that still hold several components give the remaining pairs across them. As 1 - similarity is a metric, pairs
-   whose distances to the common node differ by more than 0.2 cannot be links and are left out; all others are compared.
+2. In every band key all nodes are compared, exactly, with the one among them that shares most keys with others (the
+   centre of a group of copies); links join components.
+3. Keys that still hold several components are searched for the remaining pairs across them, key by key inside tasks. A
+   pair is left out if no link is possible: its sizes differ too much, or its distances to the common node do (1 -
+   similarity is a metric). It is also left out if fewer than AGREE components of its signatures agree, which happens to a
+   pair of similarity 0.8 with a probability under 2e-5. Of the others each node's best pair is compared first, and then
+   all that still lie across components.
 
 No pair inside a component is needed for the classes, so a group of copies costs one comparison for each member and key.
+Keys with more than BLOCK nodes are searched in blocks of that size, each pair of blocks by a task of its own.
 Comparison is dealt by (common node, salt), with the salts of a node in proportion to its partners. Nothing is collected.
 
 Null and empty texts have no shingle and are alone in their class; so are rows without an id. Rows that share an id are one
@@ -37,6 +42,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 LOW_BITS = 12  # of a shingle's hash, left out to make room for the row while sorting
+AGREE = 60  # of SIZE components
+BLOCK = 10_000  # nodes of one key that a task searches
 PARTNERS = 500  # pairs that one task compares with the same node in a row
 
 
@@ -122,6 +129,8 @@ def _sign(batches):
         keys = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (rows, 1))
         for r in range(ROWS):
             keys = B.mix(keys * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, r])
+        sketch = (B.mix(values.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+        total = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
         weighed = [B.mix(gram + B.mix(count.astype(np.uint64) + np.uint64(s))) for s in (1, 2)]
         marks = [np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)]
         for mark, w in zip(marks, weighed):
@@ -130,8 +139,9 @@ def _sign(batches):
         chosen = np.flatnonzero(there)
         flat = pa.array(B.signed(keys[chosen].ravel()))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.array(B.signed(marks[0][chosen])), pa.array(B.signed(marks[1][chosen])), lists],
-                                         names=["id", "f1", "f2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.array(B.signed(marks[0][chosen])), pa.array(B.signed(marks[1][chosen])), lists,
+                                          pa.array(total[chosen]), pa.array([x.tobytes() for x in sketch[chosen]], pa.binary())],
+                                         names=["id", "f1", "f2", "bands", "total", "sketch"])
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -179,6 +189,67 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose nodes lie in different components."""
+    for side in ("node", "other"):
+        pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
+    return pairs.filter(F.coalesce("node_in", "node") != F.coalesce("other_in", "other"))
+
+
+def _search(similar: float):
+    """Candidate pairs across components within each group of rows (band, i, j), which come sorted by them."""
+    def groups(batches):
+        held, last = [], None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else []
+            for s, e in zip(cuts, np.append(cuts[1:], len(key)) if len(key) else []):
+                if held and (key[s] != last).any():
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = key[s]
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for table in groups(batches):
+            n, ids = table.num_rows, table["other"].combine_chunks()
+            crossed = table["i"][0].as_py() != table["j"][0].as_py()
+            block, far, total = (table[c].to_numpy() for c in ("block", "far", "total"))
+            part = table["component"].combine_chunks().dictionary_encode()
+            part = (part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part).indices.to_numpy()
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, SIZE)
+            step = max(1, 8_000_000 // (n * SIZE))
+            for begin in range(0, n, step):
+                u = np.arange(begin, min(n, begin + step))
+                fits = (part[u, None] != part[None, :]) & (np.abs(far[u, None] - far[None, :]) <= 1 - similar + 1e-9)
+                fits &= np.minimum(total[u, None], total[None, :]) >= similar * np.maximum(total[u, None], total[None, :]) - 1e-9
+                fits &= (block[u, None] < block[None, :]) if crossed else (u[:, None] < np.arange(n)[None, :])
+                x, y = np.nonzero(fits)
+                for low in range(0, len(x), 100_000):
+                    a, b = u[x[low: low + 100_000]], y[low: low + 100_000]
+                    agree = (sketch[a] == sketch[b]).sum(axis=1)
+                    good = np.flatnonzero(agree >= AGREE)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[good])), ids.take(pa.array(b[good])), pa.array(agree[good], pa.int32())], names=["a", "b", "agree"])
+
+    return run
+
+
+def _across(rows: DataFrame, similar: float) -> DataFrame:
+    """Distinct (node, other, agree) across components, from rows of keys with several."""
+    spark = rows.sparkSession
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("band", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), "block", "other", "component", "far", "total", "sketch")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = rows.schema["other"].dataType.simpleString()
+    found = dealt.mapInArrow(_search(similar), f"a {kind}, b {kind}, agree int")
+    return found.groupBy(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).agg(F.max("agree").alias("agree"))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One row per input row: id, class_id (the least id of the class), whether it is that one, and n_links.
 
@@ -189,7 +260,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     known = base.filter("id IS NOT NULL")
     path = scratch_path(spark, "signatures")
     kind = base.schema["id"].dataType.simpleString()
-    known.mapInArrow(_sign, f"id {kind}, f1 long, f2 long, bands array<long>").write.parquet(path)
+    known.mapInArrow(_sign, f"id {kind}, f1 long, f2 long, bands array<long>, total long, sketch binary").write.parquet(path)
     signed = spark.read.parquet(path)
 
     firsts = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
@@ -197,8 +268,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     nodes = copies.filter("id = rep").select("id", "f1", "f2").distinct()
     keys = signed.join(nodes, ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("band"))
 
-    least = keys.groupBy("band").agg(F.min("rep").alias("node"), F.count("*").alias("n")).filter("n > 1").select("band", "node")
-    stars = durable(keys.join(least, "band").select("band", "node", F.col("rep").alias("other")))
+    crowds = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = durable(keys.join(crowds, "band"))
+    shared = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
+    centres = crowded.join(shared, "rep").groupBy("band").agg(F.max(F.struct("score", "rep"))["rep"].alias("node"))
+    stars = durable(crowded.join(centres, "band").select("band", "node", F.col("rep").alias("other"), "n"))
     pairs = stars.filter("node <> other").select("node", "other").distinct()
     done = durable(compared(pairs, _texts(known, pairs)))
 
@@ -209,20 +283,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
 
     members = (stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
                .join(done, ["node", "other"], "left")
-               .select("band", "other", F.coalesce("component", "other").alias("component"),
+               .select("band", "other", "n", F.coalesce("component", "other").alias("component"),
                        F.when(F.col("node") == F.col("other"), 0.0).otherwise(1 - F.col("similar")).alias("far")))
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-    open_ = durable(members.join(mixed, "band", "left_semi"))
-    left, right = open_.alias("l"), open_.alias("r")
-    across = (left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.component") < F.col("r.component"))
-                        & (F.abs(F.col("l.far") - F.col("r.far")) <= 1 - similar + 1e-9))
-              .select(F.least("l.other", "r.other").alias("node"), F.greatest("l.other", "r.other").alias("other")).distinct()
-              .join(done.select("node", "other"), ["node", "other"], "left_anti"))
-    across = durable(across)
-    if not across.isEmpty():
-        more = durable(compared(across, _texts(known, across)).filter(F.col("similar") >= similar))
+    sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch")).alias("s"))
+    open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == F.col("id")).select(
+        "band", "n", "other", "component", "far", "s.total", "s.sketch")
+    found = durable(_across(open_, similar).join(done.select("node", "other"), ["node", "other"], "left_anti"))
+    best = found.select("node", "other", "agree").union(found.select("other", "node", "agree")).groupBy("node").agg(F.max(F.struct("agree", "other"))["other"].alias("other"))
+    best = best.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
+    for chosen in (lambda: best, lambda: _apart(found, parts).join(done.select("node", "other"), ["node", "other"], "left_anti")):
+        more = durable(chosen().select("node", "other"))
+        if more.isEmpty():
+            continue
+        more = durable(compared(more, _texts(known, more)))
         done = done.unionByName(more)
-        links = links.union(more.select("node", "other")).distinct()
+        links = links.union(more.filter(F.col("similar") >= similar).select("node", "other")).distinct()
         parts = durable(connected_components(links, src="node", dst="other"))
 
     degree = (done.filter(F.col("similar") >= similar).select(F.explode(F.array("node", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
