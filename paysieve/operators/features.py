@@ -286,12 +286,13 @@ def rail_codes(df):
 # --- the whole matrix ------------------------------------------------------------------
 
 _INPUTS = (
-    "event_id event_ts amount response_code payer_entity_id payee_entity_id mcc cross_border pan_token device_id ip "
-    "merchant_id agent_id issuer_id terminal_id beneficiary_first_seen_ts device_first_seen_ts sca_exempt_reason "
-    "mandate_amount_max mandate_expiry_ts mandate_merchant_allowlist cart_hash_at_intent cart_hash_at_settle "
-    "agent_attestation_valid mandate_nonce human_present_flag eci_semantic threeds_flow pos_entry_mode "
-    "payee_name_match upi_txn_type"
-).split()
+    "event_id", "event_ts", "amount", "response_code", "payer_entity_id", "payee_entity_id", "mcc", "cross_border",
+    "pan_token", "device_id", "ip", "merchant_id", "agent_id", "issuer_id", "terminal_id",
+    "beneficiary_first_seen_ts", "device_first_seen_ts", "sca_exempt_reason", "mandate_amount_max",
+    "mandate_expiry_ts", "mandate_merchant_allowlist", "cart_hash_at_intent", "cart_hash_at_settle",
+    "agent_attestation_valid", "mandate_nonce", "human_present_flag", "eci_semantic", "threeds_flow",
+    "pos_entry_mode", "payee_name_match", "upi_txn_type",
+)
 
 
 def compute_features(

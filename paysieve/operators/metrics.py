@@ -25,10 +25,12 @@ COST_PER = 100_000
 
 @dataclass(frozen=True)
 class CostMatrix:
+    # Amounts of the cost model.
     chargeback_fee: float = 25.0
     merchant_margin: float = 0.22
     p_attrition: float = 0.32
     customer_ltv: float = 1800.0
+    # End of fixed values.
 
 
 def _by_score(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:

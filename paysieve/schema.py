@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 _S, _B, _I, _TS = T.StringType(), T.BooleanType(), T.IntegerType(), T.TimestampType()
 _D, _A = T.DecimalType(14, 2), T.ArrayType(T.StringType())
 
+# Names and types of the canonical columns, by block.
 _BLOCKS: dict[str, list[tuple[str, T.DataType]]] = {
     "core": [
         ("event_id", _S), ("event_ts", _TS), ("rail", _S), ("amount", _D), ("currency", _S), ("amount_inr", _D),
@@ -14,9 +15,9 @@ _BLOCKS: dict[str, list[tuple[str, T.DataType]]] = {
         ("cross_border", _B), ("payer_name_hash", _S), ("payer_kyc_level", _S), ("payer_balance_band", _S),
     ],
     "card": [
-        (n, _S)
-        for n in ("pan_token bin issuer_id acquirer_id merchant_id mcc pos_entry_mode processing_code mti "
-                  "response_code avs_result cvv_result terminal_id merchant_country").split()
+        ("pan_token", _S), ("bin", _S), ("issuer_id", _S), ("acquirer_id", _S), ("merchant_id", _S), ("mcc", _S),
+        ("pos_entry_mode", _S), ("processing_code", _S), ("mti", _S), ("response_code", _S), ("avs_result", _S),
+        ("cvv_result", _S), ("terminal_id", _S), ("merchant_country", _S),
     ],
     "three_ds": [
         ("threeds_version", _S), ("threeds_flow", _S), ("eci", _S), ("eci_semantic", _S), ("card_network", _S),
@@ -48,18 +49,21 @@ _BLOCKS: dict[str, list[tuple[str, T.DataType]]] = {
     ],
 }
 
+# End of fixed values.
 CES_SCHEMA = T.StructType([T.StructField(n, t) for block in _BLOCKS.values() for n, t in block])
 LABEL_COLUMNS = frozenset(n for n, _ in _BLOCKS["label"])
+# Required columns, identifiers, and columns by kind.
 REQUIRED_COLUMNS = ("event_id", "event_ts", "rail", "amount", "currency", "amount_inr", "payer_entity_id",
                     "payee_entity_id", "payer_country", "payee_country", "cross_border", "is_fraud")
-IDENTIFIER_COLUMNS = frozenset(
-    "event_id payer_entity_id payee_entity_id pan_token device_id ip merchant_id vpa_payer vpa_payee agent_id "
-    "terminal_id device_fingerprint_id user_agent_hash uetr payer_name_hash intent_mandate_id cart_mandate_id "
-    "payment_mandate_id mandate_id".split()
-)
+IDENTIFIER_COLUMNS = frozenset((
+    "event_id", "payer_entity_id", "payee_entity_id", "pan_token", "device_id", "ip", "merchant_id", "vpa_payer", "vpa_payee",
+    "agent_id", "terminal_id", "device_fingerprint_id", "user_agent_hash", "uetr", "payer_name_hash", "intent_mandate_id",
+    "cart_mandate_id", "payment_mandate_id", "mandate_id",
+))
 DATETIME_COLUMNS = ("event_ts", "device_first_seen_ts", "beneficiary_first_seen_ts", "settlement_ts",
                     "mandate_expiry_ts", "label_available_ts")
 NUMERIC_COLUMNS = ("amount", "amount_inr", "mandate_amount_max", "browser_tz_offset")
+# End of fixed values.
 
 # Published code lists and rates.
 RAILS = ("CARD_CNP", "CARD_CP", "UPI", "SEPA_INST", "ACH", "AGENTIC")
