@@ -23,7 +23,8 @@ Keys with more than BLOCK nodes are searched in blocks of that size, each pair o
 Comparison is dealt by (common node, salt), with the salts of a node in proportion to its partners. Nothing is collected.
 
 Null and empty texts have no shingle and are alone in their class; so are rows without an id. Rows that share an id are one
-document: they are in one class, together with whatever any of them is near to. Only id and text are read.
+document and in one class, with the copies of each of their texts; the least of the texts is the one compared with others.
+Only id and text are read.
 """
 
 from __future__ import annotations
@@ -184,9 +185,9 @@ def compared(pairs: DataFrame, texts: DataFrame, partners: int = PARTNERS) -> Da
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text of every id that occurs in the pairs; of several with one id, the one that stands for it."""
+    """One text of every id that occurs in the pairs; of several with one id, the least."""
     ids = pairs.select(F.explode(F.array("node", "other")).alias("id")).distinct()
-    return docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
