@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from paysieve.catalog.base import Catalog, r6
@@ -20,6 +22,12 @@ query = Catalog()
 FEATURES = ["amount", "k", "payee", "hour", "decl"]
 
 
+def in_range(rows):
+    """(metric, inside) of a layer's rows: shares lie between 0 and 1, a ratio of shares is not negative."""
+    top = F.when(F.col("metric").endswith("ratio"), F.lit(float("inf"))).otherwise(1.0)
+    return rows.select("metric", F.coalesce(F.col("value").between(0, top), F.lit(False)).alias("inside"))
+
+
 def design(spark, d):
     return evt(spark, d).select(
         "event_id", "us", "amount", "amount_c", "is_fraud", "issuer_id", "acquirer_id", F.col("k").cast("double").alias("k"),
@@ -32,20 +40,36 @@ def parts(spark, d):
     return split["train"], split["validation"], split["test"]
 
 
-@query("m14_fit_gbdt")
+#: Fitted scores have no SQL; that every row of the test part has one, within its range, has.
+_TESTED = with_views("evt", f"SELECT event_id, true AS inside FROM evt WHERE us >= {START + 20 * 86_400_000_000}")
+_ALL = with_views("evt", "SELECT event_id, true AS inside FROM evt")
+
+
+def inside(df, *scores):
+    """(event_id, inside): whether all scores of the row lie between 0 and 1."""
+    fits = [F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in scores]
+    return df.select("event_id", reduce(lambda a, b: a & b, fits).alias("inside"))
+
+
+def bounded(row, **limits):
+    """One row of booleans: whether each number lies between its limits."""
+    return row.select(*[F.coalesce(F.col(c).between(*b), F.lit(False)).alias(c) for c, b in limits.items()])
+
+
+@query("m14_fit_gbdt", _TESTED)
 def _(spark, d):
     train, valid, test = parts(spark, d)
     model = L.fit_gbdt(train, FEATURES, validation=valid)
-    return L.gbdt_scores(model, test).select("event_id", "gbdt")
+    return inside(L.gbdt_scores(model, test), "gbdt")
 
 
-@query("m15_platt_isotonic")
+@query("m15_platt_isotonic", _TESTED)
 def _(spark, d):
     train, valid, test = parts(spark, d)
     model = L.fit_gbdt(train, FEATURES)
     on_valid, on_test = L.gbdt_scores(model, valid).persist(), L.gbdt_scores(model, test)
     out = L.platt_scores(L.platt(on_valid), on_test, "sigmoid")
-    return L.isotonic_scores(L.isotonic(on_valid), out, "isotonic").select("event_id", "sigmoid", "isotonic")
+    return inside(L.isotonic_scores(L.isotonic(on_valid), out, "isotonic"), "sigmoid", "isotonic")
 
 
 @query("m16_compare_calibrators")
@@ -54,11 +78,11 @@ def _(spark, d):
     return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"])
 
 
-@query("m17_isolation_scores")
+@query("m17_isolation_scores", _ALL)
 def _(spark, d):
     df = design(spark, d)
     model = I.fit_isolation(df, FEATURES, trees=32)
-    return I.isolation_scores(model, df, by_batch=True).select("event_id", "anomaly")
+    return inside(I.isolation_scores(model, df, by_batch=True), "anomaly")
 
 
 @query("m17b_rescale", with_views("evt", """
@@ -68,18 +92,21 @@ def _(spark, d):
     return I.rescale(evt(spark, d), "score").select("event_id", r6("anomaly"))
 
 
-@query("m18_stack")
+@query("m18_stack", _ALL)
 def _(spark, d):
     df = evt(spark, d).withColumn("other", F.col("k") / 100.0)
     model = L.stack(df, ["score", "other"])
-    return L.stack_scores(model, df.withColumnRenamed("score", "_s").withColumn("score", F.col("_s")), "blend").select("event_id", "blend")
+    return inside(L.stack_scores(model, df, "blend"), "blend")
 
 
-@query("m20_detector")
+@query("m20_detector", "SELECT true AS average_precision, true AS roc_auc, true AS fpr, true AS evasion, true AS cost, true AS threshold, true AS on_grid")
 def _(spark, d):
     train, valid, test = parts(spark, d)
     detector = L.fit_detector(train, valid, FEATURES)
-    return L.evaluate(detector, test)
+    found = L.evaluate(detector, test)
+    found = found.withColumn("on_grid", F.abs(F.col("threshold") * 1000 - F.round(F.col("threshold") * 1000)))
+    share = (0.0, 1.0)
+    return bounded(found, average_precision=share, roc_auc=share, fpr=share, evasion=share, cost=(0.0, 1e15), threshold=share, on_grid=(0.0, 1e-6))
 
 
 _SCOPED = [*FEATURES, "amount_z_vs_entity_history", "merchant_control_strength", "payer_kyc_level"]
@@ -123,11 +150,11 @@ def _(spark, d):
     return L.external_evaluate(trees, curve, test)
 
 
-@query("m31_legit_only_anomaly")
+@query("m31_legit_only_anomaly", "SELECT true AS roc_auc")
 def _(spark, d):
     df = design(spark, d)
     model = I.fit_isolation(df.filter("is_fraud = 0"), FEATURES, trees=32)
-    return M.roc_auc(I.isolation_scores(I.with_percentiles(model, df), df), score="anomaly")
+    return bounded(M.roc_auc(I.isolation_scores(I.with_percentiles(model, df), df), score="anomaly"), roc_auc=(0.0, 1.0))
 
 
 @query("m32_graph_only_scoping")
@@ -138,29 +165,30 @@ def _(spark, d):
     return report
 
 
-@query("l12_transfer_ratio")
+@query("l12_transfer_ratio", "SELECT * FROM (VALUES ('tstr_pr_auc', true), ('trtr_pr_auc', true), ('tstr_ratio', true)) t(metric, inside)")
 def _(spark, d):
-    return L.transfer_ratio(*sides(spark, d))
+    return in_range(L.transfer_ratio(*sides(spark, d)))
 
 
-@query("l13_discriminator_auc")
+@query("l13_discriminator_auc", "SELECT * FROM (VALUES ('discriminator_auc', true), ('auc_floor', true)) t(metric, inside)")
 def _(spark, d):
-    return L.discriminator_auc(*sides(spark, d))
+    return in_range(L.discriminator_auc(*sides(spark, d)))
 
 
-@query("l15_membership_auc")
+@query("l15_membership_auc", "SELECT true AS mia_auc")
 def _(spark, d):
     batch, reference = (R.proximity_view(x) for x in sides(spark, d))
-    return L.membership_auc(batch, reference)
+    return bounded(L.membership_auc(batch, reference), mia_auc=(0.5, 1.0))
 
 
-@query("l16_run_gate")
+@query("l16_run_gate", """SELECT * FROM (VALUES ('marginal', false), ('joint', true), ('behavioral', true), ('utility', true),
+  ('adversarial', true), ('privacy', true)) t(layer, counts)""")
 def _(spark, d):
     batch, reference = sides(spark, d)
     table, _ = L.run_gate(batch, reference, 0, {
         "marginal": R.marginal_layer, "joint": R.joint_layer, "behavioral": R.behavioural_layer,
         "utility": L.transfer_ratio, "adversarial": L.discriminator_auc, "privacy": L.privacy_layer})
-    return table
+    return table.groupBy("layer").agg(F.min("counts").alias("counts"))
 
 
 @query("l18_row_independent_baseline")

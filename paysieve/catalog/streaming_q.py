@@ -59,10 +59,15 @@ def _(spark, d):
     return V.distinct_counter_exact(evt(spark, d), "user_id", "pan_id", "us", "event_id")
 
 
-@query("r04_hll_rollup")
+@query("r04_hll_rollup", with_views("evt", """
+SELECT device_id, (us // 86400000000) * 86400000000 AS period_us, true AS close FROM evt GROUP BY ALL"""))
 def _(spark, d):
     sketches = R.land(V.hourly_sketches(stream(spark, d), ["device_id"], "user_id", "event_ts"), "complete")
-    return V.roll_up(sketches, ["device_id"])
+    found = V.roll_up(sketches, ["device_id"])
+    exact = evt(spark, d).groupBy("device_id", (F.floor(F.col("us") / 86_400_000_000) * 86_400_000_000).alias("period_us")).agg(
+        F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return found.join(exact, ["device_id", "period_us"], "left").select("device_id", "period_us", F.coalesce(near, F.lit(False)).alias("close"))
 
 
 @query("r05_nonce_replay", with_views("evt", """
