@@ -12,11 +12,11 @@ Signatures are cut into BANDS bands (a pair of similarity 0.8 misses all of them
 1. Equal multisets are one node, represented by the least id.
 2. In every band key all nodes are compared, exactly, with the one among them that shares most keys with others (the
    centre of a group of copies); links join components.
-3. Keys that still hold several components are searched for the remaining pairs across them, key by key inside tasks. A
+3. Keys that still hold several components are searched for the remaining links across them, key by key inside tasks. A
    pair is left out if no link is possible: its sizes differ too much, or its distances to the common node do (1 -
    similarity is a metric). It is also left out if fewer than AGREE components of its signatures agree, which happens to a
-   pair of similarity 0.8 with a probability under 2e-5. Of the others each node's best pair is compared first, and then
-   all that still lie across components.
+   pair of similarity 0.8 with a probability under 2e-5. The others are compared exactly, the likeliest first, each in one
+   of their common keys, until their components are joined. Only links leave the task.
 
 No pair inside a component is needed for the classes, so a group of copies costs one comparison for each member and key.
 Keys with more than BLOCK nodes are searched in blocks of that size, each pair of blocks by a task of its own.
@@ -44,7 +44,7 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 LOW_BITS = 12  # of a shingle's hash, left out to make room for the row while sorting
 AGREE = 60  # of SIZE components
-BLOCK = 10_000  # nodes of one key that a task searches
+BLOCK = 4_000  # nodes of one key that a task searches, twice that with another block
 PARTNERS = 500  # pairs that one task compares with the same node in a row
 
 
@@ -184,21 +184,16 @@ def compared(pairs: DataFrame, texts: DataFrame, partners: int = PARTNERS) -> Da
     return rows.mapInArrow(_compare, f"node {kind}, other {kind}, similar double")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text of every id that occurs in the pairs; of several with one id, the least."""
-    ids = pairs.select(F.explode(F.array("node", "other")).alias("id")).distinct()
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One text of every id that occurs in a column of the rows; of several with one id, the least."""
+    ids = rows.select(F.explode(F.array(*rows.columns)).alias("id")).distinct()
     return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose nodes lie in different components."""
-    for side in ("node", "other"):
-        pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
-    return pairs.filter(F.coalesce("node_in", "node") != F.coalesce("other_in", "other"))
-
-
 def _search(similar: float):
-    """Candidate pairs across components within each group of rows (band, i, j), which come sorted by them."""
+    """Links across components within each group of rows (band, i, j), which come sorted by them."""
+    shingler = Shingler()
+
     def groups(batches):
         held, last = [], None
         for batch in batches:
@@ -221,7 +216,9 @@ def _search(similar: float):
             part = table["component"].combine_chunks().dictionary_encode()
             part = (part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part).indices.to_numpy()
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, SIZE)
-            step = max(1, 8_000_000 // (n * SIZE))
+            whole = np.ascontiguousarray(sketch).view(np.uint32)  # one word for each band
+            own = int(table["number"][0].as_py())
+            pairs, step = [], max(1, 8_000_000 // (n * SIZE))
             for begin in range(0, n, step):
                 u = np.arange(begin, min(n, begin + step))
                 fits = (part[u, None] != part[None, :]) & (np.abs(far[u, None] - far[None, :]) <= 1 - similar + 1e-9)
@@ -230,25 +227,52 @@ def _search(similar: float):
                 x, y = np.nonzero(fits)
                 for low in range(0, len(x), 100_000):
                     a, b = u[x[low: low + 100_000]], y[low: low + 100_000]
+                    first = (whole[a, :own] == whole[b, :own]).any(axis=1)  # they meet under an earlier key too
                     agree = (sketch[a] == sketch[b]).sum(axis=1)
-                    good = np.flatnonzero(agree >= AGREE)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[good])), ids.take(pa.array(b[good])), pa.array(agree[good], pa.int32())], names=["a", "b", "agree"])
+                    good = np.flatnonzero((agree >= AGREE) & ~first)
+                    pairs.append(np.stack([agree[good], a[good], b[good]]))
+            pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
+            yield from linked(pairs[:, np.argsort(-pairs[0], kind="stable")], part, table, ids)
+
+    def linked(pairs, part, table, ids):
+        """The pairs that are links, the likeliest first, skipping those whose components have been joined."""
+        parent, sets, out = {}, {}, []
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        used = np.unique(pairs[1:])
+        for begin in range(0, len(used), 256):
+            some = used[begin: begin + 256]
+            row, gram, count = shingler.multisets(table["text"].combine_chunks().take(pa.array(some)))
+            at = np.searchsorted(row, np.arange(len(some) + 1))
+            sets |= {int(x): (gram[at[i]: at[i + 1]], count[at[i]: at[i + 1]]) for i, x in enumerate(some)}
+        for _, x, y in pairs.T.tolist():
+            a, b = root(part[x]), root(part[y])
+            if a != b and (found := overlap(sets[x], sets[y])) >= similar:
+                parent[a] = b
+                out.append((x, y, float(found)))
+        for low in range(0, len(out), 10_000):
+            x, y, found = zip(*out[low: low + 10_000])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(found, pa.float64())], names=["a", "b", "similar"])
 
     return run
 
 
 def _across(rows: DataFrame, similar: float) -> DataFrame:
-    """Distinct (node, other, agree) across components, from rows of keys with several."""
+    """Links (node, other, similar) across components, from rows of keys with several."""
     spark = rows.sparkSession
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("band", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), "block", "other", "component", "far", "total", "sketch")
+    dealt = rows.select("band", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), "block", "other", "component", "far", "total", "sketch", "number", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = rows.schema["other"].dataType.simpleString()
-    found = dealt.mapInArrow(_search(similar), f"a {kind}, b {kind}, agree int")
-    return found.groupBy(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).agg(F.max("agree").alias("agree"))
+    found = dealt.mapInArrow(_search(similar), f"a {kind}, b {kind}, similar double")
+    return found.groupBy(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).agg(F.max("similar").alias("similar"))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -267,13 +291,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     firsts = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     copies = durable(signed.select("id", "f1", "f2").join(firsts, ["f1", "f2"]).select("id", "rep", "f1", "f2"))
     nodes = copies.filter("id = rep").select("id", "f1", "f2").distinct()
-    keys = signed.join(nodes, ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), F.explode("bands").alias("band"))
+    keys = signed.join(nodes, ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), F.posexplode("bands").alias("number", "band"))
 
     crowds = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = durable(keys.join(crowds, "band"))
     shared = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
     centres = crowded.join(shared, "rep").groupBy("band").agg(F.max(F.struct("score", "rep"))["rep"].alias("node"))
-    stars = durable(crowded.join(centres, "band").select("band", "node", F.col("rep").alias("other"), "n"))
+    stars = durable(crowded.join(centres, "band").select("band", "number", "node", F.col("rep").alias("other"), "n"))
     pairs = stars.filter("node <> other").select("node", "other").distinct()
     done = durable(compared(pairs, _texts(known, pairs)))
 
@@ -284,22 +308,16 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
 
     members = (stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
                .join(done, ["node", "other"], "left")
-               .select("band", "other", "n", F.coalesce("component", "other").alias("component"),
+               .select("band", "number", "other", "n", F.coalesce("component", "other").alias("component"),
                        F.when(F.col("node") == F.col("other"), 0.0).otherwise(1 - F.col("similar")).alias("far")))
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
     sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch")).alias("s"))
     open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == F.col("id")).select(
-        "band", "n", "other", "component", "far", "s.total", "s.sketch")
-    found = durable(_across(open_, similar).join(done.select("node", "other"), ["node", "other"], "left_anti"))
-    best = found.select("node", "other", "agree").union(found.select("other", "node", "agree")).groupBy("node").agg(F.max(F.struct("agree", "other"))["other"].alias("other"))
-    best = best.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
-    for chosen in (lambda: best, lambda: _apart(found, parts).join(done.select("node", "other"), ["node", "other"], "left_anti")):
-        more = durable(chosen().select("node", "other"))
-        if more.isEmpty():
-            continue
-        more = durable(compared(more, _texts(known, more)))
-        done = done.unionByName(more)
-        links = links.union(more.filter(F.col("similar") >= similar).select("node", "other")).distinct()
+        "band", "number", "n", "other", "component", "far", "s.total", "s.sketch")
+    more = durable(_across(open_.join(_texts(known, open_.select("other")), F.col("other") == F.col("id")), similar))
+    if not more.isEmpty():
+        done = done.unionByName(more.join(done.select("node", "other"), ["node", "other"], "left_anti"))
+        links = links.union(more.select("node", "other")).distinct()
         parts = durable(connected_components(links, src="node", dst="other"))
 
     degree = (done.filter(F.col("similar") >= similar).select(F.explode(F.array("node", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
