@@ -44,7 +44,7 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 LOW_BITS = 12  # of a shingle's hash, left out to make room for the row while sorting
 AGREE = 60  # of SIZE components
-BLOCK = 4_000  # nodes of one key that a task searches, twice that with another block
+BLOCK = 2_000  # nodes of one key that a task searches, twice that with another block
 PARTNERS = 500  # pairs that one task compares with the same node in a row
 
 
