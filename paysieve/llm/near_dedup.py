@@ -29,6 +29,8 @@ Only id and text are read.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -275,6 +277,17 @@ def _across(rows: DataFrame, similar: float) -> DataFrame:
     return found.groupBy(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other")).agg(F.max("similar").alias("similar"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A durable copy; shuffle files that led to it are no longer needed, and are let go at once.
+
+    Spark drops them when the objects that stand for them are collected, which may otherwise be long after.
+    """
+    out = durable(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One row per input row: id, class_id (the least id of the class), whether it is that one, and n_links.
 
@@ -289,22 +302,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     signed = spark.read.parquet(path)
 
     firsts = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    copies = durable(signed.select("id", "f1", "f2").join(firsts, ["f1", "f2"]).select("id", "rep", "f1", "f2"))
+    copies = _settled(signed.select("id", "f1", "f2").join(firsts, ["f1", "f2"]).select("id", "rep", "f1", "f2"))
     nodes = copies.filter("id = rep").select("id", "f1", "f2").distinct()
     keys = signed.join(nodes, ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), F.posexplode("bands").alias("number", "band"))
 
     crowds = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = durable(keys.join(crowds, "band"))
+    crowded = _settled(keys.join(crowds, "band"))
     shared = crowded.groupBy("rep").agg(F.sum("n").alias("score"))
     centres = crowded.join(shared, "rep").groupBy("band").agg(F.max(F.struct("score", "rep"))["rep"].alias("node"))
-    stars = durable(crowded.join(centres, "band").select("band", "number", "node", F.col("rep").alias("other"), "n"))
+    stars = _settled(crowded.join(centres, "band").select("band", "number", "node", F.col("rep").alias("other"), "n"))
     pairs = stars.filter("node <> other").select("node", "other").distinct()
-    done = durable(compared(pairs, _texts(known, pairs)))
+    done = _settled(compared(pairs, _texts(known, pairs)))
 
     # rows with one id but several texts, and copies' ids that differ from their representative
     own = copies.filter("id <> rep").select(F.col("id").alias("other"), F.col("rep").alias("node"))
     links = done.filter(F.col("similar") >= similar).select("node", "other").union(own.select("node", "other")).distinct()
-    parts = durable(connected_components(links, src="node", dst="other"))
+    parts = _settled(connected_components(links, src="node", dst="other"))
 
     members = (stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
                .join(done, ["node", "other"], "left")
@@ -314,11 +327,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch")).alias("s"))
     open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == F.col("id")).select(
         "band", "number", "n", "other", "component", "far", "s.total", "s.sketch")
-    more = durable(_across(open_.join(_texts(known, open_.select("other")), F.col("other") == F.col("id")), similar))
+    more = _settled(_across(open_.join(_texts(known, open_.select("other")), F.col("other") == F.col("id")), similar))
     if not more.isEmpty():
         done = done.unionByName(more.join(done.select("node", "other"), ["node", "other"], "left_anti"))
         links = links.union(more.select("node", "other")).distinct()
-        parts = durable(connected_components(links, src="node", dst="other"))
+        parts = _settled(connected_components(links, src="node", dst="other"))
 
     degree = (done.filter(F.col("similar") >= similar).select(F.explode(F.array("node", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
     ids = parts.join(degree, "id", "left")
