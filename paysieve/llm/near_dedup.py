@@ -15,8 +15,8 @@ Signatures are cut into BANDS bands (a pair of similarity 0.8 misses all of them
 3. Keys that still hold several components are searched for the remaining links across them, key by key inside tasks. A
    pair is left out if no link is possible: its sizes differ too much, or its distances to the common node do (1 -
    similarity is a metric). It is also left out if fewer than AGREE components of its signatures agree, which happens to a
-   pair of similarity 0.8 with a probability under 2e-5. The others are compared exactly, the likeliest first, each in one
-   of their common keys, until their components are joined. Only links leave the task.
+   pair of similarity 0.8 with a probability under 2e-5. The others are compared exactly, the likeliest first, each in the
+   first of their common keys, until their components are joined. Only links leave the task.
 
 No pair inside a component is needed for the classes, so a group of copies costs one comparison for each member and key.
 Keys with more than BLOCK nodes are searched in blocks of that size, each pair of blocks by a task of its own.
@@ -218,8 +218,9 @@ def _search(similar: float):
             part = table["component"].combine_chunks().dictionary_encode()
             part = (part.combine_chunks() if isinstance(part, pa.ChunkedArray) else part).indices.to_numpy()
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(n, SIZE)
-            whole = np.ascontiguousarray(sketch).view(np.uint32)  # one word for each band
-            own = int(table["number"][0].as_py())
+            lists = table["earlier"].combine_chunks()
+            own = int(table["number"].to_numpy().min())
+            earlier = lists.values.to_numpy()[lists.offsets.to_numpy()[:-1, None] + np.arange(own)]  # whole keys of the bands before this one
             pairs, step = [], max(1, 8_000_000 // (n * SIZE))
             for begin in range(0, n, step):
                 u = np.arange(begin, min(n, begin + step))
@@ -229,9 +230,9 @@ def _search(similar: float):
                 x, y = np.nonzero(fits)
                 for low in range(0, len(x), 100_000):
                     a, b = u[x[low: low + 100_000]], y[low: low + 100_000]
-                    first = (whole[a, :own] == whole[b, :own]).any(axis=1)  # they meet under an earlier key too
                     agree = (sketch[a] == sketch[b]).sum(axis=1)
-                    good = np.flatnonzero((agree >= AGREE) & ~first)
+                    good = np.flatnonzero(agree >= AGREE)
+                    good = good[~(earlier[a[good]] == earlier[b[good]]).any(axis=1)]  # others have met under an earlier key
                     pairs.append(np.stack([agree[good], a[good], b[good]]))
             pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((3, 0), np.int64)
             yield from linked(pairs[:, np.argsort(-pairs[0], kind="stable")], part, table, ids)
@@ -269,7 +270,7 @@ def _across(rows: DataFrame, similar: float) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("band", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), "block", "other", "component", "far", "total", "sketch", "number", "text")
+    dealt = rows.select("band", F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"), "block", "other", "component", "far", "total", "sketch", "number", "earlier", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
     kind = rows.schema["other"].dataType.simpleString()
@@ -324,9 +325,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
                .select("band", "number", "other", "n", F.coalesce("component", "other").alias("component"),
                        F.when(F.col("node") == F.col("other"), 0.0).otherwise(1 - F.col("similar")).alias("far")))
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-    sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch")).alias("s"))
+    sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
     open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == F.col("id")).select(
-        "band", "number", "n", "other", "component", "far", "s.total", "s.sketch")
+        "band", "number", "n", "other", "component", "far", "s.total", "s.sketch", F.slice("s.bands", 1, F.col("number")).alias("earlier"))
     more = _settled(_across(open_.join(_texts(known, open_.select("other")), F.col("other") == F.col("id")), similar))
     if not more.isEmpty():
         done = done.unionByName(more.join(done.select("node", "other"), ["node", "other"], "left_anti"))

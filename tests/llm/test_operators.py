@@ -72,6 +72,15 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.008 and np.std(errors) < 0.03
 
 
+@pytest.mark.parametrize("met, links", [(False, 1), (True, 0)])
+def test_near_dedup_leaves_out_pairs_by_whole_keys(met, links):
+    """Equal sketch words of an earlier band do not say that the pair met there; equal keys do."""
+    words = [f"w{i}" for i in range(200)]
+    rows = {"band": [9, 9], "i": [0, 0], "j": [0, 0], "block": [0, 0], "other": [1, 2], "component": [1, 2], "far": [0.0, 0.1], "total": [196, 196],
+            "sketch": [bytes(near_dedup.SIZE)] * 2, "number": [2, 2], "earlier": [[5, 6], [5, 7] if met else [8, 7]], "text": [" ".join(words), " ".join([*words[:-1], "edit"])]}
+    assert sum(b.num_rows for b in near_dedup._search(0.8)([pa.RecordBatch.from_pydict(rows)])) == links
+
+
 def test_near_dedup(spark):
     texts = some_texts(2)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, texts)).collect()}
