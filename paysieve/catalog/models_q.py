@@ -81,7 +81,7 @@ def _(spark, d):
 @query("m17_isolation_scores", _ALL)
 def _(spark, d):
     df = design(spark, d)
-    model = I.fit_isolation(df, FEATURES, trees=32)
+    model = I.fit_isolation(df, FEATURES)
     return inside(I.isolation_scores(model, df, by_batch=True), "anomaly")
 
 
@@ -153,7 +153,7 @@ def _(spark, d):
 @query("m31_legit_only_anomaly", "SELECT true AS roc_auc")
 def _(spark, d):
     df = design(spark, d)
-    model = I.fit_isolation(df.filter("is_fraud = 0"), FEATURES, trees=32)
+    model = I.fit_isolation(df.filter("is_fraud = 0"), FEATURES)
     return bounded(M.roc_auc(I.isolation_scores(I.with_percentiles(model, df), df), score="anomaly"), roc_auc=(0.0, 1.0))
 
 

@@ -1,4 +1,4 @@
-"""Isolation trees: fitted one per task on a bounded row sample, scored by all tasks.
+"""Isolation trees: fitted in tasks, each on a bounded row sample, scored by all tasks.
 
 The sample per tree is part of the method (a tree isolates points of a small sample), so a
 tree never sees more than ``sample_rows`` rows whatever the table size. Scores are not equal
@@ -22,7 +22,9 @@ from paysieve.operators.splits import smallest
 TREES = 200
 SAMPLE_ROWS = 65_536
 EULER = 0.5772156649015329
-NODE_SCHEMA = "tree int, node int, feature int, cut double, size double"
+NODE = np.dtype([("feature", "<i2"), ("left", "<i4"), ("value", "<f8")])  # 14 bytes
+NODE_SCHEMA = "tree int, nodes binary"
+FOREST_MB = 400  # of all trees together; 200 trees of 65,536 rows have 367 MB at most
 
 
 def _expected_path(n):
@@ -31,29 +33,40 @@ def _expected_path(n):
     return np.where(n > 2, 2 * (np.log(safe - 1) + EULER) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(rows: np.ndarray, seed: int) -> list[tuple[int, int, float, float]]:
-    """(node, feature, cut, size) with heap numbering; feature -1 marks a leaf."""
+def _grow(rows: np.ndarray, seed: int) -> np.ndarray:
+    """Nodes level by level, the two children of a node side by side; feature -1 marks a leaf, whose value is its path."""
     rng = np.random.default_rng(seed)
     limit = math.ceil(math.log2(max(len(rows), 2)))
-    out, todo = [], [(1, 0, rows)]
-    while todo:
-        node, depth, part = todo.pop()
-        low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (None, None)
-        usable = np.flatnonzero(high > low) if len(part) > 1 and depth < limit else []
-        if len(usable) == 0:
-            out.append((node, -1, 0.0, float(len(part))))
-            continue
-        feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = part[:, feature] < cut
-        out.append((node, feature, cut, float(len(part))))
-        todo += [(2 * node, depth + 1, part[goes_left]), (2 * node + 1, depth + 1, part[~goes_left])]
-    return out
+    levels, start, depth = [], np.zeros(1, "int64"), 0
+    done = 0  # nodes of the levels before this one
+    while len(start):
+        sizes = np.diff(np.append(start, len(rows)))
+        nodes = np.zeros(len(start), NODE)
+        nodes["feature"], nodes["value"] = -1, depth + _expected_path(sizes)
+        levels.append(nodes)
+        if depth == limit or not len(rows):
+            break
+        low, high = np.minimum.reduceat(rows, start), np.maximum.reduceat(rows, start)
+        usable = (high > low) & np.isfinite(high - low)
+        inner = usable.any(axis=1)
+        at = np.flatnonzero(inner)
+        feature = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)[at]
+        least, most = low[at, feature], high[at, feature]
+        cut = np.minimum(least + rng.random(len(at)) * (most - least), np.nextafter(most, least))  # neither side is empty
+        done += len(start)
+        nodes["feature"][at], nodes["value"][at], nodes["left"][at] = feature, cut, done + 2 * np.arange(len(at))
+        rows = rows[np.repeat(inner, sizes)]
+        of = np.repeat(np.arange(len(at)), sizes[at])
+        child = 2 * of + (rows[np.arange(len(rows)), feature[of]] > cut[of])
+        rows = rows[np.argsort(child, kind="stable")]
+        start = np.append(0, np.cumsum(np.bincount(child, minlength=2 * len(at)))[:-1]) if len(at) else at
+        depth += 1
+    return np.concatenate(levels)
 
 
 @dataclass(frozen=True)
 class IsolationModel:
-    nodes: DataFrame  # trees x (2 x sample_rows) rows at most
+    nodes: DataFrame  # one row per tree, of 2 x sample_rows nodes of 14 bytes at most
     features: tuple[str, ...]
     sample_size: int
     trees: int
@@ -62,43 +75,54 @@ class IsolationModel:
 
 
 def fit_isolation(
-    df: DataFrame, features: Sequence[str], tie="event_id", trees: int = TREES, sample_rows: int = 256, seed: int = 42,
+    df: DataFrame, features: Sequence[str], tie="event_id", trees: int = TREES, sample_rows: int = SAMPLE_ROWS, seed: int = 42,
 ) -> IsolationModel:
-    """Each tree takes the first ``sample_rows`` rows in its own hash order of a bounded pool."""
+    """Each tree takes ``sample_rows`` rows at random, or all if there are fewer.
+
+    Rows come from a pool of about trees x sample_rows. Trees are dealt to groups: with a small pool every group has all
+    of it; with a larger one every tree is its own group, and each row goes to one tree of every ``width`` by hash, which
+    leaves a tree more rows than it takes.
+    """
     sample_rows = min(sample_rows, SAMPLE_ROWS)
+    enough = sample_rows + 8 * math.isqrt(sample_rows) + 8  # dealt by hash, so a tree's share varies
     pool = smallest(
-        df.select(tie, *features).withColumn("_order", F.xxhash64(F.lit(seed), F.col(tie))), "_order", tie, trees * sample_rows
+        df.select(tie, *features).withColumn("_order", F.xxhash64(F.lit(seed), F.col(tie))), "_order", tie, trees * enough
     ).drop("_order").persist()
     size = pool.count()
-    # Rows are dealt to trees by hash; with a small pool each row serves several trees.
-    copies = max(1, math.ceil(trees * sample_rows / max(size, 1)))
-    copies = min(copies, trees)
+    _bounded(trees, min(sample_rows, size))
+    width = min(max(1, size // enough), trees)
+    groups = trees if width > 1 else min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    first = F.col("_c") * width
+    spread = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_c"), F.col(tie)), F.least(F.lit(width), F.lit(groups) - first))
     dealt = pool.select(
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], tie,
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_c")
-    ).withColumn("tree", F.pmod(F.xxhash64(tie, F.lit(seed)) + F.col("_c") * F.lit(max(1, trees // copies)), F.lit(trees)).cast("int"))
+        F.explode(F.sequence(F.lit(0), F.lit(math.ceil(groups / width) - 1))).alias("_c")
+    ).withColumn("group", (first + spread).cast("int"))
     names = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values(tie)[names].to_numpy("float64")
-        if len(rows) > sample_rows:
-            rows = rows[np.random.default_rng(seed + tree).permutation(len(rows))[:sample_rows]]
-        nodes = _grow(rows, seed * 1000 + tree)
-        return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "cut", "size"])
-
-    nodes = dealt.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).persist()
+        group = int(pdf["group"].iloc[0])
+        rows = pdf.sort_values(tie)[names].fillna(0.0).to_numpy("float64")
+        out = []
+        for tree in range(group, trees, groups):
+            taken = rows if len(rows) <= sample_rows else rows[np.random.default_rng(seed + tree).permutation(len(rows))[:sample_rows]]
+            out.append((tree, _grow(taken, seed * 1000 + tree).tobytes()))
+        return pd.DataFrame(out, columns=["tree", "nodes"])
+
+    nodes = dealt.groupBy("group").applyInPandas(grow, NODE_SCHEMA).persist()
     grown = nodes.select("tree").distinct().count()
     pool.unpersist()
     return IsolationModel(nodes, tuple(names), min(sample_rows, size), grown)
 
 
+def _bounded(trees: int, sample_rows: int) -> None:
+    """The forest goes through the driver to every task, so one that could be larger than FOREST_MB is refused."""
+    if trees * 2 * sample_rows * NODE.itemsize > FOREST_MB * 1e6:
+        raise ValueError(f"{trees} trees of {sample_rows} rows may take more than {FOREST_MB} MB")
+
+
 def _raw_scores(model: IsolationModel, df: DataFrame, name: str) -> DataFrame:
-    table = model.nodes.toPandas()  # bounded: trees x 2 x sample rows
-    packed = []
-    for _, t in table.groupby("tree"):
-        order = np.argsort(t["node"].to_numpy())
-        packed.append(tuple(t[c].to_numpy()[order] for c in ("node", "feature", "cut", "size")))
+    packed = [bytes(r["nodes"]) for r in model.nodes.select("nodes").toLocalIterator()]  # FOREST_MB at most
     shared = df.sparkSession.sparkContext.broadcast(packed)
     scale = float(_expected_path(model.sample_size)) or 1.0
     features = list(model.features)
@@ -107,17 +131,17 @@ def _raw_scores(model: IsolationModel, df: DataFrame, name: str) -> DataFrame:
         for pdf in batches:
             x = pdf[features].astype("float64").fillna(0.0).to_numpy()
             total = np.zeros(len(x))
-            for node, feature, cut, size in shared.value:
-                at = np.zeros(len(x), dtype="int64")  # position in the sorted node table; root first
-                depth = np.zeros(len(x))
-                live = feature[at] >= 0
-                while live.any():
+            for packed in shared.value:
+                nodes = np.frombuffer(packed, NODE)
+                feature, left, value = (np.ascontiguousarray(nodes[c]) for c in NODE.names)
+                at = np.zeros(len(x), dtype="int64")  # root first
+                live = np.flatnonzero(feature[at] >= 0)
+                while len(live):
                     here = at[live]
-                    left = x[live, feature[here]] < cut[here]
-                    at[live] = np.searchsorted(node, 2 * node[here] + np.where(left, 0, 1))
-                    depth[live] += 1
-                    live = feature[at] >= 0
-                total += depth + _expected_path(size[at])
+                    here = left[here] + (x[live, feature[here]] > value[here])
+                    at[live] = here
+                    live = live[feature[here] >= 0]
+                total += value[at]
             mean = total / max(len(shared.value), 1)
             yield pdf.assign(**{name: np.power(2.0, -mean / scale)})
 

@@ -135,8 +135,12 @@ def linear_contributions(model: PipelineModel, df: DataFrame, channels: Sequence
 
 
 def fit_detector(train: DataFrame, validation: DataFrame, features: Sequence[str], label="is_fraud", cents="amount_c",
-                 tie="event_id", with_isolation=True, iterations=40, legit_only_anomaly=False) -> Detector:
-    """Trees on the training slice; calibration, stack and threshold on the later slice."""
+                 tie="event_id", with_isolation=True, iterations=40, legit_only_anomaly=False,
+                 isolation_trees=I.TREES, isolation_rows=I.SAMPLE_ROWS) -> Detector:
+    """Trees on the training slice; calibration, stack and threshold on the later slice.
+
+    The isolation forest has ``isolation_trees`` trees of ``isolation_rows`` training rows each.
+    """
     assert_no_leakage(train.select(*features))
     trees = fit_gbdt(train, features, label, validation, iterations)
     on_valid = gbdt_scores(trees, validation)
@@ -145,7 +149,7 @@ def fit_detector(train: DataFrame, validation: DataFrame, features: Sequence[str
     forest, blend, channels = None, None, ["gbdt_p"]
     if with_isolation:
         base = train.filter(~F.col(label).cast("boolean")) if legit_only_anomaly else train
-        forest = I.with_percentiles(I.fit_isolation(base, features, tie, trees=64), validation)
+        forest = I.with_percentiles(I.fit_isolation(base, features, tie, isolation_trees, isolation_rows), validation)
         on_valid = I.isolation_scores(forest, on_valid)
         channels.append("anomaly")
     on_valid = on_valid.persist()

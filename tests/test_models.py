@@ -1,5 +1,6 @@
 """Fitted models: bounds on data where the answer is known."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paysieve.operators import isolation as I
@@ -33,3 +34,22 @@ def test_resampled_columns_keep_their_margins(spark, small_tasks):
     out = L.row_independent_baseline(df, ["x", "y"])
     for c in ("x", "y"):
         assert sorted(r[0] for r in out.select(c).collect()) == sorted(r[0] for r in df.select(c).collect())
+
+
+def test_forest_has_its_whole_size(spark):
+    """200 trees over all rows of a table that is smaller than a sample, here and in a detector unless told otherwise."""
+    df = _rows(spark)
+    model = I.fit_isolation(df, ["x", "y"])
+    assert (model.trees, model.sample_size) == (200, 600)
+    assert M.roc_auc(I.isolation_scores(model, df, by_batch=True), score="anomaly").first()["roc_auc"] > 0.8
+    df = df.withColumn("amount_c", F.lit(1000))
+    few = L.fit_detector(df, df, ["x", "y"], iterations=2, isolation_trees=8, isolation_rows=128).isolation
+    assert (few.trees, few.sample_size) == (8, 128)
+
+
+def test_every_tree_takes_its_whole_sample(spark):
+    """Also where rows are dealt by hash: a node's path tells the rows of a tree that cannot be cut."""
+    df = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(1.0).alias("x"))
+    roots = [np.frombuffer(r["nodes"], I.NODE)["value"][0] for r in I.fit_isolation(df, ["x"], trees=7, sample_rows=100).nodes.collect()]
+    assert roots == [float(I._expected_path(100))] * 7
+    assert np.isclose(I._grow(np.array([[0.0], [1.0]]), 3)["value"][1:], 1.0).all()
