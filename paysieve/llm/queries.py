@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysieve.catalog.base import Catalog
-from paysieve.llm import decontaminate, html_text, line_dedup, mixing, near_dedup, quality_rules, quality_votes, secret_scan, substring_dedup, token_counts
+from paysieve.llm import decontaminate, hard_negatives, html_text, line_dedup, mixing, near_dedup, packing, quality_rules, quality_votes, ranked_search, secret_scan, substring_dedup, token_counts
 
 query = Catalog()
 VOCABULARY = "piece_bpe_32k.model"
+PACKED_WITH = "byte_bpe_50k.json"
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -107,3 +108,44 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
   + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken FROM p""")
 def _(spark, d):
     return mixing.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_ranked_search", rf"""
+WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT item_id, x, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS x FROM benchmark) GROUP BY ALL),
+f AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM q) GROUP BY ALL),
+v AS (SELECT x, CAST(floor(1000 * ln((2 * CAST(n_docs AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, c GROUP BY x, n_docs),
+s AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (x) JOIN v USING (x) JOIN d USING (r), c GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s QUALIFY rank <= 20""")
+def _(spark, d):
+    return ranked_search.search(ranked_search.index(_table(spark, d, "documents")), _table(spark, d, "benchmark"))
+
+
+@query("op12_hard_negatives", """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+w AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 5""")
+def _(spark, d):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, d, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_best_fit_packing")
+def _(spark, d):
+    pieces = packing.pack(_table(spark, d, "documents"), f"{TOKENIZERS}/{PACKED_WITH}")
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
