@@ -9,7 +9,7 @@ components are still open, so a document costs about SIZE * ln(SIZE) points howe
 
 Signatures are cut into BANDS bands (a pair of similarity 0.8 misses all of them with a probability under 4e-6). Links:
 
-1. Equal multisets are one node, represented by the least id.
+1. Equal multisets are one node, represented by the row of least id. Nodes are numbered in the order of these ids.
 2. In every band key all nodes are compared, exactly, with the one among them that shares most keys with others (the
    centre of a group of copies); links join components.
 3. Keys that still hold several components are searched for the remaining links across them, key by key inside tasks. A
@@ -23,7 +23,7 @@ Keys with more than BLOCK nodes are searched in blocks of that size, each pair o
 Comparison is dealt by (common node, salt), with the salts of a node in proportion to its partners. Nothing is collected.
 
 Null and empty texts have no shingle and are alone in their class; so are rows without an id. Rows that share an id are one
-document and in one class, with the copies of each of their texts; the least of the texts is the one compared with others.
+document and in one class, with the copies and near copies of each of their texts, as every text is a node of its own.
 Only id and text are read.
 """
 
@@ -125,7 +125,7 @@ def signatures(row: np.ndarray, gram: np.ndarray, count: np.ndarray, rows: int,
 def _sign(batches):
     shingler = Shingler()
     for batch in B.slices(batches):
-        row, gram, count = shingler.multisets(batch.column(1))
+        row, gram, count = shingler.multisets(batch.column(2))
         rows = batch.num_rows
         values = signatures(row, gram, count, rows)
         bits = values.view(np.uint64).reshape(rows, BANDS, ROWS)
@@ -142,14 +142,16 @@ def _sign(batches):
         chosen = np.flatnonzero(there)
         flat = pa.array(B.signed(keys[chosen].ravel()))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chosen)), pa.array(B.signed(marks[0][chosen])), pa.array(B.signed(marks[1][chosen])), lists,
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(chosen)) for c in batch.columns[:2]), pa.array(B.signed(marks[0][chosen])), pa.array(B.signed(marks[1][chosen])), lists,
                                           pa.array(total[chosen]), pa.array([x.tobytes() for x in sketch[chosen]], pa.binary())],
-                                         names=["id", "f1", "f2", "bands", "total", "sketch"])
+                                         names=["id", "th", "f1", "f2", "bands", "total", "sketch"])
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets given as sorted hashes and counts."""
     (x, n), (y, m) = a, b
+    if not len(x) or not len(y):
+        return 0.0
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     common = np.minimum(n, m[at])[y[at] == x].sum()
     return common / (n.sum() + m.sum() - common)
@@ -186,10 +188,11 @@ def compared(pairs: DataFrame, texts: DataFrame, partners: int = PARTNERS) -> Da
     return rows.mapInArrow(_compare, f"node {kind}, other {kind}, similar double")
 
 
-def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One text of every id that occurs in a column of the rows; of several with one id, the least."""
-    ids = rows.select(F.explode(F.array(*rows.columns)).alias("id")).distinct()
-    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, text) of every node that occurs in a column of the rows; docs has (id, th, text), nodes their row of least id."""
+    wanted = rows.select(F.explode(F.array(*rows.columns)).alias("node")).distinct()
+    places = nodes.join(wanted, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
+    return docs.join(places, ["id", "th"]).groupBy("node").agg(F.min("text").alias("text")).withColumnRenamed("node", "id")
 
 
 def _search(similar: float):
@@ -296,16 +299,18 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    known = base.filter("id IS NOT NULL")
+    known = base.filter("id IS NOT NULL").select("id", F.xxhash64("text").alias("th"), "text")
     path = scratch_path(spark, "signatures")
     kind = base.schema["id"].dataType.simpleString()
-    known.mapInArrow(_sign, f"id {kind}, f1 long, f2 long, bands array<long>, total long, sketch binary").write.parquet(path)
+    known.mapInArrow(_sign, f"id {kind}, th long, f1 long, f2 long, bands array<long>, total long, sketch binary").write.parquet(path)
     signed = spark.read.parquet(path)
 
-    firsts = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    copies = _settled(signed.select("id", "f1", "f2").join(firsts, ["f1", "f2"]).select("id", "rep", "f1", "f2"))
-    nodes = copies.filter("id = rep").select("id", "f1", "f2").distinct()
-    keys = signed.join(nodes, ["id", "f1", "f2"], "left_semi").select(F.col("id").alias("rep"), F.posexplode("bands").alias("number", "band"))
+    # nodes, numbered in the order of their least id, so that the least node of a class holds its least id
+    firsts = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("rep"))
+    nodes = _settled(firsts.orderBy("rep").withColumn("node", F.monotonically_increasing_id()))
+    copies = _settled(signed.select("id", "f1", "f2").join(nodes.select("node", "f1", "f2"), ["f1", "f2"]).select("id", "node"))
+    own = nodes.select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
+    keys = signed.join(own, ["id", "th"]).select(F.col("node").alias("rep"), F.posexplode("bands").alias("number", "band"))
 
     crowds = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = _settled(keys.join(crowds, "band"))
@@ -313,11 +318,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     centres = crowded.join(shared, "rep").groupBy("band").agg(F.max(F.struct("score", "rep"))["rep"].alias("node"))
     stars = _settled(crowded.join(centres, "band").select("band", "number", "node", F.col("rep").alias("other"), "n"))
     pairs = stars.filter("node <> other").select("node", "other").distinct()
-    done = _settled(compared(pairs, _texts(known, pairs)))
+    done = _settled(compared(pairs, _texts(known, nodes, pairs)))
 
-    # rows with one id but several texts, and copies' ids that differ from their representative
-    own = copies.filter("id <> rep").select(F.col("id").alias("other"), F.col("rep").alias("node"))
-    links = done.filter(F.col("similar") >= similar).select("node", "other").union(own.select("node", "other")).distinct()
+    # ids with several texts hold their nodes together
+    several = copies.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    same = copies.join(several, "id").filter("node <> least").select(F.col("least").alias("node"), F.col("node").alias("other"))
+    links = done.filter(F.col("similar") >= similar).select("node", "other").union(same).distinct()
     parts = _settled(connected_components(links, src="node", dst="other"))
 
     members = (stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
@@ -325,20 +331,22 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
                .select("band", "number", "other", "n", F.coalesce("component", "other").alias("component"),
                        F.when(F.col("node") == F.col("other"), 0.0).otherwise(1 - F.col("similar")).alias("far")))
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-    sketches = signed.join(nodes, ["id", "f1", "f2"], "left_semi").groupBy("id").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
-    open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == F.col("id")).select(
+    sketches = signed.join(own, ["id", "th"]).groupBy("node").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
+    open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == sketches["node"]).select(
         "band", "number", "n", "other", "component", "far", "s.total", "s.sketch", F.slice("s.bands", 1, F.col("number")).alias("earlier"))
-    more = _settled(_across(open_.join(_texts(known, open_.select("other")), F.col("other") == F.col("id")), similar))
+    more = _settled(_across(open_.join(_texts(known, nodes, open_.select("other")), F.col("other") == F.col("id")), similar))
     if not more.isEmpty():
         done = done.unionByName(more.join(done.select("node", "other"), ["node", "other"], "left_anti"))
         links = links.union(more.select("node", "other")).distinct()
         parts = _settled(connected_components(links, src="node", dst="other"))
 
     degree = (done.filter(F.col("similar") >= similar).select(F.explode(F.array("node", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
-    ids = parts.join(degree, "id", "left")
-    out = base.select("id").join(ids, "id", "left")
-    found = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), found.alias("class_id"), F.coalesce(F.col("id") == found, F.lit(True)).alias("is_first"),
+    linked = parts.join(degree, "id", "left").withColumnRenamed("id", "node")
+    found = copies.distinct().join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"), F.sum("n_links").alias("n_links"))
+    classed = found.join(own.select(F.col("node").alias("component"), F.col("id").alias("class_id")), "component").select("id", "class_id", "n_links")
+    out = base.select("id").join(classed, "id", "left")
+    least = F.coalesce("class_id", "id")
+    return out.select(F.col("id").alias(key), least.alias("class_id"), F.coalesce(F.col("id") == least, F.lit(True)).alias("is_first"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
