@@ -12,8 +12,9 @@ the batch. A very common line is one row per document after the distinct lines o
 partial counts. Documents themselves are shuffled once, by id, to meet the positions of their dropped lines.
 
 Null and empty texts are one empty line. Rows that share an id are one document when documents are counted; a row without
-an id counts as the one document of the smallest id. Lines of equal rows get equal results. Only id and text are read, so
-extra columns cannot clash, and a filter returns them unchanged.
+an id counts as the one document of the smallest id. Lines of equal rows get equal results. Ids are whole numbers. Only id
+and text are read; the other columns travel packed in one struct, so their names cannot clash, and come back unchanged.
+Runs are managed tables and dropped as soon as the dropped keys are written.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ class Runs:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
-         .option("path", scratch_path(self.spark, "run")).saveAsTable(name))
+        rows.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
         return name
 
     def _place(self, name: str, level: int) -> None:
@@ -61,8 +61,15 @@ class Runs:
         if len(held) == self.fanout:
             self.levels[level] = []
             self._place(self._write(self.merged(held)), level + 1)
-            for old in held:
-                self.spark.sql(f"DROP TABLE {old}")
+            self._drop(held)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+    def close(self) -> None:
+        self._drop(self.names())
+        self.levels = {}
 
     def names(self) -> list[str]:
         return [n for held in self.levels.values() for n in held]
@@ -107,19 +114,24 @@ def dropped_keys(docs: DataFrame, text: str = "text", key: str = "doc_id", short
     per_doc.select("rank_id", "k.h1", "k.h2").write.parquet(path)
     per_doc = spark.read.parquet(path)
 
-    runs, upper = Runs(spark, fanout), None
-    for cut in [*_cuts(per_doc, batches), None]:
-        part = per_doc
-        if upper is not None:
-            part = part.filter(F.col("rank_id") < upper)
-        if cut is not None:
-            part = part.filter(F.col("rank_id") >= cut)
-        once = part.groupBy("h1", "h2", "rank_id").agg(F.lit(1).alias("one"))
-        runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("rank_id").alias("last")))
-        upper = cut
-
-    hits = per_doc.join(runs.result(copies), ["h1", "h2"]).filter("rank_id <> keeper")
-    return hits.groupBy("rank_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # at most the distinct lines of one document
+    runs, upper, path = Runs(spark, fanout), None, scratch_path(spark, "gone")
+    try:
+        for cut in [*_cuts(per_doc, batches), None]:
+            part = per_doc
+            if upper is not None:
+                part = part.filter(F.col("rank_id") < upper)
+            if cut is not None:
+                part = part.filter(F.col("rank_id") >= cut)
+            once = part.groupBy("h1", "h2", "rank_id").agg(F.lit(1).alias("one"))
+            runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("rank_id").alias("last")))
+            upper = cut
+
+        hits = per_doc.join(runs.result(copies), ["h1", "h2"]).filter("rank_id <> keeper")
+        hits = hits.groupBy("rank_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # at most the distinct lines of one document
+        hits.write.parquet(path)
+    finally:
+        runs.close()
+    return spark.read.schema(hits.schema).parquet(path)
 
 
 def _rank(key: str) -> Column:
@@ -127,28 +139,29 @@ def _rank(key: str) -> Column:
 
 
 def _judged(docs: DataFrame, text: str, key: str, **options) -> DataFrame:
-    """The input with _lines and _kept, arrays of lines; _gone is null where nothing goes."""
-    hits = dropped_keys(docs, text, key, **options).select(F.col("rank_id").alias("_id"), F.col("gone").alias("_gone"))
-    rows = docs.withColumn("_rank", _rank(key))
-    rows = rows.join(hits, F.col("_rank") == F.col("_id"), "left").withColumn("_lines", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1))
-    keyed = F.transform("_lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("k")))
-    stays = F.filter(keyed, lambda x: (F.length(x["k"]) < options.get("shortest", SHORTEST)) | ~F.array_contains("_gone", _hash(x["k"])))
-    return rows.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stays, lambda x: x["line"])))
+    """(row, lines, kept, gone): the input row as a struct, arrays of lines, and null in gone where nothing goes."""
+    hits = dropped_keys(docs, text, key, **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rank(key).alias("id"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
+    rows = rows.join(hits, F.col("id") == F.col("rank_id"), "left")
+    keyed = F.transform("lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("k")))
+    stays = F.filter(keyed, lambda x: (F.length(x["k"]) < options.get("shortest", SHORTEST)) | ~F.array_contains("gone", _hash(x["k"])))
+    return rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"])))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """Per input row: id, n_lines, n_dropped and `kept`, the lines left joined by line feeds."""
     rows = _judged(docs.select(key, text), text, key, **options)
-    return rows.select(key, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-                       F.array_join("_kept", "\n").alias("kept"))
+    return rows.select(F.col("row").getField(key).alias(key), F.size("lines").cast("long").alias("n_lines"),
+                       (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
 
 
 def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = None, **options) -> DataFrame:
     """The input with the lines left as its text, and the code points of a changed text in the column `length`, if any."""
     rows = _judged(docs, text, key, **options)
-    changed = F.col("_gone").isNotNull()
-    new = F.array_join("_kept", "\n")
-    own = {text: F.when(changed, new).otherwise(F.col(text))}
+    changed = F.col("gone").isNotNull()
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    new = F.array_join("kept", "\n")
+    own = {text: F.when(changed, new).otherwise(old[text])}
     if length:
-        own[length] = F.when(changed, F.length(new)).otherwise(F.col(length)).cast(docs.schema[length].dataType)
-    return rows.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+        own[length] = F.when(changed, F.length(new)).otherwise(old[length]).cast(docs.schema[length].dataType)
+    return rows.select(*[own.get(c, old[c]).alias(c) for c in docs.columns])

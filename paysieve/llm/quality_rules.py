@@ -3,7 +3,8 @@ ablations are integer operations on the mask, so a new policy never reads a text
 
 Rows are kept whole and in place: evaluation is one narrow pass without a shuffle, whatever the skew of sources.
 Null and empty texts have no words, fail `few_words` and are rejected by every policy that contains it. Repeated rows
-are evaluated alike. Columns of the input are left out of the ledger except the id, so names cannot clash.
+are evaluated alike. Columns of the input are left out of the ledger except the id; where rows are kept whole, the
+measurements travel in one struct column whose name the input does not hold, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paysieve.llm import buffers as B
 
@@ -110,30 +112,40 @@ def distinct(rows, values, n):
     return np.bincount(r[new], minlength=n)
 
 
-def _with_measures(docs: DataFrame, text: str) -> DataFrame:
-    names = [f"_m_{m}" for m in MEASURES]
+def _free_name(columns: list[str], name: str = "measured") -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_measures(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The rows with all measurements in one struct column, and that column's name."""
+    name = _free_name(docs.columns)
 
     def run(batches):
         for batch, values in _measured(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in values)], names=[*batch.schema.names, *names])
+            packed = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in values], names=list(MEASURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, name])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, " + ", ".join(f"{n} long" for n in names))
+    kind = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)])), name
 
 
-def _mask() -> Column:
-    """All rules, each as one bit, over the measurement columns named with the prefix _m_."""
+def _mask(measured: str) -> Column:
+    """All rules, each as one bit, over the measurements in a struct column."""
     mask = F.lit(0)
     for name, condition in RULES:
-        fails = F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_m_\1", condition))
+        fails = F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{measured}`.\1", condition))
         mask = mask + F.when(fails, F.lit(BIT[name])).otherwise(F.lit(0))
     return mask.cast("int")
 
 
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: id, measurements, and `failed`, the mask of rules that fail."""
-    out = _with_measures(docs.select(F.col(key), F.col(text)), text)
-    return out.select(F.col(key), *[F.col(f"_m_{m}").alias(m) for m in MEASURES], _mask().alias("failed"))
+    out, measured = _with_measures(docs.select(F.col(key), F.col(text)), text)
+    return out.select(F.col(key), f"`{measured}`.*", _mask(measured).alias("failed"))
 
 
 def policy_mask(version: str) -> int:
@@ -166,6 +178,6 @@ def ablations(entries: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", version: str = CURRENT) -> DataFrame:
     """The input rows that a policy accepts, with their own columns, measured in place without a join."""
-    out = _with_measures(docs, text).withColumn("_m_failed", _mask())
-    accepted = F.col("_m_failed").bitwiseAND(F.lit(policy_mask(version))) == 0
+    out, measured = _with_measures(docs, text)
+    accepted = _mask(measured).bitwiseAND(F.lit(policy_mask(version))) == 0
     return out.filter(accepted).select(*[F.col(f"`{c}`") for c in docs.columns])
