@@ -22,6 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,11 +160,11 @@ def automata(items: DataFrame, text: str = "text", key: str = "item_id", window:
         for part in groups([(k or "", words)], window, most) if words else ():
             n = sum(len(w) for _, w in part)
             if size and size + n > most:
-                out.append(pickle.dumps(Automaton(group, window)))
+                out.append(cloudpickle.dumps(Automaton(group, window)))
                 group, size = [], 0
             group += part
             size += n
-    return out + ([pickle.dumps(Automaton(group, window))] if group else [])
+    return out + ([cloudpickle.dumps(Automaton(group, window))] if group else [])
 
 
 def _codes(words: np.ndarray, automaton: Automaton) -> np.ndarray:
@@ -244,10 +245,9 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_
     return rows.mapInArrow(run, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most_hits: int = 100,
-          most_share: float = 0.25) -> DataFrame:
-    """Documents with their hit spans cut out; a document with more hit words than `most_hits` or a larger share of its
-    words than `most_share` goes as a whole. All columns stay; clean documents stay byte for byte."""
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most_share: float = 0.25) -> DataFrame:
+    """Documents with their hit spans cut out; a document goes as a whole if more than `most_share` of its words are hit,
+    whatever its length. All columns stay; clean documents stay byte for byte."""
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(x) for x in automata(items, window=window)]
     columns = docs.columns
@@ -256,7 +256,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
         load = _loader(shared)
         for batch, data, offsets, starts, ends, counts, row_of, hit, _ in _scanned(batches, text, load):
             hits = np.bincount(row_of[hit], minlength=batch.num_rows)
-            stays = (hits <= most_hits) & (hits <= most_share * counts)
+            stays = hits <= most_share * counts
             at, column = np.searchsorted(starts, offsets), batch.schema.get_field_index(text)
             texts = batch.column(column)
             if hits.any():
