@@ -50,6 +50,7 @@ EXTRA = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9]", 40),
 )
 RULES = BASE + EXTRA
+FEW_LANES = 16  # fewer than these are read one by one
 
 
 def _nfa(pattern: str, steps: list, free: list) -> tuple[int, int]:
@@ -185,25 +186,49 @@ class Automaton:
         accepting = np.zeros(len(mask) * width, np.int64)
         accepting[::width] = mask
         alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-        for j, n in enumerate(alive.tolist()):
+        together = int(np.searchsorted(-alive, -FEW_LANES, "right"))  # steps with enough lanes for an array operation
+        for j, n in enumerate(alive[:together].tolist()):
             state[:n] = flat[state[:n] + codes[begin[:n] + j]]
             seen[:n] |= accepting[state[:n]]
+        rows, accepts = (self._rows(), self._accepts()) if together < len(alive) else ([], [])
+        for i in range(int(alive[together]) if together < len(alive) else 0):  # the few long ones, one after another
+            at, found = int(state[i]) // width, int(seen[i])
+            for code in codes[begin[i] + together: begin[i] + length[i]].tolist():
+                at = rows[at][code]
+                found |= accepts[at]
+            seen[i] = found
         out = np.empty(len(order), np.int64)
         out[order] = seen
         return out
 
     def spans(self, raw: bytes) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping matches of an anchored automaton."""
+        """Leftmost, longest, non-overlapping matches of an anchored automaton.
+
+        A state that was left at some place without reaching a match after it will not reach one from there later either;
+        such pairs are remembered, so the time is linear in the text however often a scan starts anew.
+        """
         codes, table, mask, dead = self.classes[np.frombuffer(raw, np.uint8)].tolist(), self._rows(), self._accepts(), self.dead
         out, at, n = [], 0, len(codes)
+        states, hopeless, far = len(table), set(), -1
         while at < n:
-            state, end = self.start, -1
+            if at > far:
+                hopeless.clear()
+            state, end, last = self.start, -1, []
             for j in range(at, n):
                 state = table[state][codes[j]]
                 if state == dead:
                     break
                 if mask[state]:
                     end = j + 1
+                    last.clear()
+                    continue
+                pair = j * states + state
+                if pair in hopeless:
+                    break
+                last.append(pair)
+            if len(last) > 1:
+                hopeless.update(last)
+                far = max(far, last[-1] // states)
             if end > at:
                 out.append((at, end))
             at = max(at + 1, end)
