@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, th string, size string, band int, anchor string, n_words string, gone string, found int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, th string, size string, band int, anchor string, n_words string, gone string, found int, _id long, _rank int, _kept string, _lines int, _gone string, _m_n_words int, row int, lines string, kept int, measured string, rank_id int"
 
 
 def words(text):
@@ -19,7 +19,7 @@ def odd_docs(spark):
     texts = [(1, None), (2, ""), (3, "   \n\t"), (None, shared + " tail"), (None, None), (4, long), (5, shared), (5, shared), (5, "other " + shared),
              (6, "one"), (7, "one"), (8, "same " * 200), (9, line + "\n" + line.upper()), *[(10 + i, f"x{i}\n {line} \nend") for i in range(5)],
              (20, "é" * 30 + "   word \0 nul"), (21, "token = 'abcdef12' token=x")]
-    rows = [(i, t, None if (i or 0) % 3 == 0 else "en", None if (i or 0) % 4 == 0 else f"src{(i or 0) % 3}", None, 7, "t", "s", 1, "a", "n", "g", 2) for i, t in texts]
+    rows = [(i, t, None if (i or 0) % 3 == 0 else "en", None if (i or 0) % 4 == 0 else f"src{(i or 0) % 3}", None, 7, "t", "s", 1, "a", "n", "g", 2, 11, 12, "k", 13, "gone", 14, 15, "l", 16, "m", 17) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -122,3 +122,123 @@ def measures(text):
             seen.add(line)
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), len(text.split("\n")), len(set(w)),
             len(re.findall("[A-Z]", text)), sum(len(x) <= 2 for x in w))
+
+
+class Node:
+    def __init__(self, tag, attrs, above):
+        self.tag, self.attrs, self.above, self.inside = tag, attrs, above, []
+
+    def line(self):
+        return [*(self.above.line() if self.above else []), self]
+
+    def walk(self):
+        yield self
+        for x in self.inside:
+            if isinstance(x, Node):
+                yield from x.walk()
+
+
+def page_text(html):
+    """Main text by way of a whole tree of elements and questions to it."""
+    import math
+    from html.parser import HTMLParser
+    from paysieve.llm import html_text as M
+
+    root = Node("", [], None)
+    events = []  # (kind, text or tag, element) in order of the page
+
+    class Tree(HTMLParser):
+        at = root
+
+        def handle_starttag(self, tag, attrs):
+            while self.at.tag in M.OPTIONAL_END and tag in M.OPTIONAL_END[self.at.tag]:
+                events.append(("cut", "", self.at))
+                self.at = self.at.above
+            events.append(("start", tag, self.at))
+            if tag not in M.VOID:
+                node = Node(tag, attrs, self.at)
+                self.at.inside.append(node)
+                self.at = node
+
+        handle_startendtag = handle_starttag
+
+        def handle_endtag(self, tag):
+            events.append(("end", tag, self.at))
+            if tag in [x.tag for x in self.at.line()[1:]]:
+                while self.at.tag != tag:
+                    self.at = self.at.above
+                self.at = self.at.above
+
+        def handle_data(self, data):
+            events.append(("text", data, self.at))
+
+    tree = Tree(convert_charrefs=True)
+    tree.feed(html)
+    tree.close()
+
+    def words_of(x):
+        return {w for k, v in x.attrs if k in ("class", "id") and v for w in re.findall("[a-z]+", v.lower())}
+
+    def side(x):
+        return x.tag not in ("body", "html", "") and (bool(words_of(x) & M.SIDE_WORDS) or any(k == "role" and v and v.lower() in M.ROLES for k, v in x.attrs))
+
+    def outer(x):
+        found = [y for y in x.line() if is_region(y)]
+        return found[0] if found else None
+
+    def is_region(x):
+        return x.tag in ("article", "main") and not side(x) and not any(hides(y) for y in x.line()[:-1])
+
+    def hides(x):
+        return (x.tag in M.HIDDEN and x.tag not in M.WRAPPERS or x.tag == "header" and not any(is_region(y) for y in x.line()[:-1])
+                or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in x.attrs))
+
+    def box(x):
+        return x.tag in M.WRAPPERS or side(x) and x.tag in M.BOXES
+
+    def gone(x):
+        return any(box(y) and not any(is_region(z) for z in y.walk() if z is not y) for y in x.line())
+
+    lines, parts, tags, where = [], [], 0, root
+
+    def close(x):
+        nonlocal parts, tags
+        text = re.sub(r"\s+", " ", "".join(t for t, _ in parts)).strip()
+        if text:
+            lines.append((text, tags, sum(len(t.strip()) for t, y in parts if y and any(z.tag == "a" for z in y.line())), x))
+        parts, tags = [], 0
+
+    for kind, value, x in events:
+        tags += kind == "end"
+        if kind == "cut" or kind in ("start", "end") and value in M.BLOCKS:
+            close(x)
+        tags += kind == "start"
+        if kind == "start" and value == "br":
+            parts.append((" ", None))
+        elif kind == "text" and not any(hides(y) for y in x.line()):
+            parts.append((value, x))
+    close(tree.at)
+    lines = [y for y in lines if not gone(y[3])]
+    if not lines:
+        return ""
+    ratio = [len(t) / max(1, n) for t, n, _, _ in lines]
+    mean = sum(ratio) / len(ratio)
+    least, smooth = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), []
+    for i in range(len(lines)):
+        near = [(ratio[j], math.exp(-(i - j) ** 2 / 2)) for j in range(len(lines)) if abs(i - j) <= 3]
+        smooth.append(sum(r * w for r, w in near) / sum(w for _, w in near))
+    good = [x >= min(least, max(smooth)) for x in smooth]
+    stays = [i for i, (_, _, _, x) in enumerate(lines) if ratio[i] >= least or not any(side(y) and not box(y) for y in x.line())]
+    regions = [outer(x) for _, _, _, x in lines]
+    wanted = {regions[i] for i in stays if good[i] and regions[i]} or {regions[i] for i in stays if regions[i]}
+    if wanted:
+        return "\n".join(lines[i][0] for i in stays if regions[i] in wanted)
+    if not any(good[i] for i in stays):
+        return "\n".join(lines[i][0] for i in stays)
+    keeps = lambda y: y.tag in M.CONTAINERS or y.tag in M.REGIONS
+    homes = [[y for y in [root, *x.line()[1:]] if y is root or keeps(y)] for _, _, _, x in lines]
+    total = sum(len(lines[i][0]) for i in stays if good[i])
+    order = [root, *[y for y in root.walk() if keeps(y)]]
+    fits = [y for y in order if sum(len(lines[i][0]) for i in stays if good[i] and y in homes[i]) >= M.NEARLY_ALL * total]
+    own = {homes[i][-1] for i in stays if good[i]}
+    return "\n".join(lines[i][0] for i in stays if (fits[-1] in homes[i] or homes[i][-1] in own) and (good[i] or 2 * lines[i][2] <= len(lines[i][0])))

@@ -89,6 +89,49 @@ def test_near_dedup(spark):
     assert kept == {i for i, c in got.items() if i == c}
 
 
+@pytest.mark.parametrize("first, second", [([1, 1], [2]), ([2, 2], [1])])
+@pytest.mark.parametrize("other", ["", "aaa zz", None])
+def test_near_dedup_ids_with_several_texts(spark, first, second, other):
+    """An id's other texts, empty or not, neither hide nor break the links of any of its texts."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(first[0], other), (first[1], " ".join(words)), (second[0], " ".join([*words[:-1], "edit"])), (7, "aaa zz"), (8, "")]
+    got = rows_of(near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "is_first", "n_links")
+    with_seven = 1 if other == "aaa zz" else 7
+    assert got == Counter([*[(i, 1, i == 1, 1) for i in (*first, *second)], (7, with_seven, with_seven == 7, 0), (8, 8, True, 0)])
+
+
+def test_near_dedup_keeps_the_least_id_of_any_type(spark):
+    docs = frame(spark, some_texts(2))
+    want = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    assert {int(r.doc_id[1:]): int(r.class_id[1:]) for r in near_dedup.classes(named).collect()} == want
+
+
+def test_line_dedup_leaves_no_tables(spark):
+    before = spark.catalog.listTables()
+    line_dedup.dedup(H.odd_docs(spark)).collect()
+    assert spark.catalog.listTables() == before
+
+
+def test_filters_return_clashing_columns_unchanged(spark):
+    docs = H.odd_docs(spark).withColumn("MEASURED_", F.lit("x"))
+    plain = rows_of(docs, *[c for c in docs.columns if c not in ("text", "n_chars")])
+    lines = line_dedup.cleaned(docs, length="n_chars")
+    assert lines.schema == docs.schema and rows_of(lines, *[c for c in docs.columns if c not in ("text", "n_chars")]) == plain
+    for out in (quality_rules.keep(docs), near_dedup.keep_first(docs), decontaminate.clean(docs, items(spark))):
+        assert out.columns == docs.columns and not rows_of(out, *[c for c in docs.columns if c not in ("text", "n_chars")]) - plain
+
+
+def test_clean_cuts_spans_of_any_number(spark):
+    """A long document loses its spans and keeps the rest, as a short one does."""
+    item = [f"b{i}" for i in range(40)]
+    own = [f"x{i % 900}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join([*own, *item, *own, *item, *own, *item])), (2, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", " ".join(item))], "item_id string, text string")
+    kept = {r.doc_id: H.words(r.text) for r in decontaminate.clean(docs, bench).collect()}
+    assert kept == {1: own * 3}
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_line_dedup(spark, batches):
     r = random.Random(4)
@@ -147,6 +190,70 @@ def test_html_text():
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "plain")] == ["", "", "<", "", "plain"] or html_text.main_text("plain") == "plain"
 
 
+LONG = "<p>" + "Long text of a paragraph that goes on and on. " * 7 + "</p>"
+SHORT = "<p>Short one.</p>"
+BOTH = [LONG[3:-5].strip(), "Short one."]
+SHAPES = {
+    "class of the body": ("<body class='has-sidebar'><article>" + LONG + SHORT + "</article></body>", BOTH),
+    "wrapper": ("<body><div id='content-sidebar-wrap'><article>" + LONG + SHORT + "</article></div></body>", BOTH),
+    "form around": ("<form><nav>x</nav><article>" + LONG + SHORT + "</article></form>", BOTH),
+    "form inside": ("<article>" + LONG + "<form><p>Send</p></form>" + SHORT + "</article>", BOTH),
+    "named paragraphs": ("<article><p class='notice'>" + LONG[3:] + SHORT + "<p class='share'>Share this</p></article>", BOTH),
+    "two articles": ("<article>" + LONG + "</article><div>x</div><article>" + SHORT + LONG + "</article>", [BOTH[0], BOTH[1], BOTH[0]]),
+    "no article": ("<body><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><div>" + LONG + SHORT + "<p>" + "w " * 150 + "</p><p>" + "word " * 600 + "</p>" + SHORT + "</div><ul><li><a>x</a></ul></body>",
+                   [*BOTH, ("w " * 150).strip(), ("word " * 600).strip(), BOTH[1]]),
+    "readers' comments": ("<article>" + LONG + SHORT + "<div id=comments>" + LONG + "<article class=comment>" + LONG + "</article></div></article>", BOTH),
+    "article in a side box": ("<article>" + LONG + SHORT + "</article><aside><article>" + LONG + "</article></aside>", BOTH),
+    "empty article": ("<body><article></article><div>" + LONG + SHORT + LONG + "</div></body>", [*BOTH, BOTH[0]]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_html_shapes(name):
+    html, want = SHAPES[name]
+    assert html_text.main_text(html).split("\n") == want
+
+
+def test_html_like_a_plain_version():
+    r, some = random.Random(6), 0
+    tags = ["p", "div", "section", "ul", "li", "a", "b", "article", "main", "aside", "nav", "form", "header", "h1", "td", "table", "tr", "br", "script", "blockquote", "footer"]
+    attrs = ["", "", "", "", ' class="ad"', ' id="x-sidebar"', ' class="notice big"', " hidden", ' role="navigation"', ' class="text"']
+
+    def part(depth):
+        out = ""
+        for _ in range(r.randint(0, 4)):
+            if depth and r.random() < 0.6:
+                tag = r.choice(tags)
+                out += f"<{tag}{r.choice(attrs)}>" + part(depth - 1) + (f"</{tag}>" if r.random() < 0.85 else "")
+            else:
+                out += r.choice(["word ", "a sentence of some words, ", "x", " &amp; ", "\n", "long running text " * 12])
+        return out + (f"</{r.choice(tags)}>" if r.random() < 0.1 else "")
+
+    for _ in range(1500):
+        html = "<body>" + part(5)
+        got = html_text.main_text(html)
+        assert got == H.page_text(html), html
+        some += bool(got)
+    assert some > 800
+
+
+@pytest.mark.parametrize("html", ["</div>" * 100_000, "<div>" * 50_000 + "x", "<p>" * 100_000, "<b></i>" * 50_000, "<div class=ad>" * 20_000 + "<p>x</p>" * 20_000, "<div><article>" * 20_000])
+def test_html_time_is_linear(html):
+    import time
+    begin = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - begin < 10
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 100_000, "-----BEGIN " * 30_000, "token=" * 50_000, "ab0" * 100_000])
+def test_secret_time_is_linear(text):
+    import time
+    begin = time.process_time()
+    found = secret_scan.Scanner().scan(*buffers.utf8(pa.array([text])))[0]
+    assert time.process_time() - begin < 10
+    assert [(secret_scan.RULES[i].kind, s, e) for s, i, e in found if i < 3] == secret_scan.reference_spans(text)
+
+
 def test_decontaminate(spark):
     texts = [t for t in some_texts(6, 60)]
     items = [("b1", " ".join((texts[3] or "").split()[5:40])), ("b2", "fu gu hu"), ("b3", "Fu, GU!"), ("b4", ""), ("b5", None), ("b1", "au av aw"),
@@ -160,7 +267,7 @@ def test_decontaminate(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     found = [(hit.sum(), {r: sorted(x) for r, x in names.items() if x}) for *_, hit, names in decontaminate._scanned([batch], "text", lambda: many)]
     assert sum(n for n, _ in found) == sum(len(h) for _, h, _ in want) and found[0][1] == {i: x for i, (_, _, x) in enumerate(want) if x}
-    clean = {r.doc_id: r.text for r in decontaminate.clean(docs, bench, most_hits=1000, most_share=1.0).collect()}
+    clean = {r.doc_id: r.text for r in decontaminate.clean(docs, bench, most_share=1.0).collect()}
     for i, (n, hit, _) in enumerate(want):
         left = [w for j, w in enumerate(H.NORMAL.findall(H.lower(texts[i]))) if j not in hit]
         assert H.NORMAL.findall(H.lower(clean[i])) == left and (hit or clean[i] == texts[i])

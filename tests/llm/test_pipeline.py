@@ -27,7 +27,7 @@ def brute(rows, items):
     rows = [r for r in rows if classes[r["doc_id"]] == r["doc_id"]]
     out = []
     for r, (n, hit, _) in zip(rows, H.benchmark_hits([r["text"] for r in rows], items)):
-        if len(hit) <= 100 and len(hit) <= 0.25 * n:
+        if len(hit) <= 0.25 * n:
             found = list(H.NORMAL.finditer(H.lower(r["text"])))
             pieces, begin, i = [], 0, 0
             while i < len(found):
