@@ -9,6 +9,8 @@ Targets share all words by weight; a target stops at MOST times its source's siz
 others by weight, which is solved in one step: with sources sorted by MOST * size / weight, those that stop are a prefix.
 That table has a row per source, a number fixed by the corpus's make-up; documents only join it.
 
+Texts are read once: ids, sources, sizes and keys are written to the shared folder, and all else works on these small rows.
+
 A hot source only has more ranges. Null texts have no words; documents without words take nothing. Null sources are one
 source, the last by order. Repeated rows are documents of their own. An id or a source of any name or type will do; other
 columns are not read.
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paysieve.plans.durable import scratch_path
+
 WEIGHTS = (1, 2, 3)
 MOST = 3
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4_000
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
@@ -59,7 +63,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         most: int = MOST, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per input row: id, source, size, source_size, target of its source, `taken` words, and `epochs`, whole repeats."""
     rows = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"))
-    rows = rows.withColumn("k", random_key(F.col("id"), seed))
+    rows, path = rows.withColumn("k", random_key(F.col("id"), seed)), scratch_path(docs.sparkSession, "sizes")
+    rows.write.parquet(path)
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "s")
     out = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
