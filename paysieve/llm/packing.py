@@ -25,7 +25,10 @@ tokenised whole. An empty table gives no pieces. Reruns give equal sequences as
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -52,12 +55,42 @@ ASCII_ALNUM = np.array([chr(x).isalnum() and x < 0x80 for x in range(256)])
 PUNCTUATION = PRINTED & ~ASCII_ALNUM
 
 
+#: Words that are one piece to every byte-level pattern: letters of the Latin blocks, which all Unicode versions know.
+PLAIN = re.compile("\x20?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 itself, the others from 256 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def plain_encoder(definition: str):
+    """A faster encoder for PLAIN words from the same file, or None if the file isn't byte-level with merges in the order of ids."""
+    import tiktoken
+
+    spec = json.loads(definition)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    if model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    byte = byte_characters()
+    if made != sorted(set(made)) or made[:1] == [-1] or len(made) + 256 != len(model["vocab"]) or not all(c in model["vocab"] for c in byte):
+        return None
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("plain", pat_str=r" ?[^ \n]+|\n", mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokens:
     """Token ids of texts by a tokenizer file of the tokenizers library, byte-level with its usual splitting pattern.
 
     Such a pattern always begins a token at a space before a printable character, and at a mark that follows a letter or
     digit, so the words between such places are tokenised one by one, and most of them have been seen before. Slices that
-    hold the text of a special token are tokenised row by row.
+    hold the text of a special token are tokenised row by row. New words of plain letters go through a second encoder of
+    the same vocabulary and merges, all others through the library.
     """
 
     def __init__(self, definition: str):
@@ -66,22 +99,31 @@ class Tokens:
 
         self.model = Tokenizer.from_str(definition)
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = plain_encoder(definition)
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.ids, self.used, self.starts, self.size = {}, np.zeros(1 << 16, np.uint32), 0, np.zeros(1, np.int64), 0
 
     def _add(self, words: list[str]) -> None:
-        place, ends = len(self.starts) - 1, []
-        for ids in (e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)):
-            end = self.used + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used: end] = ids
-            self.used = end
-            ends.append(end)
-        self.starts = np.concatenate([self.starts, np.array(ends, np.int64)])
-        self.known.update((w, place + i) for i, w in enumerate(words))
+        plain = [w for w in words if PLAIN.fullmatch(w)] if self.plain else []
+        if plain:
+            ids = self.plain.encode_to_numpy("\n".join(plain))
+            between = ids == self.plain.encode_ordinary("\n")[0]
+            self._keep(plain, ids[~between], np.diff(np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])) - 1)
+            words = [w for w in words if not PLAIN.fullmatch(w)]
+        found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        self._keep(words, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used: end] = ids
+        self.known.update(zip(words, range(len(self.starts) - 1, len(self.starts) - 1 + len(words))))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes)])
+        self.used = end
         self.size += sum(map(len, words))
 
     def breaks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -201,12 +201,26 @@ def test_tokens_like_the_tokenizer():
     r = random.Random(13)
     parts = ["a", "Ab", " ", "  ", "\n", "'s", "'", ".", ",", "1", "é", " ", "　", "語", "\t", "-", "\x1c", "\x85", "ll", "😀"]
     texts = [None, "", *["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]]
+    letters = "etaoinshrdluETÀÖØöøÿĀŁȏſ"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(5000)]
+    texts += [" ".join(r.choice(words) for _ in range(60)) for _ in range(200)]
+    assert fast.plain is not None
     for group in (texts, SPECIAL, texts[::-1]):
         ids, at = fast.of(pa.array(group, pa.string()), 0)
         for i, t in enumerate(group):
             assert ids[at[i]: at[i + 1]].tolist() == [*model.encode(t or "", add_special_tokens=False).ids, 0], t
 
 
+@pytest.mark.skipif(not TOKENIZER.exists(), reason="no vocabulary here")
+def test_plain_words_need_a_file_of_the_usual_form():
+    import json
+    spec = json.loads(TOKENIZER.read_text())
+    assert packing.plain_encoder(json.dumps(spec)) is not None
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+                   {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}, {"model": spec["model"] | {"type": "Unigram"}}):
+        assert packing.plain_encoder(json.dumps(spec | change)) is None
+
+
 @pytest.mark.skipif(not TOKENIZER.exists(), reason="no vocabulary here")
 def test_packing(spark):
     from tokenizers import Tokenizer
