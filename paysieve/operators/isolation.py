@@ -13,18 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysieve.operators.splits import smallest
+from paysieve.plans.durable import durable, scratch_path
 
 TREES = 200
 SAMPLE_ROWS = 65_536
 EULER = 0.5772156649015329
 NODE = np.dtype([("feature", "<i2"), ("left", "<i4"), ("value", "<f8")])  # 14 bytes
 NODE_SCHEMA = "tree int, nodes binary"
-FOREST_MB = 400  # of all trees together; 200 trees of 65,536 rows have 367 MB at most
+PART_MB = 40  # of trees that a task holds; a smaller forest is broadcast whole, of a larger one each task gets a part
+PART_ROWS = 1_000_000  # that one task scores with its part
 
 
 def _expected_path(n):
@@ -66,7 +69,7 @@ def _grow(rows: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class IsolationModel:
-    nodes: DataFrame  # one row per tree, of 2 x sample_rows nodes of 14 bytes at most
+    nodes: DataFrame  # one row per tree, of 2 x sample_rows nodes of 14 bytes at most, in the shared folder
     features: tuple[str, ...]
     sample_size: int
     trees: int
@@ -89,7 +92,6 @@ def fit_isolation(
         df.select(tie, *features).withColumn("_order", F.xxhash64(F.lit(seed), F.col(tie))), "_order", tie, trees * enough
     ).drop("_order").persist()
     size = pool.count()
-    _bounded(trees, min(sample_rows, size))
     width = min(max(1, size // enough), trees)
     groups = trees if width > 1 else min(trees, df.sparkSession.sparkContext.defaultParallelism)
     first = F.col("_c") * width
@@ -109,46 +111,96 @@ def fit_isolation(
             out.append((tree, _grow(taken, seed * 1000 + tree).tobytes()))
         return pd.DataFrame(out, columns=["tree", "nodes"])
 
-    nodes = dealt.groupBy("group").applyInPandas(grow, NODE_SCHEMA).persist()
+    path = scratch_path(df.sparkSession, "forest")
+    dealt.groupBy("group").applyInPandas(grow, NODE_SCHEMA).write.parquet(path)
+    nodes = df.sparkSession.read.schema(NODE_SCHEMA).parquet(path)
     grown = nodes.select("tree").distinct().count()
     pool.unpersist()
     return IsolationModel(nodes, tuple(names), min(sample_rows, size), grown)
 
 
-def _bounded(trees: int, sample_rows: int) -> None:
-    """The forest goes through the driver to every task, so one that could be larger than FOREST_MB is refused."""
-    if trees * 2 * sample_rows * NODE.itemsize > FOREST_MB * 1e6:
-        raise ValueError(f"{trees} trees of {sample_rows} rows may take more than {FOREST_MB} MB")
-
-
-def _raw_scores(model: IsolationModel, df: DataFrame, name: str) -> DataFrame:
-    packed = [bytes(r["nodes"]) for r in model.nodes.select("nodes").toLocalIterator()]  # FOREST_MB at most
+def _paths(packed: list[bytes], x: np.ndarray) -> np.ndarray:
+    """Sum of the path lengths of all rows over some trees."""
+    total = np.zeros(len(x))
+    for tree in packed:
+        nodes = np.frombuffer(tree, NODE)
+        feature, left, value = (np.ascontiguousarray(nodes[c]) for c in NODE.names)
+        at = np.zeros(len(x), dtype="int64")  # root first
+        live = np.flatnonzero(feature[at] >= 0)
+        while len(live):
+            here = at[live]
+            here = left[here] + (x[live, feature[here]] > value[here])
+            at[live] = here
+            live = live[feature[here] >= 0]
+        total += value[at]
+    return total
+
+
+def _score(total: np.ndarray, trees: int, sample_size: int) -> np.ndarray:
+    scale = float(_expected_path(sample_size)) or 1.0
+    return np.power(2.0, -(total / max(trees, 1)) / scale)
+
+
+def _raw_scores(model: IsolationModel, df: DataFrame, name: str, part_mb: float = PART_MB) -> DataFrame:
+    most = 2 * max(model.sample_size, 1) * NODE.itemsize  # of one tree
+    per_part = max(1, int(part_mb * 1e6) // most)
+    if model.trees > per_part:
+        return _scores_by_parts(model, df, name, per_part)
+    packed = [bytes(r["nodes"]) for r in model.nodes.select("nodes").toLocalIterator()]  # part_mb at most
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    scale = float(_expected_path(model.sample_size)) or 1.0
     features = list(model.features)
 
     def score(batches):
         for pdf in batches:
             x = pdf[features].astype("float64").fillna(0.0).to_numpy()
-            total = np.zeros(len(x))
-            for packed in shared.value:
-                nodes = np.frombuffer(packed, NODE)
-                feature, left, value = (np.ascontiguousarray(nodes[c]) for c in NODE.names)
-                at = np.zeros(len(x), dtype="int64")  # root first
-                live = np.flatnonzero(feature[at] >= 0)
-                while len(live):
-                    here = at[live]
-                    here = left[here] + (x[live, feature[here]] > value[here])
-                    at[live] = here
-                    live = live[feature[here] >= 0]
-                total += value[at]
-            mean = total / max(len(shared.value), 1)
-            yield pdf.assign(**{name: np.power(2.0, -mean / scale)})
+            yield pdf.assign(**{name: _score(_paths(shared.value, x), trees, sample_size)})
 
+    trees, sample_size = model.trees, model.sample_size
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     return df.mapInPandas(score, schema)
 
 
+def _scores_by_parts(model: IsolationModel, df: DataFrame, name: str, per_part: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Scores where the forest is too large for one task: trees are dealt to parts, every task scores rows with its part.
+
+    Rows are numbered once. They and the trees meet by (part, salt), the trees first, and the partial sums of a row's
+    paths are added up; the forest never passes the driver.
+    """
+    spark, features = df.sparkSession, list(model.features)
+    path = scratch_path(spark, "numbered")
+    df.withColumn("_no", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_no", T.LongType())])).parquet(path)
+    salts = max(1, -(-numbered.count() // part_rows))
+    parts = -(-model.trees // per_part)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    rows = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("_no"), F.lit(salts)).cast("int").alias("salt"),
+                           F.col("_no").alias("no"), x.alias("x"), F.lit(None).cast("binary").alias("nodes"))
+    trees = model.nodes.select("tree", "nodes").withColumn("part", F.floor(F.col("tree") / per_part).cast("int")).select(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("no"), F.lit(None).cast("array<double>").alias("x"), "nodes")
+    both = trees.unionByName(rows).repartition(parts * salts, "part", "salt").sortWithinPartitions("part", "salt", F.col("no").asc_nulls_first())
+
+    def partial(batches):
+        key, held = None, []
+        for batch in batches:
+            here = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            cuts = [i for i in range(len(here)) if not i or here[i] != here[i - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(here)]):
+                if here[low] != key:
+                    key, held = here[low], []
+                piece = batch.slice(low, high - low)
+                known = piece.column(2).null_count  # trees come first
+                held += piece.column(4).slice(0, known).to_pylist()
+                rows = piece.slice(known)
+                if rows.num_rows:
+                    values = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(_paths(held, values))], names=["no", "total"])
+
+    sums = both.mapInArrow(partial, "no long, total double").groupBy("no").agg(F.sum("total").alias("_total"))
+    scale = float(_expected_path(model.sample_size)) or 1.0
+    scored = numbered.join(sums, F.col("_no") == F.col("no"))
+    return scored.withColumn(name, F.pow(F.lit(2.0), -(F.col("_total") / max(model.trees, 1)) / scale)).select(*[f"`{c}`" for c in df.columns], name)
+
+
 def rescale(df: DataFrame, raw: str, low: float | None = None, high: float | None = None, name="anomaly") -> DataFrame:
     """Clip to [0, 1] between the 1st and 99th percentile, of this batch unless given."""
     if low is None or high is None:
@@ -163,7 +215,7 @@ def isolation_scores(model: IsolationModel, df: DataFrame, name="anomaly", by_ba
     """Scores in [0, 1]; the percentiles stored at fit time are used unless ``by_batch``."""
     raw = _raw_scores(model, df, "_raw")
     if by_batch or model.low is None:
-        raw = raw.persist()
+        raw = durable(raw)
         out = rescale(raw, "_raw", name=name)
     else:
         out = rescale(raw, "_raw", model.low, model.high, name)

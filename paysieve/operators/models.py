@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,10 +17,16 @@ from pyspark.sql import functions as F
 from paysieve.operators import isolation as I
 from paysieve.operators import metrics as M
 from paysieve.operators.realism import _standardised, numeric_view, verdict
+from paysieve.operators import trees as T
+from paysieve.operators.graph import neighbour_aggregate
 from paysieve.operators.splits import balanced_sample, downsample_negatives, positional_cut, smallest
+from paysieve.plans.durable import durable
 from paysieve.operators.validation import SCOPE_MASKS, assert_no_leakage, party_view
 
+# Sizes of the reference's ensembles, and rounds without a better one that end boosting.
+ROUNDS, COMPARED_ROUNDS, GRAPH_ROUNDS, PATIENCE = 600, 300, 300, 32
 MIN_POSITIVES = 30
+# End of fixed values.
 MIN_SCOPE_ROWS, MIN_SCOPE_POSITIVES = 2_000, 2
 # How far a scope came.
 FITTED, TOO_FEW_ROWS, TOO_FEW_POSITIVES, NO_EVALUATION_FRAUD = "fitted", "too_few_rows", "too_few_positives", "no_fraud_in_evaluation_window"
@@ -33,44 +39,97 @@ MEMBERSHIP_MIN, MEMBERSHIP_MAX, MEMBERSHIP_ROWS, MEMBERSHIP_SAMPLE = 0.50, 0.55,
 MODEL_MEMORY_MB = 1024
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """The kept rounds of boosted trees, the features' importances, and (round, average precision) as measured."""
+
+    features: tuple[str, ...]
+    table: T.TreeTable
+    importances: tuple[float, ...]
+    measured: tuple[tuple[int, float], ...] = ()
+
+
 @dataclass(frozen=True)
 class Detector:
     """Fitted channels, the stacked model, the threshold and what the fit measured."""
 
     features: tuple[str, ...]
-    gbdt: PipelineModel
+    gbdt: Boosted
     platt: PipelineModel
     isolation: I.IsolationModel | None = None
     stack: PipelineModel | None = None
     threshold: float = 0.5
     measured: Mapping[str, float] = field(default_factory=dict)
+    graph: Boosted | None = None
+    graph_columns: tuple[str, ...] = ()
+    graph_key: str = ""
+
+    @property
+    def channels(self) -> list[str]:
+        return ["gbdt_p", *(["graph"] if self.graph else []), *(["anomaly"] if self.isolation else [])]
 
 
 def fit_gbdt(train: DataFrame, features: Sequence[str], label="is_fraud", validation: DataFrame | None = None,
-             iterations=60, depth=5, seed=42, weigh_positives=True) -> PipelineModel:
-    """Boosted trees with positives weighted by neg/pos; stops early on the validation rows."""
+             iterations=ROUNDS, depth=5, seed=42, weigh_positives=True, patience=PATIENCE) -> Boosted:
+    """Boosted trees with positives weighted by neg/pos.
+
+    With validation rows the round of the best average precision there is kept, the first of equals; boosting ends
+    once ``patience`` rounds have brought nothing better. The trainer can't be halted from outside, but its first rounds do
+    not depend on how many follow, so it is run for 2 x patience rounds first and for twice as many as long as that is needed.
+    """
     y = F.col(label).cast("double")
     counts = train.agg(F.sum(y).alias("p"), F.count(F.lit(1)).alias("n")).first()
     positives = counts["p"] or 0
     if weigh_positives and positives < MIN_POSITIVES:
         raise ValueError(f"only {int(positives)} positives in the training rows; {MIN_POSITIVES} are needed")
     weight = max((counts["n"] - positives) / max(positives, 1), 1.0) if weigh_positives else 1.0
-    marked = train.select(*features, y.alias("_y"), F.lit(False).alias("_valid"))
-    if validation is not None:
-        marked = marked.unionByName(validation.select(*features, y.alias("_y"), F.lit(True).alias("_valid")))
-    marked = marked.withColumn("_w", F.when(F.col("_y") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
-    trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=iterations, maxDepth=depth, seed=seed,
-                          maxMemoryInMB=MODEL_MEMORY_MB, stepSize=0.1, subsamplingRate=0.8,
-                          **({"validationIndicatorCol": "_valid"} if validation is not None else {}))
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    return Pipeline(stages=[assembler, trees]).fit(marked)
-
-
-def gbdt_scores(model: PipelineModel, df: DataFrame, name="gbdt", margin="_margin") -> DataFrame:
-    """Adds the probability and the margin (raw sum of trees)."""
-    out = model.transform(df)
-    return out.withColumns({name: vector_to_array("probability")[1], margin: vector_to_array("rawPrediction")[1]}).drop(
-        "_x", "rawPrediction", "probability", "prediction")
+    marked = train.select(*[T.number(f).alias(f) for f in features], y.alias("_y")).withColumn("_w", F.when(F.col("_y") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    points = assembler.transform(marked).select("_x", "_y", "_w").persist()
+
+    def boosted(rounds: int):
+        trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed,
+                              maxMemoryInMB=MODEL_MEMORY_MB, stepSize=0.1, subsamplingRate=0.8)
+        model = trees.fit(points)
+        return T.tree_table(model, train.sparkSession), tuple(float(x) for x in model.featureImportances.toArray())
+
+    try:
+        if validation is None:
+            table, importances = boosted(iterations)
+            return Boosted(tuple(features), table, importances)
+        measured, rounds = [], min(iterations, 2 * patience)
+        while True:
+            table, importances = boosted(rounds)
+            found = T.round_quality(validation, table, features, label, len(measured)).collect()  # one row per round
+            measured += sorted((r["round"], r["average_precision"] or 0.0) for r in found)
+            kept = kept_round(measured, patience)
+            if rounds >= iterations or kept + patience <= rounds:
+                return Boosted(tuple(features), table.first(kept), importances, tuple(measured[: kept + patience]))
+            rounds = min(iterations, 2 * rounds)
+    finally:
+        points.unpersist()
+
+
+def kept_round(measured: Sequence[tuple[int, float]], patience: int) -> int:
+    """The first best round, looking no further than ``patience`` rounds beyond the best so far."""
+    best = 0
+    for i, (_, quality) in enumerate(measured):
+        if quality > measured[best][1]:
+            best = i
+        elif i - best >= patience:
+            break
+    return measured[best][0] if measured else 1
+
+
+def gbdt_scores(model: Boosted, df: DataFrame, name="gbdt", margin="_margin") -> DataFrame:
+    """Adds the probability and the margin (weighted sum of trees)."""
+    out = T.with_margin(df, model.table, model.features, margin)
+    return out.withColumn(name, 1 / (1 + F.exp(-2 * F.col(margin))))
+
+
+def tree_contributions(model: Boosted, df: DataFrame, prefix="by_", margin="_margin") -> DataFrame:
+    """Adds one column per feature, what its splits add to the margin on the row's paths; they sum to margin less base."""
+    return T.with_contributions(df, model.table, model.features, [f"{prefix}{f}" for f in model.features], margin)
 
 
 def platt(scored: DataFrame, label="is_fraud", margin="_margin") -> PipelineModel:
@@ -95,12 +154,12 @@ def isotonic_scores(model, scored: DataFrame, name="score", margin="_margin") ->
 
 
 def compare_calibrators(df: DataFrame, features: Sequence[str], at="Time", tie="row_id", label="Class",
-                        train_fraction=0.6, validation_fraction=0.2, iterations=60) -> DataFrame:
+                        train_fraction=0.6, validation_fraction=0.2, iterations=COMPARED_ROUNDS) -> DataFrame:
     """(method, average_precision, roc_auc, brier, ece, worst_bin, saturated) on one later slice."""
     train, rest = positional_cut(df, at, tie, train_fraction)
     valid, test = positional_cut(rest, at, tie, validation_fraction / (1 - train_fraction))
     trees = fit_gbdt(train, features, label, iterations=iterations)
-    on_valid, on_test = gbdt_scores(trees, valid, "p").persist(), gbdt_scores(trees, test, "p").persist()
+    on_valid, on_test = durable(gbdt_scores(trees, valid, "p")), durable(gbdt_scores(trees, test, "p"))
     scored = {
         "uncalibrated": on_test.withColumn("s", F.col("p")),
         "sigmoid": platt_scores(platt(on_valid, label), on_test, "s"),
@@ -134,44 +193,108 @@ def linear_contributions(model: PipelineModel, df: DataFrame, channels: Sequence
     return df.select(key, *[((F.col(c) - F.lit(means[c])) * F.lit(float(w))).alias(c) for c, w in zip(channels, weights)])
 
 
+def graph_design(df: DataFrame, columns: Sequence[str], key: str) -> tuple[DataFrame, list[str]]:
+    """The rows with mean, max and deviation of their graph columns over all rows of the key, and the design's columns."""
+    known = [c for c in columns if c in df.columns]
+    out = neighbour_aggregate(df, key, known)
+    return out, [*known, *[f"nb{n}_{c}" for c in known for n in ("mean", "max", "std")]]
+
+
+def fit_graph_channel(train: DataFrame, validation: DataFrame, columns: Sequence[str], key: str, label="is_fraud", scored="gbdt_p",
+                      iterations=GRAPH_ROUNDS, bar=M.GRAPH_LIFT_BAR) -> tuple[Boosted, DataFrame, Mapping[str, float]]:
+    """(trees on neighbour aggregates, validation rows with `graph`, base / fused / lift / keep).
+
+    Aggregates are of the slice itself, for training as for validation.
+    """
+    design, names = graph_design(train, columns, key)
+    trees = fit_gbdt(design, names, label, iterations=iterations)
+    on_valid = gbdt_scores(trees, graph_design(validation, columns, key)[0], "graph", "_graph_margin").select(*validation.columns, "graph")
+    lift = M.graph_channel_lift(on_valid, scored, "graph", label, bar).first()
+    return trees, on_valid, lift.asDict()
+
+
+def assert_blind_disjoint(pool: DataFrame, blind: DataFrame | None, keys: Sequence[str] = ("event_id", "payer_entity_id")) -> None:
+    """Raise if the blind cohort shares an event or an entity with the pool."""
+    if blind is None:
+        return
+    for key in keys:
+        known = blind.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_k")).distinct()
+        if not pool.select(F.col(key).cast("string").alias("_k")).join(known, "_k", "left_semi").isEmpty():
+            raise ValueError(f"the blind cohort and the training pool share values of {key}")
+
+
+def restart_at(df: DataFrame, cuts: Sequence[int], features, at="us") -> DataFrame:
+    """``features(rows)`` of every slice between the cuts by itself, so that histories begin anew at each cut."""
+    edges, out = [None, *sorted(cuts), None], None
+    for low, high in zip(edges, edges[1:]):
+        part = df
+        if low is not None:
+            part = part.filter(F.col(at) >= F.lit(low))
+        if high is not None:
+            part = part.filter(F.col(at) < F.lit(high))
+        made = features(part)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def fit_detector(train: DataFrame, validation: DataFrame, features: Sequence[str], label="is_fraud", cents="amount_c",
-                 tie="event_id", with_isolation=True, iterations=40, legit_only_anomaly=False,
-                 isolation_trees=I.TREES, isolation_rows=I.SAMPLE_ROWS) -> Detector:
+                 tie="event_id", with_isolation=True, iterations=ROUNDS, legit_only_anomaly=False,
+                 isolation_trees=I.TREES, isolation_rows=I.SAMPLE_ROWS, graph_columns: Sequence[str] = (), graph_key: str | None = None,
+                 graph_rounds=GRAPH_ROUNDS, bar=M.GRAPH_LIFT_BAR, blind: DataFrame | None = None,
+                 blind_keys: Sequence[str] = ("event_id", "payer_entity_id")) -> Detector:
     """Trees on the training slice; calibration, stack and threshold on the later slice.
 
-    The isolation forest has ``isolation_trees`` trees of ``isolation_rows`` training rows each.
+    The isolation forest has ``isolation_trees`` trees of ``isolation_rows`` training rows each. With graph columns a third
+    channel is fitted on neighbour aggregates by ``graph_key``; it stays in the stack only if averaging it in lifts the
+    average precision by ``bar``. A blind cohort that shares an event or entity with either slice raises.
     """
     assert_no_leakage(train.select(*features))
+    for part in (train, validation):
+        assert_blind_disjoint(part, blind, blind_keys)
     trees = fit_gbdt(train, features, label, validation, iterations)
     on_valid = gbdt_scores(trees, validation)
     curve = platt(on_valid, label)
     on_valid = platt_scores(curve, on_valid, "gbdt_p")
-    forest, blend, channels = None, None, ["gbdt_p"]
+    forest = graph = None
+    measured = {}
+    if graph_columns:
+        graph, on_valid, measured = fit_graph_channel(train, durable(on_valid), graph_columns, graph_key, label, iterations=graph_rounds, bar=bar)
+        if not measured["keep"]:
+            graph = None
     if with_isolation:
         base = train.filter(~F.col(label).cast("boolean")) if legit_only_anomaly else train
         forest = I.with_percentiles(I.fit_isolation(base, features, tie, isolation_trees, isolation_rows), validation)
         on_valid = I.isolation_scores(forest, on_valid)
-        channels.append("anomaly")
-    on_valid = on_valid.persist()
-    blend = stack(on_valid, channels, label)
+    made = Detector(tuple(features), trees, curve, forest, graph=graph, graph_columns=tuple(graph_columns), graph_key=graph_key or "")
+    on_valid = durable(on_valid)
+    blend = stack(on_valid, made.channels, label)
     final = stack_scores(blend, on_valid)
     best = M.optimal_threshold(final, label=label, cents=cents).first()
     quality = M.ranking_summary(final, label).first()
-    on_valid.unpersist()
-    return Detector(tuple(features), trees, curve, forest, blend, best["threshold"],
-                    {"validation_average_precision": quality["average_precision"], "validation_roc_auc": quality["roc_auc"]})
+    found = {"validation_average_precision": quality["average_precision"], "validation_roc_auc": quality["roc_auc"], "rounds": trees.table.rounds}
+    if graph_columns:
+        found |= {"graph_base": measured["base"], "graph_fused": measured["fused"], "graph_lift": measured["lift"], "graph_kept": float(measured["keep"])}
+    return replace(made, stack=blend, threshold=best["threshold"], measured=found)
 
 
-def score(detector: Detector, df: DataFrame, name="score") -> DataFrame:
+def channel_scores(detector: Detector, df: DataFrame) -> DataFrame:
+    """Adds one column per channel; neighbour aggregates are of the rows given."""
     out = platt_scores(detector.platt, gbdt_scores(detector.gbdt, df), "gbdt_p")
+    if detector.graph is not None:
+        design, _ = graph_design(out, detector.graph_columns, detector.graph_key)
+        out = gbdt_scores(detector.graph, design, "graph", "_graph_margin").select(*out.columns, "graph")
     if detector.isolation is not None:
         out = I.isolation_scores(detector.isolation, out)
-    return stack_scores(detector.stack, out, name)
+    return out
+
+
+def score(detector: Detector, df: DataFrame, name="score") -> DataFrame:
+    return stack_scores(detector.stack, channel_scores(detector, df), name)
 
 
 def evaluate(detector: Detector, df: DataFrame, label="is_fraud", cents="amount_c") -> DataFrame:
     """One row: ranking quality, error rates and cost at the detector's threshold."""
-    scored = score(detector, df).persist()
+    scored = durable(score(detector, df))
     one = F.lit(1).alias("one")
     a = M.ranking_summary(scored, label).withColumn("one", one)
     b = M.flag_rates(scored, detector.threshold, label).withColumn("one", one)
@@ -212,13 +335,13 @@ def scope_matrix(train: DataFrame, validation: DataFrame, test: DataFrame, featu
 
 
 def external_train(features_df: DataFrame, features: Sequence[str], at="us", tie="event_id", label="is_fraud",
-                   negative_ratio: float | None = 10.0, validation_fraction=0.2, iterations=40):
+                   negative_ratio: float | None = 10.0, validation_fraction=0.2, iterations=ROUNDS):
     """(trees, calibration) on one corpus: negatives thinned for the fit only, never for the
-    calibration slice.
+    calibration slice, which also decides the round to keep.
     """
     train, valid = positional_cut(features_df, at, tie, 1 - validation_fraction)
     fit = downsample_negatives(train, negative_ratio) if negative_ratio else train
-    trees = fit_gbdt(fit, features, label, iterations=iterations)
+    trees = fit_gbdt(fit, features, label, valid, iterations)
     return trees, platt(gbdt_scores(trees, valid), label)
 
 
@@ -230,7 +353,7 @@ def external_evaluate(trees, curve, features_df: DataFrame, label="is_fraud") ->
 
 
 def graph_only_scoping(graph_features: DataFrame, features: Sequence[str], at="us", tie="event_id",
-                       label="is_laundering", bar=M.GRAPH_LIFT_BAR, train_fraction=0.7, iterations=40):
+                       label="is_laundering", bar=M.GRAPH_LIFT_BAR, train_fraction=0.7, iterations=GRAPH_ROUNDS):
     """(one row: average precision, base rate, lift, passed; and a table of importances)."""
     train, test = positional_cut(graph_features, at, tie, train_fraction)
     trees = fit_gbdt(train, features, label, iterations=iterations)
@@ -239,8 +362,7 @@ def graph_only_scoping(graph_features: DataFrame, features: Sequence[str], at="u
     base = scored.agg(F.avg(F.col(label).cast("int")).alias("base_rate"), F.lit(1).alias("one"))
     lift = F.col("average_precision") - F.col("base_rate")
     report = quality.join(base, "one").drop("one").withColumns({"lift": lift, "passed": lift >= bar})
-    weights = trees.stages[-1].featureImportances.toArray()
-    ranked = train.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, weights)], "feature string, importance double")
+    ranked = train.sparkSession.createDataFrame(list(zip(trees.features, trees.importances)), "feature string, importance double")
     return report, ranked.orderBy(F.col("importance").desc())
 
 

@@ -53,3 +53,15 @@ def test_every_tree_takes_its_whole_sample(spark):
     roots = [np.frombuffer(r["nodes"], I.NODE)["value"][0] for r in I.fit_isolation(df, ["x"], trees=7, sample_rows=100).nodes.collect()]
     assert roots == [float(I._expected_path(100))] * 7
     assert np.isclose(I._grow(np.array([[0.0], [1.0]]), 3)["value"][1:], 1.0).all()
+
+
+def test_forest_in_parts_scores_like_a_whole_one(spark):
+    """Trees dealt to tasks, rows dealt by salt: the same scores, all columns and rows there."""
+    df = _rows(spark).withColumn("x", F.when(F.col("event_id") % 7 > 0, F.col("x"))).repartition(3)
+    model = I.fit_isolation(df, ["x", "y"], trees=11, sample_rows=64)
+    whole = {r.event_id: r["s"] for r in I._raw_scores(model, df, "s").collect()}
+    parts = I._scores_by_parts(model, df, "s", 3, part_rows=100)
+    assert parts.columns == [*df.columns, "s"]
+    got = {r.event_id: r["s"] for r in parts.collect()}
+    assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in got) < 1e-12
+    assert I._raw_scores(model, df, "s", part_mb=0.004).count() == 600
