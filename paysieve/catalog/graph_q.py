@@ -122,12 +122,38 @@ def _(spark, d):
     return out.select(*[c for c in out.columns if c not in digits], *[r6(c) for c in digits])
 
 
-@query("g09_neighbour_aggregate", with_views("evt", """
-SELECT event_id, round(avg(k) OVER w, 6) AS nbmean_k, max(k) OVER w * 1.0 AS nbmax_k, round(coalesce(stddev_samp(k) OVER w, 0), 6) AS nbstd_k
-FROM evt WINDOW w AS (PARTITION BY payee_id)"""))
+#: The ten graph columns over the event view, the same text for both engines; some are null.
+_GRAPH_COLUMNS = dict(zip(G.GRAPH_COLUMNS, (
+    "CASE WHEN k % 11 > 0 THEN CAST(k % 13 AS DOUBLE) END", "CAST(user_id % 17 AS DOUBLE)", "CAST(acquirer_id AS DOUBLE)", "score", "1 - score",
+    "CAST(k % 9 + 1 AS DOUBLE)", "CAST(event_id % 23 AS DOUBLE)", "amount", "CASE WHEN user_id % 5 > 0 THEN amount / 4 END", "CASE WHEN declined = 1 THEN 1.0E0 ELSE 0.0E0 END")))
+_GRAPH_VIEW = "SELECT event_id, us, payee_id, " + ", ".join(f"{e} AS {c}" for c, e in _GRAPH_COLUMNS.items()) + " FROM evt"
+
+
+_OFF = "1.37E-8"  # means of short decimals end in exact halves of the last digit, which sums in another order may round otherwise
+
+
+def _neighbours(frame):
+    return ", ".join(f"round(coalesce({f}({c}) OVER w, 0) + {_OFF}, 6) AS nb{n}_{c}" for c in _GRAPH_COLUMNS
+                     for n, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_samp"))) + f" FROM g WINDOW w AS (PARTITION BY payee_id{frame})"
+
+
+def _graph_rows(spark, d):
+    return evt(spark, d).selectExpr("event_id", "us", "payee_id", *[f"{e} AS {c}" for c, e in _GRAPH_COLUMNS.items()])
+
+
+def _rounded(df):
+    return df.select("event_id", *[F.round(F.col(f"nb{n}_{c}") + float(_OFF), 6).alias(f"nb{n}_{c}") for c in _GRAPH_COLUMNS for n in ("mean", "max", "std")])
+
+
+@query("g09_neighbour_aggregate", with_views("evt", f"WITH g AS ({_GRAPH_VIEW}) SELECT event_id, {_neighbours('')}"))
+def _(spark, d):
+    return _rounded(G.neighbour_aggregate(_graph_rows(spark, d), "payee_id", G.GRAPH_COLUMNS))
+
+
+@query("g09b_neighbours_before", with_views("evt", f"""WITH g AS ({_GRAPH_VIEW})
+SELECT event_id, {_neighbours(" ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")}"""))
 def _(spark, d):
-    out = G.neighbour_aggregate(evt(spark, d).select("event_id", "payee_id", "k"), "payee_id", ["k"])
-    return out.select("event_id", r6("nbmean_k"), "nbmax_k", r6("nbstd_k"))
+    return _rounded(G.neighbour_aggregate_before(_graph_rows(spark, d), "payee_id", G.GRAPH_COLUMNS))
 
 
 @query("g10_powerlaw_alpha", with_views("ord", """

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from paysieve.operators.validation import rate_of
 from paysieve.plans.durable import durable
-from paysieve.plans.scan import running_totals
+from paysieve.plans.scan import running_stats, running_totals
 from paysieve.plans.skew import Layout, attach_group_stats, plan_layout
 
 # Who is linked to whom, and currency rates of the account corpus.
+GRAPH_COLUMNS = ("fanin_payee_24h", "fanout_payer_24h", "payee_bank_degree", "payer_pagerank", "payee_pagerank", "component_size",
+                 "cnt_payee_entity_id_24h", "sum_payee_entity_id_24h", "amtstd_payee_entity_id_24h", "declrate_payee_entity_id_24h")
 EDGE_TYPES = (("payer_entity_id", "payee_entity_id", "pays"), ("device_id", "payer_entity_id", "used_by"),
               ("ip", "device_id", "hosts"), ("agent_id", "payer_entity_id", "acts_for"))
 CURRENCY_TO_USD = {
@@ -249,6 +251,23 @@ def neighbour_aggregate(
     return attach_group_stats(df, [key], stats, layout)
 
 
+def neighbour_aggregate_before(
+    df: DataFrame, key: str, columns: Sequence[str], at: str = "us", *, layout: Layout | None = None,
+) -> DataFrame:
+    """The same point in time: over the rows of the key strictly earlier than the row; 0 where there is none.
+
+    Deviations need two earlier values.
+    """
+    staged = df.withColumns({f"_d_{c}": F.col(c).cast("double") for c in columns})
+    out = running_stats(staged, [key], at, [f"_d_{c}" for c in columns], layout=layout)
+    made = []
+    for c in columns:
+        n, mean, top, m2 = (F.col(f"_{p}__d_{c}") for p in ("n", "mean", "max", "m2"))
+        made += [F.coalesce(mean, F.lit(0.0)).alias(f"nbmean_{c}"), F.coalesce(top, F.lit(0.0)).alias(f"nbmax_{c}"),
+                 F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0).alias(f"nbstd_{c}")]
+    return out.select(*df.columns, *made)
+
+
 def degree_powerlaw_alpha(df: DataFrame, key: str, candidates: Sequence[int] = (1,)) -> DataFrame:
     """One row (dmin, alpha, ks, tail): the tail exponent 1 + n / sum ln(d / dmin).
 

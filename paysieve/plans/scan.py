@@ -61,6 +61,51 @@ def running_totals(
     )
 
 
+def running_stats(
+    df: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str], *, layout: Layout | None = None,
+) -> DataFrame:
+    """Adds ``_n_c, _mean_c, _max_c, _m2_c`` per column: count, mean, maximum and sum of squared deviations over the
+    group's rows with a strictly smaller ``at``; null (count 0) where there is none.
+
+    A maximum cannot be taken back by subtraction, so slices of hot groups carry maxima of all slices before them beside
+    sums; the sums are of values less the column's mean, which keeps deviations exact where values are far from 0.
+    """
+    layout = layout or plan_layout(df, keys, F.col(at))
+    placed = with_chunks(df, keys, F.col(at), layout)
+    if df.schema[at].dataType.typeName() not in _WHOLE:
+        raise ValueError(f"{at} must be a whole number")
+    frame = Window.partitionBy(*keys, CHUNK).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+
+    if not layout.spread:
+        over = {n: e for c in columns for n, e in {
+            f"_n_{c}": F.count(c).over(frame), f"_mean_{c}": F.avg(c).over(frame), f"_max_{c}": F.max(c).over(frame),
+            f"_m2_{c}": F.var_pop(c).over(frame) * F.count(c).over(frame)}.items()}
+        return placed.select("*", *[e.alias(n) for n, e in over.items()]).drop(CHUNK)
+
+    middle = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
+    inside = placed.select("*", *[
+        x for c in columns for x in (
+            F.count(c).over(frame).alias(f"_n_{c}"), F.max(c).over(frame).alias(f"_max_{c}"),
+            F.sum(F.col(c) - middle[c]).over(frame).alias(f"_s_{c}"), F.sum(F.pow(F.col(c) - middle[c], 2)).over(frame).alias(f"_q_{c}"))])
+    totals = placed.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(*[
+        x for c in columns for x in (
+            F.count(c).alias(f"_n_{c}"), F.max(c).alias(f"_max_{c}"), F.sum(F.col(c) - middle[c]).alias(f"_s_{c}"),
+            F.sum(F.pow(F.col(c) - middle[c], 2)).alias(f"_q_{c}"))])
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, CHUNK, *[
+        (F.max if p == "max" else F.sum)(f"_{p}_{c}").over(earlier).alias(f"_c_{p}_{c}") for c in columns for p in ("n", "max", "s", "q")])
+    joined = join_on_keys(inside, carry, [*keys, CHUNK])
+    zero = F.lit(0.0)
+
+    def final(c):
+        n = F.col(f"_n_{c}") + F.coalesce(f"_c_n_{c}", F.lit(0))
+        s, q = (F.coalesce(f"_{p}_{c}", zero) + F.coalesce(f"_c_{p}_{c}", zero) for p in "sq")
+        return [n.alias(f"_n_{c}"), F.when(n > 0, middle[c] + s / n).alias(f"_mean_{c}"), F.greatest(f"_max_{c}", f"_c_max_{c}").alias(f"_max_{c}"),
+                F.when(n > 0, F.greatest(q - s * s / n, zero)).alias(f"_m2_{c}")]
+
+    return joined.select(*df.columns, *[x for c in columns for x in final(c)])
+
+
 def rank_in_group(
     df: DataFrame,
     keys: Sequence[str],
