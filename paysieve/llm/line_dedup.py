@@ -142,7 +142,7 @@ def _judged(docs: DataFrame, text: str, key: str, **options) -> DataFrame:
     """(row, lines, kept, gone): the input row as a struct, arrays of lines, and null in gone where nothing goes."""
     hits = dropped_keys(docs, text, key, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rank(key).alias("id"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
-    rows = rows.join(hits, F.col("id") == F.col("rank_id"), "left")
+    rows = rows.join(hits.hint("merge"), F.col("id") == F.col("rank_id"), "left")  # the same plan at every size
     keyed = F.transform("lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("k")))
     stays = F.filter(keyed, lambda x: (F.length(x["k"]) < options.get("shortest", SHORTEST)) | ~F.array_contains("gone", _hash(x["k"])))
     return rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"])))

@@ -9,7 +9,7 @@ components are still open, so a document costs about SIZE * ln(SIZE) points howe
 
 Signatures are cut into BANDS bands (a pair of similarity 0.8 misses all of them with a probability under 4e-6). Links:
 
-1. Equal multisets are one node, represented by the row of least id. Nodes are numbered in the order of these ids.
+1. Equal multisets are one node, represented by the row of least id.
 2. In every band key all nodes are compared, exactly, with the one among them that shares most keys with others (the
    centre of a group of copies); links join components.
 3. Keys that still hold several components are searched for the remaining links across them, key by key inside tasks. A
@@ -295,7 +295,8 @@ def _settled(df: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One row per input row: id, class_id (the least id of the class), whether it is that one, and n_links.
 
-    n_links counts verified links of the row's node to other nodes; equal multisets have none among themselves.
+    n_links counts verified links of the row's node to other nodes, of the node with most where an id has several; equal
+    multisets have none among themselves.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
@@ -305,10 +306,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     known.mapInArrow(_sign, f"id {kind}, th long, f1 long, f2 long, bands array<long>, total long, sketch binary").write.parquet(path)
     signed = spark.read.parquet(path)
 
-    # nodes, numbered in the order of their least id, so that the least node of a class holds its least id
     firsts = signed.groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("rep"))
-    nodes = _settled(firsts.orderBy("rep").withColumn("node", F.monotonically_increasing_id()))
-    copies = _settled(signed.select("id", "f1", "f2").join(nodes.select("node", "f1", "f2"), ["f1", "f2"]).select("id", "node"))
+    nodes = _settled(firsts.withColumn("node", F.monotonically_increasing_id()))  # numbers stay as they are once written
+    copies = _settled(signed.select("id", "f1", "f2").join(nodes, ["f1", "f2"]).select("id", "node", F.col("rep.id").alias("rep")))
     own = nodes.select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
     keys = signed.join(own, ["id", "th"]).select(F.col("node").alias("rep"), F.posexplode("bands").alias("number", "band"))
 
@@ -326,24 +326,28 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     links = done.filter(F.col("similar") >= similar).select("node", "other").union(same).distinct()
     parts = _settled(connected_components(links, src="node", dst="other"))
 
-    members = (stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
+    members = _settled(stars.join(parts.withColumnRenamed("id", "other"), "other", "left")
                .join(done, ["node", "other"], "left")
                .select("band", "number", "other", "n", F.coalesce("component", "other").alias("component"),
                        F.when(F.col("node") == F.col("other"), 0.0).otherwise(1 - F.col("similar")).alias("far")))
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
-    sketches = signed.join(own, ["id", "th"]).groupBy("node").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
-    open_ = members.join(mixed, "band", "left_semi").join(sketches, F.col("other") == sketches["node"]).select(
+    opened = _settled(members.join(mixed, "band", "left_semi"))
+    wanted = own.join(opened.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
+    sketches = signed.join(wanted, ["id", "th"]).groupBy("node").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
+    open_ = opened.join(sketches, F.col("other") == sketches["node"]).select(
         "band", "number", "n", "other", "component", "far", "s.total", "s.sketch", F.slice("s.bands", 1, F.col("number")).alias("earlier"))
-    more = _settled(_across(open_.join(_texts(known, nodes, open_.select("other")), F.col("other") == F.col("id")), similar))
+    more = _settled(_across(open_.join(_texts(known, nodes, opened.select("other")), F.col("other") == F.col("id")), similar))
     if not more.isEmpty():
         done = done.unionByName(more.join(done.select("node", "other"), ["node", "other"], "left_anti"))
         links = links.union(more.select("node", "other")).distinct()
         parts = _settled(connected_components(links, src="node", dst="other"))
 
     degree = (done.filter(F.col("similar") >= similar).select(F.explode(F.array("node", "other")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")))
-    linked = parts.join(degree, "id", "left").withColumnRenamed("id", "node")
-    found = copies.distinct().join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"), F.sum("n_links").alias("n_links"))
-    classed = found.join(own.select(F.col("node").alias("component"), F.col("id").alias("class_id")), "component").select("id", "class_id", "n_links")
+    # the least id of a class, over the nodes that are in one with others
+    linked = _settled(parts.withColumnRenamed("id", "node").join(own.select("node", "id"), "node"))
+    least = linked.groupBy("component").agg(F.min("id").alias("class_id"))
+    linked = linked.join(least, "component").select("node", "class_id").join(degree.withColumnRenamed("id", "node"), "node", "left")
+    classed = copies.join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("class_id", "rep")).alias("class_id"), F.max("n_links").alias("n_links"))
     out = base.select("id").join(classed, "id", "left")
     least = F.coalesce("class_id", "id")
     return out.select(F.col("id").alias(key), least.alias("class_id"), F.coalesce(F.col("id") == least, F.lit(True)).alias("is_first"),
