@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paysieve.operators import trailing_arrays as A
 from paysieve.plans.scan import first_rows, previous_row, running_totals
 from paysieve.plans.skew import Layout, attach_group_stats, plan_layout
 
@@ -278,8 +281,8 @@ def velocity_block(
     """(event_id, cnt/sum/declrate/amtstd per key and window).
 
     ``keys`` maps feature names to columns; a None column gives constant ``fill``. All keys
-    go through one exchange as (key number, key value) rows and come back per event id. With
-    the ``layouts`` of the keys, none of which has a hot group, nothing is measured again.
+    go through one exchange as (key number, key value) rows and come back per event id: as arrays where
+    no group is hot (``arrays``), through slices of hot groups otherwise. With the ``layouts`` of the keys, none of which has a hot group, nothing is measured again.
     """
     live = {n: c for n, c in keys.items() if c is not None and c in df.columns}
     whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in live.values())
@@ -312,6 +315,13 @@ def velocity_block(
     if layouts is not None and all(n in layouts and layouts[n].hot is None for n in live):
         parts = [layouts[n] for n in live]
         layout = Layout(sum(p.rows for p in parts), max((p.largest for p in parts), default=0), parts[0].limit) if parts else None
+    if method == "auto" and layout is None:
+        layout = plan_layout(rows, ["key_no", "key_value"], F.col("_at"))
+    if method == "arrays" or method == "auto" and not layout.spread:
+        if narrow is None:
+            narrow = all_narrow(df, [cents])
+        if narrow:
+            return _velocity_arrays(rows, event_id, number, keys, windows, scale, fill)
     scanned = trailing(rows, ["key_no", "key_value"], "_at", values, measures, method=method, layout=layout, narrow=narrow)
     stats = F.struct(*[F.col(m.name).cast("double").alias(m.name) for m in measures])
     # At most one row per key name and event: the list is bounded by the number of keys.
@@ -331,6 +341,42 @@ def velocity_block(
     return per_event.select(F.col("_id").alias(event_id), *columns)
 
 
+def _velocity_arrays(rows: DataFrame, event_id: str, number: Mapping[str, int], keys, windows: Mapping[str, int], scale: int, fill) -> DataFrame:
+    """The block for groups that fit a task: (key number, key value) groups are scanned as arrays where one exchange puts
+    them, and a second one brings an event's rows side by side.
+    """
+    kind, widths = rows.schema["_id"].dataType.simpleString(), list(windows.values())
+    made = [f"{agg}_{label}" for label in windows for agg in VELOCITY_AGGREGATIONS]
+    sorted_rows = rows.select("_id", "key_no", "key_value", "_at", "_cents", "_decl").repartition("key_no", "key_value").sortWithinPartitions("key_no", "key_value", "_at")
+
+    def scan(batches):
+        for table in A.whole_groups(batches, (1, 2)):
+            columns = [c for block in A.velocity(table, (1, 2), 3, 4, 5, widths, scale) for c in block]
+            yield from pa.Table.from_arrays([table.column(0), table.column(1), *columns], names=["_id", "key_no", *made]).to_batches(max_chunksize=20_000)
+
+    scanned = sorted_rows.mapInArrow(scan, f"_id {kind}, key_no int, " + ", ".join(f"{n} double" for n in made))
+    live, order = len(number), [f"{agg}_{key}_{label}" for key in keys for label in windows for agg in VELOCITY_AGGREGATIONS]
+
+    def side_by_side(batches):
+        for table in A.whole_groups(batches, (0,)):
+            starts = np.flatnonzero(A.group_starts(table.column(0)))
+            if table.num_rows != live * len(starts) or (np.diff(np.append(starts, table.num_rows)) != live).any():
+                raise ValueError(f"{event_id} must be unique")
+            columns = {}
+            for key, i in number.items():
+                part = table.take(pa.array(starts + i))
+                for n in made:
+                    agg, label = n.split("_", 1)
+                    column = part.column(n)
+                    columns[f"{agg}_{key}_{label}"] = column if fill is None else column.fill_null(float(fill))
+            blank = pa.nulls(len(starts), pa.float64()) if fill is None else pa.array(np.full(len(starts), float(fill)))
+            out = pa.Table.from_arrays([table.column(0).take(pa.array(starts)), *(columns.get(n, blank) for n in order)], names=["_id", *order])
+            yield from out.to_batches(max_chunksize=10_000)
+
+    paired = scanned.repartition("_id").sortWithinPartitions("_id", "key_no")
+    return paired.mapInArrow(side_by_side, f"_id {kind}, " + ", ".join(f"`{n}` double" for n in order)).withColumnRenamed("_id", event_id)
+
+
 def first_occurrence(df, left, right, at, tie, name="first"):
     """1 on the earliest row of each (left, right) pair over the whole table."""
     return first_rows(df, [left, right], at, tie, name)
