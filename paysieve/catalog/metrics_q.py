@@ -9,6 +9,7 @@ from paysieve.catalog.splits_q import RAIL, RAIL_SQL
 from paysieve.catalog.views import canonical, evt, with_views
 from paysieve.operators import decisions as D
 from paysieve.operators import features as P
+from paysieve.operators.features import FEATURE_NAMES
 from paysieve.operators import metrics as M
 from paysieve.operators import registry as R
 
@@ -219,13 +220,18 @@ def _(spark, d):
 
 
 @query("m26_alerts", with_views("evt", f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY mandate_nonce ORDER BY us, event_id) AS turn FROM evt)
 SELECT event_id, round(score, 4) AS score, {_BAND} AS band, coalesce(cart_hash_at_intent = cart_hash_at_settle, true) AS cart_ok,
-  agent_attestation_valid IS DISTINCT FROM false AS attested FROM evt ORDER BY evt.score DESC, event_id LIMIT 200"""))
+  NOT (coalesce(amount > mandate_amount_max, false) OR coalesce(us > mandate_expiry_us, false) OR coalesce(allowed_payee <> payee_id, false)) AS in_scope,
+  mandate_nonce IS NOT NULL AND turn > 1 AS replayed, agent_attestation_valid IS DISTINCT FROM false AS attested,
+  CASE WHEN abs(k - 50) >= abs(issuer_id * 10 - 45) THEN 'cross_border,cnt_ip_1h' ELSE 'cnt_ip_1h,cross_border' END AS reasons
+FROM n ORDER BY n.score DESC, event_id LIMIT 200"""))
 def _(spark, d):
     df = P.agentic(P.prepare(canonical(spark, d)))
-    out = D.alerts(df, contributions={"cross_border": F.col("k") * 1.0})
-    return out.select("event_id", r6("score", 4), "band", F.col("invariants.cart_hash_match").alias("cart_ok"),
-                      F.col("invariants.attestation_valid").alias("attested"))
+    out = D.alerts(df, contributions={"cross_border": (F.col("k") - 50) * 1.0, "cnt_ip_1h": (F.col("issuer_id") * 10 - 45) * 1.0})
+    i = F.col("invariants")
+    return out.select("event_id", r6("score", 4), "band", i["cart_hash_match"].alias("cart_ok"), i["mandate_in_scope"].alias("in_scope"), i["nonce_reused"].alias("replayed"),
+                      i["attestation_valid"].alias("attested"), F.array_join(F.transform("reasons", lambda x: x["feature"]), ",").alias("reasons"))
 
 
 _VECTOR = "concat('V', lpad(CAST(5 + user_id % 20 AS STRING), 2, '0'))"
@@ -240,14 +246,28 @@ _REGISTRY_SQL = "reg(vector_id, status, has_generator, rails, holdout) AS (VALUE
 _RECALL_SQL = "rec AS (SELECT 'V' || lpad(CAST(5 + user_id % 20 AS VARCHAR), 2, '0') AS vector_id, avg(CASE WHEN score >= 0.75 THEN 1 ELSE 0 END) AS recall, count(*) AS rows FROM evt WHERE is_fraud = 1 GROUP BY 1)"
 
 
-@query("m27_coverage", with_views("evt", f"""WITH {_REGISTRY_SQL}, {_RECALL_SQL}
-SELECT reg.vector_id, has_generator, round(CASE WHEN has_generator THEN recall END, 6) AS recall, true AS has_expected_features,
-  coalesce(CASE WHEN has_generator THEN recall END >= 0.6, false) AS detected FROM reg LEFT JOIN rec USING (vector_id)"""))
+_SOME_FEATURES = tuple(f for f in FEATURE_NAMES if f not in ("bin_seq_entropy", "payer_pagerank", "nonce_reused"))
+_COVERED_SQL = f"""covered AS (SELECT reg.vector_id, status, has_generator, CASE WHEN has_generator THEN recall END AS recall,
+  reg.vector_id NOT IN ({", ".join(f"'{v.vector_id}'" for v in R.VECTORS if not set(v.expected_features) <= set(_SOME_FEATURES))}) AS has_expected_features,
+  coalesce(CASE WHEN has_generator THEN recall END >= 0.6, false) AS detected FROM reg LEFT JOIN rec USING (vector_id))"""
+
+
+@query("m27_coverage", with_views("evt", f"""WITH {_REGISTRY_SQL}, {_RECALL_SQL}, {_COVERED_SQL}
+SELECT vector_id, has_generator, round(recall, 6) AS recall, has_expected_features, detected FROM covered"""))
 def _(spark, d):
-    out = R.coverage(R.vectors(spark), _vector_recall(spark, d))
+    out = R.coverage(R.vectors(spark), _vector_recall(spark, d), features=_SOME_FEATURES)
     return out.select("vector_id", "has_generator", r6("recall"), "has_expected_features", "detected")
 
 
+@query("m27b_coverage_totals", with_views("evt", f"""WITH {_REGISTRY_SQL}, {_RECALL_SQL}, {_COVERED_SQL}
+SELECT count(*) AS total_vectors, count(*) FILTER (WHERE has_generator) AS with_generator, round(count(*) FILTER (WHERE has_generator) / 32.0E0, 6) AS coverage,
+  {", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in R.STATUSES)}, count(*) FILTER (WHERE has_expected_features) AS with_features,
+  count(*) FILTER (WHERE detected) AS detected, 8 AS injector_modules, 12 AS injector_classes, 0.6E0 AS recall_bar FROM covered"""))
+def _(spark, d):
+    out = R.coverage_totals(R.coverage(R.vectors(spark), _vector_recall(spark, d), features=_SOME_FEATURES))
+    return out.withColumn("coverage", F.round("coverage", 6))
+
+
 @query("s10_registry_events", with_views("evt", f"""WITH {_REGISTRY_SQL}, {_RECALL_SQL}
 SELECT vector_id, status, holdout AS blind_holdout, coalesce(rows, 0) AS rows, 0 AS problems FROM reg LEFT JOIN rec USING (vector_id)"""))
 def _(spark, d):
@@ -258,39 +278,93 @@ def _(spark, d):
         "vector_id", "status", "blind_holdout", F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(problems).alias("problems"))
 
 
+#: A registry row for each user, with faults at known ids; the first of every rule's rows are sound.
+_FAULTS = {"missing_value": "user_id % 29 = 0", "status": "user_id % 31 = 0", "signals": "user_id % 11 = 0", "mechanism_length": "user_id % 13 = 0",
+           "banned_verb": "user_id % 7 = 0", "difficulty": "user_id % 17 = 0", "countermeasure": "user_id % 19 = 0"}
+
+
+@query("s10b_registry_rules", with_views("evt", f"""WITH u AS (SELECT DISTINCT user_id FROM evt), r AS ({" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {where}) AS rows FROM u" for rule, where in _FAULTS.items())}
+UNION ALL SELECT 'size', CASE WHEN count(*) + 1 = 32 THEN 0 ELSE 1 END FROM u UNION ALL SELECT 'duplicate_id', 1 UNION ALL SELECT 'one_holdout', 1 FROM u HAVING count(*) FILTER (WHERE user_id % 2 = 0) + 1 <> 1)
+SELECT rule, rows FROM r WHERE rows > 0"""))
+def _(spark, d):
+    """Every rule of the registry fires on the rows altered for it, and on no others."""
+    users = evt(spark, d).select("user_id").distinct()
+    one = users.agg(F.min("user_id").alias("user_id")).selectExpr("user_id", "true AS twin")
+    rows = users.selectExpr("user_id", "false AS twin").unionByName(one)
+    clean = "twin"
+    said = lambda rule, good, bad: f"CASE WHEN NOT ({clean}) AND {_FAULTS[rule]} THEN {bad} ELSE {good} END"
+    table = rows.selectExpr(
+        "concat('V', user_id) AS vector_id", said("missing_value", "'name'", "CAST(NULL AS STRING)") + " AS name", "array('UPI') AS rails", "1 AS tier",
+        f"concat({said('banned_verb', repr('the card is presented; then'), repr('agents (Bypass) checks, then'))}, {said('mechanism_length', repr(' it settles'), 'repeat(' + repr(' x') + ', 120)')}) AS mechanism",
+        said("signals", "array('a', 'b', 'c')", "array('a', 'b')") + " AS observable_signals", said("status", "'emerging'", "'rumoured'") + " AS status",
+        said("difficulty", "'low'", "'none'") + " AS sim_difficulty", said("countermeasure", "'limits'", "''") + " AS countermeasure", "user_id % 2 = 0 OR twin AS blind_holdout")
+    return R.registry_problems(table).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("s10c_claim_rules", with_views("evt", """WITH u AS (SELECT DISTINCT user_id FROM evt), r AS (
+SELECT 'missing_value' AS rule, count(*) FILTER (WHERE user_id % 5 = 0) AS rows FROM u UNION ALL SELECT 'provenance', count(*) FILTER (WHERE user_id % 7 = 0) FROM u
+UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT user_id // 2 AS k FROM u GROUP BY 1 HAVING count(*) > 1))
+SELECT rule, rows FROM r WHERE rows > 0"""))
+def _(spark, d):
+    table = evt(spark, d).select("user_id").distinct().selectExpr(
+        "concat('claim ', user_id DIV 2) AS key", "CASE WHEN user_id % 5 = 0 THEN NULL ELSE '0.9' END AS value", "'cards' AS scope",
+        "CASE WHEN user_id % 7 = 0 THEN 'hearsay' ELSE 'vendor' END AS provenance", "'a report' AS attribution", "'text' AS approved_text", "'' AS suffix")
+    return R.claim_problems(table).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("m28_survivors", with_views("evt", f"WITH {_RECALL_SQL} SELECT vector_id, round(recall, 6) AS recall FROM rec WHERE recall < 0.6"))
 def _(spark, d):
     return R.survivors(_vector_recall(spark, d)).select("vector_id", r6("recall"))
 
 
-@query("m29_round_metrics", with_views("evt", f"""WITH {CURVE.format(s='score', src='evt')}
+@query("m29_round_metrics", with_views("evt", f"""WITH {CURVE.format(s='score', src='evt')}, v AS (SELECT vector_no, avg(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END) AS recall FROM evt WHERE is_fraud = 1 GROUP BY 1),
+m AS (SELECT campaign_no, count(*) AS n, avg(CASE WHEN score >= 0.7 THEN 0 ELSE 1 END) AS evasion FROM evt WHERE is_fraud = 1 GROUP BY 1)
 SELECT 2 AS round, (SELECT round({AP}, 6) FROM c) AS average_precision,
   (SELECT round(avg(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END), 6) FROM evt WHERE is_fraud = 0) AS fpr,
   (SELECT round(sum({_COST.format(t='0.7')}) / CAST(10000 AS DOUBLE), 2) FROM evt) AS cost,
-  (SELECT count(DISTINCT vector_no) FROM evt WHERE is_fraud = 1) AS vectors"""))
+  (SELECT string_agg(vector_no || ':' || CAST(round(recall * 1000) AS INT), ',' ORDER BY vector_no) FROM v) AS recalls,
+  (SELECT string_agg(campaign_no || ':' || n || ':' || CAST(round(evasion * 1000) AS INT), ',' ORDER BY CAST(campaign_no AS VARCHAR)) FROM m) AS campaigns,
+  (SELECT round(avg(CASE WHEN score >= 0.7 THEN 0 ELSE 1 END), 6) FROM evt WHERE is_fraud = 1 AND in_blind_cohort) AS evasion_blind,
+  (SELECT count(*) FROM evt WHERE event_id % 4 < 3) AS proposals_total, (SELECT count(*) FROM evt WHERE event_id % 4 < 3 AND k BETWEEN 1 AND 20 AND event_id % 4 <> 1) AS proposals_valid,
+  'MODEL_REGRESSION_KEPT_PREVIOUS' AS status, false AS model_retained, false AS suspicious, false AS gate_passed, 'joint' AS shadow"""))
 def _(spark, d):
-    out = D.round_record(evt(spark, d), 2, 0.7, vector="vector_no")
-    return out.select("round", r6("average_precision"), r6("fpr"), r6("cost", 2),
-                      F.size("per_vector_recall").cast("bigint").alias("vectors"))
+    """All verdict columns of a round whose model was worse than the one before."""
+    from paysieve.operators.models import Gate
+
+    df = evt(spark, d)
+    offers = df.filter("event_id % 4 < 3").selectExpr("IF(event_id % 4 = 1, 'V99', 'V20') AS vector_id", "map('attestation_invalid_frac', 0.5D, 'spoofed_operator_count', CAST(k AS DOUBLE)) AS params",
+                                                      "CAST(NULL AS DOUBLE) AS band_low", "CAST(NULL AS DOUBLE) AS band_high")
+    gate = Gate(df, False, "joint", True, 1.5, ("privacy",))
+    out = D.round_record(df, 2, 0.7, D.ROUND_STATUSES[3], vector="vector_no", campaign="campaign_no", blind=df.filter("in_blind_cohort"), proposals=R.check_parameters(offers), gate=gate)
+    thousandths = lambda x: F.round(x * 1000).cast("int").cast("string")
+    recalls = F.array_sort(F.transform(F.map_entries("per_vector_recall"), lambda x: F.concat_ws(":", x["key"], thousandths(x["value"]))))
+    campaigns = F.transform("campaigns", lambda x: F.concat_ws(":", x["campaign_id"], x["n_events"].cast("string"), thousandths(x["evasion"])))
+    return out.select("round", r6("average_precision"), r6("fpr"), r6("cost", 2), F.array_join(recalls, ",").alias("recalls"), F.array_join(campaigns, ",").alias("campaigns"),
+                      r6("evasion_blind"), "proposals_total", "proposals_valid", "status", "model_retained", "suspicious", "gate_passed", "shadow")
 
 
 @query("m33_constraints", with_views("evt", """
-SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'unknown vector'
-  WHEN event_id % 7 = 0 THEN 'schema: missing' WHEN k < 1 OR event_id % 4 = 0 AND k * 5 > 400 OR event_id % 4 = 1 AND (k > 40 OR k < 3) OR event_id % 4 = 2 AND k < 5 THEN 'schema: out of range'
+SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 'unknown vector'
+  WHEN event_id % 7 = 0 THEN 'schema: missing' WHEN event_id % 23 = 0 THEN 'schema: not a number' WHEN event_id % 5 < 3 AND event_id % 13 = 0 THEN 'schema: not an integer'
+  WHEN event_id % 5 = 4 AND k > 90 OR event_id % 5 < 3 AND k < 1 OR event_id % 5 = 0 AND k * 5 > 400 OR event_id % 5 = 1 AND (k > 40 OR k < 3) OR event_id % 5 = 2 AND k < 5 THEN 'schema: out of range'
   WHEN event_id % 11 = 0 THEN 'schema: unknown parameter'
-  WHEN event_id % 4 = 0 AND amount * 1200 > 500000 THEN 'amount exceeds rail limit'
-  WHEN event_id % 4 = 0 AND event_id % 3 = 0 AND amount > 0 THEN 'amount band order' ELSE 'ok' END AS reason FROM evt"""))
+  WHEN event_id % 5 = 4 AND event_id % 3 = 0 THEN 'schema: not a controllable feature'
+  WHEN event_id % 5 = 1 AND event_id % 9 < 2 THEN 'schema: ladder steps'
+  WHEN event_id % 5 = 0 AND amount * 1200 > 500000 THEN 'amount exceeds rail limit'
+  WHEN event_id % 5 = 0 AND event_id % 3 = 0 AND amount > 0 THEN 'amount band order' ELSE 'ok' END AS reason FROM evt"""))
 def _(spark, d):
-    first = ("CASE event_id % 4 WHEN 0 THEN 'n_merchants' WHEN 1 THEN 'fan_in_degree' WHEN 2 THEN 'victim_count' ELSE 'x' END")
-    value = "CAST(CASE event_id % 4 WHEN 0 THEN k * 5 ELSE k END AS DOUBLE)"
+    first = "CASE event_id % 5 WHEN 0 THEN 'n_merchants' WHEN 1 THEN 'fan_in_degree' WHEN 2 THEN 'victim_count' WHEN 4 THEN 'perturbation_budget' ELSE 'x' END"
+    value = "CAST(CASE event_id % 5 WHEN 0 THEN k * 5 WHEN 4 THEN IF(k > 90, 2, 0.5) ELSE k END AS DOUBLE) + IF(event_id % 5 < 3 AND event_id % 13 = 0, 0.5D, 0D)"
     df = evt(spark, d).selectExpr(
-        "event_id", "CASE event_id % 4 WHEN 0 THEN 'V01' WHEN 1 THEN 'V28' WHEN 2 THEN 'V05' ELSE 'V99' END AS vector_id",
+        "event_id", "CASE event_id % 5 WHEN 0 THEN 'V01' WHEN 1 THEN 'V28' WHEN 2 THEN 'V05' WHEN 4 THEN 'V22' ELSE 'V99' END AS vector_id",
         f"""map_filter(map_concat(map({first}, CASE WHEN event_id % 7 <> 0 THEN {value} END),
-          map('probes_per_min', IF(event_id % 4 = 0, 2D, NULL), 'hop_count', IF(event_id % 4 = 1, 2D, NULL),
-              'dwell_minutes', IF(event_id % 4 = 1, 9D, NULL), 'first_payment_ratio', IF(event_id % 4 = 2, 0.5D, NULL),
-              'surprise', IF(event_id % 11 = 0, 1D, NULL))), (a, b) -> b IS NOT NULL) AS params""",
-        "CASE WHEN event_id % 4 = 0 THEN amount * 1200 * IF(event_id % 3 = 0, 2, 0.5) END AS band_low",
-        "CASE WHEN event_id % 4 = 0 THEN amount * 1200 END AS band_high")
+          map('probes_per_min', IF(event_id % 5 = 0, 2D, NULL), 'hop_count', IF(event_id % 5 = 1, 2D, NULL),
+              'dwell_minutes', IF(event_id % 5 = 1, 9D, NULL), 'first_payment_ratio', IF(event_id % 5 = 2, 0.5D, NULL),
+              'surprise', IF(event_id % 11 = 0, 1D, NULL), 'amount_band', IF(event_id % 23 = 0, 1D, NULL))), (a, b) -> b IS NOT NULL) AS params""",
+        "CASE WHEN event_id % 5 = 0 THEN amount * 1200 * IF(event_id % 3 = 0, 2, 0.5) END AS band_low",
+        "CASE WHEN event_id % 5 = 0 THEN amount * 1200 END AS band_high",
+        "map_filter(map('target_feature', CASE WHEN event_id % 5 = 4 THEN IF(event_id % 3 = 0, 'payer_pagerank', 'cnt_device_id_24h') END), (a, b) -> b IS NOT NULL) AS texts",
+        "map_filter(map('amount_ladder', CASE WHEN event_id % 5 = 1 THEN array_repeat(10D, IF(event_id % 9 < 2, 2, 4)) END), (a, b) -> b IS NOT NULL) AS lists")
     return R.check_parameters(df).select("event_id", "reason")
 
 

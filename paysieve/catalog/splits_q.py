@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from paysieve import schema as S
 from paysieve.catalog import views as V
 from paysieve.catalog.base import Catalog, r6
 from paysieve.catalog.views import acct_edges, canonical, evt, with_views
@@ -25,8 +28,10 @@ def raw_events(spark, d):
         "event_id AS row_id",
         "concat('00000000-0000-4000-8000-', lpad(CAST(event_id AS STRING), 12, '0')) AS event_id", "event_ts",
         f"CASE WHEN event_id % 101 = 0 THEN 'WIRE' ELSE {RAIL} END AS rail",
-        "CAST(CASE WHEN event_id % 97 = 0 THEN -amount_c ELSE amount_c END / 100 AS DECIMAL(14,2)) AS amount",
-        "CASE WHEN event_id % 89 = 0 THEN 'inr' ELSE 'INR' END AS currency", "CAST(amount AS DECIMAL(14,2)) AS amount_inr",
+        """CAST(CASE WHEN event_id % 97 = 0 THEN -amount_c ELSE amount_c END / 100 AS DECIMAL(24,4))
+           + CASE WHEN event_id % 61 = 0 THEN 0.001 WHEN event_id % 53 = 0 THEN 2000000000000 ELSE 0 END AS amount""",
+        "CASE WHEN event_id % 89 = 0 THEN 'inr' ELSE 'INR' END AS currency", "CAST(CASE WHEN event_id % 47 = 0 THEN amount + 0.005 ELSE amount END AS DECIMAL(14,3)) AS amount_inr",
+        "CASE WHEN event_id % 59 = 0 THEN 'XL' END AS shoe_size",
         "concat(CASE WHEN event_id % 83 = 0 THEN 'XX_' ELSE 'CH_' END, lpad(CAST(user_id AS STRING), 6, '0')) AS payer_entity_id",
         "concat('MR_', lpad(CAST(payee_id AS STRING), 5, '0')) AS payee_entity_id",
         "CASE WHEN payer_country < 4 THEN 'IN' ELSE 'GB' END AS payer_country",
@@ -42,11 +47,12 @@ def raw_events(spark, d):
 
 
 _CODES = [
-    ("rail:choice", "event_id % 101 = 0"), ("amount:positive", "event_id % 97 = 0"), ("currency:case", "event_id % 89 = 0"),
+    ("rail:choice", "event_id % 101 = 0"), ("amount:positive", "event_id % 97 = 0 AND (event_id % 61 = 0 OR event_id % 53 <> 0)"), ("currency:case", "event_id % 89 = 0"),
     ("payer_entity_id:format", "event_id % 83 = 0"), ("cross_border:countries", "event_id % 79 = 0"),
     ("response_code:choice", "event_id % 73 = 0"), ("eci:network", "event_id % 2 = 0 AND event_id % 71 = 0"),
     ("eci_semantic:eci", "event_id % 2 = 0 AND event_id % 71 <> 0 AND event_id % 67 = 0"),
-    ("vector_id:fraud", "is_fraud = 1 AND event_id % 5 = 0"),
+    ("vector_id:fraud", "is_fraud = 1 AND event_id % 5 = 0"), ("amount:digits", "event_id % 61 = 0 OR event_id % 53 = 0"),
+    ("amount_inr:digits", "event_id % 47 = 0"), ("shoe_size:unknown", "event_id % 59 = 0"),
 ]
 _VIOLATIONS = "list_sort(list_filter([" + ", ".join(
     f"CASE WHEN {c} THEN '{n}' END" for n, c in _CODES) + "], lambda x: x IS NOT NULL))"
@@ -55,42 +61,55 @@ _VIOLATIONS = "list_sort(list_filter([" + ", ".join(
 @query("v01_validate", with_views("evt", f"""
 SELECT event_id AS row_id, array_to_string({_VIOLATIONS}, ',') AS violations FROM evt WHERE len({_VIOLATIONS}) > 0"""))
 def _(spark, d):
-    bad = C.with_violations(raw_events(spark, d)).filter(F.size("violations") > 0)
+    bad = C.with_violations(raw_events(spark, d), allow=["row_id"]).filter(F.size("violations") > 0)
     return bad.select("row_id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 
 @query("v02_quarantine", with_views("evt", f"""
 SELECT CASE WHEN len({_VIOLATIONS}) > 0 THEN 'rejected' ELSE 'valid' END AS side, count(*) AS rows FROM evt GROUP BY 1"""))
 def _(spark, d):
-    valid, rejected = C.quarantine(raw_events(spark, d))
+    valid, rejected = C.quarantine(raw_events(spark, d), allow=["row_id"])
     return (valid.select(F.lit("valid").alias("side")).unionByName(rejected.select(F.lit("rejected").alias("side")))
             .groupBy("side").agg(F.count(F.lit(1)).alias("rows")))
 
 
 @query("v03_coerce_types", with_views("evt", """
 SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN us END AS us, CASE WHEN event_id % 11 <> 0 THEN round(amount, 2) END AS amount,
-  is_fraud = 1 AS is_fraud, CAST(0 AS INT) AS lineage FROM evt"""))
+  is_fraud = 1 AS is_fraud, CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 2 + 1 ELSE 0 END AS INT) AS lineage FROM evt"""))
 def _(spark, d):
     messy = evt(spark, d).selectExpr(
         "event_id", "CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE CAST(event_ts AS STRING) END AS event_ts",
-        "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(amount AS STRING) END AS amount", "CAST(is_fraud AS STRING) AS is_fraud")
+        "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(amount AS STRING) END AS amount", "CAST(is_fraud AS STRING) AS is_fraud",
+        "CASE WHEN event_id % 3 = 0 THEN array_repeat('m', CAST(event_id % 2 + 1 AS INT)) END AS mutation_lineage")
     return C.coerce_types(messy).select(
         "event_id", F.unix_micros("event_ts").alias("us"), F.round("amount", 2).alias("amount"), "is_fraud",
         F.size("mutation_lineage").alias("lineage"))
 
 
-@query("v04_assert_no_leakage", "SELECT count(*) AS rows, 3 AS columns FROM events")
+@query("v04_assert_no_leakage", """SELECT 'clean' AS frame, count(*) AS rows, 3 AS columns, '' AS refused FROM events
+UNION ALL SELECT 'label', count(*), 0, 'is_fraud' FROM events UNION ALL SELECT 'identifier', count(*), 0, 'event_id,payer_entity_id' FROM events""")
 def _(spark, d):
-    features = evt(spark, d).select("amount", "k", "score")
-    names = C.assert_no_leakage(features)
-    return features.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(names)).alias("columns"))
+    e, parts = canonical(spark, d), []
+    for name, columns in (("clean", ["amount", "k", "score"]), ("label", ["amount", "is_fraud"]), ("identifier", ["k", "event_id", "payer_entity_id"])):
+        rows, refused, kept = e.select(*columns), "", 0
+        try:
+            kept = len(C.assert_no_leakage(rows))
+        except C.LeakageError as leak:
+            refused = ",".join(leak.columns)
+        parts.append(rows.agg(F.lit(name).alias("frame"), F.count(F.lit(1)).alias("rows"), F.lit(kept).alias("columns"), F.lit(refused).alias("refused")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PARTY_VIEWS = {"ISSUER": ("issuer_id", 7), "ACQUIRER": ("acquirer_id", 3), "NETWORK": (None, None)}
 
 
-@query("v05_party_view", with_views("evt", """
-SELECT event_id, CAST(NULL AS BIGINT) AS fanin_payee_24h, k AS circadian_loglik FROM evt WHERE issuer_id = 7"""))
+@query("v05_party_view", with_views("evt", " UNION ALL ".join(f"""
+SELECT '{scope}' AS scope, event_id, {"CAST(NULL AS BIGINT)" if "fanin_payee_24h" in C.SCOPE_MASKS[scope] else "CAST(k AS BIGINT)"} AS fanin_payee_24h, {"CAST(NULL AS INT)" if "circadian_loglik" in C.SCOPE_MASKS[scope] else "k"} AS circadian_loglik
+FROM evt WHERE {"true" if col is None else f"{col} = {value}"}""" for scope, (col, value) in _PARTY_VIEWS.items())))
 def _(spark, d):
     df = evt(spark, d).withColumns({"fanin_payee_24h": F.col("k").cast("bigint"), "circadian_loglik": F.col("k")})
-    return C.party_view(df, "ISSUER", 7).select("event_id", "fanin_payee_24h", "circadian_loglik")
+    views = [C.party_view(df, scope, value).select(F.lit(scope).alias("scope"), "event_id", "fanin_payee_24h", "circadian_loglik") for scope, (_, value) in _PARTY_VIEWS.items()]
+    return views[0].unionByName(views[1]).unionByName(views[2])
 
 
 @query("v06_unique_disjoint", with_views("evt", """
@@ -123,11 +142,21 @@ def _(spark, d):
     return C.legitimate_view(evt(spark, d), 200).select("event_id")
 
 
-@query("v09_field_map", with_views("evt", """
-SELECT 'DE' || device_id AS "DE2", mcc AS "DE18", response_code AS "DE39", count(*) AS n FROM evt GROUP BY ALL"""))
+_MAPPED = [(standard, name, column) for standard, names in S.FIELD_MAPS.items() for column, name in names.items()]
+
+
+@query("v09_field_map", with_views("evt", "WITH m(standard, name, col) AS (VALUES " + ", ".join("('{}', '{}', '{}')".format(a, b.replace("'", "''"), c) for a, b, c in _MAPPED) + """)
+SELECT standard, name, col || ':' || (k % 3) AS value, count(*) AS n FROM evt, m GROUP BY ALL"""))
 def _(spark, d):
-    df = evt(spark, d).selectExpr("concat('DE', device_id) AS pan_token", "mcc", "response_code")
-    return C.field_map(df, "iso8583").groupBy("DE2", "DE18", "DE39").agg(F.count(F.lit(1)).alias("n"))
+    """All four standards: every column that has a name there, under that name."""
+    columns = sorted({c for _, _, c in _MAPPED})
+    df = evt(spark, d).select(*[F.concat(F.lit(f"{c}:"), (F.col("k") % 3).cast("string")).alias(c) for c in columns])
+    parts = []
+    for standard in S.FIELD_MAPS:
+        mapped = C.field_map(df, standard)
+        each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in mapped.columns])
+        parts.append(mapped.select(F.lit(standard).alias("standard"), F.inline(each)))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("standard", "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("v10_retry_class", with_views("evt", """

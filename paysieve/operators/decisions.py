@@ -161,13 +161,27 @@ def feature_importance(df: DataFrame, contributions: Mapping[str, Column], k: in
     ]))).orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
+# How a round ended, and the quality above which a result is suspect.
+ROUND_STATUSES = ("COMPLETED", "FIDELITY_REJECTED", "NO_VALID_PROPOSALS", "MODEL_REGRESSION_KEPT_PREVIOUS")
+SUSPICIOUS_AVERAGE_PRECISION = 0.95
+# End of fixed values.
+
+
 def round_record(
     df: DataFrame, round_no: int, threshold: float, status: str = "COMPLETED", label="is_fraud", score="score",
-    cents="amount_c", vector="vector_id",
+    cents="amount_c", vector="vector_id", campaign: str | None = None, blind: DataFrame | None = None,
+    proposals: DataFrame | None = None, gate=None,
 ) -> DataFrame:
-    """One row for the round table: ranking, error rates, cost and recall per vector."""
+    """One row for the round table: ranking, error rates, cost and recall per vector.
+
+    With a campaign column, its campaigns' rows and evasion; with a blind cohort, the same two figures for it; with checked
+    proposals, how many are valid and the reasons of the others; with a gate, its verdict and composite. A round whose model
+    did worse than the one before keeps that one, which ``model_retained`` tells.
+    """
     from paysieve.operators import metrics as M
 
+    if status not in ROUND_STATUSES:
+        raise ValueError(f"unknown status {status}")
     parts = [
         M.ranking_summary(df, label, score), M.flag_rates(df, threshold, label, score),
         M.expected_cost(df, threshold, label, score, cents),
@@ -175,10 +189,24 @@ def round_record(
             F.map_from_entries(F.collect_list(F.struct(F.col(vector).cast("string"), F.col("recall"))))
             .alias("per_vector_recall")),  # at most one entry per registered vector
     ]
+    if campaign:
+        parts.append(M.recall_by(df.filter(F.col(campaign).isNotNull()), campaign, threshold, label, score).agg(
+            F.sort_array(F.collect_list(F.struct(F.col(campaign).cast("string").alias("campaign_id"), F.col("rows").alias("n_events"), "evasion"))).alias("campaigns")))  # one entry per campaign of the round
+    if blind is not None:
+        parts += [M.average_precision(blind, label, score).withColumnRenamed("average_precision", "average_precision_blind"),
+                  M.flag_rates(blind, threshold, label, score).select(F.col("evasion").alias("evasion_blind"))]
+    if proposals is not None:
+        bad = proposals.filter("reason <> 'ok'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+        parts += [proposals.agg(F.count(F.lit(1)).alias("proposals_total"), F.count_if(F.col("reason") == "ok").alias("proposals_valid")),
+                  bad.agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("proposals_rejected"))]  # one entry per reason
     row = parts[0].withColumn("round", F.lit(round_no))
     for part in parts[1:]:
         row = row.join(part.withColumn("round", F.lit(round_no)), "round")
-    return row.withColumns({"status": F.lit(status), "threshold": F.lit(threshold)})
+    more = {"status": F.lit(status), "threshold": F.lit(threshold), "model_retained": F.lit(status != ROUND_STATUSES[3]),
+            "suspicious": F.coalesce(F.col("average_precision") > SUSPICIOUS_AVERAGE_PRECISION, F.lit(False))}
+    if gate is not None:
+        more |= {"gate_passed": F.lit(gate.passed), "composite": F.lit(float(gate.composite)), "shadow": F.lit(gate.shadow), "shadow_failed": F.lit(gate.shadow_failed)}
+    return row.withColumns(more)
 
 
 def recall_matrix(rounds: DataFrame, recall="per_vector_recall", round_col="round") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysieve import schema as S
@@ -12,8 +12,23 @@ from paysieve.operators.features import FEATURE_NAMES
 from paysieve.operators.metrics import RECALL_BAR
 
 EXPECTED_VECTORS = 32
+# Rules of the registry and of the claims made beside it.
 MIN_SIGNALS = 3
 MAX_MECHANISM_CHARS = 200
+STATUSES = ("documented", "emerging", "speculative")
+DIFFICULTIES = ("low", "medium", "high")
+PROVENANCES = ("independent", "vendor", "vendor_commissioned")
+BANNED_VERBS = ("use", "run", "send", "exploit", "bypass", "install", "execute", "deploy", "obtain", "steal", "attack", "inject", "forge", "spoof",
+                "generate", "create", "build", "harvest", "probe", "target", "evade", "defeat", "clone", "scrape")
+CLAIM_COLUMNS = ("key", "value", "scope", "provenance", "attribution", "approved_text", "suffix")
+INJECTOR_MODULES, INJECTOR_CLASSES = 8, 12
+INTEGER_PARAMETERS = ("n_merchants", "bin_stride", "bin_prefix_count", "pans_per_bin", "victim_count", "ring_size", "device_share_factor", "thin_file_days",
+                      "hidden_item_count", "spoofed_operator_count", "fan_in_degree", "hop_count")
+LADDER_STEPS = (3, 8)
+CONTROLLABLE_KINDS = ("cnt_", "sum_", "declrate_", "amtstd_")
+CONTROLLABLE = ("amount_z_vs_entity_history", "cross_border", "sca_exempt_flag")
+# End of fixed values.
+CLAIM_SCHEMA = ", ".join(f"{c} string" for c in CLAIM_COLUMNS)
 
 
 class Vector(NamedTuple):
@@ -126,9 +141,17 @@ def vectors(spark: SparkSession) -> DataFrame:
         "expected_features array<string>, blind_holdout boolean")
 
 
+def banned_verbs(text: Column) -> Column:
+    """The banned verbs among the words of a text, sorted; words are split at white space and lose marks at their ends."""
+    words = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.btrim(w, F.lit(".,;:()")))
+    return F.array_sort(F.array_intersect(F.array(*[F.lit(v) for v in BANNED_VERBS]), words))
+
+
 def registry_problems(table: DataFrame, expected: int = EXPECTED_VECTORS) -> DataFrame:
-    """(rule, vector_id) for each broken rule: size, unique ids, one held out, and, where the
-    columns exist, signals and mechanism length. Empty when the registry is sound.
+    """(rule, vector_id) for each broken rule. Empty when the registry is sound.
+
+    Of the whole table: its size, unique ids, one held out. Of each row, where the columns exist: a value in every one,
+    known status and difficulty, enough signals, a mechanism of a bounded length without a banned verb, a countermeasure.
     """
     whole = table.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("vector_id").alias("ids"),
@@ -137,18 +160,44 @@ def registry_problems(table: DataFrame, expected: int = EXPECTED_VECTORS) -> Dat
         F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(None).cast("string").alias("vector_id")))
         for rule, bad in (("size", F.col("n") != expected), ("duplicate_id", F.col("ids") != F.col("n")),
                           ("one_holdout", F.col("held") != 1))]))))
-    if "observable_signals" in table.columns:
-        out = out.unionByName(table.filter(F.size("observable_signals") < MIN_SIGNALS).select(
-            F.lit("signals").alias("rule"), "vector_id"))
-    if "mechanism" in table.columns:
-        out = out.unionByName(table.filter(F.length("mechanism") > MAX_MECHANISM_CHARS).select(
-            F.lit("mechanism_length").alias("rule"), "vector_id"))
-    return out
+    c = F.col
+    needed = [n for n in ("name", "rails", "tier", "mechanism", "genai_delta", "observable_signals", "status", "sources", "sim_difficulty", "expected_features", "blind_holdout") if n in table.columns]
+    missing = F.lit(False)
+    for n in needed:
+        missing = missing | c(n).isNull()
+    checks = {"missing_value": missing, "status": ~c("status").isin(*STATUSES)}
+    optional = {
+        "observable_signals": {"signals": F.size("observable_signals") < MIN_SIGNALS},
+        "mechanism": {"mechanism_length": F.length("mechanism") > MAX_MECHANISM_CHARS, "banned_verb": F.size(banned_verbs(c("mechanism"))) > 0},
+        "sim_difficulty": {"difficulty": ~c("sim_difficulty").isin(*DIFFICULTIES)},
+        "countermeasure": {"countermeasure": c("countermeasure").isNull() | (c("countermeasure") == "")},
+    }
+    for column, more in optional.items():
+        if column in table.columns:
+            checks |= more
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in checks.items()]))
+    return out.unionByName(table.select(F.explode(broken).alias("rule"), "vector_id"))
+
+
+def claims(spark: SparkSession, rows) -> DataFrame:
+    """The claims table from rows of its seven values."""
+    return spark.createDataFrame([tuple(r) for r in rows], CLAIM_SCHEMA)
 
 
-def coverage(table: DataFrame, recall: DataFrame, bar: float = RECALL_BAR) -> DataFrame:
+def claim_problems(table: DataFrame) -> DataFrame:
+    """(rule, key) for each broken rule: a value in every column, known provenance, no key twice, at least one claim."""
+    c, missing = F.col, F.lit(False)
+    for n in CLAIM_COLUMNS:
+        missing = missing | c(n).isNull()
+    each = F.array_compact(F.array(F.when(missing, F.lit("missing_value")), F.when(~c("provenance").isin(*PROVENANCES), F.lit("provenance"))))
+    twice = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate_key").alias("rule"), "key")
+    none = table.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("no_claims").alias("rule"), F.lit(None).cast("string").alias("key"))
+    return table.select(F.explode(each).alias("rule"), "key").unionByName(twice).unionByName(none)
+
+
+def coverage(table: DataFrame, recall: DataFrame, bar: float = RECALL_BAR, features=FEATURE_NAMES) -> DataFrame:
     """Registry rows with recall (only where a generator exists) and the two coverage flags."""
-    known = F.array(*[F.lit(n) for n in FEATURE_NAMES])
+    known = F.array(*[F.lit(n) for n in features])
     joined = table.join(recall.select("vector_id", F.col("recall").alias("_r")), "vector_id", "left")
     shown = F.when(F.col("has_generator"), F.col("_r"))
     return joined.select(
@@ -157,6 +206,15 @@ def coverage(table: DataFrame, recall: DataFrame, bar: float = RECALL_BAR) -> Da
         F.coalesce(shown >= bar, F.lit(False)).alias("detected"))
 
 
+def coverage_totals(covered: DataFrame, expected: int = EXPECTED_VECTORS, bar: float = RECALL_BAR) -> DataFrame:
+    """One row over the coverage rows: vectors, generators and their share of the expected ones, vectors by status, features, detections."""
+    with_generator = F.count_if("has_generator")
+    return covered.agg(
+        F.count(F.lit(1)).alias("total_vectors"), with_generator.alias("with_generator"), (with_generator / expected).alias("coverage"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count_if("has_expected_features").alias("with_features"), F.count_if("detected").alias("detected")
+    ).withColumns({"injector_modules": F.lit(INJECTOR_MODULES), "injector_classes": F.lit(INJECTOR_CLASSES), "recall_bar": F.lit(float(bar))})
+
+
 def survivors(recall: DataFrame, bar: float = RECALL_BAR) -> DataFrame:
     return recall.filter(F.col("recall") < bar)
 
@@ -178,27 +236,44 @@ def coverage_in_view(table: DataFrame, rails=(), statuses=(), generator_only=Fal
 def check_parameters(proposals: DataFrame, accounts: int = ACCOUNT_COUNT) -> DataFrame:
     """Adds ``reason`` to (vector_id, params map<string,double>, band_low, band_high): the first
     broken constraint, or 'ok'. The bounds are a literal inside the row expression: no join.
+
+    Parameters that are no number come in ``texts`` (map<string,string>) and ``lists`` (map<string,array<double>>), where
+    the table has these columns: a target feature must be one that an attacker can move, a ladder has a bounded number of steps.
     """
     by_vector: dict[str, list] = {}
     for b in PARAMETER_BOUNDS:
-        by_vector.setdefault(b.vector_id, []).append((b.parameter, float(b.lowest), float(b.highest), b.required))
+        by_vector.setdefault(b.vector_id, []).append((b.parameter, float(b.lowest), float(b.highest), b.required, b.parameter in INTEGER_PARAMETERS))
     bounds = F.create_map(*[x for v, items in by_vector.items() for x in (F.lit(v), F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(req).alias("need"))
-        for n, lo, hi, req in items]))])
+        F.struct(F.lit(n).alias("name"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(req).alias("need"), F.lit(whole).alias("whole"))
+        for n, lo, hi, req, whole in items]))])
     limit = F.element_at(
         F.create_map(*[F.lit(x) for v, r in VECTOR_RAIL.items() for x in (v, S.RAIL_LIMITS[r])]), F.col("vector_id"))
     mine = F.element_at(bounds, F.col("vector_id"))
     params = F.col("params")
+    text = F.col("texts")["target_feature"] if "texts" in proposals.columns else F.lit(None).cast("string")
+    ladder = F.col("lists")["amount_ladder"] if "lists" in proposals.columns else F.lit(None).cast("array<double>")
     numeric = lambda b: ~b["name"].isin(*NOT_NUMERIC)
+    has = lambda name, need=False: F.exists(mine, lambda b: (b["name"] == name) & (b["need"] if need else F.lit(True)))
     missing = F.exists(mine, lambda b: numeric(b) & b["need"] & params[b["name"]].isNull())
     outside = F.exists(mine, lambda b: numeric(b) & params[b["name"]].isNotNull() & (
         (params[b["name"]] < b["low"]) | (params[b["name"]] > b["high"])))
+    fraction = F.exists(mine, lambda b: b["whole"] & (params[b["name"]] != F.floor(params[b["name"]])))
     unknown = F.size(F.array_except(F.map_keys(params), F.transform(mine, lambda b: b["name"]))) > 0
-    band_needed = F.exists(mine, lambda b: (b["name"] == "amount_band") & b["need"]) & F.col("band_low").isNull()
+    wrong_kind = F.exists(F.map_keys(params), lambda n: n.isin(*NOT_NUMERIC))
+    band_needed = has("amount_band", True) & (F.col("band_low").isNull() | F.col("band_high").isNull())
+    text_needed = has("target_feature", True) & text.isNull()
+    feature = F.lit(False)
+    for start in CONTROLLABLE_KINDS:
+        feature = feature | text.startswith(start)
+    movable = text.isin(*FEATURE_NAMES) & (feature | text.isin(*CONTROLLABLE))
+    stray = (text.isNotNull() & ~has("target_feature")) | (ladder.isNotNull() & ~has("amount_ladder"))
+    steps = ladder.isNotNull() & (~F.size(ladder).between(*LADDER_STEPS) | F.exists(ladder, lambda x: x.isNull()))
     no = lambda c: F.coalesce(c, F.lit(False))
     reason = (
-        F.when(mine.isNull(), "unknown vector").when(no(missing | band_needed), "schema: missing")
-        .when(no(outside), "schema: out of range").when(no(unknown), "schema: unknown parameter")
+        F.when(mine.isNull(), "unknown vector").when(no(missing | band_needed | text_needed), "schema: missing")
+        .when(no(wrong_kind), "schema: not a number").when(no(fraction), "schema: not an integer")
+        .when(no(outside), "schema: out of range").when(no(unknown | stray), "schema: unknown parameter")
+        .when(no(~movable), "schema: not a controllable feature").when(no(steps), "schema: ladder steps")
         .when(no(F.col("band_high") > limit), "amount exceeds rail limit")
         .when(no(F.col("band_low") > F.col("band_high")), "amount band order")
         .when(no(params["expiry_margin_s"] < 0), "mandate cannot settle after expiry")

@@ -41,12 +41,22 @@ EXACT_LENGTH = {"currency": 3, "payer_country": 2, "payee_country": 2, "merchant
 MAX_LENGTH = {"pan_token": 24, "terminal_id": 12, "remittance_ref": 140, "agent_operator": 64}
 UPPERCASE = ("currency", "payer_country", "payee_country")
 POSITIVE = ("amount", "amount_inr", "mandate_amount_max")
+DIGITS = {"amount": (14, 2), "amount_inr": (14, 2)}
 # End of fixed values.
 
 
-def rules(columns: Iterable[str]) -> list[tuple[str, Column]]:
-    """(code, violated) for every rule whose columns are present."""
-    have = set(columns)
+def too_many_digits(value: Column, digits: int, places: int) -> Column:
+    """More decimal places than allowed, or more digits in all."""
+    x = value.cast("decimal(38,10)")
+    return (x != F.round(x, places)) | (F.abs(x) >= F.lit(10 ** (digits - places)))
+
+
+def rules(columns: Iterable[str], allow: Iterable[str] = ()) -> list[tuple[str, Column]]:
+    """(code, violated) for every rule whose columns are present.
+
+    A value in a column that the canonical event does not have is a violation, but for the columns allowed beside it.
+    """
+    have, known = set(columns), {*S.CES_SCHEMA.fieldNames(), *allow}
     c = F.col
     out: list[tuple[str, Column]] = [
         (f"{n}:missing", c(n).isNull() if n in have else F.lit(True)) for n in S.REQUIRED_COLUMNS
@@ -57,6 +67,8 @@ def rules(columns: Iterable[str]) -> list[tuple[str, Column]]:
     out += [(f"{n}:length", F.length(n) > k) for n, k in MAX_LENGTH.items() if n in have]
     out += [(f"{n}:case", c(n) != F.upper(c(n))) for n in UPPERCASE if n in have]
     out += [(f"{n}:positive", c(n) <= 0) for n in POSITIVE if n in have]
+    out += [(f"{n}:digits", too_many_digits(c(n), *d)) for n, d in DIGITS.items() if n in have]
+    out += [(f"{n}:unknown", c(f"`{n}`").isNotNull()) for n in columns if n not in known]
 
     def cross(code, needed, violated):
         if set(needed) <= have:
@@ -82,15 +94,15 @@ def rules(columns: Iterable[str]) -> list[tuple[str, Column]]:
     return out
 
 
-def with_violations(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+def with_violations(df: DataFrame, skip: Sequence[str] = (), allow: Sequence[str] = ()) -> DataFrame:
     """Adds ``violations``: the codes of the broken rules, in rule order. No shuffle."""
-    codes = [F.when(bad, F.lit(code)) for code, bad in rules(df.columns) if code not in skip]
+    codes = [F.when(bad, F.lit(code)) for code, bad in rules(df.columns, allow) if code not in skip]
     return df.withColumn("violations", F.array_compact(F.array(*codes)))
 
 
-def validate(df: DataFrame, strict: bool = True, skip: Sequence[str] = ()) -> DataFrame:
+def validate(df: DataFrame, strict: bool = True, skip: Sequence[str] = (), allow: Sequence[str] = ()) -> DataFrame:
     """Lenient keeps the valid rows; strict raises with a count and at most ten bad rows."""
-    checked = with_violations(df, skip)
+    checked = with_violations(df, skip, allow)
     if strict:
         bad = checked.filter(F.size("violations") > 0)
         head = bad.select(*[x for x in ("event_id",) if x in df.columns], "violations").take(MAX_REPORTED)
@@ -101,9 +113,9 @@ def validate(df: DataFrame, strict: bool = True, skip: Sequence[str] = ()) -> Da
     return checked.filter(F.size("violations") == 0).drop("violations")
 
 
-def quarantine(df: DataFrame, skip: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def quarantine(df: DataFrame, skip: Sequence[str] = (), allow: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with their reasons)."""
-    checked = with_violations(df, skip)
+    checked = with_violations(df, skip, allow)
     return (checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0))
 
 
@@ -124,11 +136,19 @@ def coerce_types(df: DataFrame) -> DataFrame:
     return df.withColumns(changes)
 
 
+class LeakageError(ValueError):
+    """A label or raw identifier among features; ``columns`` names them."""
+
+    def __init__(self, columns: list[str]):
+        super().__init__(f"label or raw identifier in feature set: {columns}")
+        self.columns = columns
+
+
 def assert_no_leakage(df: DataFrame) -> list[str]:
     """Feature columns; raises when a label or raw identifier is among them."""
     leaked = sorted(set(df.columns) & (S.LABEL_COLUMNS | S.IDENTIFIER_COLUMNS))
     if leaked:
-        raise ValueError(f"label or raw identifier in feature set: {leaked}")
+        raise LeakageError(leaked)
     return df.columns
 
 
