@@ -70,7 +70,19 @@ def _(spark, d):
     return html_text.extract(_table(spark, d, "pages"))
 
 
-@query("op7_decontaminate")
+_NORMAL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op7_decontaminate", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_NORMAL} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_NORMAL} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[p:p + 9], ' ') AS h FROM i, unnest(generate_series(1, greatest(1, len(w) - 9))) AS t(p) WHERE len(w) > 0),
+x AS (SELECT r, p, size, array_to_string(w[p:p + size - 1], ' ') AS h FROM d JOIN (SELECT DISTINCT size FROM q) ON len(w) >= size, unnest(generate_series(1, len(w) - size + 1)) AS t(p)),
+f AS (SELECT r, p, size, item FROM x JOIN q USING (size, h)),
+n AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM f, unnest(generate_series(0, size - 1)) AS t(j) GROUP BY r),
+m AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM f GROUP BY r)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)""")
 def _(spark, d):
     found = decontaminate.scan(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -84,7 +96,19 @@ def _(spark, d):
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce({_WORDS}, []) AS w FROM documents),
+x AS (SELECT r, p, array_to_string(w[p:p + 2], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 2)) AS t(p)),
+m AS (SELECT r, g FROM x GROUP BY ALL HAVING count(*) > 1),
+n AS (SELECT r, count(DISTINCT p + j) AS n_repeat_words FROM x JOIN m USING (r, g), unnest(generate_series(0, 2)) AS t(j) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+a AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines, len(list_distinct(w)) AS n_distinct_words,
+  len(regexp_extract_all(text, '[A-Z]')) AS n_upper FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_words > 0 AND 10 * n_symbols > 3 * n_words
+  OR n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words) OR n_lines > 4 AND 2 * n_dup_lines > n_lines
+  OR n_words >= 50 AND n_distinct_words < 2 + n_words // 200 OR word_chars > 0 AND 2 * n_upper > word_chars) AS kept FROM b""")
 def _(spark, d):
     base = quality_rules.policy_mask("v1")
     entries = quality_rules.ledger(_table(spark, d, "documents"))
@@ -92,6 +116,12 @@ def _(spark, d):
                           (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), quality_rules.passes().alias("kept"))
 
 
+@query("rule_ablations")
+def _(spark, d):
+    """For every rule of the current policy: failing documents, those only it rejects, and those kept without it."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, d, "documents")))
+
+
 @query("op10_mixing", r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
   CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k FROM documents),
