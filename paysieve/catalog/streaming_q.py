@@ -30,7 +30,14 @@ _DAILY = f"""SELECT user_id, us - us % {DAY} AS start_us, count(*) AS cnt, CAST(
 @query("r01_velocity_stream", with_views("evt", _DAILY))
 def _(spark, d):
     out = V.window_velocity(stream(spark, d), ["user_id"], "event_ts", F.col("amount_c"), F.col("declined"), "1 day")
-    return R.land(out, "complete")
+    return R.land_updates(out, ["user_id", "start_us"])
+
+
+@query("r01c_sliding_stream", with_views("evt", f"""SELECT user_id, s AS start_us, count(*) AS cnt, CAST(sum(amount_c) AS BIGINT) AS cents, CAST(sum(declined) AS BIGINT) AS declines
+FROM (SELECT *, unnest([us - us % {6 * HOUR} - i * {6 * HOUR} FOR i IN range(4)]) AS s FROM evt) GROUP BY 1, 2"""))
+def _(spark, d):
+    out = V.window_velocity(stream(spark, d), ["user_id"], "event_ts", F.col("amount_c"), F.col("declined"), "1 day", "6 hours")
+    return R.land_updates(out, ["user_id", "start_us"])
 
 
 @query("r01b_velocity_batch_twin", with_views("evt", _DAILY))
@@ -46,7 +53,31 @@ def _(spark, d):
     return R.land(S.trailing_stream(stream(spark, d), "user_id", {"1h": HOUR, "24h": DAY}))
 
 
-@query("r03_distinct_counter_stream")
+@query("r02b_measures_stream", with_views("evt", f"""
+WITH p AS (SELECT *, lag(us) OVER (PARTITION BY user_id, payee_id ORDER BY us, event_id) AS before FROM evt),
+n AS (SELECT *, CASE WHEN before IS NULL OR us - before >= {DAY} THEN 1 ELSE 0 END AS fresh FROM p)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, count(*) OVER {frame('user_id', DAY)} AS cnt, coalesce(CAST(sum(amount_c) OVER {frame('user_id', DAY)} AS BIGINT), 0) AS cents,
+  round(stddev_samp(amount_c / 100.0E0) OVER {frame('user_id', DAY)}, 4) AS std, coalesce(CAST(sum(fresh) OVER {frame('user_id', DAY)} AS BIGINT), 0) AS "distinct",
+  CAST(CASE WHEN before IS NULL THEN 1 ELSE 0 END AS INT) AS first, {", ".join(f"count(CASE WHEN k % 3 = {i} THEN 1 END) OVER {frame('user_id', DAY)} AS c{i}" for i in range(3))} FROM n"""))
+def _(spark, d):
+    events = stream(spark, d).withColumn("category", F.col("k") % 3)
+    return R.land(S.measures_stream(events, "user_id", DAY, "payee_id", "category", 3)).withColumn("std", F.round("std", 4))
+
+
+@query("r03_distinct_counter_stream", with_views("evt", f"""
+WITH g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY device_id ORDER BY us, event_id) < {2 * HOUR} THEN 0 ELSE 1 END AS s FROM evt),
+n AS (SELECT *, sum(s) OVER (PARTITION BY device_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT CAST(device_id AS VARCHAR) AS key, min(us) AS start_us, count(DISTINCT pan_id) AS "exact", true AS close FROM n GROUP BY device_id, session"""))
+def _(spark, d):
+    """Counters kept alive for two hours by every add, beside their exact twins: equal starts, estimates within 3 % or one."""
+    found = R.land_updates(S.living_counter(stream(spark, d), "device_id", "pan_id", 2 * HOUR), ["key", "start_us"])
+    exact = V.distinct_counter_exact(evt(spark, d), "device_id", "pan_id", "us", "event_id", 2 * HOUR).select(
+        F.col("device_id").cast("string").alias("key"), "start_us", F.col("distinct").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return found.join(exact, ["key", "start_us"], "left").select("key", "start_us", "exact", F.coalesce(near, F.lit(False)).alias("close"))
+
+
+@query("r03c_session_counter")
 def _(spark, d):
     return R.land(V.distinct_counter(stream(spark, d), "device_id", "pan_id", "event_ts", "2 hours"), "complete")
 
@@ -60,14 +91,14 @@ def _(spark, d):
 
 
 @query("r04_hll_rollup", with_views("evt", """
-SELECT device_id, (us // 86400000000) * 86400000000 AS period_us, true AS close FROM evt GROUP BY ALL"""))
+SELECT device_id, (us // 86400000000) * 86400000000 AS period_us, count(DISTINCT user_id) AS "exact", true AS close FROM evt GROUP BY ALL"""))
 def _(spark, d):
-    sketches = R.land(V.hourly_sketches(stream(spark, d), ["device_id"], "user_id", "event_ts"), "complete")
+    sketches = R.land_updates(V.hourly_sketches(stream(spark, d), ["device_id"], "user_id", "event_ts"), ["device_id", "hour"])
     found = V.roll_up(sketches, ["device_id"])
     exact = evt(spark, d).groupBy("device_id", (F.floor(F.col("us") / 86_400_000_000) * 86_400_000_000).alias("period_us")).agg(
         F.count_distinct("user_id").alias("exact"))
     near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
-    return found.join(exact, ["device_id", "period_us"], "left").select("device_id", "period_us", F.coalesce(near, F.lit(False)).alias("close"))
+    return found.join(exact, ["device_id", "period_us"], "left").select("device_id", "period_us", "exact", F.coalesce(near, F.lit(False)).alias("close"))
 
 
 @query("r05_nonce_replay", with_views("evt", """

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paysieve.operators.validation import rate_of
-from paysieve.plans.durable import durable
+from paysieve.plans.durable import durable, scratch_path
 from paysieve.plans.scan import running_stats, running_totals
 from paysieve.plans.skew import Layout, attach_group_stats, plan_layout
 
@@ -54,15 +54,16 @@ def _vertices(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 def pagerank(
     edges: DataFrame, vertices: DataFrame | None = None, *, src="src_id", dst="dst_id", weight: str | None = "weight",
-    alpha=ALPHA, max_iterations=MAX_ITERATIONS, tolerance=TOLERANCE,
+    alpha=ALPHA, max_iterations=MAX_ITERATIONS, tolerance=TOLERANCE, trace: list[float] | None = None,
 ) -> tuple[DataFrame, float]:
-    """(id, rank) and the last total change.
+    """(id, rank) and the last total change; ``trace`` collects the change of every round.
 
-    Weights are summed over edge types. Mass of vertices without out-edges is what is missing
-    from the inflow, and is spread evenly. Each iteration joins ranks to the edges' sources
-    (sources with very many edges are salted), aggregates per target with map-side combine,
-    and is checkpointed; the driver sees two sums per iteration.
+    Weights are summed over edge types. Mass of vertices without out-edges is spread evenly; a
+    round's own write observes how much there will be in the next one and how much ranks changed,
+    so a round is one job: ranks meet the edges' sources (sources with very many edges are salted),
+    flows are summed per target with map-side combine, and the new ranks go to the shared folder.
     """
+    spark = edges.sparkSession
     weighed = edges.groupBy(F.col(src).alias("id"), F.col(dst).alias("to")).agg(
         (F.sum(weight) if weight else F.count(F.lit(1))).cast("double").alias("w"))
     weighed = durable(weighed)
@@ -72,22 +73,26 @@ def pagerank(
     links = durable(links.repartition("id") if layout.hot is None else links)
     nodes = _vertices(edges, src, dst) if vertices is None else vertices.select("id").union(
         _vertices(edges, src, dst)).distinct()
-    nodes = durable(nodes)
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    nodes = durable(nodes.join(totals.select("id", F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
+    counts = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_if("dangling").alias("d")).first()
+    n, loose = max(counts["n"], 1), counts["d"] / max(counts["n"], 1)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     change = float("inf")
     for _ in range(max_iterations):
-        flow = attach_group_stats(links, ["id"], ranks, layout).groupBy(F.col("to").alias("id")).agg(
+        flow = attach_group_stats(links, ["id"], ranks.select("id", "rank"), layout).groupBy(F.col("to").alias("id")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        step = durable(ranks.join(flow, "id", "left").select("id", "rank", F.coalesce("inflow", F.lit(0.0)).alias("inflow")))
-        sums = step.agg(F.sum("inflow").alias("i"), F.sum("rank").alias("r")).first()
-        even = (alpha * (sums["r"] - sums["i"]) + (1 - alpha)) / n
-        fresh = F.lit(alpha) * F.col("inflow") + F.lit(even)
-        change = step.agg(F.sum(F.abs(fresh - F.col("rank")))).first()[0]
-        ranks = step.select("id", fresh.alias("rank"))
+        even = (alpha * loose + (1 - alpha)) / n
+        fresh = F.lit(alpha) * F.coalesce("inflow", F.lit(0.0)) + F.lit(even)
+        step = ranks.join(flow, "id", "left").select("id", "dangling", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
+        seen, path = Observation(), scratch_path(spark, "ranks")
+        step.observe(seen, F.sum("moved").alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose")).write.parquet(path)
+        ranks = spark.read.schema(step.schema).parquet(path).select("id", "dangling", "rank")
+        change, loose = seen.get["change"] or 0.0, seen.get["loose"] or 0.0
+        if trace is not None:
+            trace.append(change)
         if change < n * tolerance:
             break
-    return ranks, change
+    return ranks.select("id", "rank"), change
 
 
 def connected_components(edges: DataFrame, *, src="src_id", dst="dst_id", max_iterations: int | None = None) -> DataFrame:

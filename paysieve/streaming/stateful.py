@@ -77,6 +77,159 @@ def trailing_stream(events: DataFrame, key: str, windows: Mapping[str, int], at=
         outputMode="append", timeMode="EventTime")
 
 
+class TrailingMeasures(StatefulProcessor):
+    """Exact trailing measures of a key beyond count and sum: deviation, counts by category, distinct others, first use.
+
+    State: the rows of the longest window in a list that batches append to (it is rewritten only once half of it has
+    expired), and a map from each other to when it was last seen, with an entry for every other of the key; an entry
+    is also what tells that a pair was seen before.
+    """
+
+    def __init__(self, width: int, categories: int, late_us: int = 0):
+        self.width, self.categories, self.kept_us = width, categories, width + late_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "us long, event_id long, cents long, category int, fresh boolean")
+        self.seen = handle.getMapState("seen", "name string", "us long, event_id long")
+
+    def _arrived(self, fresh: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Per new row, whether its other was not seen in the window before it, and whether it never was."""
+        last, new, first = {}, np.zeros(len(fresh), bool), np.zeros(len(fresh), bool)
+        for i, (us, event_id, other) in enumerate(zip(fresh["us"], fresh["event_id"], fresh["other"])):
+            name = ("v" + other,) if other is not None else ("n",)
+            if name not in last:
+                last[name] = self.seen.getValue(name) if self.seen.containsKey(name) else None
+            before = last[name]
+            first[i] = before is None
+            new[i] = before is None or us - before[0] >= self.width
+            if before is None or (us, event_id) > tuple(before):
+                last[name] = (int(us), int(event_id))
+        for name, value in last.items():
+            self.seen.updateValue(name, value)
+        return new, first
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        fresh["other"] = [None if pd.isna(x) else x for x in fresh["other"]]
+        new, first = self._arrived(fresh)
+        added = [(int(u), int(e), int(c), int(k), bool(n)) for u, e, c, k, n in zip(fresh["us"], fresh["event_id"], fresh["cents"], fresh["category"], new)]
+        stored = list(self.recent.get()) if self.recent.exists() else []
+        table = np.array([tuple(int(x) for x in r) for r in [*stored, *added]], dtype="int64").reshape(-1, 5)
+        table = table[np.argsort(table[:, 0], kind="stable")]
+        us, cents = table[:, 0], table[:, 2]
+        at = fresh["us"].to_numpy("int64")
+        low, high = np.searchsorted(us, at - self.width, side="left"), np.searchsorted(us, at, side="left")
+
+        def sums(values):
+            total = np.concatenate([[0], np.cumsum(values)])
+            return total[high] - total[low]
+
+        n, s = high - low, sums(cents)
+        middle = int(cents.mean()) if len(cents) else 0
+        moved, square = sums(cents - middle), sums((cents - middle) ** 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            std = np.sqrt(np.maximum(n * square.astype("float64") - moved.astype("float64") ** 2, 0) / (n * (n - 1.0))) / 100
+        out = {"key": [key[0]] * len(fresh), "event_id": fresh["event_id"].to_numpy("int64"), "cnt": n, "cents": s, "std": [float(x) if k > 1 else None for x, k in zip(std, n)],
+               "distinct": sums(table[:, 4]), "first": first.astype("int32")}
+        out |= {f"c{k}": sums((table[:, 3] == k).astype("int64")) for k in range(self.categories)}
+        live = us >= us[-1] - self.kept_us
+        if 2 * live.sum() < len(us):
+            self.recent.put([(int(a), int(b), int(c), int(d), bool(e)) for a, b, c, d, e in table[live]])
+        else:
+            self.recent.appendList(added)
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def measures_stream(events: DataFrame, key: str, width: int, other: str, category: str, categories: int, at="event_ts", tie="event_id",
+                    cents="amount_c", lateness="10 minutes") -> DataFrame:
+    """(key, event_id, cnt, cents, std, distinct, first, c0..) per event of a stream, over ``[t - width, t)``.
+
+    ``distinct`` counts the window's events whose other was not seen in the window before them, ``first`` marks the first
+    event ever of a (key, other) pair by arrival, ``c0..`` count the window's events by category.
+    """
+    use_rocksdb(events.sparkSession)
+    columns = "key string, event_id long, cnt long, cents long, std double, distinct long, first int, " + ", ".join(f"c{k} long" for k in range(categories))
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(tie).alias("event_id"), F.col(at).alias("at"), F.unix_micros(at).alias("us"),
+                         F.col(cents).cast("long").alias("cents"), F.col(other).cast("string").alias("other"), F.col(category).cast("int").alias("category")).withWatermark("at", lateness)
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=TrailingMeasures(width, categories, _micros(events, lateness)), outputStructType=columns, outputMode="append", timeMode="EventTime")
+
+
+REGISTER_BITS = 14
+
+
+def sketch_add(registers: np.ndarray, hashes: np.ndarray) -> None:
+    """Adds 64-bit hashes to a counter of 2**14 registers, in place: each keeps the longest run of leading zeros it has met."""
+    place = (hashes >> np.uint64(64 - REGISTER_BITS)).astype(np.int64)
+    rest = (hashes << np.uint64(REGISTER_BITS)) | np.uint64((1 << REGISTER_BITS) - 1)
+    run = 65 - np.frexp(rest.astype(np.float64))[1]
+    np.maximum.at(registers, place, np.minimum(run, 64 - REGISTER_BITS + 1).astype(np.uint8))
+
+
+def sketch_estimate(registers: np.ndarray) -> float:
+    """Distinct values in the counter; linear counting while many registers are empty."""
+    m = len(registers)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.exp2(-registers.astype("float64")).sum()
+    empty = int((registers == 0).sum())
+    return m * np.log(m / empty) if raw <= 2.5 * m and empty else raw
+
+
+class LivingCounter(StatefulProcessor):
+    """A distinct counter that lives as long as adds renew it: one sketch in value state, updated in place.
+
+    Every add moves the time of death to its event time plus ``ttl_us``; an add at or after that begins a new counter.
+    """
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "start_us long, last_us long, registers binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable")
+        us = fresh["us"].to_numpy("int64")
+        hashes = fresh["hash"].to_numpy("int64").view("uint64")
+        counted = fresh["counted"].to_numpy(bool)
+        start, last, registers = None, None, np.zeros(1 << REGISTER_BITS, np.uint8)
+        if self.counter.exists():
+            start, last, held = self.counter.get()
+            registers = np.frombuffer(bytes(held), np.uint8).copy()
+        out, begin = [], 0
+        edges = [0] if last is None or us[0] - last >= self.ttl_us else []
+        edges += (np.flatnonzero(np.diff(us) >= self.ttl_us) + 1).tolist()
+        for low, high in zip([begin, *[e for e in edges if e]], [*[e for e in edges if e], len(us)]):
+            if low in edges:
+                start, registers = int(us[low]), np.zeros(1 << REGISTER_BITS, np.uint8)
+            sketch_add(registers, hashes[low:high][counted[low:high]])
+            out.append((key[0], start, int(round(sketch_estimate(registers)))))
+        last = max(int(us[-1]), last or int(us[-1]))
+        self.counter.update((start, last, registers.tobytes()))
+        self.handle.registerTimer((last + self.ttl_us) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["key", "start_us", "distinct"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.counter.exists() and (self.counter.get()[1] + self.ttl_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.counter.clear()  # unless a later add has renewed it
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def living_counter(events: DataFrame, key: str, other: str, ttl_us: int, at="event_ts", lateness="10 minutes") -> DataFrame:
+    """(key, start_us, distinct) in update mode: the counters that a batch's adds began or renewed. Null others renew, and are not counted."""
+    use_rocksdb(events.sparkSession)
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.unix_micros(at).alias("us"),
+                         F.xxhash64(F.col(other).cast("string")).alias("hash"), F.col(other).isNotNull().alias("counted")).withWatermark("at", lateness)
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=LivingCounter(ttl_us), outputStructType="key string, start_us long, distinct long", outputMode="update", timeMode="EventTime")
+
+
 class FirstUse(StatefulProcessor):
     """Remembers who used a nonce first and emits every later use; never forgets unless
     ``ttl_ms`` of event time is given, after which a nonce counts as new.
