@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paysieve.operators.validation import rate_of
 from paysieve.plans.durable import durable, scratch_path
 from paysieve.plans.scan import running_stats, running_totals
-from paysieve.plans.skew import Layout, attach_group_stats, plan_layout
+from paysieve.plans.skew import MAX_HOT_GROUPS, Layout, attach_group_stats, plan_layout, rows_per_task
 
 # Who is linked to whom, and currency rates of the account corpus.
 GRAPH_COLUMNS = ("fanin_payee_24h", "fanout_payer_24h", "payee_bank_degree", "payer_pagerank", "payee_pagerank", "component_size",
@@ -189,19 +189,29 @@ def reciprocity(edges: DataFrame, src: str, dst: str) -> DataFrame:
         .cast("int").alias("is_reciprocated"))
 
 
-def _attach_ends(edges, src, dst, layouts):
-    """Degrees and distinct neighbours of both endpoints, and reciprocity, on every edge row."""
-    out_side = edges.groupBy(src).agg(F.count(F.lit(1)).alias("src_out_degree"))
-    in_side = edges.groupBy(dst).agg(F.count(F.lit(1)).alias("dst_in_degree"))
-    pairs = edges.select(src, dst).distinct()
-    targets = pairs.groupBy(src).agg(F.count(F.lit(1)).alias("src_unique_targets"))
-    sources = pairs.groupBy(dst).agg(F.count(F.lit(1)).alias("dst_unique_sources"))
-    of_src = out_side.join(targets, src).join(
-        in_side.select(F.col(dst).alias(src), F.col("dst_in_degree").alias("src_in_degree")), src, "left")
-    of_dst = in_side.join(sources, dst).join(
-        out_side.select(F.col(src).alias(dst), F.col("src_out_degree").alias("dst_out_degree")), dst, "left")
+def _attach_ends(edges, src, dst):
+    """Degrees and distinct neighbours of both endpoints, and reciprocity, on every edge row.
+
+    The edges are read once for the counts of directed pairs; degrees, neighbours, reciprocity and the sizes of groups
+    come from those.
+    """
+    counted = durable(edges.groupBy(F.col(src).alias("s"), F.col(dst).alias("t")).agg(F.count(F.lit(1)).alias("n")))
+    limit = rows_per_task(edges.sparkSession)
+    out_side = durable(counted.groupBy(F.col("s").alias(src)).agg(F.sum("n").alias("src_out_degree"), F.count(F.lit(1)).alias("src_unique_targets")))
+    in_side = durable(counted.groupBy(F.col("t").alias(dst)).agg(F.sum("n").alias("dst_in_degree"), F.count(F.lit(1)).alias("dst_unique_sources")))
+    layouts = []
+    for side, key, degree in ((out_side, src, "src_out_degree"), (in_side, dst, "dst_in_degree")):
+        size = side.agg(F.coalesce(F.sum(degree), F.lit(0)).alias("rows"), F.coalesce(F.max(degree), F.lit(0)).alias("largest")).first()
+        hot = size["largest"] > max(limit, size["rows"] // MAX_HOT_GROUPS)
+        layouts.append(plan_layout(edges, [key]) if hot else Layout(size["rows"], size["largest"], limit))
+    of_src = out_side.join(in_side.select(F.col(dst).alias(src), F.col("dst_in_degree").alias("src_in_degree")), src, "left")
+    of_dst = in_side.join(out_side.select(F.col(src).alias(dst), F.col("src_out_degree").alias("dst_out_degree")), dst, "left")
     rows = edges.withColumns({"low": F.least(src, dst), "high": F.greatest(src, dst)})
-    rows = attach_group_stats(rows, ["low", "high"], reciprocity(edges, src, dst)).drop("low", "high")
+    pairs = counted.groupBy(F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high")).agg(F.sum("n").alias("_n"))
+    widest = pairs.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    hot = widest["n"] > max(limit, widest["rows"] // MAX_HOT_GROUPS)
+    layout = plan_layout(rows, ["low", "high"]) if hot else Layout(widest["rows"], widest["n"], limit)
+    rows = attach_group_stats(rows, ["low", "high"], reciprocity(counted, "s", "t"), layout).drop("low", "high")
     rows = attach_group_stats(rows, [src], of_src, layouts[0])
     rows = attach_group_stats(rows, [dst], of_dst, layouts[1])
     return rows.fillna(0, ["src_in_degree", "dst_out_degree"])
@@ -209,8 +219,7 @@ def _attach_ends(edges, src, dst, layouts):
 
 def account_graph_features(edges: DataFrame, src="src", dst="dst", usd: Column | None = None) -> DataFrame:
     """The eleven edge features. Reciprocity tests the reversed pair against the pairs."""
-    layouts = plan_layout(edges, [src]), plan_layout(edges, [dst])
-    rows = _attach_ends(edges, src, dst, layouts)
+    rows = _attach_ends(edges, src, dst)
     amount = F.col("amount") if usd is None else usd
     return rows.select(
         *edges.columns, "src_out_degree", "src_in_degree", "dst_out_degree", "dst_in_degree", "src_unique_targets",
@@ -228,8 +237,7 @@ def motif_census(edges: DataFrame, label="is_laundering", src="src", dst="dst")
     """One row per label: edges, distinct ends, mean and max degrees, reciprocated and self-loop
     shares; degrees are those of the whole graph. ``accounts`` counts all accounts.
     """
-    layouts = plan_layout(edges, [src]), plan_layout(edges, [dst])
-    rows = _attach_ends(edges, src, dst, layouts)
+    rows = _attach_ends(edges, src, dst)
     per_label = rows.groupBy(label).agg(
         F.count(F.lit(1)).alias("edges"), F.avg("src_out_degree").alias("mean_src_out_degree"),
         F.avg("dst_in_degree").alias("mean_dst_in_degree"), F.max("src_out_degree").alias("max_src_out_degree"),

@@ -32,7 +32,7 @@ def hash_order(key: str) -> Column:
 
 def positional_cut(df: DataFrame, at: str, tie: str, fraction: float) -> tuple[DataFrame, DataFrame]:
     """(first ``int(n * fraction)`` rows in (at, tie) order, the rest)."""
-    edge = order_statistic(df, at, tie, int(df.count() * fraction))
+    edge = order_statistic(df, at, tie, lambda rows: int(rows * fraction))
     return df.filter(up_to(at, tie, edge)), df.filter(~up_to(at, tie, edge))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paysieve.operators.windows import DAY, HOUR, MINUTE, Measure, distinct_approx_block, pit_distinct_exact, trailing
 from paysieve.plans.scan import previous_row, rank_in_group, running_totals
+from paysieve.plans.skew import plan_layout
 
 
 def enumeration(
@@ -52,9 +53,11 @@ def escalating_payments(df: DataFrame, payer="payer_entity_id", payee="payee_ent
     begin within ``new_within`` of the first payment to it.
     """
     pair = [payer, payee]
-    seen = previous_row(df.select(*pair, at, tie, cents), pair, at, tie, {"_p": F.col(cents)})
+    rows = df.select(*pair, at, tie, cents)
+    layout = plan_layout(rows, pair, F.col(at))  # serves both scans
+    seen = previous_row(rows, pair, at, tie, {"_p": F.col(cents)}, layout=layout)
     rising = F.coalesce((F.col(cents) > F.col("_p")).cast("int"), F.lit(0))
-    breaks = running_totals(seen.withColumn("_rise", rising), pair, at, {"_b": F.lit(1) - F.col("_rise")}, tie=tie)
+    breaks = running_totals(seen.withColumn("_rise", rising), pair, at, {"_b": F.lit(1) - F.col("_rise")}, tie=tie, layout=layout)
     island = F.col("_b") + F.lit(1) - F.col("_rise")  # counts this row's own break
     runs = breaks.groupBy(*pair, island.alias("_island")).agg(
         F.sum("_rise").alias("rises"), F.min(at).alias("run_start_us"), F.sum(cents).alias("run_cents"))

@@ -6,11 +6,12 @@ task; slice totals are carried forward over a table with one row per (group, sli
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paysieve.plans.durable import durable
 from paysieve.plans.skew import CHUNK, Layout, join_on_keys, plan_layout, with_chunks
 
 _WHOLE = ("byte", "short", "integer", "long")
@@ -156,14 +157,20 @@ def previous_row(
     )
 
 
-def order_statistic(df: DataFrame, at: str, tie: str, position: int) -> tuple | None:
+def order_statistic(df: DataFrame, at: str, tie: str, position: int | Callable[[int], int]) -> tuple | None:
     """(at, tie) of the row at 1-based ``position`` in (at, tie) order; None when out of range.
 
-    Works on counts per distinct value, so wide rows never move and no task sees the table.
+    Works on counts per distinct value, so wide rows never move and no task sees the table. The position may be a
+    function of the number of rows, which the counts tell without another scan.
     """
-    if position < 1:
+    if not callable(position) and position < 1:
         return None
     counts = df.groupBy(at).agg(F.count(F.lit(1)).alias("_n"))
+    if callable(position):
+        counts = durable(counts)
+        position = position(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        if position < 1:
+            return None
     edge = (
         running_totals(counts, [], at, {"_before": F.col("_n")})
         .filter((F.col("_before") < position) & (F.col("_before") + F.col("_n") >= position))
