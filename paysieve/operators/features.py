@@ -327,13 +327,26 @@ def compute_features(
     def fresh(name, width):
         return (F.col(name).isNull() | (at - F.col(name) >= width)).cast("int")
 
-    out = lagged(base, ["payer_entity_id", "payee_entity_id"], "_p1", pair)
+    def together(frame, key, layout):
+        """Rows of a key side by side, so that all scans by it and by pairs with it need no further exchange."""
+        return frame.repartition(key) if key in frame.columns and layout is not None and layout.hot is None else frame
+
+    # by payer
+    out = lagged(together(base, "payer_entity_id", payer), ["payer_entity_id", "payee_entity_id"], "_p1", pair)
     out = out.withColumns({"first_time_payee": F.col("_p1").isNull().cast("int"), "_new_pair": fresh("_p1", DAY)})
     if "mcc" in out.columns:
         out = first_rows(out, ["payer_entity_id", "mcc"], "_us", "event_id", "mcc_novelty_for_entity",
                          measured("payer_entity_id", "mcc"))
     else:
         out = out.withColumn("mcc_novelty_for_entity", F.lit(0))
+    out = trailing(out, ["payer_entity_id"], "_us", {"pair": F.col("_new_pair")},
+                   [Measure("fanout_payer_24h", "pair", DAY, "sum")], layout=payer)
+    out = amount_z_vs_history(out, layout=payer, narrow=narrow)
+    out = circadian(out, context, layout=payer)
+    out = impossible_travel(out, context, layout=payer, payee_layout=payee)
+
+    # by payee
+    out = together(out, "payee_entity_id", payee)
     payee_sums = [Measure("fanin_payee_24h", "pair", DAY, "sum")]
     payee_values = {"pair": F.col("_new_pair")}
     if "issuer_id" in out.columns:
@@ -344,12 +357,10 @@ def compute_features(
     else:
         out = out.withColumn("payee_bank_degree", F.lit(0))
     out = trailing(out, ["payee_entity_id"], "_us", payee_values, payee_sums, layout=payee)
-    out = trailing(out, ["payer_entity_id"], "_us", {"pair": F.col("_new_pair")},
-                   [Measure("fanout_payer_24h", "pair", DAY, "sum")], layout=payer)
-    out = amount_z_vs_history(out, layout=payer, narrow=narrow)
-    out = impossible_travel(out, context, layout=payer, payee_layout=payee)
+
+    # by device
     if "device_id" in out.columns and "pan_token" in out.columns:
-        out = lagged(out, ["device_id", "pan_token"], "_p3", measured("device_id", "pan_token"))
+        out = lagged(together(out, "device_id", device), ["device_id", "pan_token"], "_p3", measured("device_id", "pan_token"))
         out = out.withColumn("_new_pan", fresh("_p3", 10 * MINUTE))
         out = trailing(out, ["device_id"], "_us", {"pan": F.col("_new_pan")},
                        [Measure("distinct_pan_per_device_10m", "pan", 10 * MINUTE, "sum")], layout=device)
@@ -357,7 +368,6 @@ def compute_features(
         out = out.withColumn("distinct_pan_per_device_10m", F.lit(0))
     out = bin_sequence_entropy(out, layout=device)
     out = merchant_benford(out, layout=merchant)
-    out = circadian(out, context, layout=payer)
     out = payee_age(out, context, layout=payee)
     out = terminal_age(device_age(out), context, layout=measured("terminal_id"))
     out = control_strength(out, context, layout=payee)
