@@ -89,8 +89,7 @@ def test_near_dedup(spark):
     assert kept == {i for i, c in got.items() if i == c}
 
 
-@pytest.mark.parametrize("first, second", [([1, 1], [2]), ([2, 2], [1])])
-@pytest.mark.parametrize("other", ["", "aaa zz", None])
+@pytest.mark.parametrize("first, second, other", [([1, 1], [2], "aaa zz"), ([2, 2], [1], ""), ([1, 1], [2], "")])
 def test_near_dedup_ids_with_several_texts(spark, first, second, other):
     """An id's other texts, empty or not, neither hide nor break the links of any of its texts."""
     words = [f"w{i}" for i in range(120)]
