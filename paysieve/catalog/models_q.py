@@ -250,14 +250,15 @@ def _(spark, d):
 
 @query("m25_linear_contributions", with_views("evt", "SELECT event_id, true AS sums FROM evt"))
 def _(spark, d):
-    """Contributions and the curve's value at the mean sum to every row's log-odds."""
+    """Contributions and the value at the mean sum to the log-odds whose curve every row's blend is."""
     df = evt(spark, d).withColumn("other", F.col("k") / 100.0)
     model = L.stack(df, ["score", "other"])
     parts_ = L.linear_contributions(model, df, ["score", "other"]).withColumnsRenamed({"score": "by_score", "other": "by_other"})
     means, fitted = df.agg(F.avg("score"), F.avg("other")).first(), model.stages[-1]
     middle = float(fitted.intercept) + float(fitted.coefficients[0]) * means[0] + float(fitted.coefficients[1]) * means[1]
-    blend = L.stack_scores(model, df, "blend").select("event_id", F.log(F.col("blend") / (1 - F.col("blend"))).alias("odds"))
-    return parts_.join(blend, "event_id").select("event_id", (F.abs(F.col("by_score") + F.col("by_other") + middle - F.col("odds")) < 1e-9).alias("sums"))
+    blend = L.stack_scores(model, df, "blend").select("event_id", "blend")
+    odds = F.col("by_score") + F.col("by_other") + middle
+    return parts_.join(blend, "event_id").select("event_id", (F.abs(1 / (1 + F.exp(-odds)) - F.col("blend")) < 1e-9).alias("sums"))
 
 
 @query("m25b_contribution_rows")
@@ -353,7 +354,7 @@ def _(spark, d):
 
 def moved(df):
     """A batch unlike its reference: other amounts, hours and categories."""
-    return df.withColumns({"amount": F.col("amount") * 3 + 40, "event_ts": F.col("event_ts") + F.expr("INTERVAL 7 HOURS"), "cross_border": F.lit(True)})
+    return df.withColumns({"amount": F.col("amount") * 3 + 1000, "event_ts": F.col("event_ts") + F.expr("INTERVAL 7 HOURS"), "cross_border": F.lit(True)})
 
 
 @query("l12_transfer_ratio", """SELECT * FROM (VALUES ('few', 'too_few_rows', 150.0::DOUBLE, true), ('few', 'tstr_ratio', 1.0::DOUBLE, true), ('all', 'ratio_is_quotient', 1.0::DOUBLE, true),
@@ -415,7 +416,7 @@ def gate(spark, d):
 
 @query("l16_run_gate", with_views("evt", """WITH b AS (SELECT count(*) FILTER (WHERE user_id % 2 = 1) AS n FROM evt)
 SELECT layer, layer <> 'marginal' AS counts, metrics + CASE WHEN layer = 'privacy' THEN 0 ELSE 0 END AS metrics, CASE WHEN layer = 'privacy' THEN n < 5000 ELSE false END AS skipped
-FROM (VALUES ('marginal', 4), ('joint', 3), ('behavioral', 6), ('utility', 3), ('adversarial', 2), ('privacy', 2)) t(layer, metrics), b"""))
+FROM (VALUES ('marginal', 4), ('joint', 2), ('behavioral', 6), ('utility', 3), ('adversarial', 2), ('privacy', 2)) t(layer, metrics), b"""))
 def _(spark, d):
     """Each layer with its metrics, the rotated one marked, and whether a test was left out."""
     return gate(spark, d).rows.groupBy("layer").agg(F.min("counts").alias("counts"), F.count(F.lit(1)).alias("metrics"),

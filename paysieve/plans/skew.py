@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK_KEY = "paysieve.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 2_000_000
 MAX_HOT_GROUPS = 100_000
-MAX_CHUNKS = 10_000
+MAX_CHUNKS = 10_000  # quantiles that one aggregate takes
 CHUNK = "_chunk"
 
 
@@ -44,7 +44,7 @@ class Layout:
 
     @property
     def salts(self) -> int:
-        return max(1, min(MAX_CHUNKS, math.ceil(self.largest / max(self.limit, 1))))
+        return max(1, math.ceil(self.largest / max(self.limit, 1)))
 
 
 def _kind(df: DataFrame, at: Column) -> str:
@@ -73,12 +73,23 @@ def _order_number(df: DataFrame, at: Column, skip: int) -> Column:
 
 
 def _cut_points(df: DataFrame, at: Column, rows: int, limit: int, skip: int) -> tuple[float, ...]:
-    pieces = min(MAX_CHUNKS, max(2, math.ceil(rows / limit)))
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(
-        F.percentile_approx(_order_number(df, at, skip), shares, max(10_000, 20 * pieces)).alias("p")
-    ).first()["p"]
-    return tuple(sorted(set(found or [])))
+    """Cut points of the order column, so close that a slice holds about `limit` rows.
+
+    One aggregate takes at most MAX_CHUNKS quantiles; where that is too few, a second one cuts every slice again. There are
+    rows / limit points in all.
+    """
+    pieces = max(2, math.ceil(rows / limit))
+    level = min(MAX_CHUNKS, pieces)
+    number = _order_number(df, at, skip)
+    quantiles = lambda n: F.percentile_approx("_cut_at", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("p")
+    values = df.select(number.alias("_cut_at"))
+    points = sorted(set(values.agg(quantiles(level)).first()["p"] or []))
+    if pieces > level and points:
+        inner = min(MAX_CHUNKS, math.ceil(pieces / level))
+        cutter = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol="_cut_at", outputCol="_slice", handleInvalid="keep")
+        again = cutter.transform(values).groupBy("_slice").agg(quantiles(inner)).collect()  # rows / limit numbers
+        points = sorted({*points, *(x for r in again for x in r["p"] or [])})
+    return tuple(points)
 
 
 def plan_layout(df: DataFrame, keys: Sequence[str], at: Column | None = None) -> Layout:

@@ -96,3 +96,19 @@ def test_velocity_is_the_same_under_both_plans(spark):
     args = (df, "event_id", "us", F.col("c"), F.lit(0), {"a": "a"}, {"60s": W.MINUTE, "10min": 10 * W.MINUTE})
     sliding, running = (sorted(map(tuple, W.velocity_block(*args, method=m).collect())) for m in ("sliding", "running"))
     assert sliding == running
+
+
+def test_slices_of_two_levels_keep_their_size(spark, monkeypatch):
+    """Three quantiles at a time and seven rows a task: 400 rows of one key still lie in slices of about seven."""
+    from paysieve.operators import windows as W
+    from paysieve.plans import skew
+
+    monkeypatch.setattr(skew, "MAX_CHUNKS", 3)
+    monkeypatch.setattr(skew, "DEFAULT_ROWS_PER_TASK", 45)
+    df = spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") * 1_000_000).alias("us"), F.lit(1).alias("key"), (F.col("id") * 37 % 101).alias("x"))
+    layout = skew.plan_layout(df, ["key"], F.col("us"))
+    assert layout.spread and layout.salts == 9
+    sizes = [r["count"] for r in skew.with_chunks(df, ["key"], F.col("us"), layout).groupBy(skew.CHUNK).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 9 and max(sizes) <= 50
+    got = {r.event_id: r["sum"] for r in W.pit_sum(df, ["key"], "us", 30_000_000, F.col("x"), method="running", layout=layout).collect()}
+    assert got == {i: sum(j * 37 % 101 for j in range(max(0, i - 30), i)) for i in range(400)}
