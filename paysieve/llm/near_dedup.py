@@ -192,7 +192,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, text) of every node that occurs in a column of the rows; docs has (id, th, text), nodes their row of least id."""
     wanted = rows.select(F.explode(F.array(*rows.columns)).alias("node")).distinct()
     places = nodes.join(wanted, "node").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
-    return docs.join(places, ["id", "th"]).groupBy("node").agg(F.min("text").alias("text")).withColumnRenamed("node", "id")
+    found = docs.join(places, ["id", "th"]).groupBy("id", "th", "node").agg(F.min("text").alias("text"))  # repeated rows, where they are
+    return found.select(F.col("node").alias("id"), "text")
 
 
 def _search(similar: float):
@@ -333,7 +334,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: f
     mixed = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band")
     opened = _settled(members.join(mixed, "band", "left_semi"))
     wanted = own.join(opened.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
-    sketches = signed.join(wanted, ["id", "th"]).groupBy("node").agg(F.max(F.struct("total", "sketch", "bands")).alias("s"))
+    sketches = signed.join(wanted, ["id", "th"]).groupBy("id", "th", "node").agg(F.max(F.struct("total", "sketch", "bands")).alias("s")).drop("id", "th")
     open_ = opened.join(sketches, F.col("other") == sketches["node"]).select(
         "band", "number", "n", "other", "component", "far", "s.total", "s.sketch", F.slice("s.bands", 1, F.col("number")).alias("earlier"))
     more = _settled(_across(open_.join(_texts(known, nodes, opened.select("other")), F.col("other") == F.col("id")), similar))
