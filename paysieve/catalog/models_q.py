@@ -116,9 +116,9 @@ def _(spark, d):
     return calibrated(spark, d).select("event_id", "_margin", "sigmoid", "isotonic")
 
 
-def compared(spark, d):
+def compared(spark, d, iterations=L.COMPARED_ROUNDS):
     rows = pca_rows(spark, d).withColumn("row_id", F.xxhash64("Time", "Amount"))
-    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"])
+    return L.compare_calibrators(rows, [f"V{i}" for i in range(1, 29)] + ["Amount"], iterations=iterations)
 
 
 @query("m16_compare_calibrators")
@@ -129,7 +129,7 @@ def _(spark, d):
 @query("m16b_calibrator_facts", "SELECT * FROM (VALUES ('isotonic', true, true, true), ('sigmoid', true, true, true), ('uncalibrated', true, true, true)) t(method, ranks, bounded, ranks_like_raw)")
 def _(spark, d):
     """Every method ranks above chance; a logistic curve leaves the order as it is, isotonic steps only tie neighbours."""
-    rows = durable(compared(spark, d))
+    rows = durable(compared(spark, d, 30))
     raw = rows.filter("method = 'uncalibrated'").select(F.col("roc_auc").alias("_raw"))
     slack = F.when(F.col("method") == "isotonic", 0.2).otherwise(1e-9)
     return rows.crossJoin(raw).select("method", (F.col("roc_auc") > 0.5).alias("ranks"), (F.col("brier").between(0, 1) & F.col("ece").between(0, 1)).alias("bounded"),
