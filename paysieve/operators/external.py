@@ -33,7 +33,7 @@ def travel_with_floor(df, key="pan_token", lat="payer_lat", lon="payer_lon", at=
 def benford_digit_sum(df, key="merchant_id", at="_us", cents="_cents", window=DAY, layout=None,
                       name="merchant_benford_dev_24h"):
     """Sum over digits of |share in the frame - Benford|; an empty frame has all shares 0."""
-    digit = F.when(F.col(cents) > 0, N.first_digit(F.col(cents))).otherwise(0)
+    digit = N.first_digit(F.col(cents))
     values = {f"d{c}": (digit == c).cast("int") for c in range(1, 10)}
     out = W.trailing(df, [key], at, values, [Measure(f"_{v}", v, window, "mean") for v in values], layout=layout)
     gaps = [F.abs(F.coalesce(F.col(f"_d{c}"), F.lit(0.0)) - N.BENFORD[c - 1]) for c in range(1, 10)]
