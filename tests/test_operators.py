@@ -58,6 +58,37 @@ def test_caps_raise_when_not_reachable(spark):
         P.enforce_caps(df, {"UPI": 1.0}, -0.1)
 
 
+def test_lenient_caps_return_what_two_rounds_leave(spark):
+    df = spark.range(100_000).selectExpr("id AS event_id", "'UPI' AS rail", "id % 5 = 0 AS is_fraud")
+    kept = P.enforce_caps(df, {"UPI": 1.0}, 0.03, strict=False).groupBy("is_fraud").count().collect()
+    assert dict(map(tuple, kept)) == {False: 80_000, True: 2_490}  # 3,000 of 100,000, then 3 % of 83,000
+    with pytest.raises(ValueError, match="prevalence"):
+        P.enforce_caps(df, {"UPI": 1.0}, 0.03)
+
+
+def zero_amount(spark, tmp_path):
+    """An events table of one event of amount 0 and a later one."""
+    rows = [(1, "2024-01-01 00:00:00", 5, "view", 0.0, '{"k": 3}'), (41, "2024-01-01 01:00:00", 5, "view", 2.5, '{"k": 3}')]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_digit_sum_counts_amount_zero_as_one_as_its_sql(spark, tmp_path):
+    from paysieve.catalog.features_q import query as catalog
+
+    got = dict(map(tuple, catalog.queries["f10b_benford_digit_sum"](spark, zero_amount(spark, tmp_path)).collect()))
+    assert got[41] == round(1 - math.log10(2) + sum(math.log10(1 + 1 / d) for d in range(2, 10)), 6)
+
+
+def test_amount_zero_is_no_fault_of_the_given_table(spark, tmp_path):
+    from paysieve.catalog.splits_q import query as catalog
+
+    folder = zero_amount(spark, tmp_path)
+    assert catalog.queries["v01_validate"](spark, folder).collect() == []
+    assert [tuple(r) for r in catalog.queries["v02_quarantine"](spark, folder).collect()] == [("valid", 2)]
+
+
 LABELS = [0, 0, 1, 1, 0, 1, 0, 0]
 SCORES = [.05, .10, .80, .65, .20, .90, .02, .30]
 AMOUNTS = [50, 90, 400, 120, 70, 900, 30, 60]
