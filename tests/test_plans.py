@@ -112,3 +112,12 @@ def test_slices_of_two_levels_keep_their_size(spark, monkeypatch):
     assert sum(sizes) == 400 and len(sizes) == 9 and max(sizes) <= 50
     got = {r.event_id: r["sum"] for r in W.pit_sum(df, ["key"], "us", 30_000_000, F.col("x"), method="running", layout=layout).collect()}
     assert got == {i: sum(j * 37 % 101 for j in range(max(0, i - 30), i)) for i in range(400)}
+
+
+def test_rounds_are_dealt_by_rows_not_by_files(spark):
+    from paysieve.plans.skew import for_rounds
+
+    one_file, many_files = spark.range(200_000).coalesce(1), spark.range(0, 200_000, 1, 300)
+    assert [for_rounds(d, 200_000).rdd.getNumPartitions() for d in (one_file, many_files)] == [5, 5]
+    assert for_rounds(one_file, 20_000_000).rdd.getNumPartitions() == 40
+    assert for_rounds(one_file, 1_000).rdd.getNumPartitions() == 1
