@@ -65,3 +65,12 @@ def test_forest_in_parts_scores_like_a_whole_one(spark):
     got = {r.event_id: r["s"] for r in parts.collect()}
     assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in got) < 1e-12
     assert I._raw_scores(model, df, "s", part_mb=0.004).count() == 600
+
+
+def test_logistic_scores_are_the_models_own_without_functions_in_the_plan(spark):
+    df = spark.range(400).selectExpr("id AS event_id", "id / 400.0D AS a", "(id * 37 % 400) / 400.0D AS b", "CAST(id + id * 37 % 400 > 420 AS INT) AS is_fraud")
+    blend, curve = L.stack(df, ["a", "b"]), L.platt(df, margin="a")
+    for model, out, own in ((blend, L.stack_scores(blend, df), "_sp"), (curve, L.platt_scores(curve, df), "_pp")):
+        assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
+        want = {r["event_id"]: float(r[own][1]) for r in model.transform(df).collect()}
+        assert all(abs(r["score"] - want[r["event_id"]]) < 1e-12 for r in out.collect())
