@@ -40,7 +40,7 @@ BEST = 20
 UNIT = 1_000_000_000
 HASHES = 3  # rows of a term
 BITS = 8  # positions for each entry of the largest document of a block
-BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_CELLS = 4_096, 1 << 19, 1 << 25
+BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_CELLS = 2_048, 1 << 18, 1 << 24  # a task's arrays grow with these, when it indexes and when it searches
 FEW_DOCS = 256  # at the end of a task, fewer than these join the next larger documents
 GROUP_TERMS = 20_000  # of queries searched together
 HELD_ROWS = 500_000  # of partial results, before a task passes them on

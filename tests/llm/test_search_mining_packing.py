@@ -253,3 +253,17 @@ def test_packing(spark):
     assert {k: v.n_tokens for k, v in joined.items()} == want
     renamed = docs.select(F.col("doc_id").cast("string").alias("length"), F.col("text").alias("_rank"), F.lit(1).alias("piece"))
     assert packing.pack(renamed.limit(0), str(TOKENIZER), text="_rank", key="length").count() == 0
+
+
+def test_blocks_of_the_index_stay_small():
+    """A task holds a block's arrays in memory, at indexing and again at searching."""
+    import pyarrow as pa
+
+    from paysieve.llm import ranked_search
+
+    texts = [" ".join(f"w{(i * 31 + j * 7) % 5000}" for j in range(100)) for i in range(6_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6_000), pa.int64()), pa.array(texts)], names=["id", "text"])
+    made = list(ranked_search._index([batch]))
+    docs, sizes = ([x for b in made for x in b.column(b.schema.get_field_index(c)).to_pylist()] for c in ("n_docs", "term"))
+    assert sum(docs) == 6_000 and max(docs) < 2 * 2_048  # one slice of texts more than full
+    assert max(len(s) for s in sizes) < 2 * 8 * 2_048 * 128
