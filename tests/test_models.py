@@ -74,3 +74,16 @@ def test_logistic_scores_are_the_models_own_without_functions_in_the_plan(spark)
         assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString()
         want = {r["event_id"]: float(r[own][1]) for r in model.transform(df).collect()}
         assert all(abs(r["score"] - want[r["event_id"]]) < 1e-12 for r in out.collect())
+
+
+def test_isotonic_scores_are_the_models_own_without_functions_in_the_plan(spark):
+    """Before the first step, on steps, between them and after the last; a row without a margin has no score."""
+    df = spark.range(300).selectExpr("id AS event_id", "CASE WHEN id <> 7 THEN (id * 37 % 300) / 300.0D - 0.5D END AS _margin", "CAST(id * 37 % 300 + id % 90 > 190 AS INT) AS is_fraud")
+    model = L.isotonic(df.filter("_margin BETWEEN -0.4 AND 0.4"))
+    out = L.isotonic_scores(model, df, "iso")
+    assert out.columns == [*df.columns, "iso"] and "UDF(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    known = df.filter("_margin IS NOT NULL").withColumn("_ix", F.col("_margin"))
+    want = {r["event_id"]: r["_ip"] for r in model.transform(known).collect()}
+    got = {r["event_id"]: r["iso"] for r in out.collect()}
+    assert got.pop(7) is None and got.keys() == want.keys() and len(set(want.values())) > 3
+    assert all(abs(got[k] - min(max(want[k], 0.0), 1.0)) < 1e-12 for k in want)
