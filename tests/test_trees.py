@@ -126,3 +126,22 @@ def test_histories_restart_at_cuts(spark):
     for i in range(20):
         low = 0 if i < 7 else 7 if i < 14 else 14
         assert got[i] == sum(1 for j in range(low, i) if j % 2 == i % 2)
+
+
+def test_twice_the_rounds_are_fitted_again_and_scopes_side_by_side(spark, slices, monkeypatch):
+    """Rounds fitted in all stay below four times those needed; the parties' detectors are fitted at the same time, in their order."""
+    import threading
+
+    train, valid = slices
+    fitted, trainer = [], L.GBTClassifier
+    monkeypatch.setattr(L, "GBTClassifier", lambda **kw: fitted.append(kw["maxIter"]) or trainer(**kw))
+    monkeypatch.setattr(L, "kept_round", lambda measured, patience: min(len(measured), 5))
+    model = L.fit_gbdt(train, X, validation=valid, iterations=40, patience=2)
+    assert fitted == [4, 8] and model.table.rounds == 5
+    together = threading.Barrier(2, timeout=60)
+    monkeypatch.setattr(L, "MIN_SCOPE_ROWS", 10)
+    monkeypatch.setattr(L, "fit_detector", lambda *a, **kw: together.wait())
+    monkeypatch.setattr(L, "score", lambda detector, df: df.withColumn("score", F.col("x")))
+    train, valid = (s.withColumn("issuer_id", F.lit(0)) for s in slices)
+    status, scores = L.scope_matrix(train, valid, valid, X, {"NETWORK": None, "ISSUER": 0})
+    assert [r["scope"] for r in status.collect()] == ["NETWORK", "ISSUER"] and [r["scope"] for r in scores.collect()] == ["NETWORK", "ISSUER"]
