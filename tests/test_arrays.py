@@ -141,3 +141,34 @@ def test_parameters_that_are_no_numbers(spark):
     df = spark.createDataFrame([(v, p, t, {"amount_ladder": l} if l else {}, None, None) for v, p, t, l, _ in rows],
                                "vector_id string, params map<string,double>, texts map<string,string>, lists map<string,array<double>>, band_low double, band_high double")
     assert [r.reason for r in check_parameters(df).collect()] == [x[-1] for x in rows]
+
+
+@pytest.mark.parametrize("top", [500, (1 << 31) - 1])
+def test_hot_groups_in_slices_equal_running_sums(spark, small_tasks, top, monkeypatch):
+    """Some groups hot and some not, slices shorter and longer than a window: the same block, without signed sums of all groups."""
+    df, windows = events(spark, top=top).withColumn("device", F.expr("CASE WHEN event_id % 40 = 0 THEN event_id + 100 ELSE device END")), {"5s": 5_000_000, "30s": 30_000_000}
+    block = lambda method: {r.event_id: r for r in W.velocity_block(df, "event_id", "us", F.col("cents"), F.col("declined"), KEYS, windows, method=method).collect()}
+    running = block("running")
+    for limit in ("4", "90"):
+        spark.conf.set("paysieve.rowsPerTask", limit)
+        with monkeypatch.context() as m:
+            m.setattr(W, "_signed_sums", None)
+            sliced = block("auto")
+        assert sliced.keys() == running.keys() and len(sliced) == 400
+        for k in sliced:
+            a, b = sliced[k].asDict(), running[k].asDict()
+            assert a.keys() == b.keys() and all(a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-9) for c in a)
+
+
+def test_totals_go_on_from_table_to_table():
+    """A slice in one table or in many: the same sums, and what it was handed counts from its first event on."""
+    r, kinds = np.random.default_rng(3), [("key", pa.int32()), ("at", pa.int64()), ("step", pa.int32()), ("cents", pa.int64()), ("flag", pa.int32()), ("carry", pa.list_(pa.int64()))]
+    rows = [(k, -(1 << 62), s, None, None, [3 - s, 10 * (3 - s), 2, 1, 0, 900 * (3 - s)]) for k in (0, 1) for s in (0, 1)]
+    rows += [(k, int(t), int(s), int(c), int(c) % 2, None) for k in (0, 1) for t, s, c in zip(r.integers(0, 12, 60), r.integers(0, 2, 60), r.integers(1, 50, 60))]
+    rows.sort(key=lambda x: x[:2])
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+    scan = lambda size: [[c.to_pylist() for c in blocks[0]] for _, _, blocks in A.sliced_velocity(A.whole_groups([batch.slice(i, 3) for i in range(0, len(rows), 3)], [0, 1], size), [0], 1, 2, 3, 4, 5, 1, 1)]
+    whole, pieces = scan(10_000), scan(3)
+    assert len(whole) == 1 and len(pieces) > 8
+    assert whole[0] == [sum((p[i] for p in pieces), []) for i in range(4)]
+    assert whole[0][0][0] == 1.0 and whole[0][1][0] == 10.0
