@@ -145,3 +145,28 @@ def test_twice_the_rounds_are_fitted_again_and_scopes_side_by_side(spark, slices
     train, valid = (s.withColumn("issuer_id", F.lit(0)) for s in slices)
     status, scores = L.scope_matrix(train, valid, valid, X, {"NETWORK": None, "ISSUER": 0})
     assert [r["scope"] for r in status.collect()] == ["NETWORK", "ISSUER"] and [r["scope"] for r in scores.collect()] == ["NETWORK", "ISSUER"]
+
+
+def test_equal_rows_are_counted_once(spark, slices, monkeypatch):
+    """Beyond a size a round costs what the different rows cost: copies change only counts, and scores need the features alone."""
+    train, valid = slices
+    cuts = T.cut_points(train.select(*[T.number(f).alias(f) for f in X]), X)
+    assert all(len(c) == T.BINS - 1 for c in cuts)
+    copies = train.crossJoin(spark.range(7).select("id")).drop("id")
+    once, often = (T.counted(d, X, cuts, "is_fraud") for d in (train, copies))
+    assert once.count() == often.count() and often.agg(F.sum("_rows")).first()[0] == 7 * train.count()
+    few = train.select(F.col("payee").alias("a"), F.lit(1.0).alias("b"))
+    assert [len(c) for c in T.cut_points(few, ["a", "b"])] == [29, 0]
+
+    fitted, trainer = [], L.VectorAssembler.transform
+    monkeypatch.setattr(L.VectorAssembler, "transform", lambda self, df: fitted.append(df.count()) or trainer(self, df))
+    monkeypatch.setattr(L, "COUNTED_FROM", 500)
+    plain, many = (L.fit_gbdt(d, X, validation=valid, iterations=12) for d in (train, copies))
+    assert fitted == [once.count()] * 2
+    assert many.table.rounds > 1 and [m[0] for m in many.measured] == list(range(1, 13))
+    for model in (plain, many):  # as measured over counted rows, so over the rows themselves
+        scored = L.gbdt_scores(model, valid)
+        assert M.average_precision(scored, score="_margin").first()[0] == pytest.approx(model.measured[model.table.rounds - 1][1], abs=1e-12)
+    monkeypatch.setattr(L, "COUNTED_FROM", 10_000)
+    exact = L.fit_gbdt(train, X, validation=valid, iterations=12)
+    assert plain.measured[-1][1] == pytest.approx(exact.measured[-1][1], abs=0.08)
