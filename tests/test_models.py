@@ -87,3 +87,40 @@ def test_isotonic_scores_are_the_models_own_without_functions_in_the_plan(spark)
     got = {r["event_id"]: r["iso"] for r in out.collect()}
     assert got.pop(7) is None and got.keys() == want.keys() and len(set(want.values())) > 3
     assert all(abs(got[k] - min(max(want[k], 0.0), 1.0)) < 1e-12 for k in want)
+
+
+def test_rows_go_through_the_forest_once(spark, monkeypatch):
+    """Percentiles and scores come from one pass; they are those of a model fitted first; trees are unpacked once a task."""
+    df = _rows(spark).coalesce(1)
+    model = I.fit_isolation(df, ["x", "y"], trees=9, sample_rows=64)
+    first = I.with_percentiles(model, df)
+    want = {r["event_id"]: r["anomaly"] for r in I.isolation_scores(first, df).collect()}
+    passes, raw = [], I._raw_scores
+    monkeypatch.setattr(I, "_raw_scores", lambda *a, **kw: passes.append(1) or raw(*a, **kw))
+    fitted, out = I.fitted_scores(model, df)
+    assert (fitted.low, fitted.high) == (first.low, first.high) and out.columns == [*df.columns, "anomaly"]
+    assert {r["event_id"]: r["anomaly"] for r in out.collect()} == want and len(passes) == 1
+
+
+def test_paths_are_those_of_each_row_alone():
+    r = np.random.default_rng(5)
+    tree = I._grow(r.normal(size=(300, 3)).round(1), 4)
+    x = np.vstack([r.normal(size=(200, 3)), [[np.inf, -np.inf, 0.0]]])
+
+    def alone(row, at=0):
+        node = tree[at]
+        return node["value"] if node["feature"] < 0 else alone(row, node["left"] + int(row[node["feature"]] > node["value"]))
+
+    assert np.array_equal(I._paths([I._unpacked(tree.tobytes())] * 2, x), [2 * alone(row) for row in x])
+    leaf = I._grow(np.zeros((4, 3)), 1)
+    assert np.array_equal(I._paths([I._unpacked(leaf.tobytes())], x), np.full(len(x), leaf["value"][0]))
+
+
+def test_nearest_distance_equals_all_pairs(spark):
+    r = np.random.default_rng(2)
+    known, rows = r.normal(size=(70, 3)), np.vstack([r.normal(size=(150, 3)), r.normal(size=(1, 3)) + 1e4])
+    rows[3] = known[5]
+    frame = lambda a: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(a)], "_id long, a double, b double, c double").coalesce(1)
+    got = [x["distance"] for x in L.nearest_distance(frame(known), frame(rows), ["a", "b", "c"], block=16).orderBy("_id").collect()]
+    assert np.allclose(got, np.sqrt(((rows[:, None] - known[None]) ** 2).sum(axis=2)).min(axis=1), rtol=1e-12, atol=0) and got[3] == 0.0
+    assert L.nearest_distance(frame(known[:0]), frame(rows), ["a", "b", "c"]).first()["distance"] == float("inf")
