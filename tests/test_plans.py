@@ -121,3 +121,29 @@ def test_rounds_are_dealt_by_rows_not_by_files(spark):
     assert [for_rounds(d, 200_000).rdd.getNumPartitions() for d in (one_file, many_files)] == [5, 5]
     assert for_rounds(one_file, 20_000_000).rdd.getNumPartitions() == 40
     assert for_rounds(one_file, 1_000).rdd.getNumPartitions() == 1
+
+
+def test_components_measure_no_group_by_itself(spark, monkeypatch):
+    """The least vertex and the size of a group come from one aggregate, hot vertices too; every table of a round is stored once."""
+    from paysieve.operators import graph as G
+    from paysieve.plans import skew
+
+    edges = spark.range(40).selectExpr("concat('n', IF(id < 20, 0, id)) AS src_id", "concat('n', IF(id < 30, id + 1, id)) AS dst_id")
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for s, t in edges.collect():
+        a, b = sorted((root(s), root(t)))
+        parent[b] = a
+    monkeypatch.setattr(skew, "plan_layout", lambda *a: pytest.fail("groups counted by themselves"))
+    for limit in ("2000000", "3"):
+        spark.conf.set("paysieve.rowsPerTask", limit)
+        try:
+            got = {r["id"]: r["component"] for r in G.connected_components(edges).collect()}
+        finally:
+            spark.conf.unset("paysieve.rowsPerTask")
+        assert got == {x: root(x) for x in list(parent)}
