@@ -65,7 +65,7 @@ def compute_features_external(df: DataFrame, include_absent: bool = True, window
         F.lit(None).cast("float").alias(f"{a}_{k}_{w}")
         for k in VELOCITY_KEYS if k not in SUPPORTED_KEYS for w in windows for a in W.VELOCITY_AGGREGATIONS
     ]
-    return out.join(velocity, "event_id").select(
+    return out.join(velocity.hint("merge"), "event_id").select(
         "event_id", *[F.col(c) for c in carry if c != "event_id"],
         *[F.col(n).cast("float").alias(n) for n in names], *(absent if include_absent else []),
     )

@@ -147,3 +147,9 @@ def test_components_measure_no_group_by_itself(spark, monkeypatch):
         finally:
             spark.conf.unset("paysieve.rowsPerTask")
         assert got == {x: root(x) for x in list(parent)}
+
+
+def test_whole_matrix_is_never_broadcast(spark):
+    """Both sides of the last join hold a row per event; a small file says little about them."""
+    out = P.compute_features(canonical(spark, "/root/testdata/sf0.001"))
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
