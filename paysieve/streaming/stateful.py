@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -77,72 +78,129 @@ def trailing_stream(events: DataFrame, key: str, windows: Mapping[str, int], at=
         outputMode="append", timeMode="EventTime")
 
 
+BUCKET, BLOCK = 64, 10_000  # others in a bucket on average; rows in an entry of a list
+
+
+def bucket_of(name: str | None, buckets: int) -> int:
+    """The bucket of a name among so many; one bucket more takes names from one bucket alone."""
+    top = 1 << (buckets.bit_length() - 1)
+    place = (0 if name is None else zlib.crc32(name.encode())) & (2 * top - 1)
+    return place if place < buckets else place - top
+
+
+class SeenOthers:
+    """When each other of a key was last seen: buckets of names in a map state, one more whenever they are full on average.
+
+    A batch loads and writes the buckets of its own others, each in one call, however many others the key has.
+    """
+
+    def __init__(self, state, others: int = 0, buckets: int = 0):
+        self.state, self.others, self.buckets = state, others, buckets
+        self.loaded: dict[int, dict] = {}
+        if not buckets:
+            self.buckets, self.loaded[0] = 1, {}
+
+    def bucket(self, number: int) -> dict:
+        if number not in self.loaded:
+            names, times = self.state.getValue((number,))
+            self.loaded[number] = dict(zip(names, map(tuple, np.frombuffer(bytes(times), "int64").reshape(-1, 2).tolist())))
+        return self.loaded[number]
+
+    def meet(self, name: str | None, us: int, event_id: int) -> tuple[int, int] | None:
+        """When the other was last seen, by time and id; from now on this event, unless it is earlier."""
+        held = self.bucket(bucket_of(name, self.buckets))
+        before = held.get(name)
+        if before is None or (us, event_id) > before:
+            held[name] = (us, event_id)
+        if before is None:
+            self.others += 1
+            if self.others > BUCKET * self.buckets:
+                self._split()
+        return before
+
+    def _split(self) -> None:
+        new = self.buckets
+        held = self.bucket(new - (1 << (new.bit_length() - 1)))
+        self.buckets += 1
+        self.loaded[new] = {name: held.pop(name) for name in [n for n in held if bucket_of(n, self.buckets) == new]}
+
+    def write(self) -> None:
+        for number, held in self.loaded.items():
+            self.state.updateValue((number,), (list(held), np.array(list(held.values()), "int64").tobytes()))
+
+
 class TrailingMeasures(StatefulProcessor):
     """Exact trailing measures of a key beyond count and sum: deviation, counts by category, distinct others, first use.
 
-    State: the rows of the longest window in a list that batches append to (it is rewritten only once half of it has
-    expired), and a map from each other to when it was last seen, with an entry for every other of the key; an entry
-    is also what tells that a pair was seen before.
+    State: the rows of the longest window in a list of blocks that batches append to (it is rewritten only once half of it has
+    expired), and buckets that tell of every other of the key when it was last seen; being there is also what tells that
+    a pair was seen before. Rows and others travel packed, many in a call of the state: a call costs far more than a row.
     """
 
     def __init__(self, width: int, categories: int, late_us: int = 0):
         self.width, self.categories, self.kept_us = width, categories, width + late_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us long, event_id long, cents long, category int, fresh boolean")
-        self.seen = handle.getMapState("seen", "name string", "us long, event_id long")
+        self.recent = handle.getListState("recent", "rows binary")  # longs: time, hundredths, category, whether its other was new
+        self.seen = handle.getMapState("seen", "bucket int", "names array<string>, times binary")  # longs: time, id
+        self.size = handle.getValueState("size", "others long, buckets int")
 
-    def _arrived(self, fresh: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def _arrived(self, seen: SeenOthers, rows) -> tuple[np.ndarray, np.ndarray]:
         """Per new row, whether its other was not seen in the window before it, and whether it never was."""
-        last, new, first = {}, np.zeros(len(fresh), bool), np.zeros(len(fresh), bool)
-        for i, (us, event_id, other) in enumerate(zip(fresh["us"], fresh["event_id"], fresh["other"])):
-            name = ("v" + other,) if other is not None else ("n",)
-            if name not in last:
-                last[name] = self.seen.getValue(name) if self.seen.containsKey(name) else None
-            before = last[name]
-            first[i] = before is None
-            new[i] = before is None or us - before[0] >= self.width
-            if before is None or (us, event_id) > tuple(before):
-                last[name] = (int(us), int(event_id))
-        for name, value in last.items():
-            self.seen.updateValue(name, value)
-        return new, first
+        before = [seen.meet(other, us, event_id) for us, event_id, other in rows]
+        new = [b is None or us - b[0] >= self.width for b, (us, _, _) in zip(before, rows)]
+        return np.array(new, bool), np.array([b is None for b in before], bool)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        fresh["other"] = [None if pd.isna(x) else x for x in fresh["other"]]
-        new, first = self._arrived(fresh)
-        added = [(int(u), int(e), int(c), int(k), bool(n)) for u, e, c, k, n in zip(fresh["us"], fresh["event_id"], fresh["cents"], fresh["category"], new)]
-        stored = list(self.recent.get()) if self.recent.exists() else []
-        table = np.array([tuple(int(x) for x in r) for r in [*stored, *added]], dtype="int64").reshape(-1, 5)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        us, cents = table[:, 0], table[:, 2]
-        at = fresh["us"].to_numpy("int64")
+        parts = list(rows)
+        fresh = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        at, event_id, cents, category = (_longs(fresh[c]) for c in ("us", "event_id", "cents", "category"))
+        order = np.lexsort((event_id, at))
+        at, event_id = at[order], event_id[order]
+        others = [x if isinstance(x, str) else None for x in fresh["other"].to_numpy()[order]]
+        size = self.size.get()
+        seen = SeenOthers(self.seen, *(size or ()))
+        new, first = self._arrived(seen, list(zip(at.tolist(), event_id.tolist(), others)))
+        seen.write()
+        if size != (seen.others, seen.buckets):
+            self.size.update((seen.others, seen.buckets))
+        added = np.stack([at, cents[order], category[order], new])
+        stored = [np.frombuffer(bytes(r[0]), "int64").reshape(4, -1) for r in self.recent.get()] if size is not None else []
+        table = np.concatenate([*stored, added], axis=1)
+        table = table[:, np.argsort(table[0], kind="stable")]
+        us, cents, category, new = table
         low, high = np.searchsorted(us, at - self.width, side="left"), np.searchsorted(us, at, side="left")
-
-        def sums(values):
-            total = np.concatenate([[0], np.cumsum(values)])
-            return total[high] - total[low]
-
-        n, s = high - low, sums(cents)
-        middle = int(cents.mean()) if len(cents) else 0
-        moved, square = sums(cents - middle), sums((cents - middle) ** 2)
+        off = cents - int(cents.mean())
+        values = np.stack([cents, new, off, off**2, *[category == k for k in range(self.categories)]])
+        total = np.zeros((len(values), len(us) + 1), "int64")
+        np.cumsum(values, axis=1, out=total[:, 1:])
+        cents, distinct, moved, square, *counts = total[:, high] - total[:, low]
+        n = high - low
         with np.errstate(divide="ignore", invalid="ignore"):
             std = np.sqrt(np.maximum(n * square.astype("float64") - moved.astype("float64") ** 2, 0) / (n * (n - 1.0))) / 100
-        out = {"key": [key[0]] * len(fresh), "event_id": fresh["event_id"].to_numpy("int64"), "cnt": n, "cents": s, "std": [float(x) if k > 1 else None for x, k in zip(std, n)],
-               "distinct": sums(table[:, 4]), "first": first.astype("int32")}
-        out |= {f"c{k}": sums((table[:, 3] == k).astype("int64")) for k in range(self.categories)}
+        out = {"key": [key[0]] * len(at), "event_id": event_id, "cnt": n, "cents": cents, "std": np.where(n > 1, std, np.nan),
+               "distinct": distinct, "first": first.astype("int32")}
+        out |= {f"c{k}": c for k, c in enumerate(counts)}
         live = us >= us[-1] - self.kept_us
         if 2 * live.sum() < len(us):
-            self.recent.put([(int(a), int(b), int(c), int(d), bool(e)) for a, b, c, d, e in table[live]])
+            self.recent.put(_blocks(table[:, live]))
         else:
-            self.recent.appendList(added)
+            self.recent.appendList(_blocks(added))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
+def _longs(column: pd.Series) -> np.ndarray:
+    return column.to_numpy() if column.dtype == "int64" else column.astype("int64").to_numpy()  # raises where a value is missing
+
+
+def _blocks(table: np.ndarray) -> list[tuple]:
+    """A table cut into packed blocks of rows."""
+    return [(table[:, i : i + BLOCK].tobytes(),) for i in range(0, table.shape[1], BLOCK)]
+
+
 def measures_stream(events: DataFrame, key: str, width: int, other: str, category: str, categories: int, at="event_ts", tie="event_id",
                     cents="amount_c", lateness="10 minutes") -> DataFrame:
     """(key, event_id, cnt, cents, std, distinct, first, c0..) per event of a stream, over ``[t - width, t)``.

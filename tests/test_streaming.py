@@ -1,6 +1,7 @@
 """Streams over several files against their batch twins."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,78 @@ def test_sketch_is_within_three_per_cent(n):
         S.sketch_add(registers, part)
         S.sketch_add(registers, part)
     assert abs(S.sketch_estimate(registers) - n) <= max(1, 0.03 * n)
+
+
+class _Held:
+    """A key's state in memory: one value, a list or a map, and how often it is called."""
+
+    def __init__(self):
+        self.value, self.rows, self.map, self.calls = None, [], {}, 0
+
+    def _call(self, answer=None):
+        self.calls += 1
+        return answer
+
+    def exists(self):
+        return self._call(bool(self.rows or self.map) or self.value is not None)
+
+    def get(self):
+        return self._call(self.value if self.value is not None else iter(list(self.rows)) if self.rows else None)
+
+    def update(self, value):
+        self.value = self._call(value)
+
+    def put(self, rows):
+        self.rows = self._call(list(rows))
+
+    def appendList(self, rows):
+        self.rows = self._call([*self.rows, *rows])
+
+    def containsKey(self, key):
+        return self._call(key in self.map)
+
+    def getValue(self, key):
+        return self._call(self.map[key])
+
+    def updateValue(self, key, value):
+        self.map[key] = self._call(value)
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def _state(self, name, *_):
+        return self.states.setdefault(name, _Held())
+
+    getListState = getMapState = getValueState = _state
+
+
+def test_a_batch_calls_the_state_a_few_times_however_many_rows_it_has():
+    """40 others and 400 rows of a key in two batches; 32 calls and more a batch, when each other was a call."""
+    handle, processor = _Handle(), S.TrailingMeasures(HOUR, 2)
+    processor.init(handle)
+    for batch in range(2):
+        i = np.arange(400) + 400 * batch
+        rows = pd.DataFrame({"us": i * 1_000_000, "event_id": i, "cents": i, "other": [str(x % 40) for x in i], "category": i % 2})
+        before = sum(s.calls for s in handle.states.values())
+        out = pd.concat(list(processor.handleInputRows(("a",), iter([rows]), None)))
+        assert sum(s.calls for s in handle.states.values()) - before <= 6
+        assert out["first"].sum() == (40 if batch == 0 else 0) and out["cnt"].tolist() == i.tolist() and out["distinct"].tolist() == np.minimum(i, 40).tolist()
+
+
+def test_buckets_of_others_hold_what_one_table_would():
+    """Others by the thousand over many batches, null among them, some earlier than what is held; a batch touches its own buckets alone."""
+    r, state, size, plain = np.random.default_rng(3), _Held(), (), {}
+    for batch in range(30):
+        seen = S.SeenOthers(state, *size)
+        for _ in range(300):
+            name, at = (None if r.random() < 0.01 else f"p{r.integers(5_000)}"), (int(r.integers(1_000)) + 500 * batch, int(r.integers(9)))
+            before = plain.get(name)
+            assert seen.meet(name, *at) == before
+            plain[name] = at if before is None else max(at, before)
+        seen.write()
+        size = (seen.others, seen.buckets)
+    assert size[0] == len(plain) and size[1] == -(-len(plain) // S.BUCKET) and set(state.map) == {(i,) for i in range(size[1])}
+    one = S.SeenOthers(state, *size)
+    assert one.meet("p1", 10**9, 0) == plain["p1"] and len(one.loaded) == 1
