@@ -107,6 +107,15 @@ def test_graph_channel_is_kept_by_its_lift(spark, slices):
     assert "graph" not in scored.columns and scored.count() == valid.count()
 
 
+def test_detectors_score_without_functions_in_the_plan(slices):
+    """Fitting may run the trainer's function objects; calibrated channels and their blend are arithmetic on what was fitted."""
+    train, valid = (s.withColumn("fan", F.col("payee").cast("double")) for s in slices)
+    made = detector(train, valid, graph_columns=["fan"], graph_key="payee", bar=-1.0)
+    assert made.graph is not None
+    for out in (L.channel_scores(made, valid), L.score(made, valid)):
+        assert "UDF(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blind_cohort_must_be_disjoint(spark, slices):
     train, valid = slices
     with pytest.raises(ValueError, match="event_id"):
