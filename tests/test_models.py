@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paysieve.operators import isolation as I
 from paysieve.operators import metrics as M
 from paysieve.operators import models as L
+from paysieve.operators import nearest as NN
 
 
 def _rows(spark, n=600):
@@ -124,3 +125,29 @@ def test_nearest_distance_equals_all_pairs(spark):
     got = [x["distance"] for x in L.nearest_distance(frame(known), frame(rows), ["a", "b", "c"], block=16).orderBy("_id").collect()]
     assert np.allclose(got, np.sqrt(((rows[:, None] - known[None]) ** 2).sum(axis=2)).min(axis=1), rtol=1e-12, atol=0) and got[3] == 0.0
     assert L.nearest_distance(frame(known[:0]), frame(rows), ["a", "b", "c"]).first()["distance"] == float("inf")
+
+
+def test_nearest_distance_over_many_boxes_and_parts(spark, monkeypatch):
+    """Rows near the edges of boxes, far outside, repeated points and ids: each row has its own exact distance."""
+    monkeypatch.setattr(NN, "BOX_ROWS", 500)
+    monkeypatch.setattr(NN, "PART_ROWS", 120)
+    r = np.random.default_rng(4)
+    known = np.column_stack([r.normal(size=4000) ** 3, r.integers(0, 3, 4000), r.normal(size=4000)])
+    known = np.vstack([known, known[:50], np.zeros((300, 3))])
+    rows = np.vstack([known[100:400] + r.normal(size=(300, 3)) * 0.05, r.normal(size=(300, 3)) * 4, [[1e4, -50.0, 3.0]], known[17:18]])
+    want = np.sqrt(((rows[:, None] - known[None]) ** 2).sum(axis=2)).min(axis=1)
+    frame = lambda a, key: spark.createDataFrame([(key(i), *map(float, v)) for i, v in enumerate(a)], "_id string, a double, b double, c double")
+    met = []
+    monkeypatch.setattr(NN, "_met", lambda *a, f=NN._met: met.append(a[0].select("_box").distinct().count()) or f(*a))
+    got = L.nearest_distance(frame(known, str), frame(rows, lambda i: str(i // 2)), ["a", "b", "c"]).collect()
+    by_id = {i: sorted(x["distance"] for x in got if x["_id"] == str(i)) for i in range(len(rows) // 2)}
+    assert len(got) == len(rows) and all(np.array_equal(by_id[i], sorted(want[2 * i: 2 * i + 2])) for i in by_id)
+    assert len(met) == 2 and min(met) > 2  # rows met more boxes than their own
+
+
+def test_membership_takes_every_batch_row(spark):
+    """The members are copies of batch rows beyond any fixed number of them."""
+    batch = spark.range(9001).selectExpr("id AS _id", "id * 1.0D AS a", "CAST(id % 2 AS DOUBLE) AS b")
+    reference = batch.withColumn("a", F.when(L.is_member("_id"), F.col("a")).otherwise(F.col("a") + 0.25))
+    got = L.membership_auc(batch, reference).first()
+    assert (got["mia_auc"], got["shadow"], got["members"] + got["others"]) == (1.0, 9001, 9001)
