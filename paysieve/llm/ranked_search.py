@@ -45,6 +45,8 @@ FEW_DOCS = 256  # at the end of a task, fewer than these join the next larger do
 GROUP_TERMS = 20_000  # of queries searched together
 HELD_ROWS = 500_000  # of partial results, before a task passes them on
 ROUND = 256  # documents scored before bounds are looked at again
+#: A block is a row of megabytes; a reader and a writer hold a row group at a time, which by itself would be looked at after 100 rows.
+WRITTEN = {"parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
 def term_counts(array: pa.Array, hasher: B.SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +146,7 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     shape = (f"ids array<{kind}>, length binary, wide long, levels int, slices binary, size binary, term binary, tf binary, vocabulary array<long>, df array<long>, "
              "n_docs long, n_terms long")
     path = scratch_path(docs.sparkSession, "signatures")
-    docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_index, shape).write.parquet(path)
+    docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_index, shape).write.options(**WRITTEN).parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)
 
 

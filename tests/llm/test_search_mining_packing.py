@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 
 from paysieve.llm import hard_negatives, packing, ranked_search
@@ -57,6 +58,16 @@ def test_ranked_search(spark, monkeypatch, small):
     assert got == want and len(want) > 40
 
 
+def test_a_row_group_of_the_index_holds_few_blocks(spark):
+    """A reader holds a whole row group, so it must not grow with the blocks of a task."""
+    docs = [(i, f"w{i % 977} w{i % 13}") for i in range(12_000)]
+    blocks = ranked_search.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    groups = [m.row_group(i).num_rows for f in blocks.inputFiles() for m in [ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) > 4 and max(groups) <= 4
+    found = ranked_search.search(blocks, spark.createDataFrame([("a", "w5 w900")], "item_id string, text string"))
+    assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in found.collect()) == ranked(docs, [("a", "w5 w900")])
+
+
 def test_ranked_search_odd_rows(spark):
     docs = H.odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
