@@ -179,3 +179,16 @@ def test_equal_rows_are_counted_once(spark, slices, monkeypatch):
     monkeypatch.setattr(L, "COUNTED_FROM", 10_000)
     exact = L.fit_gbdt(train, X, validation=valid, iterations=12)
     assert plain.measured[-1][1] == pytest.approx(exact.measured[-1][1], abs=0.08)
+
+
+def test_the_last_doubling_goes_to_the_end(slices, monkeypatch):
+    """A fit that would end shortly before all rounds is not made only to be made again."""
+    train, valid = slices
+    fitted, trainer = [], L.GBTClassifier
+    monkeypatch.setattr(L, "GBTClassifier", lambda **kw: fitted.append(kw["maxIter"]) or trainer(**kw))
+    monkeypatch.setattr(L, "kept_round", lambda measured, patience: len(measured))
+    assert L.fit_gbdt(train, X, validation=valid, iterations=11, patience=1).table.rounds == 11
+    assert fitted == [2, 4, 11]
+    monkeypatch.setattr(L, "LONG_FROM", 100)
+    assert L.fit_gbdt(train, X, validation=valid, iterations=10, patience=1).table.rounds == 10
+    assert fitted == [2, 4, 11, 2, 10]
