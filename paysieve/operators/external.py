@@ -57,15 +57,15 @@ def compute_features_external(df: DataFrame, include_absent: bool = True, window
     out = benford_digit_sum(out, layout=plans["merchant_id"])
     out = W.pit_count(out, ["payee_entity_id"], "_us", DAY, F.col("_cents"), "fanin_payee_24h", layout=plans["payee_entity_id"])
     out = W.pit_count(out, ["pan_token"], "_us", DAY, F.col("_cents"), "fanout_payer_24h", layout=card)
-    velocity = W.velocity_block(base, "event_id", "_us", F.col("_cents"), F.lit(None),
-                                {k: k for k in SUPPORTED_KEYS}, windows, fill=None, layouts=plans,
-                                narrow=W.all_narrow(base, [F.col("_cents")]))
-    names = [c for c in velocity.columns if c != "event_id"] + list(DERIVED_FEATURES)
+    block = [f"{a}_{k}_{w}" for k in SUPPORTED_KEYS for w in windows for a in W.VELOCITY_AGGREGATIONS]
+    names = block + list(DERIVED_FEATURES)
+    kept = [c for c in carry if c != "event_id"]
+    rest = out.select("event_id", *kept, *[F.col(n).cast("float").alias(n) for n in DERIVED_FEATURES])
+    joined = W.velocity_block(base, "event_id", "_us", F.col("_cents"), F.lit(None),
+                              {k: k for k in SUPPORTED_KEYS}, windows, fill=None, layouts=plans,
+                              narrow=W.all_narrow(base, [F.col("_cents")]), beside=rest)
     absent = [
         F.lit(None).cast("float").alias(f"{a}_{k}_{w}")
         for k in VELOCITY_KEYS if k not in SUPPORTED_KEYS for w in windows for a in W.VELOCITY_AGGREGATIONS
     ]
-    return out.join(velocity.hint("merge"), "event_id").select(
-        "event_id", *[F.col(c) for c in carry if c != "event_id"],
-        *[F.col(n).cast("float").alias(n) for n in names], *(absent if include_absent else []),
-    )
+    return joined.select("event_id", *kept, *[F.col(n).cast("float").alias(n) for n in names], *(absent if include_absent else []))

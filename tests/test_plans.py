@@ -153,3 +153,15 @@ def test_whole_matrix_is_never_broadcast(spark):
     """Both sides of the last join hold a row per event; a small file says little about them."""
     out = P.compute_features(canonical(spark, "/root/testdata/sf0.001"))
     assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_rows_take_no_exchange(spark):
+    """The last join comes before an event's block is wide, and gives what a join with the whole block gives."""
+    df = canonical(spark, "/root/testdata/sf0.001")
+    plan = P.compute_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("side_by_side") < plan.index("strategy=merge")
+    base = df.selectExpr("event_id", "unix_micros(event_ts) AS us", "amount_c", "payer_entity_id AS a", "payee_entity_id AS b", "event_ts")
+    some = base.filter("event_id % 3 > 0").selectExpr("event_id", "event_ts", "IF(event_id % 2 = 0, a, NULL) AS more")
+    block = lambda **kw: W.velocity_block(base, "event_id", "us", F.col("amount_c"), F.lit(None), {"a": "a", "b": "b"}, **kw)
+    got, want = block(beside=some), block().join(some, "event_id")
+    assert got.columns == want.columns and got.count() == some.count() and got.exceptAll(want).count() == 0
